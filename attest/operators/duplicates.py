@@ -61,15 +61,12 @@ def fingerprint_pairs(
         for i, (o, w) in enumerate(layout)
     ])
     stored = distinct.select("fp", F.inline(keys))
-    probes = F.flatten(F.array(*[
-        F.transform(
-            F.array(*[F.lit(m).cast("bigint") for m in _flips(w, radius)]),
-            lambda m, i=i, o=o, w=w: F.struct(
-                F.lit(i).alias("band"), _slice(F.col("fp"), o, w).bitwiseXOR(m).alias("value")
-            ),
-        )
-        for i, (o, w) in enumerate(layout)
-    ]))
+    def band_probes(i: int, offset: int, width: int) -> Column:
+        masks = F.array(*[F.lit(m).cast("bigint") for m in _flips(width, radius)])
+        own = _slice(F.col("fp"), offset, width)
+        return F.transform(masks, lambda m: F.struct(F.lit(i).alias("band"), own.bitwiseXOR(m).alias("value")))
+
+    probes = F.flatten(F.array(*[band_probes(i, o, w) for i, (o, w) in enumerate(layout)]))
     asked = distinct.select("fp", F.inline(probes)) if radius else stored
 
     # The largest thousand buckets at most are broadcast as the hot list.

@@ -1 +1,13 @@
-"""Part of attest; see README.md for the map of modules."""
+"""All registered queries; importing the modules fills the registry."""
+
+import importlib
+
+from attest.plans.registry import ORACLES, QUERIES
+
+_MODULES = ["evidence", "evaluation", "similarity", "integrity"]
+
+
+def load() -> tuple[dict, dict]:
+    for name in _MODULES:
+        importlib.import_module(f"attest.plans.{name}")
+    return QUERIES, ORACLES
