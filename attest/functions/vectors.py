@@ -67,10 +67,11 @@ def invalid_vector(values: Column) -> Column:
 def channel_means(pixels: Column, channels: int, scale: float = 1.0) -> Column:
     """Mean of each interleaved channel divided by ``scale``; one value per channel."""
     count = F.size(pixels) / F.lit(channels)
-    return F.array(*[
-        total(F.filter(pixels, lambda v, i, c=c: i % channels == c)) / count / F.lit(scale)
-        for c in range(channels)
-    ])
+
+    def one(channel: int) -> Column:
+        return total(F.filter(pixels, lambda v, i: i % channels == channel)) / count / F.lit(scale)
+
+    return F.array(*[one(c) for c in range(channels)])
 
 
 def mask_region(

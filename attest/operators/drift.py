@@ -138,7 +138,7 @@ def mmd_random_features(rows: DataFrame, side: str, vec: str, gamma: float, feat
                 sums[name] = (n + len(chosen), total + chosen.sum(0))
         for name, (n, total) in sums.items():
             yield pa.RecordBatch.from_pydict({
-                "side": [name] * len(total), "pos": list(range(len(total))), "total": total.tolist(),
+                "side": [name] * len(total), "pos": pa.array(range(len(total)), pa.int32()), "total": total.tolist(),
                 "n": [n if i == 0 else 0 for i in range(len(total))],
             })
 

@@ -67,7 +67,7 @@ def closure(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> D
     are settled per round, so the plan does not grow and a lost executor does not
     restart the walk. Cycles end because known pairs are not extended again.
     """
-    links = edges.select(F.col("parent").alias("node"), "child").distinct()
+    links = settle(edges.select(F.col("parent").alias("node"), "child").distinct())
     frontier = settle(
         sources.select(F.col("id").alias("source")).distinct()
         .join(links.withColumnRenamed("node", "source"), "source").select("source", F.col("child").alias("node")).distinct()
@@ -145,7 +145,7 @@ def propagate_min(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000)
     Values travel along edges and only improvements travel on, so the work is
     edges times depth and no ancestor pairs are built.
     """
-    links = edges.select(F.col("parent").alias("id"), "child").distinct()
+    links = settle(edges.select(F.col("parent").alias("id"), "child").distinct())
     start = seeds.groupBy("id").agg(F.min("value").alias("value"))
     frontier = settle(links.join(start, "id").groupBy(F.col("child").alias("id")).agg(F.min("value").alias("value")))
     known = frontier

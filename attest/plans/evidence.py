@@ -247,10 +247,10 @@ w AS (SELECT *, avg(rate) OVER p AS before_rate, count(*) OVER p AS nb, avg(rate
          q AS (PARTITION BY contributor_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)),
 k AS (SELECT *, row_number() OVER (PARTITION BY contributor_id ORDER BY after_rate - before_rate DESC, pos) AS rn FROM w WHERE nb = 2 AND na = 2)
 SELECT contributor_id, batch_id, round(before_rate, 6) AS before_rate, round(after_rate, 6) AS after_rate
-FROM k WHERE rn = 1 AND after_rate - before_rate >= 0.01"""))
+FROM k WHERE rn = 1 AND after_rate - before_rate >= 0.1"""))
 def temporal_change_point(spark, folder):
     batches = C.batch_rates(_sampled(spark, folder), role(spark, folder, "sample_meta"), role(spark, folder, "batch_order"))
-    points = C.temporal_change_points(batches, drift_threshold=0.01)
+    points = C.temporal_change_points(batches, drift_threshold=0.1)
     return points.select("contributor_id", "batch_id", r("before_rate").alias("before_rate"), r("after_rate").alias("after_rate"))
 
 
@@ -268,10 +268,10 @@ def metadata_coverage(spark, folder):
 SELECT 'missing_metadata' AS kind, asset_id AS subject FROM sample_meta WHERE contributor_id IS NULL OR batch_id IS NULL
 UNION ALL SELECT DISTINCT 'unmatched_finding', asset_id FROM findings WHERE asset_id NOT IN (SELECT asset_id FROM sample_meta)
 UNION ALL SELECT DISTINCT 'unknown_batch', batch_id FROM sample_meta
-  WHERE contributor_id IS NOT NULL AND batch_id IS NOT NULL AND batch_id NOT IN (SELECT batch_id FROM batch_order WHERE pos < 7)"""))
+  WHERE contributor_id IS NOT NULL AND batch_id IS NOT NULL AND batch_id NOT IN (SELECT batch_id FROM batch_order WHERE pos < 6)"""))
 def semi_anti_sets(spark, folder):
     samples, found = role(spark, folder, "sample_meta"), findings(spark, folder)
-    order = role(spark, folder, "batch_order").where("pos < 7")
+    order = role(spark, folder, "batch_order").where("pos < 6")
     pick = lambda df, kind, c: df.select(F.lit(kind).alias("kind"), F.col(c).alias("subject"))
     return pick(C.missing_metadata(samples), "missing_metadata", "asset_id") \
         .unionByName(pick(C.unmatched_findings(found, samples), "unmatched_finding", "asset_id")) \

@@ -115,11 +115,11 @@ WHERE (doc_id * 5 + no * 3 + n_chars) % 4 = 0"""
 
 ROLES["sample_meta"] = """
 SELECT 'doc-' || TEXT(doc_id) AS asset_id, CASE WHEN doc_id % 53 > 0 THEN source END AS contributor_id,
-       CASE WHEN doc_id % 47 > 0 THEN 'b' || TEXT(doc_id % 8) END AS batch_id
+       CASE WHEN doc_id % 47 > 0 THEN 'b' || TEXT(doc_id % 7) END AS batch_id
 FROM {documents} WHERE doc_id % 29 > 0"""
 
 ROLES["batch_order"] = """
-SELECT DISTINCT 'b' || TEXT(doc_id % 8) AS batch_id, CAST(doc_id % 8 AS BIGINT) AS pos FROM {documents}"""
+SELECT DISTINCT 'b' || TEXT(doc_id % 7) AS batch_id, CAST(doc_id % 7 AS BIGINT) AS pos FROM {documents}"""
 
 ROLES["truth"] = """
 SELECT CASE WHEN doc_id % 2 = 0 AND toxic = 1 THEN 'ood' END AS detector_id, 'doc-' || TEXT(doc_id) AS asset_id

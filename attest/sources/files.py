@@ -88,7 +88,11 @@ def read_yolo(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     )
     schema = ("contributor_id string, batch_id string, dataset_version string, "
               "samples map<string, struct<contributor_id: string, batch_id: string>>")
-    metadata = spark.read.schema(schema).option("multiLine", "true").option("pathGlobFilter", "metadata.json").json(root)
+    metadata = (
+        spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "metadata.json").json(root)
+        .where(relative_path(root, F.col("_metadata.file_path")) == "metadata.json")
+    )
     samples = metadata.select(F.explode("samples").alias("path", "m")).select("path", "m.contributor_id", "m.batch_id")
     return {
         "rows": lines, "images": images, "label_files": labels.select("label_path"), "classes": names,
