@@ -14,6 +14,7 @@ from attest.functions import vectors as V
 from attest.operators import metric_join as M
 from attest.operators.components import connected_components
 from attest.schemas import as_findings, config_hash
+from attest.session import settle
 
 BITS = 63
 # A band bucket with more distinct fingerprints than this gets a second band key.
@@ -113,9 +114,11 @@ def hamming_near_duplicates(
     row per copy, not one per pair. With distinct fingerprints this is exactly one
     row per pair, reported on the later row.
     """
-    groups = rows.groupBy(F.col(fp).alias("fp")).agg(
-        F.min(ord).alias("first_ord"),
-        F.min_by(ident, ord).alias("match_id"),
+    # Fingerprints are narrow but dear to compute, and they are read several times.
+    rows = settle(rows.select(F.col(ident).alias("asset_id"), F.col(ord).alias("ord"), F.col(fp).alias("fp")))
+    groups = rows.groupBy("fp").agg(
+        F.min("ord").alias("first_ord"),
+        F.min_by("asset_id", "ord").alias("match_id"),
         F.count(F.lit(1)).alias("match_rows"),
     )
     if bands is None:
@@ -129,8 +132,7 @@ def hamming_near_duplicates(
     )
     matches = linked.join(groups.withColumnRenamed("fp", "other"), "other").drop("other")
     return (
-        rows.select(F.col(ident).alias("asset_id"), F.col(ord).alias("ord"), F.col(fp).alias("fp"))
-        .join(matches, "fp")
+        rows.join(matches, "fp")
         .where(F.col("ord") > F.col("first_ord"))
         .select(
             "asset_id", "ord", "match_id", "distance", "match_rows",
@@ -194,9 +196,9 @@ def cosine_clusters(rows: DataFrame, ord: str, vec: str, similarity: float = 0.9
     length = V.norm(F.col(vec))
     unit = F.when(length == 0, F.col(vec)).otherwise(F.transform(F.col(vec), lambda x: x / length))
     prepared = rows.select(F.col(ord).alias("ord"), unit.alias("unit"), (length == 0).alias("zero"))
-    groups = prepared.groupBy("unit").agg(
+    groups = settle(prepared.groupBy("unit").agg(
         F.min("ord").alias("vid"), F.count(F.lit(1)).alias("copies"), F.first("zero").alias("zero")
-    )
+    ))
     points = groups.where(~F.col("zero")).select("vid", "unit")
     total = points.count()
     copies = (
@@ -206,7 +208,7 @@ def cosine_clusters(rows: DataFrame, ord: str, vec: str, similarity: float = 0.9
     edges = copies
     if total > 1:
         pivots = M.choose_pivots(points, "vid", "unit", M.pivot_count(total))
-        assigned = M.assign_cells(points, "vid", "unit", pivots, [])
+        assigned = settle(M.assign_cells(points, "vid", "unit", pivots, []))
         rings = M.cell_rings(assigned, len(pivots))
         reach = math.sqrt(max(0.0, 2.0 - 2.0 * similarity)) + 1e-9
         probes = M.target_cells(

@@ -13,6 +13,9 @@ RADIUS = {"model": "models", "dataset": "datasets",
           "inference": "inference_records", "inference_record": "inference_records"}
 
 
+_COMPACT = 16
+
+
 def build_nodes(declared: DataFrame, edges: DataFrame, parent_types: DataFrame | None = None) -> DataFrame:
     """Declared nodes plus an orphan row for every parent nobody declared.
 
@@ -73,12 +76,15 @@ def closure(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> D
         .join(links.withColumnRenamed("node", "source"), "source").select("source", F.col("child").alias("node")).distinct()
     )
     known = frontier
-    for _ in range(max_rounds):
+    for number in range(1, max_rounds + 1):
         step = frontier.join(links, "node").select("source", F.col("child").alias("node")).distinct()
         frontier = settle(step.join(known, ["source", "node"], "left_anti"))
         if frontier.limit(1).count() == 0:
             return known
-        known = settle(known.union(frontier))
+        # Known pairs are the files of all rounds; deep walks compact them now and then.
+        known = known.union(frontier)
+        if number % _COMPACT == 0:
+            known = settle(known)
     raise RuntimeError("closure did not end")
 
 

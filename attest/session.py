@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -52,6 +54,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, once per application.
+
+    Workers do not share the driver's module path, on one machine or on many.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "attest_package")
+    context.addPyFile(shutil.make_archive(base, "zip", root, "attest"))
+    _shipped.add(context.applicationId)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
