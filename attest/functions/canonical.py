@@ -11,23 +11,37 @@ from pyspark.sql import types as T
 def _six(value) -> str | None:
     if value is None:
         return None
-    if value != value or value in (float("inf"), float("-inf")):
-        raise ValueError("non-finite numbers have no canonical form")
     text = f"{value:.6f}"
     return "0.000000" if text == "-0.000000" else text
 
 
 @F.pandas_udf(T.StringType())
-def canonical_float(values: pd.Series) -> pd.Series:
-    """Six decimals of the exact binary value; JVM formatting rounds the decimal text instead."""
+def _float_text(values: pd.Series) -> pd.Series:
     return values.map(_six, na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
-def canonical_float_array(values: pd.Series) -> pd.Series:
+def _float_array_text(values: pd.Series) -> pd.Series:
     return values.map(lambda v: "[" + ",".join(_six(x) for x in v) + "]", na_action="ignore")
 
 
+def _unfit(value: Column) -> Column:
+    return F.isnan(value) | (F.abs(value) == float("inf"))
+
+
+def canonical_float(value: Column) -> Column:
+    """Six decimals of the exact binary value; JVM formatting rounds the decimal text instead."""
+    return F.when(_unfit(value), F.raise_error(F.lit("non-finite numbers have no canonical form"))).otherwise(
+        _float_text(value)
+    )
+
+
+def canonical_float_array(values: Column) -> Column:
+    return F.when(F.exists(values, _unfit), F.raise_error(F.lit("non-finite numbers have no canonical form"))).otherwise(
+        _float_array_text(values)
+    )
+
+
 def canonical_epoch(ts: Column) -> Column:
     """Epoch seconds of a timestamp with six decimals, without leaving the JVM."""
     micros = F.unix_micros(ts)
@@ -37,14 +51,14 @@ def canonical_epoch(ts: Column) -> Column:
 
 def canonical_string(value: Column) -> Column:
     """A JSON string: quotes, backslashes and control characters escaped, UTF-8 kept."""
-    inner = F.regexp_replace(value, r"\\", r"\\\\")
-    inner = F.regexp_replace(inner, '"', r'\\"')
-    for raw, name in (("\n", "n"), ("\r", "r"), ("\t", "t"), ("\b", "b"), ("\f", "f")):
+    inner = F.replace(value, F.lit("\\"), F.lit("\\\\"))
+    inner = F.replace(inner, F.lit('"'), F.lit('\\"'))
+    for raw, name in (("\n", "n"), ("\r", "r"), ("\t", "t")):
         inner = F.replace(inner, F.lit(raw), F.lit("\\" + name))
+    rare = F.replace(F.replace(inner, F.lit("\b"), F.lit("\\b")), F.lit("\f"), F.lit("\\f"))
     for code in [c for c in range(32) if c not in (8, 9, 10, 12, 13)]:
-        inner = F.replace(inner, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
-    plain = ~value.rlike("[\\x00-\\x1f\"\\\\]")
-    quoted = F.when(plain, value).otherwise(inner)
+        rare = F.replace(rare, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+    quoted = F.when(value.rlike("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"), rare).otherwise(inner)
     return F.concat(F.lit('"'), quoted, F.lit('"'))
 
 

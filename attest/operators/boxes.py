@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attest.schemas import as_findings, config_hash
+from attest.session import settle
 
 SIZE = ["width", "height"]
 
@@ -158,7 +160,8 @@ def peer_median_coverage(coverage: DataFrame) -> DataFrame:
 
 
 def large_unlabeled_region(images: DataFrame, uncovered: float = 0.6, gap: float = 0.4) -> DataFrame:
-    scored = peer_median_coverage(image_coverage(images))
+    # Three narrow columns per image, read by several aggregates.
+    scored = peer_median_coverage(settle(image_coverage(images)))
     return scored.where(
         (F.col("peers") >= 2)
         & (1 - F.col("coverage") >= uncovered)
@@ -182,23 +185,21 @@ def unlabeled_region_findings(hits: DataFrame) -> DataFrame:
     )
 
 
-_LAYOUT = T.StructType([
-    T.StructField("shape", T.StringType()),
-    T.StructField("signature", T.StringType()),
-    T.StructField("anchors", T.ArrayType(T.DoubleType())),
-])
+def _round4(values: np.ndarray) -> np.ndarray:
+    """Round to four decimals by the exact binary value; only near-ties need the slow way."""
+    scaled = values * 1e4
+    out = np.rint(scaled) / 1e4
+    for i in np.flatnonzero(np.abs(np.abs(scaled - np.trunc(scaled)) - 0.5) < 1e-6):
+        out[i] = round(float(values[i]), 4)
+    return out + 0.0  # no negative zero
 
 
-@F.pandas_udf(_LAYOUT)
-def _rounded_layout(layouts: pd.Series) -> pd.DataFrame:
-    """Four-decimal rounding of the exact binary value, which JVM rounding does not do."""
-    shapes, signatures, anchors = [], [], []
-    for boxes in layouts:
-        shapes.append(";".join(f"{round(b['w'], 4)!r},{round(b['h'], 4)!r}" for b in boxes))
-        corner = [(round(b["x"], 4), round(b["y"], 4)) for b in boxes]
-        signatures.append(";".join(f"{x!r},{y!r}" for x, y in corner))
-        anchors.append([v for pair in corner for v in pair])
-    return pd.DataFrame({"shape": shapes, "signature": signatures, "anchors": anchors})
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _rounded(lists: pa.Array) -> pa.Array:
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(_round4(flat)))
 
 
 def systematic_box_shift(images: DataFrame, min_boxes: int = 3, threshold: float = 0.05,
@@ -210,20 +211,21 @@ def systematic_box_shift(images: DataFrame, min_boxes: int = 3, threshold: float
         (b["x"] / F.col("width")).alias("x"), (b["y"] / F.col("height")).alias("y"),
         (b["w"] / F.col("width")).alias("w"), (b["h"] / F.col("height")).alias("h"),
     )))
-    layouts = usable.select("image_id", "ord", *SIZE, scaled.alias("layout")).withColumn(
-        "r", _rounded_layout("layout")
-    ).select("image_id", "ord", *SIZE, "layout", "r.shape", "r.signature", "r.anchors")
+    side = lambda a, b: _rounded(F.flatten(F.transform("layout", lambda x: F.array(x[a], x[b]))))
+    layouts = usable.select("image_id", "ord", *SIZE, scaled.alias("layout")).select(
+        "*", side("w", "h").alias("shape"), side("x", "y").alias("signature")
+    )
     group = [*SIZE, "shape"]
     counted = layouts.groupBy(*group, "signature").agg(
-        F.count(F.lit(1)).alias("c"), F.min("ord").alias("first_ord"), F.first("anchors").alias("baseline")
+        F.count(F.lit(1)).alias("c"), F.min("ord").alias("first_ord")
     )
     majority = counted.groupBy(*group).agg(
-        F.max_by(F.struct("signature", "baseline", "c"), F.struct("c", -F.col("first_ord"))).alias("top"),
+        F.max_by(F.struct("signature", "c"), F.struct("c", -F.col("first_ord"))).alias("top"),
         F.sum("c").alias("members"),
     ).where("top.c >= 2 and top.c > members / 2")
     moved = layouts.join(
-        majority.select(*group, F.col("top.signature").alias("common"), F.col("top.baseline").alias("baseline")), group
-    ).where("signature <> common")
+        majority.select(*group, F.col("top.signature").alias("baseline")), group
+    ).where("signature <> baseline")
     offsets = moved.select(
         "image_id", "ord", *group, F.size("layout").alias("boxes"),
         F.transform("layout", lambda b, i: b["x"] - F.get("baseline", i * 2)).alias("dxs"),

@@ -182,7 +182,9 @@ def scope_tops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     A scoped node is highest when no scoped node lies above it, whatever asset asks,
     so the highest ids themselves can travel downstream.
     """
-    scoped = nodes.where(F.col("node_type").isin(sorted(SCOPES))).select("id", "node_type")
+    nodes = settle(nodes.select("id", "node_type"))
+    edges = settle(edges.select("parent", "child").distinct())
+    scoped = nodes.where(F.col("node_type").isin(sorted(SCOPES)))
     below = propagate_min(edges, scoped.select("id", F.lit(1).alias("value"))).select("id")
     top = scoped.join(below, "id", "left_anti")
     reached = propagate_min(edges, top.select("id", F.col("id").alias("value")))

@@ -21,6 +21,12 @@ def _violations(parts: list[tuple[DataFrame, str, Column]]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), rows)
 
 
+def _row_checks(df: DataFrame, subject: Column, checks: dict[str, Column]) -> DataFrame:
+    """Several row-local rules in one pass over ``df``."""
+    named = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in checks.items()]))
+    return df.select(F.explode(named).alias("violation"), subject.cast("string").alias("subject"))
+
+
 def _repeated(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
 
@@ -45,15 +51,16 @@ def coco_violations(images: DataFrame, annotations: DataFrame, categories: DataF
         (_repeated(images, "file_name"), "duplicate_image_path", F.col("file_name")),
         (categories.where(F.coalesce("name", F.lit("")) == ""), "empty_category_name", F.col("id")),
         (images.where(_not_identifier("id")), "invalid_image_id", F.col("id")),
-        (annotations.where(_not_identifier("id")), "invalid_annotation_id", F.col("id")),
         (categories.where(_not_identifier("id")), "invalid_category_id", F.col("id")),
         (annotations.join(images.select(F.col("id").alias("image_id")), "image_id", "left_anti"), "unknown_image", F.col("id")),
         (annotations.join(categories.select(F.col("id").alias("category_id")), "category_id", "left_anti"),
          "unknown_category", F.col("id")),
-        (annotations.where(box.isNotNull() & malformed), "malformed_bbox", F.col("id")),
-        (annotations.where(box.isNotNull() & ~malformed & negative), "negative_bbox", F.col("id")),
         (images.where(is_unsafe_path(F.col("file_name"))), "unsafe_path", F.col("file_name")),
-    ])
+    ]).unionByName(_row_checks(annotations, F.col("id"), {
+        "invalid_annotation_id": _not_identifier("id"),
+        "malformed_bbox": box.isNotNull() & malformed,
+        "negative_bbox": box.isNotNull() & ~malformed & negative,
+    }))
 
 
 def label_path_of(image_path: Column) -> Column:
@@ -70,27 +77,27 @@ def yolo_violations(rows: DataFrame, images: DataFrame, label_files: DataFrame,
     """
     tokens = F.split(F.trim(F.regexp_replace("text", "[ \\t]+", " ")), " ")
     parsed = rows.where(F.trim("text") != "").select(
-        F.concat("label_path", F.lit(":"), F.col("line").cast("string")).alias("at"),
-        tokens.alias("t"),
-    ).withColumn("shape_ok", (F.size("t") == 5) & F.coalesce(F.get("t", 0).rlike("^[0-9]+$"), F.lit(False)))
-    shaped = parsed.where("shape_ok").select(
-        "at", F.get("t", 0).try_cast("bigint").alias("class_id"),
+        F.concat("label_path", F.lit(":"), F.col("line").cast("string")).alias("at"), tokens.alias("t"),
+    ).select(
+        "at", ((F.size("t") == 5) & F.coalesce(F.get("t", 0).rlike("^[0-9]+$"), F.lit(False))).alias("shaped"),
+        F.get("t", 0).try_cast("bigint").alias("class_id"),
         F.transform(F.slice("t", 2, 4), lambda v: v.try_cast("double")).alias("c"),
-    )
+    ).join(classes.select("class_id").distinct().withColumn("known", F.lit(True)), "class_id", "left")
     outside = F.exists("c", lambda v: v.isNull() | F.isnan(v) | (v < 0) | (v > 1))
     labelled = images.withColumn("label_path", label_path_of(F.col("path")))
     return _violations([
-        (parsed.where("not shape_ok"), "invalid_row", F.col("at")),
-        (shaped.join(classes, "class_id", "left_anti"), "unknown_class", F.col("at")),
-        (shaped.where(outside), "coordinate_out_of_range", F.col("at")),
-        (shaped.where(~outside & ((F.get("c", 2) <= 0) | (F.get("c", 3) <= 0))), "empty_box", F.col("at")),
         (_repeated(labelled, "label_path"), "shared_label_file", F.col("label_path")),
         (labelled.join(label_files, "label_path", "left_anti"), "missing_label_file", F.col("path")),
         (label_files.join(labelled, "label_path", "left_anti"), "orphan_label_file", F.col("label_path")),
         (metadata.join(images, "path", "left_anti"), "unknown_metadata", F.col("path")),
         (classes.where(F.trim(F.coalesce("name", F.lit(""))) == ""), "blank_class", F.col("class_id")),
         (_repeated(classes, "name"), "duplicate_class", F.col("name")),
-    ])
+    ]).unionByName(_row_checks(parsed, F.col("at"), {
+        "invalid_row": ~F.col("shaped"),
+        "unknown_class": F.col("shaped") & F.col("known").isNull(),
+        "coordinate_out_of_range": F.col("shaped") & outside,
+        "empty_box": F.col("shaped") & ~outside & ((F.get("c", 2) <= 0) | (F.get("c", 3) <= 0)),
+    }))
 
 
 def class_distribution(classes: DataFrame, annotations: DataFrame, key: str) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from typing import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attest.functions import vectors as V
 from attest.functions.scale import order_statistics
-from attest.operators.moments import Model, class_models, score_rows
+from attest.operators.metric_join import matrix_of
+from attest.operators.moments import MODEL_BYTES, Model, class_models, score_rows
 from attest.schemas import as_findings, config_hash
 from attest.session import settle
 
@@ -178,7 +182,10 @@ def two_means(rows: DataFrame, ord: str, label: str, vec: str, min_rows: int = 4
     def nearest(a: str, b: str):
         return F.when(square(F.col("vec"), F.col(b)) < square(F.col("vec"), F.col(a)), 1).otherwise(0)
 
-    for _ in range(max_rounds):
+    small = centres.count() * width * 4 * 8 <= MODEL_BYTES
+    if small:
+        centres = _iterate_small(data, centres, width, max_rounds)
+    for _ in range(0 if small else max_rounds):
         active = centres.where("valid and not done")
         assigned = data.join(active, "label").select(
             "label", "vec", nearest("c0", "c1").alias("now"),
@@ -208,6 +215,77 @@ def two_means(rows: DataFrame, ord: str, label: str, vec: str, min_rows: int = 4
     return settled.select("ord", "label", "vec", "cluster", pick("c0", "c1").alias("own"), pick("c1", "c0").alias("other"))
 
 
+def _iterate_small(data: DataFrame, centres: DataFrame, width: int, max_rounds: int) -> DataFrame:
+    """The rounds of ``two_means`` with the centres (a bounded table) sent along with the tasks.
+
+    One pass over the rows per round; each task returns two sums per class.
+    """
+    state = {
+        r["label"]: {"before": None, "now": np.array([r["c0"], r["c1"]]), "done": False, "valid": True}
+        for r in centres.collect()
+    }
+
+    def one_pass(active: dict) -> DataFrame:
+        def nearest(rows, pair):
+            gap = ((rows[:, None, :] - pair[None]) ** 2).sum(2)
+            return gap.argmin(1)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple[str, int], list] = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                values = matrix_of(batch.column("vec"))
+                labels = batch.column("label").to_numpy(zero_copy_only=False).astype(str)
+                for name in np.unique(labels):
+                    if name not in active:
+                        continue
+                    rows = values[labels == name]
+                    before, now = active[name]
+                    new = nearest(rows, now)
+                    old = np.zeros(len(rows), int) if before is None else nearest(rows, before)
+                    for side in (0, 1):
+                        part = new == side
+                        held = sums.setdefault((name, side), [0, 0, np.zeros(width)])
+                        held[0] += int(part.sum())
+                        held[1] += int((part & (old != side)).sum())
+                        held[2] += rows[part].sum(0)
+            if sums:
+                yield pa.RecordBatch.from_pydict({
+                    "label": [k[0] for k in sums], "side": pa.array([k[1] for k in sums], pa.int32()),
+                    "n": [v[0] for v in sums.values()], "moved": [v[1] for v in sums.values()],
+                    "total": [v[2].tolist() for v in sums.values()],
+                })
+
+        partial = data.select("label", "vec").mapInArrow(
+            scan, "label string, side int, n bigint, moved bigint, total array<double>")
+        return partial.groupBy("label", "side").agg(
+            F.sum("n").alias("n"), F.sum("moved").alias("moved"),
+            F.array(*[F.sum(F.col("total")[i]) for i in range(width)]).alias("total"),
+        )
+
+    for _ in range(max_rounds):
+        active = {k: (v["before"], v["now"]) for k, v in state.items() if v["valid"] and not v["done"]}
+        if not active:
+            break
+        found: dict[str, dict] = {}
+        for r in one_pass(active).collect():  # two rows per class
+            found.setdefault(r["label"], {})[r["side"]] = r
+        for name, sides in found.items():
+            item = state[name]
+            item["before"] = item["now"]
+            if min(sides[0]["n"], sides[1]["n"]) == 0:
+                item["valid"] = False
+                continue
+            item["now"] = np.array([np.asarray(sides[i]["total"]) / sides[i]["n"] for i in (0, 1)])
+            item["done"] = sides[0]["moved"] + sides[1]["moved"] == 0
+    listed = [
+        (k, v["before"][0].tolist(), v["before"][1].tolist(), v["now"][0].tolist(), v["now"][1].tolist(), v["done"], v["valid"])
+        for k, v in state.items() if v["before"] is not None
+    ]
+    return data.sparkSession.createDataFrame(listed, centres.schema)
+
+
 def minority_clusters(clusters: DataFrame, max_fraction: float = 0.25, separation: float = 0.7) -> DataFrame:
     """Rows of small, well separated clusters: ``(ord, label, fraction, separation)``."""
     within, between = V.l2_delta(F.col("vec"), F.col("own")), V.l2_delta(F.col("vec"), F.col("other"))

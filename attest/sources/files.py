@@ -73,12 +73,15 @@ def resolve_images(images: DataFrame, inventory: DataFrame) -> DataFrame:
 def read_yolo(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Label rows with line numbers, images, label files, classes and metadata of a tree."""
     root = _plain(root)
-    whole = spark.read.option("wholetext", "true")
-    labels = whole.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(f"{root}/labels")
-    labels = labels.select(relative_path(root, F.col("_metadata.file_path")).alias("label_path"), F.col("value"))
+    found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(f"{root}/labels", wholetext=True)
+    labels = found.select(relative_path(root, F.col("_metadata.file_path")).alias("label_path"), F.col("value"))
     lines = labels.select("label_path", F.posexplode(F.split("value", "\\r?\\n")).alias("line", "text")) \
         .withColumn("line", F.col("line") + 1)
-    names = whole.text(f"{root}/classes.txt").select(
+    # Scans skip empty files, but an empty label file is a valid one: take the names
+    # from the file index that the scan keeps on the driver anyway.
+    listed = spark.createDataFrame([(f,) for f in found.inputFiles()], "file string").select(
+        relative_path(root, F.col("file")).alias("label_path"))
+    names = spark.read.text(f"{root}/classes.txt", wholetext=True).select(
         F.posexplode(F.split(F.regexp_replace("value", "(^\\uFEFF)|(\\r?\\n$)", ""), "\\r?\\n")).alias("class_id", "name")
     ).select(F.col("class_id").cast("bigint").alias("class_id"), F.trim("name").alias("name"))
     images = (
@@ -95,7 +98,7 @@ def read_yolo(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     )
     samples = metadata.select(F.explode("samples").alias("path", "m")).select("path", "m.contributor_id", "m.batch_id")
     return {
-        "rows": lines, "images": images, "label_files": labels.select("label_path"), "classes": names,
+        "rows": lines, "images": images, "label_files": listed, "classes": names,
         "document": metadata.select("contributor_id", "batch_id", F.coalesce("dataset_version", F.lit("1")).alias("dataset_version")),
         "metadata": samples,
     }
