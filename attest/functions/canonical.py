@@ -29,17 +29,19 @@ def _unfit(value: Column) -> Column:
     return F.isnan(value) | (F.abs(value) == float("inf"))
 
 
+# Python stages run before conditions are looked at, so the check sits on their input.
+_FAIL = "non-finite numbers have no canonical form"
+
+
 def canonical_float(value: Column) -> Column:
     """Six decimals of the exact binary value; JVM formatting rounds the decimal text instead."""
-    return F.when(_unfit(value), F.raise_error(F.lit("non-finite numbers have no canonical form"))).otherwise(
-        _float_text(value)
-    )
+    checked = F.when(_unfit(value), F.raise_error(F.lit(_FAIL)).cast("double")).otherwise(value)
+    return _float_text(checked)
 
 
 def canonical_float_array(values: Column) -> Column:
-    return F.when(F.exists(values, _unfit), F.raise_error(F.lit("non-finite numbers have no canonical form"))).otherwise(
-        _float_array_text(values)
-    )
+    checked = F.when(F.exists(values, _unfit), F.raise_error(F.lit(_FAIL)).cast("array<double>")).otherwise(values)
+    return _float_array_text(checked)
 
 
 def canonical_epoch(ts: Column) -> Column:

@@ -116,7 +116,9 @@ def freshness(records: DataFrame, last_sequence: DataFrame | None = None,
         ).drop("seen")
     chunked = rows.join(first, ["log_id", "nonce"]).withColumn("chunk", F.floor(F.col("pos") / CHUNK))
     # First allowed sequence is 0, so the scan starts at -1.
-    peaks = chunked.groupBy("log_id", "chunk").agg(F.max("sequence_number").alias("peak"))
+    peaks = records.groupBy("log_id", F.floor(F.col("pos") / CHUNK).alias("chunk")).agg(
+        F.max("sequence_number").alias("peak")
+    )
     earlier = Window.partitionBy("log_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = peaks.select("log_id", "chunk", F.coalesce(F.max("peak").over(earlier), F.lit(-1)).alias("carried"))
     if last_sequence is not None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attest.functions.scale import with_row
 from attest.operators.evidence import family_of
 from attest.schemas import counts_as_anomaly
+from attest.session import settle
 
 
 def sample_anomalies(findings: DataFrame) -> DataFrame:
@@ -63,6 +64,8 @@ def temporal_change_points(batches: DataFrame, window: int = 2, drift_threshold:
 
 def contributor_risk(batches: DataFrame, window: int = 2, drift_threshold: float = 0.15) -> DataFrame:
     """Risk per contributor from its batch rows; a heuristic in [0, 1], not a probability."""
+    # One row per contributor and batch; both branches below read it.
+    batches = settle(batches)
     points = temporal_change_points(batches, window, drift_threshold)
     totals = batches.groupBy("contributor_id").agg(
         F.sum("sample_count").alias("samples"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attest.functions import vectors as V
+from attest.functions.scale import salted_join
 from attest.operators import metric_join as M
 from attest.operators.components import connected_components
 from attest.schemas import as_findings, config_hash
@@ -132,7 +133,7 @@ def hamming_near_duplicates(
     )
     matches = linked.join(groups.withColumnRenamed("fp", "other"), "other").drop("other")
     return (
-        rows.join(matches, "fp")
+        salted_join(rows, matches, ["fp"])
         .where(F.col("ord") > F.col("first_ord"))
         .select(
             "asset_id", "ord", "match_id", "distance", "match_rows",
@@ -202,7 +203,7 @@ def cosine_clusters(rows: DataFrame, ord: str, vec: str, similarity: float = 0.9
     points = groups.where(~F.col("zero")).select("vid", "unit")
     total = points.count()
     copies = (
-        prepared.join(groups.where("copies > 1").select("unit", "vid"), "unit")
+        salted_join(prepared.select("unit", "ord"), groups.where("copies > 1").select("unit", "vid"), ["unit"])
         .select(F.col("ord").alias("u"), F.col("vid").alias("v")).where("u <> v")
     )
     edges = copies

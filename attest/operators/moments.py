@@ -7,12 +7,14 @@ from typing import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attest.functions.scale import pack_blocks
 from attest.operators.metric_join import bound_arrow_batches, matrix_of
+from attest.session import settle
 
 # Labels held at once while scanning a partition; beyond it partials are emitted.
 _OPEN_LABELS = 256
@@ -59,7 +61,8 @@ def class_models(rows: DataFrame, label: str, vec: str) -> DataFrame:
     """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[str, tuple] = {}
-        part = int(np.random.default_rng().integers(0, 2**31 - 1))  # spreads merging only
+        # Spreads merging; fixed per partition, so a repeated task emits the same rows.
+        part = TaskContext.get().partitionId()
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_pydict({
@@ -137,6 +140,7 @@ def score_rows(
         F.col(vec).cast("array<double>").alias("vec"),
     )
     schema = "ord bigint, label string, score double"
+    models = settle(models)
     size = models.agg(F.count(F.lit(1)), F.max(F.size("basis"))).first()
     if (size[0] or 0) * (size[1] or 0) * 8 <= MODEL_BYTES:
         held = {r["label"]: Model(r["n"], r["mean"], r["eigenvalues"], r["basis"]) for r in models.collect()}

@@ -10,6 +10,7 @@ from attest.operators import spotcheck as S
 from attest.operators.evaluation import tamper_log
 from attest.plans.registry import query, table
 from attest.plans.roles import role, with_roles
+from attest.session import settle
 
 
 def _json(prev: str, seq: str) -> str:
@@ -46,9 +47,10 @@ def _linked(spark, folder):
 def _broken(spark, folder):
     key = F.col("log_id") + F.col("pos")
     hit = tamper_log(_linked(spark, folder), key % 23 == 0, 5).drop("affected")
-    return hit.withColumn(
+    # Linking is sequential: keep the log as a table, as a real one would be.
+    return settle(hit.withColumn(
         "previous_record_hash", F.when(key % 31 == 0, "cut").otherwise(F.col("previous_record_hash"))
-    ).withColumn("signature_ok", F.when(key % 37 == 0, F.lit(None).cast("boolean")).otherwise(key % 29 > 0))
+    ).withColumn("signature_ok", F.when(key % 37 == 0, F.lit(None).cast("boolean")).otherwise(key % 29 > 0)))
 
 
 @query("record_hash", with_roles("log", body="SELECT log_id, pos, " + _json("'genesis'", "TEXT(pos * 3)") + " AS record_hash FROM log"))
