@@ -11,6 +11,7 @@ from attest.functions.scale import order_statistics, prefix_totals, with_row
 from attest.functions.vectors import bin_index, linspace
 from attest.operators.spotcheck import seeded_unit
 from attest.schemas import counts_as_anomaly
+from attest.session import settle
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -66,10 +67,11 @@ def detector_metrics(findings: DataFrame, truth: DataFrame, detectors: DataFrame
 
 def _curve(scored: DataFrame) -> DataFrame:
     """``(threshold, tp, fp, positives, negatives)`` per distinct score, plus +infinity."""
-    per = scored.groupBy(F.col("score").cast("double").alias("threshold")).agg(
+    # One row per distinct score, read for the cut points, the totals and the curve.
+    per = settle(scored.groupBy(F.col("score").cast("double").alias("threshold")).agg(
         F.sum(F.col("truth").cast("int")).cast("bigint").alias("tp"),
         F.sum(1 - F.col("truth").cast("int")).cast("bigint").alias("fp"),
-    )
+    ))
     totals = per.agg(F.coalesce(F.sum("tp"), F.lit(0)).alias("positives"),
                      F.coalesce(F.sum("fp"), F.lit(0)).alias("negatives"))
     running = prefix_totals(per, "threshold", ["tp", "fp"]).select(

@@ -145,13 +145,18 @@ def consumers_hit(pairs: DataFrame, records: DataFrame) -> DataFrame:
     ).groupBy("source", "consumer_id").agg(F.count(F.lit(1)).alias("records"))
 
 
-def propagate_min(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def _links(edges: DataFrame) -> DataFrame:
+    return settle(edges.select(F.col("parent").alias("id"), "child").distinct())
+
+
+def propagate_min(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000,
+                  links: DataFrame | None = None) -> DataFrame:
     """``(id, value)``: the smallest seed value on any strict ancestor of a node.
 
     Values travel along edges and only improvements travel on, so the work is
     edges times depth and no ancestor pairs are built.
     """
-    links = settle(edges.select(F.col("parent").alias("id"), "child").distinct())
+    links = _links(edges) if links is None else links
     start = seeds.groupBy("id").agg(F.min("value").alias("value"))
     frontier = settle(links.join(start, "id").groupBy(F.col("child").alias("id")).agg(F.min("value").alias("value")))
     known = frontier
@@ -183,11 +188,11 @@ def scope_tops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     so the highest ids themselves can travel downstream.
     """
     nodes = settle(nodes.select("id", "node_type"))
-    edges = settle(edges.select("parent", "child").distinct())
+    links = _links(edges)
     scoped = nodes.where(F.col("node_type").isin(sorted(SCOPES)))
-    below = propagate_min(edges, scoped.select("id", F.lit(1).alias("value"))).select("id")
+    below = propagate_min(edges, scoped.select("id", F.lit(1).alias("value")), links=links).select("id")
     top = scoped.join(below, "id", "left_anti")
-    reached = propagate_min(edges, top.select("id", F.col("id").alias("value")))
+    reached = propagate_min(edges, top.select("id", F.col("id").alias("value")), links=links)
     best = reached.union(top.select("id", F.col("id").alias("value"))).groupBy("id").agg(F.min("value").alias("top_id"))
     kinds = nodes.select(F.col("id").alias("top_id"), F.col("node_type").alias("top_type"))
     return best.join(kinds, "top_id").select("id", "top_id", "top_type")

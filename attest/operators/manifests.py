@@ -11,7 +11,7 @@ from attest.functions import vectors as V
 from attest.functions.canonical import canonical_row, digest
 from attest.functions.paths import is_unsafe_path
 from attest.functions.scale import with_row
-from attest.operators.merkle import leaf_hash, merkle_root
+from attest.operators.merkle import leaf_hash, merkle_root, single_tree
 from attest.schemas import as_findings
 
 
@@ -149,7 +149,7 @@ def table_digest(rows: DataFrame, columns: list[str] | None = None) -> DataFrame
     """
     counted = canonical_digest(rows, columns, "_d").groupBy("_d").agg(F.count(F.lit(1)).alias("copies"))
     leaves = dense_positions(counted, "_d").select(
-        F.lit("table").alias("tree"), "idx",
+        single_tree("table", F.col("_d")).alias("tree"), "idx",
         leaf_hash(F.concat("_d", F.lit(":"), F.col("copies").cast("string"))).alias("hash"),
     )
     total = rows.agg(F.count(F.lit(1)).alias("total_rows"))

@@ -19,6 +19,15 @@ def leaf_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def single_tree(name: str, hash: Column) -> Column:
+    """Tree id of a table that is one tree.
+
+    Derived from a column, since the optimizer folds a constant join key away and
+    would leave a join without keys.
+    """
+    return F.concat(F.lit(name), F.substring(hash, 1, 0))
+
+
 def _parent(left: Column, right: Column) -> Column:
     return F.sha2(F.concat(F.unhex(left), F.unhex(right)), 256)
 
@@ -37,25 +46,30 @@ def _depth(n: Column) -> Column:
     return F.when(n <= 1, F.lit(0)).otherwise(F.length(F.bin(n - 1)))
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
-    """Blocks of neighbouring nodes: ``(tree, n, chunk, hashes)``, at most 2^LEVELS each."""
-    return nodes.groupBy("tree", "n", F.floor(F.col("idx") / (1 << LEVELS)).alias("chunk")).agg(
+def _blocks(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Blocks of neighbouring nodes: ``(tree, chunk, hashes, n)``, at most 2^LEVELS each.
+
+    The size of the tree is joined to blocks, not to single nodes.
+    """
+    packed = nodes.groupBy("tree", F.floor(F.col("idx") / (1 << LEVELS)).alias("chunk")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("idx", "hash"))), lambda s: s["hash"]).alias("hashes")
     )
+    return packed.join(sizes, "tree")
 
 
-def _steps(leaves: DataFrame) -> int:
-    most = leaves.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    steps, size = 0, most
+def _shrink(sizes: DataFrame) -> DataFrame:
+    return sizes.select("tree", F.ceil(F.col("n") / (1 << LEVELS)).alias("n"))
+
+
+def _sizes(leaves: DataFrame) -> tuple[DataFrame, int]:
+    """Leaves per tree, and the number of shuffles the largest tree needs."""
+    sizes = settle(leaves.groupBy("tree").agg(F.count(F.lit(1)).alias("n")))
+    size = sizes.agg(F.max("n")).first()[0] or 0
+    steps = 0
     while size > 1:
         size = -(-size // (1 << LEVELS))
         steps += 1
-    return steps
-
-
-def _sized(leaves: DataFrame) -> DataFrame:
-    counts = leaves.groupBy("tree").agg(F.count(F.lit(1)).alias("n"))
-    return leaves.select("tree", "idx", "hash").join(counts, "tree")
+    return sizes, steps
 
 
 def merkle_root(leaves: DataFrame) -> DataFrame:
@@ -63,19 +77,17 @@ def merkle_root(leaves: DataFrame) -> DataFrame:
 
     Eight levels per shuffle: a billion leaves need four.
     """
-    steps = _steps(leaves)
-    nodes = _sized(leaves).withColumn("leaves", F.col("n"))
-    totals = nodes.groupBy("tree").agg(F.max("leaves").alias("leaves"))
-    current = nodes.drop("leaves")
+    totals, steps = _sizes(leaves)
+    current, sizes = leaves.select("tree", "idx", "hash"), totals
     for _ in range(steps):
         depth = F.least(F.lit(LEVELS), _depth(F.col("n")))
         rounds = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
         folded = F.aggregate(rounds, F.col("hashes"), lambda acc, _: _next_level(acc))
-        current = _blocks(current).select(
-            "tree", F.col("chunk").alias("idx"), F.get(folded, 0).alias("hash"),
-            F.ceil(F.col("n") / (1 << LEVELS)).alias("n"),
-        )
-    return current.select("tree", F.col("hash").alias("root")).join(totals, "tree")
+        current = _blocks(current, sizes).select("tree", F.col("chunk").alias("idx"), F.get(folded, 0).alias("hash"))
+        sizes = _shrink(sizes)
+    return current.select("tree", F.col("hash").alias("root")).join(
+        totals.withColumnRenamed("n", "leaves"), "tree"
+    )
 
 
 def merkle_roots_of(trees: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -92,9 +104,9 @@ def merkle_proof(leaves: DataFrame) -> DataFrame:
     A block yields the lower part of the proof of each of its nodes and one node
     for the next step; parts are joined on the block number.
     """
-    steps = _steps(leaves)
+    sizes, steps = _sizes(leaves)
     step_type = "array<struct<hash:string,position:string>>"
-    current = settle(_sized(leaves))
+    current = leaves.select("tree", "idx", "hash")
     proofs = current.select("tree", "idx", F.col("idx").alias("at"), F.col("hash").alias("leaf"),
                             F.array().cast(step_type).alias("proof"))
     for _ in range(steps):
@@ -104,7 +116,8 @@ def merkle_proof(leaves: DataFrame) -> DataFrame:
             rounds, F.array(F.col("hashes")),
             lambda acc, _: F.concat(acc, F.array(_next_level(F.element_at(acc, -1)))),
         )
-        blocks = settle(_blocks(current).withColumn("levels", levels))
+        blocks = settle(_blocks(current, sizes).withColumn("levels", levels))
+        sizes = _shrink(sizes)
 
         def sibling(level: Column, k: Column, place: Column) -> Column:
             at = F.floor(place / F.pow(F.lit(2), k)).cast("int")
@@ -126,8 +139,7 @@ def merkle_proof(leaves: DataFrame) -> DataFrame:
             F.concat("proof", F.col("part").cast(step_type)).alias("proof"),
         ))
         current = blocks.select(
-            "tree", F.col("chunk").alias("idx"), F.get(F.element_at("levels", -1), 0).alias("hash"),
-            F.ceil(F.col("n") / (1 << LEVELS)).alias("n"),
+            "tree", F.col("chunk").alias("idx"), F.get(F.element_at("levels", -1), 0).alias("hash")
         )
     return proofs.select("tree", "idx", "leaf", "proof")
 

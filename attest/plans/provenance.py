@@ -136,8 +136,9 @@ def merkle_root(spark, folder):
 
 def _one_tree(spark, folder):
     """All orders as one tree in key order; order keys are dense."""
+    leaf = M.leaf_hash(F.col("o_orderkey").cast("string"))
     return table(spark, folder, "orders").select(
-        F.lit("orders").alias("tree"), F.col("o_orderkey").alias("idx"), M.leaf_hash(F.col("o_orderkey").cast("string")).alias("hash"))
+        M.single_tree("orders", leaf).alias("tree"), F.col("o_orderkey").alias("idx"), leaf.alias("hash"))
 
 
 @query("merkle_root_single", """
