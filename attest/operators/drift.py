@@ -59,7 +59,8 @@ def kernel_sums(rows: DataFrame, side: str, vec: str, gamma: float, size: int =
     ))
     left = sized.select(F.col("rows").alias("a"), F.inline(left_keys))
     right = sized.select(F.col("rows").alias("b"), F.inline(right_keys))
-    tiles = left.join(right, ["pair", "i", "j"]).select("pair", "i", "j", "a", "b")
+    # Copies of blocks are invisible to the size estimate: never broadcast them.
+    tiles = left.hint("merge").join(right, ["pair", "i", "j"]).select("pair", "i", "j", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -91,7 +91,8 @@ def fingerprint_pairs(
     left = second_key(stored).withColumnRenamed("fp", "a")
     right = second_key(asked).withColumnRenamed("fp", "b")
     distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    found = left.join(right, ["band", "value", "sub", "sub_value"]).select("a", "b", distance.alias("distance"))
+    # Probing multiplies rows by a factor the size estimate does not see: never broadcast.
+    found = left.hint("merge").join(right, ["band", "value", "sub", "sub_value"]).select("a", "b", distance.alias("distance"))
     near = found.where((F.col("distance") <= threshold) & (F.col("a") != F.col("b")))
     return near.select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("distance").cast("int")
@@ -104,6 +105,12 @@ def _outside(fp: str, layout: list[tuple[int, int]]) -> Column:
     return F.col(fp).bitwiseAND(F.bitwise_not(F.element_at(masks, F.col("band") + 1)))
 
 
+def choose_bands(distinct: int, threshold: int) -> int:
+    """More flips per probe as the table grows: fewer candidates for more probe rows."""
+    radius = 0 if distinct <= 20_000 else 1 if distinct <= 5_000_000 else 2
+    return max(1, -(-(threshold + 1) // (radius + 1)))
+
+
 def hamming_near_duplicates(
     rows: DataFrame, ident: str, ord: str, fp: str, threshold: int = 6, bands: int | None = None
 ) -> DataFrame:
@@ -123,8 +130,7 @@ def hamming_near_duplicates(
         F.count(F.lit(1)).alias("match_rows"),
     )
     if bands is None:
-        few = groups.limit(200_001).count() <= 200_000
-        bands = threshold + 1 if few else max(1, min(threshold + 1, 3))
+        bands = choose_bands(groups.count(), threshold)
     near = fingerprint_pairs(groups, "fp", threshold, bands)
     linked = (
         near.select(F.col("a").alias("fp"), F.col("b").alias("other"), "distance")

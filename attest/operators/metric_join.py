@@ -171,7 +171,8 @@ def join_blocks(
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("base_blocks") - 1)))
         .drop("base_blocks")
     )
-    paired = asked.join(
+    # Copies of probe blocks are invisible to the size estimate: never broadcast them.
+    paired = asked.hint("merge").join(
         stored.select("cell", "block", F.col("rows").alias("base")), ["cell", "block"]
     ).select("probe", "base")
 
