@@ -57,20 +57,20 @@ def coco_violations(spark, folder):
 
 
 @query("read_coco", """
-SELECT 'annotations' AS part, count(*) AS rows FROM lineitem WHERE l_orderkey % 40 = 1
-UNION ALL SELECT 'images', count(*) FROM orders WHERE o_orderkey % 40 = 1
-UNION ALL SELECT 'documents', count(DISTINCT o_custkey % 8) FROM orders WHERE o_orderkey % 40 = 1
-UNION ALL SELECT 'categories', count(DISTINCT o_custkey % 8) * 2 FROM orders WHERE o_orderkey % 40 = 1""".replace(" WHERE l_orderkey % 40 = 1", "").replace(" WHERE o_orderkey % 40 = 1", ""))
+SELECT 'annotations' AS part, count(*) AS rows FROM lineitem
+UNION ALL SELECT 'images', count(*) FROM orders
+UNION ALL SELECT 'documents', count(DISTINCT o_orderkey // 1000) FROM orders
+UNION ALL SELECT 'categories', count(DISTINCT o_orderkey // 1000) * 2 FROM orders""")
 def read_coco(spark, folder):
-    """Writes eight annotation documents derived from all orders, then reads them back."""
+    """Writes one annotation document per thousand order keys, then reads them all back."""
     orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
-    shard = (F.col("o_custkey") % 8).alias("shard")
+    shard = F.floor(F.col("o_orderkey") / 1000).alias("shard")
     images = orders.select(shard, _text("o_orderkey").alias("id"), F.concat(_text("o_orderkey"), F.lit(".jpg")).alias("file_name"))
     owner = orders.select(shard, F.col("o_orderkey").alias("l_orderkey"))
     notes = lines.join(owner, "l_orderkey").select(
         "shard", F.concat_ws("-", _text("l_orderkey"), _text("l_linenumber")).alias("id"), _text("l_orderkey").alias("image_id"),
         (F.col("l_partkey") % 2).cast("string").alias("category_id"), F.array(*[F.col("l_quantity")] * 4).alias("bbox"))
-    # A COCO document is one JSON object by format; the writer of the fixture builds eight of them.
+    # A COCO document is one JSON object by format; a thousand orders bound its size.
     pack = lambda df, name: df.groupBy("shard").agg(F.collect_list(F.struct(*[c for c in df.columns if c != "shard"])).alias(name))
     docs = pack(images, "images").join(pack(notes, "annotations"), "shard", "left").select(
         "shard", F.lit("batch-1").alias("batch_id"), "images", F.coalesce("annotations", F.array()).alias("annotations"),
@@ -129,9 +129,9 @@ def read_yolo(spark, folder):
     """Writes label text derived from all lines in label-file form and reads it back."""
     lines = table(spark, folder, "lineitem")
     row = F.concat_ws(" ", (F.col("l_partkey") % 3).cast("string"), F.lit("0.5 0.5 0.25 0.25"))
-    # One file per shard of orders: a label file per order would be 15,000 files here.
+    # One file per thousand order keys keeps files bounded; a file per order would be needlessly many.
     path = scratch(spark, "yolo")
-    lines.select((F.col("l_orderkey") % 16).alias("shard"), F.concat(_text("l_orderkey"), F.lit(" "), row).alias("value")) \
+    lines.select(F.floor(F.col("l_orderkey") / 1000).alias("shard"), F.concat(_text("l_orderkey"), F.lit(" "), row).alias("value")) \
         .repartition("shard").write.partitionBy("shard").text(f"{path}/labels")
     spark.createDataFrame([("cat\ndog\nbird",)], "value string").coalesce(1).write.text(f"{path}/classes.txt")
     spark.createDataFrame([("x",)], "value string").coalesce(1).write.text(f"{path}/images")
