@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attest.functions.vectors import linspace
@@ -14,7 +15,10 @@ from attest.streaming import freshness as S
 from attest.streaming import windows as W
 
 _DAY = "epoch_us(date_trunc('day', ts)) // 1000000"
-_SECONDS = F.unix_timestamp(F.col("window_start").cast("timestamp"))
+
+
+def _in_seconds(df: DataFrame) -> DataFrame:
+    return df.withColumn("window_start", F.unix_timestamp(F.col("window_start").cast("timestamp")))
 
 
 def _events(spark, folder):
@@ -33,7 +37,7 @@ def stream_anomaly_rate(spark, folder):
     events = _events(spark, folder).withColumn("contributor", F.col("user_id") % 20)
     rates = W.stream_anomaly_rate(events, "ts", "contributor", F.col("value") > 20)
     place = scratch(spark, "rates")
-    W.run_to_files(rates.withColumn("window_start", _SECONDS), place)
+    W.run_to_files(_in_seconds(rates), place)
     out = W.latest_rows(spark, place, "window_start bigint, contributor_id bigint, samples bigint, anomalies bigint, anomaly_rate double",
                         ["window_start", "contributor_id"])
     return out.withColumn("anomaly_rate", r("anomaly_rate"))
@@ -45,7 +49,7 @@ SELECT CAST(epoch_us(date_trunc('day', ts)) // 1000000 - d * 86400 AS BIGINT) AS
 def stream_sliding_rate(spark, folder):
     rates = W.stream_anomaly_rate(_events(spark, folder), "ts", "event_type", F.col("value") > 20, "2 days", "1 day")
     place = scratch(spark, "sliding")
-    W.run_to_files(rates.withColumn("window_start", _SECONDS), place)
+    W.run_to_files(_in_seconds(rates), place)
     return W.latest_rows(spark, place, "window_start bigint, contributor_id string, samples bigint, anomalies bigint",
                          ["window_start", "contributor_id"])
 
@@ -65,7 +69,7 @@ def stream_marginal_kl(spark, folder):
     edges = linspace(0.0, 50.0, _BINS)
     counts = W.stream_histogram(_events(spark, folder), "ts", "value", edges)
     place = scratch(spark, "histogram")
-    W.run_to_files(counts.withColumn("window_start", _SECONDS), place)
+    W.run_to_files(_in_seconds(counts), place)
     latest = W.latest_rows(spark, place, "window_start bigint, bin int, n bigint", ["window_start", "bin"])
     reference = latest.groupBy("bin").agg(F.sum("n").alias("n"))
     return W.window_kl(latest, reference, _BINS).select("window_start", r("kl").alias("kl"))
