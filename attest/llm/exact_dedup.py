@@ -18,6 +18,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -34,6 +35,8 @@ from attest.session import settle
 
 TASK_BYTES = 24 << 20  # content held by one input task before it writes its groups
 BUCKET_BYTES = 48 << 20  # distinct content a bucket may hold
+TASK_ROWS_BYTES = 128 << 20  # group rows sent to one task, on average
+ROWS = 100_000  # group rows of a bucket, on average at most
 _NO_ID = -(1 << 63)
 
 
@@ -133,7 +136,8 @@ def spill(docs: DataFrame, key: str, text: str, payload: list[str], task_bytes:
     """Step 1: group rows and member rows, written to the shared folder."""
     base = docs.select(F.col(f"`{key}`").cast("bigint").alias("_k"), F.col(f"`{text}`").alias("_t"),
                        *[F.col(f"`{c}`").alias(f"p{i}") for i, c in enumerate(payload)])
-    run, schema = _collapse(list(base.schema.fields[2:]), task_bytes)
+    fields = [T.StructField(f.name, f.dataType, True) for f in base.schema.fields[2:]]
+    run, schema = _collapse(fields, task_bytes)
     return settle(base.mapInArrow(run, schema))
 
 
@@ -195,20 +199,23 @@ def _merge_bucket(groups: DataFrame, n_partitions: int, rows_too: list[T.StructF
 
 
 def merge(spilled: DataFrame, rows_too: list[T.StructField] | None = None, bucket_bytes: int = BUCKET_BYTES,
-          max_levels: int = 16) -> DataFrame:
-    """Steps 2 and 3. Buckets over the bound go to new spill files and the next hash."""
+          load: float = 2.0, max_levels: int = 64) -> DataFrame:
+    """Steps 2 and 3. Buckets over the bound go to new spill files and the next hash.
+
+    Buckets are 1 / load full on average; at the default, chance alone seldom overfills one.
+    """
     pending = spilled.where("is_group")
     done = []
     for level in range(max_levels):
         total = pending.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-        # Half full on average, so that chance alone seldom overfills a bucket.
-        fan = max(1, -(-2 * (total[0] + 200 * total[1]) // bucket_bytes))
+        fan = max(2, math.ceil(load * total[0] / bucket_bytes), total[1] // ROWS)
         dealt = pending.withColumn("bucket", _bucket(level, fan))
         per_text = dealt.groupBy("bucket", "h").agg(F.max("size").alias("size"))
         held = per_text.groupBy("bucket").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("texts"))
         # A single text is held once however often it comes, so it always fits.
         over = held.where((F.col("bytes") > bucket_bytes) & (F.col("texts") > 1)).select("bucket")
-        width = max(fan, int(spilled.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        # Buckets pass one after the other, so a task may take several.
+        width = max(total[0] // TASK_ROWS_BYTES, int(spilled.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         if over.isEmpty():
             done.append(_merge_bucket(dealt, width, rows_too))
             break
@@ -221,10 +228,10 @@ def merge(spilled: DataFrame, rows_too: list[T.StructField] | None = None, bucke
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", task_bytes: int = TASK_BYTES,
-          bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+          bucket_bytes: int = BUCKET_BYTES, load: float = 2.0) -> DataFrame:
     """One row per document: (key, keep_id, group_size, kept, text_sha256)."""
     spilled = spill(only(docs, **{key: key, text: text}), key, text, [], task_bytes)
-    finals = merge(spilled, None, bucket_bytes)
+    finals = merge(spilled, None, bucket_bytes, load)
     members = spilled.where("not is_group").select("gid", "id", "row")
     return members.join(finals, "gid").select(
         F.col("id").alias(key), "keep_id", F.col("n").alias("group_size"),
@@ -232,12 +239,12 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", task_bytes:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", task_bytes: int = TASK_BYTES,
-             bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+             bucket_bytes: int = BUCKET_BYTES, load: float = 2.0) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; null texts come back empty."""
     payload = [c for c in docs.columns if c not in (key, text)]
     spilled = spill(docs, key, text, payload, task_bytes)
     fields = [f for f in spilled.schema.fields if f.name.startswith("p") and f.name[1:].isdigit()]
-    kept = merge(spilled, fields, bucket_bytes)
+    kept = merge(spilled, fields, bucket_bytes, load)
     back = {key: F.col("id"), text: F.col("text")} | {c: F.col(f"p{i}") for i, c in enumerate(payload)}
     return kept.select(*[back[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 

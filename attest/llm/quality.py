@@ -32,6 +32,8 @@ from attest.session import settle
 # At most this many labelled rows fit the model; the smallest hashes of doc_id are taken.
 MAX_FIT = 20_000
 THRESHOLD = 0.5
+# Pseudo-labels of a prior: at least, and where the groups say nothing.
+MIN_STRENGTH, DEFAULT_STRENGTH = 3.0, 10.0
 FEATURES = ("upper", "digit", "mark", "rare_mark", "beyond_ascii", "space", "newline", "word_length", "log_words",
             "variety", "repeated_lines", "longest_word")
 _UPPER, _DIGIT, _SPACE = range(0x41, 0x5B), range(0x30, 0x3A), b" \t\n\r\x0b\x0c"
@@ -125,34 +127,38 @@ def with_evidence(docs: DataFrame, model: Evidence | None, text: str, out: str =
     return docs.mapInArrow(run, f"{fields}, `{out}` {kind}")
 
 
-def _strength(n: float, k2n: float, groups: float, mean: float, n2: float) -> float:
-    """Prior strength (pseudo-labels) by moments from sums over groups: n rows, sum of k*k/n, sum of n*n."""
-    spread = mean * (1 - mean)
-    if groups < 2 or spread <= 0 or n <= groups:
-        return 10.0
-    between = k2n - n * mean * mean
-    tau = (between - (groups - 1) * spread) / max(1e-9, n - n2 / n)
-    share = min(0.95, max(tau / spread, 1e-3))
-    return (1 - share) / share
+def _strength(found: float | None, expected: float | None, room: float | None, spread: float | None) -> float:
+    """Pseudo-labels of a prior: what the groups' rates vary beyond chance, against a label's own variance.
+
+    found, expected: sum of n * (rate - prior rate)^2 as it is and by chance alone; room: its
+    growth per unit of variance between groups; spread: variance of one label.
+    """
+    if not room or not spread or room <= 0 or spread <= 0:
+        return DEFAULT_STRENGTH
+    share = max((found - expected) / room / spread, 1e-3)
+    return max(MIN_STRENGTH, (1 - min(share, 1.0)) / share)
 
 
 def site_rates(labelled: DataFrame) -> tuple[DataFrame, float]:
     """(host, path, host_rate, path_rate) of labelled(host, path, good), and the global rate."""
-    def moments(groups: DataFrame) -> tuple:
-        return groups.agg(F.sum("n"), F.sum(F.col("k") * F.col("k") / F.col("n")), F.count(F.lit(1)), F.sum("k"),
-                          F.sum(F.col("n") * F.col("n"))).first()
-
     paths = settle(labelled.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("k")))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    n, host_k2n, n_hosts, k, host_n2 = moments(hosts)
-    mean = (k + 1) / (n + 2) if n else 0.5
-    _, path_k2n, n_paths, _, path_n2 = moments(paths)
-    over_host = _strength(n or 0, host_k2n or 0, n_hosts, mean, host_n2 or 0)
-    over_path = max(over_host, _strength(n or 0, path_k2n or 0, n_paths, mean, path_n2 or 0))
-    host_rate = (F.col("k") + over_host * mean) / (F.col("n") + over_host)
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("k").alias("hk"), F.count(F.lit(1)).alias("paths"),
+                                      F.sum(F.col("n") * F.col("n")).alias("n2"))
+    n, k = hosts.agg(F.coalesce(F.sum("hn"), F.lit(0)), F.coalesce(F.sum("hk"), F.lit(0))).first()
+    mean = (k + 1) / (n + 2)
+    rate = F.col("hk") / F.col("hn")
+    found, groups, n2 = hosts.agg(F.sum(F.col("hn") * (rate - mean) ** 2), F.count(F.lit(1)), F.sum(F.col("hn") * F.col("hn"))).first()
+    over_host = _strength(found, (groups - 1) * mean * (1 - mean), n - n2 / n if n else 0, mean * (1 - mean))
+    by_path = paths.join(hosts.withColumnRenamed("host", "_h"), F.col("host").eqNullSafe(F.col("_h")))
+    own, chance, room, spread = by_path.agg(
+        F.sum(F.col("n") * (F.col("k") / F.col("n") - rate) ** 2),
+        F.sum((F.col("paths") - 1) * rate * (1 - rate) / F.col("paths")),
+        F.sum(F.col("n") - F.col("n2") / F.col("hn") * F.col("n") / F.col("hn")),
+        F.sum(F.col("n") * rate * (1 - rate)) / F.sum("n")).first()
+    over_path = _strength(own, chance, room, spread)
+    host_rate = (F.col("hk") + over_host * mean) / (F.col("hn") + over_host)
     path_rate = (F.col("k") + over_path * F.col("host_rate")) / (F.col("n") + over_path)
-    rates = paths.join(hosts.select(F.col("host").alias("_h"), host_rate.alias("host_rate")),
-                       F.col("host").eqNullSafe(F.col("_h")))
+    rates = by_path.withColumn("host_rate", host_rate)
     return rates.select("host", "path", "host_rate", path_rate.alias("path_rate")), mean
 
 
