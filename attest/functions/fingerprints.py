@@ -11,17 +11,22 @@ BITS = 63
 
 
 def vector_fingerprint(vec: Column) -> Column:
-    """Bit i tells whether coordinate i + 1 exceeds coordinate i: 63 fixed hyperplanes.
+    """Sides of 63 fixed hyperplanes that together use every coordinate.
 
-    Needs at least 64 coordinates; longer vectors use the first 64 differences only
-    when the caller folds them beforehand.
+    With the differences d[j] = vec[j + 1] - vec[j], bit i tells whether the sum of d[i],
+    d[i + 63], d[i + 126] ... is positive. Fewer than 64 coordinates are an error.
     """
-    bits = F.transform(
-        F.sequence(F.lit(0), F.lit(BITS - 1)),
-        lambda i: F.when(F.get(vec, i + 1) > F.get(vec, i), F.call_function("shiftleft", F.lit(1).cast("bigint"), i))
-        .otherwise(F.lit(0).cast("bigint")),
-    )
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+    steps = F.zip_with(F.slice(vec, 2, F.size(vec) - 1), F.slice(vec, 1, F.size(vec) - 1), lambda b, a: b - a)
+    short = F.raise_error(F.lit("vector_fingerprint needs at least 64 coordinates")).cast("bigint")
+
+    def side(i: Column) -> Column:
+        own = F.transform(F.sequence(i, F.size(steps) - 1, F.lit(BITS)), lambda j: F.get(steps, j))
+        total = F.aggregate(own, F.lit(0.0), lambda a, b: a + b)
+        return F.when(total > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
+
+    bits = F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), side)
+    fp = F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+    return F.when(vec.isNull(), F.lit(None)).when(F.size(vec) <= BITS, short).otherwise(fp)
 
 
 def text_fingerprints(rows: DataFrame, ident: str, text: str) -> DataFrame:

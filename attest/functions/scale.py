@@ -7,12 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key with more rows than this is spread over SALTS tasks by ``salted_join``.
+# A key with more rows than this is spread by ``salted_join``, over one task for each such lot.
 HOT_ROWS = 200_000
-# At most this many keys are treated as hot, so the hot-key table that is
-# broadcast has a fixed bound; every other key holds < total / MAX_HOT_KEYS rows.
-MAX_HOT_KEYS = 1_000
-SALTS = 32
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -20,99 +16,70 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The (bounded) list of keys that hold more than ``hot_rows`` rows."""
+    """Every key with more than ``hot_rows`` rows, and the number of salts its rows ask for."""
     return (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.lit(True).alias("_hot"))
+        .select(*keys, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_salts"))
     )
 
 
-def salted_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: list[str],
-    how: str = "inner",
-    hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Equi-join in which hot keys of ``left`` are spread over ``salts`` tasks.
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
+                hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Equi-join in which a hot key of ``left`` is spread over as many tasks as it has lots of rows.
 
-    Only right rows of hot keys are copied (``salts`` times each), so the extra
-    volume is small. ``how`` may be inner or left. Exact: every left row meets
-    each matching right row once.
+    Only right rows of hot keys are copied (once per salt), so the extra volume is small.
+    ``how`` may be inner or left. Exact: every left row meets each matching right row once.
     """
-    hot = F.broadcast(hot_keys(left, keys, hot_rows))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
-    salted_left = left.join(hot, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))
-    ).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = right.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    hot = hot_keys(left, keys, hot_rows)
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.coalesce("_salts", F.lit(1))).cast("int")
+    salted_left = left.join(hot, keys, "left").withColumn("_salt", spread).drop("_salts")
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    salted_right = right.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
+# Distances of the cut points from a percentile: thin ranges next to it, wide ones farther off.
+_NEAR = (2e-4, 2e-3, 2e-2, 0.2)
+
+
 def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, float]) -> DataFrame:
     """Exact interpolated percentiles per key: one row per key, one column per name.
 
-    Pass 1 brackets each percentile with an approximate sketch (its rank error is
-    far inside the bracket); pass 2 counts distinct values inside the brackets and
-    lumps the rest, so a window sees a thin slice of a hot key, never all its rows.
+    Cut points from an approximate sketch split each key's values into ranges, thin ones
+    around the percentiles. Range totals, counted exactly, tell which ranges hold the
+    wanted ranks; only those are sorted, value by value. The sketch decides how thin they
+    are, never the result, and the path is the same for every size.
     """
-    accuracy, slack = 20_000, 2e-4
     source = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias(value))
-    probes = sorted({min(1.0, max(0.0, q + s)) for q in ranks.values() for s in (-slack, slack)})
+    probes = sorted({min(1.0, max(0.0, q + side * s)) for q in ranks.values() for s in _NEAR for side in (-1, 1)})
     grouped = source.groupBy(*keys) if keys else source.groupBy()
-    stats = grouped.agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx(value, probes, accuracy).alias("_cut"),
-    )
-    index = {p: i for i, p in enumerate(probes)}
-
-    joined = _attach(source, stats, keys)
-    low = {n: F.col("_cut")[index[max(0.0, q - slack)]] for n, q in ranks.items()}
-    high = {n: F.col("_cut")[index[min(1.0, q + slack)]] for n, q in ranks.items()}
-    # Small groups are counted value by value: sketch ranks are too coarse there.
-    inside = reduce(
-        lambda a, b: a | b,
-        [F.col(value).between(low[n], high[n]) for n in ranks],
-        F.col("_n") <= F.lit(accuracy),
-    )
-    # Values outside every bracket collapse onto the largest bracket edge below them.
-    edges = F.concat(F.array(F.lit(float("-inf"))), F.col("_cut"))
-    lump = F.array_max(F.filter(edges, lambda e: e < F.col(value)))
-    counted = joined.select(
-        *keys,
-        "_n",
-        F.when(inside, F.col(value)).otherwise(lump).cast("double").alias("_v"),
-        inside.alias("_in"),
-    ).groupBy(*keys, "_n", "_v", "_in").agg(F.count(F.lit(1)).alias("_c"))
-    running = Window.partitionBy(*keys, "_n").orderBy("_v", F.desc("_in"))
-    placed = counted.withColumn("_hi", F.sum("_c").over(running.rowsBetween(Window.unboundedPreceding, 0)))
-    placed = placed.withColumn("_lo", F.col("_hi") - F.col("_c"))
-
-    aggs = []
-    for name, q in ranks.items():
-        position = F.lit(q) * (F.col("_n") - 1)
-        below, above = F.floor(position), F.ceil(position)
-        covers = lambda r: (F.col("_lo") <= r) & (r < F.col("_hi"))
-        aggs += [
-            F.max(F.when(covers(below), F.col("_v"))).alias(f"_b_{name}"),
-            F.max(F.when(covers(above), F.col("_v"))).alias(f"_a_{name}"),
-            F.max(position - below).alias(f"_f_{name}"),
-        ]
-    final = placed.groupBy(*keys, "_n").agg(*aggs)
-    return final.select(
-        *keys,
-        F.col("_n").alias("n"),
-        *[
-            (F.col(f"_b_{n}") + (F.col(f"_a_{n}") - F.col(f"_b_{n}")) * F.col(f"_f_{n}")).alias(n)
-            for n in ranks
-        ],
+    stats = grouped.agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(value, probes, 20_000).alias("_cut"))
+    ranged = _attach(source, stats, keys).withColumn("_range", F.size(F.filter("_cut", lambda e: e < F.col(value))))
+
+    totals = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
+    # At most one row per cut point and key.
+    lower = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = totals.withColumn("_start", F.coalesce(F.sum("_c").over(lower), F.lit(0)))
+    position = {name: F.lit(q) * (F.col("_n") - 1) for name, q in ranks.items()}
+    wanted = [end(p) for p in position.values() for end in (F.floor, F.ceil)]
+    holds = reduce(lambda a, b: a | b, [(F.col("_start") <= w) & (w < F.col("_start") + F.col("_c")) for w in wanted])
+    needed = placed.where(holds).select(*keys, "_range", "_start")
+
+    counted = ranged.join(needed, [*keys, "_range"]).groupBy(*keys, "_range", "_start", "_n", F.col(value).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c"))
+    running = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    counted = counted.withColumn("_hi", F.col("_start") + F.sum("_c").over(running)).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    at = lambda r: F.max(F.when((F.col("_lo") <= r) & (r < F.col("_hi")), F.col("_v")))
+    picked = counted.groupBy(*keys).agg(
+        F.max("_n").alias("n"),
+        *[at(F.floor(p)).alias(f"_b_{name}") for name, p in position.items()],
+        *[at(F.ceil(p)).alias(f"_a_{name}") for name, p in position.items()],
     )
+    share = {name: F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1)) for name, q in ranks.items()}
+    return picked.select(*keys, "n", *[
+        (F.col(f"_b_{name}") + (F.col(f"_a_{name}") - F.col(f"_b_{name}")) * share[name]).alias(name) for name in ranks])
 
 
 def with_row(rows: DataFrame, one: DataFrame) -> DataFrame:

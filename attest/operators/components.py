@@ -33,20 +33,17 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(u, v)`` of comparable ids -> ``(node, root)`` with root = smallest id.
 
     Nodes without an edge are not listed; they are their own component.
     """
     current = settle(edges.select("u", "v").where("u <> v").distinct())
     mark = _fingerprint(current)
-    for _ in range(max_rounds):
+    seen = None
+    while mark != seen:
         current = settle(_small_star(_large_star(current)))
         seen, mark = mark, _fingerprint(current)
-        if mark == seen:
-            break
-    else:
-        raise RuntimeError("components did not settle")
     stars = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return stars.union(roots)

@@ -10,6 +10,9 @@ from attest.operators.evidence import family_of
 from attest.schemas import counts_as_anomaly
 from attest.session import settle
 
+# Severities are added as decimals: the sum does not depend on the order of rows.
+EXACT = "decimal(18,12)"
+
 
 def sample_anomalies(findings: DataFrame) -> DataFrame:
     """Per sample: ``(asset_id, severity, convergence)`` over its counting findings."""
@@ -36,7 +39,7 @@ def batch_rates(findings: DataFrame, samples: DataFrame, batch_order: DataFrame)
     return joined.groupBy("contributor_id", "batch_id").agg(
         F.count(F.lit(1)).alias("sample_count"),
         F.count("severity").alias("anomaly_count"),
-        F.coalesce(F.sum("severity"), F.lit(0.0)).alias("severity_sum"),
+        F.coalesce(F.sum(F.col("severity").cast(EXACT)), F.lit(0)).alias("severity_sum"),
         F.coalesce(F.sum("convergence"), F.lit(0)).alias("convergence_sum"),
         F.coalesce(F.max("convergence"), F.lit(0)).alias("convergence_count"),
     ).join(batch_order, "batch_id").withColumn(
@@ -81,7 +84,7 @@ def contributor_risk(batches: DataFrame, window: int = 2, drift_threshold: float
     ).select(
         "contributor_id", "samples", "anomalies", "change_batch",
         rate("anomalies", "samples").alias("prevalence"),
-        rate("severity_sum", "anomalies").alias("severity"),
+        F.coalesce(F.try_divide(F.col("severity_sum").cast("double"), F.col("anomalies")), F.lit(0.0)).alias("severity"),
         rate("convergence_sum", "anomalies").alias("convergence_count"),
         rate("peak", "anomalies").alias("batch_concentration"),
         F.coalesce("jump", F.lit(0.0)).alias("temporal_change"),

@@ -12,13 +12,13 @@ from attest.plans.roles import role, with_roles
 
 
 def _logits(spark, folder):
-    """Vectors as ten-class logits of a model per label group."""
+    """Whole vectors as the logits of a model per label group."""
     return role(spark, folder, "samples").select(
-        "ord", F.concat(F.lit("m"), (F.col("label") % 4).cast("string")).alias("model"), F.slice("vec", 1, 10).alias("logits"))
+        "ord", F.concat(F.lit("m"), (F.col("label") % 4).cast("string")).alias("model"), F.col("vec").alias("logits"))
 
 
 @query("reference_battery", with_roles("samples", body="""
-+ l AS (SELECT ord, 'm' || TEXT(label % 4) AS model, unnest(range(1, 11)) AS pos, vec FROM samples),
++ l AS (SELECT ord, 'm' || TEXT(label % 4) AS model, unnest(range(1, len(vec) + 1)) AS pos, vec FROM samples),
 f AS (SELECT model, pos, ord, vec[pos] AS v FROM l),
 b AS (SELECT model, pos, avg(v) AS m, stddev_pop(v) AS s FROM f WHERE ord % 3 = 0 GROUP BY ALL),
 c AS (SELECT model, pos, avg(v + CASE WHEN model = 'm2' THEN 0.3 ELSE 0 END) AS m, stddev_pop(v) AS s FROM f WHERE ord % 3 > 0 GROUP BY ALL)
@@ -56,7 +56,7 @@ def degraded_check(spark, folder):
 
 
 _FLIP_SQL = """
-+ a AS (SELECT ord, vec[1:10] AS l, list_concat([0::DOUBLE], vec[2:8], [0::DOUBLE, vec[10]]) AS z FROM samples)
++ a AS (SELECT ord, vec AS l, list_concat([0::DOUBLE], vec[2:8], [0::DOUBLE], vec[10:]) AS z FROM samples)
 SELECT ord, CAST(list_position(l, list_max(l)) - 1 AS BIGINT) AS before_class, CAST(list_position(z, list_max(z)) - 1 AS BIGINT) AS after_class,
   list_position(l, list_max(l)) = list_position(z, list_max(z)) AS persists, round(list_distance(l, z), 6) AS delta FROM a
 """

@@ -206,15 +206,11 @@ def explain_verdict(spark, folder):
     return E.explain_verdict(judged).select("ord", F.md5("explanation").alias("explanation_md5"))
 
 
-def _sampled(spark: SparkSession, folder: str) -> DataFrame:
-    return findings(spark, folder).where(F.col("provenance.detector_id").isin("ood", "duplicates"))
-
-
 @query("contributor_risk", with_roles("findings", "sample_meta", "batch_order", body=f"""
 + fam AS (SELECT asset_id, {SQL_FAMILY} AS family, max(severity) AS sev, count(DISTINCT modality) AS mods
-  FROM findings WHERE {SQL_COUNTS} AND detector_id IN ('ood', 'duplicates') GROUP BY ALL),
+  FROM findings WHERE {SQL_COUNTS} GROUP BY ALL),
 per AS (SELECT asset_id, max(sev) AS sev, max(mods) AS conv FROM fam GROUP BY asset_id),
-b AS (SELECT contributor_id, pos, count(*) AS n, count(sev) AS bad, coalesce(sum(sev), 0) AS ssum, coalesce(sum(conv), 0) AS csum
+b AS (SELECT contributor_id, pos, count(*) AS n, count(sev) AS bad, coalesce(sum(CAST(sev AS DECIMAL(18,12))), 0) AS ssum, coalesce(sum(conv), 0) AS csum
   FROM sample_meta LEFT JOIN per USING (asset_id) JOIN batch_order USING (batch_id)
   WHERE contributor_id IS NOT NULL GROUP BY ALL),
 w AS (SELECT *, bad / n AS rate,
@@ -223,7 +219,7 @@ w AS (SELECT *, bad / n AS rate,
          q AS (PARTITION BY contributor_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)),
 j AS (SELECT contributor_id, max(after_rate - before_rate) AS jump FROM w WHERE nb = 2 AND na = 2 GROUP BY contributor_id),
 t AS (SELECT contributor_id, sum(n) AS n, sum(bad) AS bad, sum(ssum) AS s, sum(csum) AS c, max(bad) AS peak FROM b GROUP BY contributor_id),
-m AS (SELECT t.contributor_id, n, bad, bad / n AS prevalence, coalesce(s / nullif(bad, 0), 0) AS severity,
+m AS (SELECT t.contributor_id, n, bad, bad / n AS prevalence, coalesce(CAST(s AS DOUBLE) / nullif(bad, 0), 0) AS severity,
   coalesce(c / nullif(bad, 0), 0) AS conv, coalesce(peak / nullif(bad, 0), 0) AS conc,
   CASE WHEN jump >= 0.15 THEN jump ELSE 0 END AS temporal FROM t LEFT JOIN j USING (contributor_id))
 SELECT contributor_id, CAST(n AS BIGINT) AS samples, CAST(bad AS BIGINT) AS anomalies, round(prevalence, 6) AS prevalence,
@@ -232,14 +228,14 @@ SELECT contributor_id, CAST(n AS BIGINT) AS samples, CAST(bad AS BIGINT) AS anom
   round(least(1, greatest(0, prevalence * (0.5 * severity + 0.2 * least(conv / 5, 1) + 0.15 * conc) + 0.15 * temporal)), 6) AS risk_score
 FROM m"""))
 def contributor_risk(spark, folder):
-    batches = C.batch_rates(_sampled(spark, folder), role(spark, folder, "sample_meta"), role(spark, folder, "batch_order"))
+    batches = C.batch_rates(findings(spark, folder), role(spark, folder, "sample_meta"), role(spark, folder, "batch_order"))
     risk = C.contributor_risk(batches)
     return risk.select("contributor_id", "samples", "anomalies", *[
         r(c).alias(c) for c in ("prevalence", "severity", "convergence_count", "batch_concentration", "temporal_change", "risk_score")])
 
 
 @query("temporal_change_point", with_roles("findings", "sample_meta", "batch_order", body=f"""
-+ bad AS (SELECT DISTINCT asset_id FROM findings WHERE {SQL_COUNTS} AND detector_id IN ('ood', 'duplicates')),
++ bad AS (SELECT DISTINCT asset_id FROM findings WHERE {SQL_COUNTS}),
 b AS (SELECT contributor_id, batch_id, pos, count(bad.asset_id) / count(*) AS rate
   FROM sample_meta LEFT JOIN bad USING (asset_id) JOIN batch_order USING (batch_id) WHERE contributor_id IS NOT NULL GROUP BY ALL),
 w AS (SELECT *, avg(rate) OVER p AS before_rate, count(*) OVER p AS nb, avg(rate) OVER q AS after_rate, count(*) OVER q AS na FROM b
@@ -247,10 +243,10 @@ w AS (SELECT *, avg(rate) OVER p AS before_rate, count(*) OVER p AS nb, avg(rate
          q AS (PARTITION BY contributor_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)),
 k AS (SELECT *, row_number() OVER (PARTITION BY contributor_id ORDER BY after_rate - before_rate DESC, pos) AS rn FROM w WHERE nb = 2 AND na = 2)
 SELECT contributor_id, batch_id, round(before_rate, 6) AS before_rate, round(after_rate, 6) AS after_rate
-FROM k WHERE rn = 1 AND after_rate - before_rate >= 0.1"""))
+FROM k WHERE rn = 1 AND after_rate - before_rate >= 0.01"""))
 def temporal_change_point(spark, folder):
-    batches = C.batch_rates(_sampled(spark, folder), role(spark, folder, "sample_meta"), role(spark, folder, "batch_order"))
-    points = C.temporal_change_points(batches, drift_threshold=0.1)
+    batches = C.batch_rates(findings(spark, folder), role(spark, folder, "sample_meta"), role(spark, folder, "batch_order"))
+    points = C.temporal_change_points(batches, drift_threshold=0.01)
     return points.select("contributor_id", "batch_id", r("before_rate").alias("before_rate"), r("after_rate").alias("after_rate"))
 
 
@@ -279,13 +275,13 @@ def semi_anti_sets(spark, folder):
 
 
 @query("contributor_heatmap", with_roles("findings", "sample_meta", "batch_order", body=f"""
-+ bad AS (SELECT DISTINCT asset_id FROM findings WHERE {SQL_COUNTS} AND detector_id IN ('ood', 'duplicates')),
++ bad AS (SELECT DISTINCT asset_id FROM findings WHERE {SQL_COUNTS}),
 b AS (SELECT contributor_id, batch_id, pos, round(count(bad.asset_id) / count(*), 6) AS rate
   FROM sample_meta LEFT JOIN bad USING (asset_id) JOIN batch_order USING (batch_id) WHERE contributor_id IS NOT NULL GROUP BY ALL)
 SELECT contributor_id, string_agg(batch_id || '=' || printf('%.4f', rate), ' ' ORDER BY pos) AS series FROM b GROUP BY contributor_id"""))
 def contributor_heatmap(spark, folder):
     declared = role(spark, folder, "batch_order").select(F.lit("all").alias("asset_id"), "pos", "batch_id")
-    batches = C.batch_rates(_sampled(spark, folder), role(spark, folder, "sample_meta"), C.merged_batch_order(declared))
+    batches = C.batch_rates(findings(spark, folder), role(spark, folder, "sample_meta"), C.merged_batch_order(declared))
     series = C.batch_series(batches)
     cells = F.transform("series", lambda s: F.concat(s["batch_id"], F.lit("="), F.format_string("%.4f", F.round(s["anomaly_rate"], 6))))
     return series.select("contributor_id", F.array_join(cells, " ").alias("series"))

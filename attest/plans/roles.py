@@ -19,7 +19,10 @@ _MACROS = {
     "SHA": ("sha2({0}, 256)", "sha256({0})"),
     "TEXT": ("CAST({0} AS STRING)", "CAST({0} AS VARCHAR)"),
     "ITEM": ("{0}[{1} - 1]", "{0}[{1}]"),
-    "HEAD": ("slice({0}, 1, {1})", "{0}[1:{1}]"),
+    "EVERY": (
+        "aggregate(filter({0}, (x, i) -> i % 2 = {1} - 1), CAST(0 AS DOUBLE), (s, x) -> s + x)",
+        "list_sum(({0})[{1}:len({0}):2])",
+    ),
     "BUMP": (
         "transform({0}, (x, i) -> CASE WHEN i = 0 THEN x + CAST({1} AS DOUBLE) ELSE x END)",
         "list_concat([{0}[1] + CAST({1} AS DOUBLE)], {0}[2:])",
@@ -71,8 +74,9 @@ ROLES["samples"] = """
 SELECT CAST(vec_id AS BIGINT) AS ord, 'v' || TEXT(vec_id) AS sample_id, DARR(embedding) AS vec,
        CAST(label AS INT) AS label FROM {embeddings}"""
 
+# Two fixed projections of the whole vector: its odd and its even coordinates, added up.
 ROLES["samples_2d"] = """
-SELECT CAST(vec_id AS BIGINT) AS ord, 'v' || TEXT(vec_id) AS sample_id, HEAD(DARR(embedding), 2) AS vec,
+SELECT CAST(vec_id AS BIGINT) AS ord, 'v' || TEXT(vec_id) AS sample_id, ARR(EVERY(DARR(embedding), 1), EVERY(DARR(embedding), 2)) AS vec,
        CAST(label AS INT) AS label FROM {embeddings}"""
 
 # Embeddings with planted relatives: a nudged copy, a second nudge and a scaled copy.

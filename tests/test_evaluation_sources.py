@@ -99,7 +99,7 @@ def test_prefix_totals_and_salted_join(spark):
     right = spark.createDataFrame([(0, "a"), (1, "b")], "k bigint, w string")
     for how in ("inner", "left"):
         want = rows_of(left.join(right, "k", how).na.fill("-"), "k", "v", "w")
-        assert rows_of(salted_join(left, right, ["k"], how, hot_rows=10, salts=4).na.fill("-"), "k", "v", "w") == want
+        assert rows_of(salted_join(left, right, ["k"], how, hot_rows=10).na.fill("-"), "k", "v", "w") == want
 
 
 def test_canonical_text(spark):
