@@ -16,6 +16,10 @@ TEXT_FIELDS = ["input_hash", "model_digest", "config_hash", "output_hash", "nonc
                "previous_record_hash", "merkle_root", "consumer_id"]
 # Positions per chunk of the two-phase running maximum.
 CHUNK = 100_000
+# The reasons of freshness failures.
+REPLAYED = "Nonce replay detected"
+REGRESSED = "Sequence number regression or replay"
+UNNAMED = "Missing nonce"
 
 
 def _fields(skip: str | None = None) -> dict[str, Column]:
@@ -130,9 +134,9 @@ def freshness(records: DataFrame, last_sequence: DataFrame | None = None,
         "top", F.greatest(F.col("carried"), F.coalesce(F.max("sequence_number").over(local), F.lit(-1)))
     )
     reason = (
-        F.when(F.col("first_pos") < F.col("pos"), "Nonce replay detected")
-        .when(F.col("sequence_number") <= F.col("top"), "Sequence number regression or replay")
-        .when(F.col("nonce") == "", "Missing nonce")
+        F.when(F.col("first_pos") < F.col("pos"), REPLAYED)
+        .when(F.col("sequence_number") <= F.col("top"), REGRESSED)
+        .when(F.col("nonce") == "", UNNAMED)
     )
     return scanned.select("log_id", "pos", F.lit("freshness").alias("property"), reason.alias("reason")).where(
         F.col("reason").isNotNull()

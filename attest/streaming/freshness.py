@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from typing import Any, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from attest.operators.chain import REGRESSED, REPLAYED, UNNAMED
+
 _LAST = T.StructType([T.StructField("last", T.LongType())])
 _NONCE = T.StructType([T.StructField("nonce", T.StringType())])
 _SEEN = T.StructType([T.StructField("seen", T.BooleanType())])
@@ -30,29 +33,26 @@ class _Replay(StatefulProcessor):
         self._nonces = handle.getMapState("nonces", _NONCE, _SEEN, self._ttl)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        # Rows of one log inside one micro-batch; the source's trigger limit bounds them.
-        batch = pd.concat(list(rows)).sort_values("pos", kind="stable")
-        top = self._last.get()[0] if self._last.exists() else -1
-        fresh: set[str] = set()
-        failed = []
-        for pos, number, nonce in zip(batch["pos"], batch["sequence_number"], batch["nonce"].fillna("")):
-            if nonce in fresh or self._nonces.containsKey((nonce,)):
-                failed.append((pos, "Nonce replay detected"))
-            elif number <= top:
-                failed.append((pos, "Sequence number regression or replay"))
-            elif not nonce:
-                failed.append((pos, "Missing nonce"))
-            fresh.add(nonce)
-            top = max(top, number)
-        if failed:
-            yield pd.DataFrame({
-                "log_id": [key[0]] * len(failed), "pos": [p for p, _ in failed],
-                "property": ["freshness"] * len(failed), "reason": [r for _, r in failed],
-            })
-        else:
-            self._last.update((int(top),))
-            for nonce in fresh:
-                self._nonces.updateValue((nonce,), (True,))
+        """All rules as whole arrays over the log's rows of the micro-batch, in order of position.
+
+        The source's limit of files per micro-batch bounds these rows.
+        """
+        log = pd.concat(list(rows)).sort_values("pos", kind="stable")
+        number, nonce = log["sequence_number"].to_numpy(), log["nonce"].fillna("")
+        start = self._last.get()[0] if self._last.exists() else -1
+        peaks = np.maximum.accumulate(np.concatenate([[start], number]))  # peaks[i]: the largest number before row i
+        names = nonce.unique()
+        known = {n for n in names if self._nonces.containsKey((n,))}
+        reason = np.select(
+            [nonce.duplicated() | nonce.isin(known), number <= peaks[:-1], nonce == ""], [REPLAYED, REGRESSED, UNNAMED], "")
+        bad = reason != ""
+        if bad.any():
+            failed = log.loc[bad, ["pos"]].assign(log_id=key[0], property="freshness", reason=reason[bad])
+            yield failed[["log_id", "pos", "property", "reason"]].reset_index(drop=True)
+            return
+        self._last.update((int(peaks[-1]),))
+        for n in names:
+            self._nonces.updateValue((n,), (True,))
 
     def close(self) -> None:
         pass
