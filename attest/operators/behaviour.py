@@ -88,8 +88,8 @@ def degraded_findings(missing: DataFrame, detector: str, access: str) -> DataFra
         confidence=0.0,
         modality="BEHAVIORAL",
         detector_id=detector,
-        evidence=[F.concat(F.lit("DEGRADED: "), F.col("reason"), F.lit(". This check was not completed."))],
-        counter_evidence=["An unavailable check is a gap, not evidence of tampering."],
+        evidence=[F.concat(F.lit("DEGRADED: "), F.col("reason"), F.lit(" (the check did not finish)."))],
+        counter_evidence=["A check that could not run says nothing about the asset."],
         scope="model",
         access=access,
     )
@@ -303,14 +303,14 @@ def access_matrix(requests: DataFrame, available: DataFrame) -> DataFrame:
     foreign = available.distinct().where(~F.col("check").isin(list(CAPABILITIES))).join(requests, "asset_id")
     unknown = foreign.select(
         "asset_id", "access_level", "check", F.lit("no").alias("capability"), F.lit("skipped").alias("status"),
-        F.lit("Unknown check; no capability contract registered").alias("reason"),
+        F.lit("no contract is known for this check").alias("reason"),
     )
     status = F.when(F.col("present").isNull() | (F.col("capability") == "no"), "skipped") \
         .when(F.col("capability") == "partial", "partial").otherwise("ran")
     reason = (
-        F.when(F.col("present").isNull(), "Check implementation or required inputs are unavailable")
-        .when(F.col("capability") == "no", F.concat(F.col("access_level"), F.lit(" does not provide required access")))
-        .when(F.col("capability") == "partial", "Partial access; only exposed internals can be evaluated")
+        F.when(F.col("present").isNull(), "the check or an input of it is absent")
+        .when(F.col("capability") == "no", F.concat(F.col("access_level"), F.lit(" access is not enough")))
+        .when(F.col("capability") == "partial", "only what the access level shows is evaluated")
         .otherwise(F.col("capability"))
     )
     return joined.select("asset_id", "access_level", "check", "capability", status.alias("status"), reason.alias("reason")) \

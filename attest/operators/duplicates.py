@@ -71,12 +71,9 @@ def fingerprint_pairs(
     probes = F.flatten(F.array(*[band_probes(i, o, w) for i, (o, w) in enumerate(layout)]))
     asked = distinct.select("fp", F.inline(probes)) if radius else stored
 
-    # The largest thousand buckets at most are broadcast as the hot list.
-    hot = F.broadcast(
-        stored.groupBy("band", "value").count().where(F.col("count") > hot_bucket)
-        .orderBy(F.desc("count"), "band", "value").limit(1000)
-        .select("band", "value", F.lit(True).alias("hot"))
-    )
+    # Every bucket over the limit; their number follows the data, so Spark sizes the join.
+    hot = (stored.groupBy("band", "value").count().where(F.col("count") > hot_bucket)
+           .select("band", "value", F.lit(True).alias("hot")))
 
     def second_key(df: DataFrame) -> DataFrame:
         marked = df.join(hot, ["band", "value"], "left")
@@ -106,9 +103,13 @@ def _outside(fp: str, layout: list[tuple[int, int]]) -> Column:
 
 
 def choose_bands(distinct: int, threshold: int) -> int:
-    """More flips per probe as the table grows: fewer candidates for more probe rows."""
-    radius = 0 if distinct <= 20_000 else 1 if distinct <= 5_000_000 else 2
-    return max(1, -(-(threshold + 1) // (radius + 1)))
+    """Bands about as wide as the logarithm of the table, so that a bucket holds a few rows.
+
+    Fewer and wider bands need more flips per probe; below three the probes would outnumber
+    the candidates they save, and more than ``threshold + 1`` bands save nothing.
+    """
+    width = math.log2(max(2, distinct))
+    return max(1, min(threshold + 1, max(3, int(BITS / width))))
 
 
 def hamming_near_duplicates(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,7 +65,7 @@ def finding_nodes(findings: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def closure(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def closure(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """All ``(source, node)`` pairs with node strictly downstream of source.
 
     Semi-naive: each round extends only the pairs found in the previous one. Pairs
@@ -76,7 +78,7 @@ def closure(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> D
         .join(links.withColumnRenamed("node", "source"), "source").select("source", F.col("child").alias("node")).distinct()
     )
     known = frontier
-    for number in range(1, max_rounds + 1):
+    for number in itertools.count(1):
         step = frontier.join(links, "node").select("source", F.col("child").alias("node")).distinct()
         frontier = settle(step.join(known, ["source", "node"], "left_anti"))
         if frontier.limit(1).count() == 0:
@@ -85,7 +87,6 @@ def closure(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> D
         known = known.union(frontier)
         if number % _COMPACT == 0:
             known = settle(known)
-    raise RuntimeError("closure did not end")
 
 
 def downstream_of(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -98,7 +99,7 @@ def ancestors_of(edges: DataFrame, targets: DataFrame) -> DataFrame:
     return closure(back, targets).select(F.col("source").alias("node"), F.col("node").alias("ancestor"))
 
 
-def cycle_edges(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def cycle_edges(edges: DataFrame) -> DataFrame:
     """Edges that lie on a cycle: their child reaches their parent.
 
     Nodes without incoming or without outgoing edges cannot lie on a cycle; they
@@ -106,7 +107,7 @@ def cycle_edges(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """
     current = settle(edges.select("parent", "child").distinct())
     size = current.count()
-    for _ in range(max_rounds):
+    while True:
         if not size:
             return current
         children = current.select(F.col("child").alias("parent")).distinct()
@@ -149,27 +150,30 @@ def _links(edges: DataFrame) -> DataFrame:
     return settle(edges.select(F.col("parent").alias("id"), "child").distinct())
 
 
-def propagate_min(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000,
-                  links: DataFrame | None = None) -> DataFrame:
+def propagate_min(edges: DataFrame, seeds: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """``(id, value)``: the smallest seed value on any strict ancestor of a node.
 
     Values travel along edges and only improvements travel on, so the work is
-    edges times depth and no ancestor pairs are built.
+    edges times depth and no ancestor pairs are built. A round writes its improvements
+    only; they are merged when many files have gathered, and at the end.
     """
     links = _links(edges) if links is None else links
     start = seeds.groupBy("id").agg(F.min("value").alias("value"))
     frontier = settle(links.join(start, "id").groupBy(F.col("child").alias("id")).agg(F.min("value").alias("value")))
     known = frontier
-    for _ in range(max_rounds):
-        sent = links.join(frontier, "id").groupBy(F.col("child").alias("id")).agg(F.min("value").alias("value"))
-        better = sent.join(known.withColumnRenamed("value", "had"), "id", "left").where(
-            F.col("had").isNull() | (F.col("value") < F.col("had"))
-        ).select("id", "value")
-        frontier = settle(better)
-        if frontier.limit(1).count() == 0:
-            return known
-        known = settle(known.union(frontier).groupBy("id").agg(F.min("value").alias("value")))
-    raise RuntimeError("propagation did not end")
+    best = lambda df: df.groupBy("id").agg(F.min("value").alias("value"))
+    for number in itertools.count(1):
+        sent = best(links.join(frontier, "id").select(F.col("child").alias("id"), "value"))
+        # One aggregation over what is known and what is sent tells which nodes improve.
+        both = sent.select("id", "value", F.lit(None).cast(known.schema["value"].dataType).alias("had")).unionByName(
+            known.select("id", F.lit(None).cast(known.schema["value"].dataType).alias("value"), F.col("value").alias("had")))
+        merged = both.groupBy("id").agg(F.min("value").alias("value"), F.min("had").alias("had"))
+        frontier = settle(merged.where("value is not null and (had is null or value < had)").select("id", "value"))
+        if frontier.isEmpty():
+            return best(known)
+        known = known.union(frontier)
+        if number % _COMPACT == 0:
+            known = settle(best(known))
 
 
 def propagate_confidence(edges: DataFrame, findings: DataFrame, own: DataFrame) -> DataFrame:

@@ -53,7 +53,8 @@ def choose_pivots(points: DataFrame, ident: str, vec: str, count: int) -> np.nda
 
 
 def pivot_count(rows: int) -> int:
-    return int(min(1024, max(4, np.sqrt(rows) / 2)))
+    """Cells grow with the square root of the rows, and so do the rows of a cell."""
+    return int(max(4, np.sqrt(rows) / 2))
 
 
 def _distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:

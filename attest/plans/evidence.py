@@ -67,9 +67,9 @@ def tier_gate(spark, folder):
 
 @query("tier_log", with_roles("findings", body="""
 SELECT provider, tier, tier = 'cheap' OR (SELECT max(severity) FROM findings WHERE detector_id = 'ood') > 0.4 AS ran,
-  CASE WHEN tier = 'cheap' THEN 'Cheap tier always runs'
-       WHEN (SELECT max(severity) FROM findings WHERE detector_id = 'ood') > 0.4 THEN 'Cheap finding severity > 0.4'
-       ELSE 'No cheap finding severity > 0.4' END AS reason
+  CASE WHEN tier = 'cheap' THEN 'cheap checks run on every asset'
+       WHEN (SELECT max(severity) FROM findings WHERE detector_id = 'ood') > 0.4 THEN 'a cheap finding exceeds 0.4'
+       ELSE 'no cheap finding exceeds 0.4' END AS reason
 FROM (SELECT DISTINCT detector_id AS provider,
         CASE WHEN detector_id = 'ood' THEN 'cheap' ELSE 'expensive' END AS tier FROM findings)"""))
 def tier_log(spark, folder):
@@ -130,6 +130,28 @@ def converge_findings(spark, folder):
         F.coalesce(F.col("provenance.attrs")["members"], F.lit("")).alias("members"))
 
 
+@query("verdict_warnings_composites", with_roles("findings", body=_CONVERGE_CTE + f"""
+, con AS (SELECT asset_id, family, count(*) AS n, string_agg(counter_text, '|' ORDER BY o) AS texts
+  FROM (SELECT asset_id, family, counter_text, min(ord) AS o FROM e WHERE counter_text IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+ev AS (SELECT asset_id, family, string_agg(evidence_text, '|' ORDER BY o) AS texts
+  FROM (SELECT asset_id, family, evidence_text, min(ord) AS o FROM e GROUP BY ALL) GROUP BY ALL),
+c AS (SELECT asset_id, family, head.severity, comp.confidence FROM comp JOIN head USING (asset_id, family)),
+v AS (SELECT *, {SQL_VERDICT} AS verdict FROM c)
+SELECT v.asset_id, 'composite_' || v.family AS finding_type, verdict, coalesce(con.n, 0)::BIGINT AS counters,
+  coalesce(con.texts, '') AS counter_texts, ev.texts AS evidence_texts,
+  coalesce(verdict = 'QUARANTINE' AND con.n IS NULL, false) AS warned
+FROM v JOIN ev USING (asset_id, family) LEFT JOIN con USING (asset_id, family)"""))
+def verdict_warnings_composites(spark, folder):
+    """Composites judged with what their members say for and against them."""
+    judged = E.decide(E.converge(findings(spark, folder))).where(F.col("provenance.detector_id") == "correlation_engine")
+    return judged.select(
+        "asset_id", "finding_type", "verdict", F.size("counter_evidence").cast("bigint").alias("counters"),
+        F.array_join("counter_evidence", "|").alias("counter_texts"),
+        # The first three lines are the composite's own.
+        F.array_join(F.slice("evidence", 4, F.size("evidence")), "|").alias("evidence_texts"),
+        F.col("warning").isNotNull().alias("warned"))
+
+
 @query("composite_evidence", with_roles("findings", body=_CONVERGE_CTE + """
 SELECT e.asset_id, 'composite_' || e.family AS finding_type, kind, text, CAST(min(e.ord) AS BIGINT) AS ord FROM (
   SELECT asset_id, family, ord, 'evidence' AS kind, evidence_text AS text FROM e
@@ -146,7 +168,7 @@ def decide(spark, folder):
 
 
 @query("verdict_warnings", with_roles("findings", body=f"""
-SELECT asset_id, CAST(ord AS BIGINT) AS ord, 'QUARANTINE has no counter-evidence; decision requires a second look.' AS warning
+SELECT asset_id, CAST(ord AS BIGINT) AS ord, 'Nothing given speaks against this quarantine: have it reviewed again.' AS warning
 FROM findings WHERE {SQL_VERDICT} = 'QUARANTINE' AND counter_text IS NULL"""))
 def verdict_warnings(spark, folder):
     judged = E.decide(findings(spark, folder))
@@ -198,7 +220,7 @@ def radar(spark, folder):
 SELECT CAST(ord AS BIGINT) AS ord, md5({SQL_VERDICT} || ' — ' || coalesce(quarantine_scope, 'sample') || ' (' || asset_id || ')' || chr(10)
   || 'Evidence | Counter-evidence' || chr(10) || '--- | ---' || chr(10) || evidence_text || ' | ' || coalesce(counter_text, 'Not provided')
   || CASE WHEN {SQL_VERDICT} = 'QUARANTINE' AND counter_text IS NULL
-     THEN chr(10) || 'QUARANTINE has no counter-evidence; decision requires a second look.' ELSE '' END) AS explanation_md5
+     THEN chr(10) || 'Nothing given speaks against this quarantine: have it reviewed again.' ELSE '' END) AS explanation_md5
 FROM findings"""))
 def explain_verdict(spark, folder):
     judged = E.decide(findings(spark, folder)).withColumn("scope", F.coalesce("quarantine_scope", F.lit("sample"))) \
@@ -353,10 +375,10 @@ m AS (SELECT 'm' || CAST(c_custkey AS VARCHAR) AS asset_id, CASE c_custkey % 3 W
   CASE c_custkey % 3 WHEN 0 THEN black_box WHEN 1 THEN gray_box ELSE white_box END AS capability, no
   FROM customer, cap WHERE no < 6 OR (c_custkey * 3 + no * 5) % 7 < 4),
 x AS (SELECT asset_id, "check", CASE WHEN no = 6 OR NOT present OR capability = 'no' THEN 'skipped' WHEN capability = 'partial' THEN 'partial' ELSE 'ran' END AS status,
-  CASE WHEN no = 6 THEN 'Unknown check; no capability contract registered'
-    WHEN NOT present THEN 'Check implementation or required inputs are unavailable'
-    WHEN capability = 'no' THEN level || ' does not provide required access'
-    WHEN capability = 'partial' THEN 'Partial access; only exposed internals can be evaluated' ELSE capability END AS reason FROM m)
+  CASE WHEN no = 6 THEN 'no contract is known for this check'
+    WHEN NOT present THEN 'the check or an input of it is absent'
+    WHEN capability = 'no' THEN level || ' access is not enough'
+    WHEN capability = 'partial' THEN 'only what the access level shows is evaluated' ELSE capability END AS reason FROM m)
 """
 
 
@@ -405,7 +427,7 @@ SELECT asset_id, CAST(ord AS BIGINT) AS ord, lower({SQL_VERDICT}) AS disposition
   replace(finding_type, '_', ' ') || ': ' || evidence_text AS reason_start FROM findings"""))
 def passport_reasons(spark, folder):
     body = E.passport_findings(E.decide(findings(spark, folder)))
-    return body.select("asset_id", "ord", "disposition", F.substring_index("reason", " Severity ", 1).alias("reason_start"))
+    return body.select("asset_id", "ord", "disposition", F.substring_index("reason", " (severity ", 1).alias("reason_start"))
 
 
 @query("passport_markdown")
@@ -423,15 +445,15 @@ sent AS (SELECT 'p' || CAST(c_custkey AS VARCHAR) AS passport_id, kind, no, c_cu
 j AS (SELECT coalesce(i.passport_id, s.passport_id) AS passport_id, coalesce(i.kind, s.kind) AS kind, coalesce(i.no, s.no) AS no,
   coalesce(i.k, s.k) AS k, i.k IS NOT NULL AS bound, s.k IS NOT NULL AS supplied
   FROM issued i FULL JOIN sent s ON i.passport_id = s.passport_id AND i.kind = s.kind),
-q AS (SELECT passport_id, kind, supplied, CASE WHEN NOT supplied THEN kind || ' manifest missing'
-  WHEN bound AND (k + no) % 7 = 0 THEN kind || ' manifest differs from passport issuance'
-  WHEN NOT bound AND (k + no) % 4 = 0 AND kind <> 'pipeline' THEN kind || ' current path missing — cannot verify'
-  WHEN NOT bound AND (k + no) % 4 = 0 THEN 'pipeline issuance baseline missing — cannot verify'
-  WHEN (k + no) % 9 = 0 THEN kind || ' manifest unavailable or invalid — cannot verify'
-  WHEN (k + no) % 6 = 0 THEN kind || ' manifest mismatch or current input missing' END AS reason FROM j),
+q AS (SELECT passport_id, kind, supplied, CASE WHEN NOT supplied THEN kind || ' has no manifest any more'
+  WHEN bound AND (k + no) % 7 = 0 THEN kind || ' has another manifest than when issued'
+  WHEN NOT bound AND (k + no) % 4 = 0 AND kind <> 'pipeline' THEN kind || ' has no input to compare with'
+  WHEN NOT bound AND (k + no) % 4 = 0 THEN 'pipeline was not recorded at issue'
+  WHEN (k + no) % 9 = 0 THEN kind || ' manifest cannot be read'
+  WHEN (k + no) % 6 = 0 THEN kind || ' no longer agrees with its manifest' END AS reason FROM j),
 g AS (SELECT passport_id, count(*) FILTER (supplied) AS supplied, string_agg(reason, '; ' ORDER BY reason) AS kinds FROM q GROUP BY passport_id)
-SELECT p.passport_id, concat_ws('; ', CASE WHEN coalesce(supplied, 0) = 0 THEN 'no manifests supplied — cannot verify' END,
-  CASE WHEN NOT valid THEN 'passport digest invalid' END, CASE WHEN valid THEN kinds END) AS reasons
+SELECT p.passport_id, concat_ws('; ', CASE WHEN coalesce(supplied, 0) = 0 THEN 'no manifest was given to compare with' END,
+  CASE WHEN NOT valid THEN 'the digest of the passport is wrong' END, CASE WHEN valid THEN kinds END) AS reasons
 FROM (SELECT 'p' || CAST(c_custkey AS VARCHAR) AS passport_id, c_custkey % 17 > 0 AS valid FROM customer) AS p LEFT JOIN g USING (passport_id)""")
 def staleness(spark, folder):
     base = table(spark, folder, "customer").select(

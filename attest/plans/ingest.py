@@ -281,9 +281,9 @@ def registry_page(spark, folder):
     return M.registry_page(assets, 20, 50)
 
 
-@query("duplicate_asset_ids", "SELECT l_orderkey AS id, count(*) AS copies FROM lineitem WHERE l_linenumber > 2 GROUP BY 1 HAVING count(*) > 1")
+@query("duplicate_asset_ids", "SELECT l_orderkey AS id, count(*) AS copies FROM lineitem GROUP BY 1 HAVING count(*) > 1")
 def duplicate_asset_ids(spark, folder):
-    assets = table(spark, folder, "lineitem").where("l_linenumber > 2").select(F.col("l_orderkey").alias("id"))
+    assets = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("id"))
     return M.duplicate_asset_ids(assets)
 
 

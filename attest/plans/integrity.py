@@ -91,13 +91,13 @@ def _boxed(spark, folder):
 
 @query("invalid_box_area", with_roles("boxes", body="SELECT image_id, x, y, w, h FROM boxes WHERE w <= 0 OR h <= 0"))
 def invalid_box_area(spark, folder):
-    return X.invalid_box_area(X.explode_boxes(_boxed(spark, folder))).select("image_id", "x", "y", "w", "h")
+    return X.invalid_box_area(role(spark, folder, "boxes")).select("image_id", "x", "y", "w", "h")
 
 
 @query("box_out_of_bounds", with_roles("boxes", body="""
 SELECT image_id, x, y, w, h FROM boxes WHERE w > 0 AND h > 0 AND (x < 0 OR y < 0 OR x + w > width OR y + h > height)"""))
 def box_out_of_bounds(spark, folder):
-    return X.box_out_of_bounds(X.explode_boxes(_boxed(spark, folder))).select("image_id", "x", "y", "w", "h")
+    return X.box_out_of_bounds(role(spark, folder, "boxes")).select("image_id", "x", "y", "w", "h")
 
 
 # Independent check: all coordinates are multiples of five, so count covered 5 x 5 cells.
@@ -111,12 +111,12 @@ covered AS (SELECT image_id, count(*) * 25 / min(width * height) AS coverage FRO
 
 @query("covered_fraction", with_roles("boxes", body=_COVER + "SELECT image_id, round(coverage, 6) AS coverage FROM covered"))
 def covered_fraction(spark, folder):
-    boxes = X.explode_boxes(_boxed(spark, folder))
+    boxes = role(spark, folder, "boxes").withColumnRenamed("line_no", "box_index")
     return X.covered_fraction(boxes.where("w > 0 and h > 0")).select("image_id", r("coverage").alias("coverage"))
 
 
-@query("large_unlabeled_region", with_roles("boxes", "images", body=_COVER + """,
-bad AS (SELECT DISTINCT image_id FROM boxes WHERE w <= 0 OR h <= 0 OR x < 0 OR y < 0 OR x + w > width OR y + h > height),
+@query("large_unlabeled_region", with_roles("sparse_boxes", "images", body=_COVER.replace("FROM boxes", "FROM sparse_boxes") + """,
+bad AS (SELECT DISTINCT image_id FROM sparse_boxes WHERE w <= 0 OR h <= 0 OR x < 0 OR y < 0 OR x + w > width OR y + h > height),
 ok AS (SELECT i.image_id, i.width, i.height, coalesce(coverage, 0) AS coverage FROM images i LEFT JOIN covered USING (image_id)
   WHERE i.image_id NOT IN (SELECT image_id FROM bad)),
 lists AS (SELECT width, height, list_sort(list(coverage)) AS l FROM ok WHERE coverage > 0 GROUP BY ALL),
@@ -127,7 +127,7 @@ m AS (SELECT width, height, coverage, len(peers) AS n, list_aggregate(peers, 'me
 SELECT image_id, round(coverage, 6) AS coverage, n AS peers, round(mid, 6) AS peer_median FROM ok JOIN m USING (width, height, coverage)
 WHERE n >= 2 AND 1 - coverage >= 0.6 AND mid - coverage >= 0.03"""))
 def large_unlabeled_region(spark, folder):
-    out = X.large_unlabeled_region(_boxed(spark, folder), gap=0.03)
+    out = X.large_unlabeled_region(_images(spark, folder, role(spark, folder, "sparse_boxes")), gap=0.03)
     return out.select("image_id", r("coverage").alias("coverage"), "peers", r("peer_median").alias("peer_median"))
 
 

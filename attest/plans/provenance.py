@@ -92,7 +92,7 @@ def freshness(spark, folder):
 
 
 @query("freshness_with_state", with_roles("replay", body="""
-+ old AS (SELECT * FROM replay WHERE pos % 2 = 0 AND log_id % 2 = 0), new AS (SELECT * FROM replay WHERE pos % 2 = 1),
++ old AS (SELECT * FROM replay WHERE pos % 2 = 0 AND log_id % 2 = 0), new AS (SELECT * FROM replay WHERE pos % 2 = 1 OR log_id % 2 = 1),
 st AS (SELECT log_id, max(sequence_number) AS last FROM old GROUP BY log_id), seen AS (SELECT DISTINCT log_id, nonce FROM old),
 s AS (SELECT new.*, seen.nonce IS NOT NULL OR row_number() OVER (PARTITION BY log_id, new.nonce ORDER BY pos) > 1 AS replayed,
   greatest(coalesce(last, -1), coalesce(max(sequence_number) OVER (PARTITION BY log_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)) AS top
@@ -105,7 +105,7 @@ def freshness_with_state(spark, folder):
     old = rows.where("pos % 2 = 0 and log_id % 2 = 0")
     none = old.where("false").select("log_id", "pos")
     last, seen = C.committed_state(old, none)
-    return C.freshness(rows.where("pos % 2 = 1"), last, seen).groupBy("reason").agg(F.count(F.lit(1)).alias("records"))
+    return C.freshness(rows.where("pos % 2 = 1 or log_id % 2 = 1"), last, seen).groupBy("reason").agg(F.count(F.lit(1)).alias("records"))
 
 
 @query("verify_chain", with_roles("log", recursive=True, body=_BROKEN + """,

@@ -160,7 +160,10 @@ SELECT 'o' || TEXT(o_orderkey) AS image_id, CAST(o_orderkey AS BIGINT) AS ord,
   CAST((l_suppkey % 16) * 5 AS DOUBLE) AS y,
   CAST(CASE WHEN l_partkey % 67 = 0 THEN 0 ELSE 5 * (1 + CAST(l_quantity AS INT) % 8) END AS DOUBLE) AS w,
   CAST(5 * (1 + l_linenumber % 6) - CASE WHEN l_suppkey % 71 = 0 THEN 60 ELSE 0 END AS DOUBLE) AS h
-FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE o_orderkey % 13 > 0"""
+FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey"""
+
+# The same with images that have no box at all, for the operator that looks for them.
+ROLES["sparse_boxes"] = ROLES["boxes"] + " WHERE o_orderkey % 13 > 0"
 
 ROLES["images"] = """
 SELECT 'o' || TEXT(o_orderkey) AS image_id, CAST(o_orderkey AS BIGINT) AS ord,
