@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from attest.llm.common import only
 
 SCHEMA = "key bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
-CACHE_WORDS = 1_000_000  # about 150 MB
+CACHE_WORDS = 500_000  # about 75 MB
 # Small letters the library knows from a newer Unicode than Python's.
 NEW_SMALL = {0xA7CB: "\u0264", 0xA7DC: "\u019b"}
 
@@ -173,10 +173,12 @@ class RankMerger:
 
     def count_texts(self, texts: list[str]) -> list[int]:
         cut = [self.pretokens(t) for t in texts]
+        here = set().union(*[words for _, words in cut])
+        if len(self.cache) > CACHE_WORDS:
+            # What this batch uses stays: the frequent words are among it.
+            self.cache = {w: self.cache[w] for w in here if w in self.cache}
         cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        new = list(set().union(*[words for _, words in cut]).difference(cache))
+        new = list(here.difference(cache))
         if new:
             cache.update(zip(new, self.count(new).tolist(), strict=True))
         known = cache.__getitem__

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from attest.llm.common import only
 
 SPACE = "▁"
-CACHE_PARTS = 1_000_000  # about 220 MB
+CACHE_PARTS = 350_000  # about 80 MB
 # Numbers beyond any id, for a character without a piece, and a merged symbol.
 UNKNOWN, GONE = 0xFFFFF, 0xFFFFE
 SCHEMA = "key bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -171,10 +171,12 @@ class AgendaEncoder:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text with begin and end, as little-endian unsigned 32-bit integers."""
         cut = [self.parts(t) for t in texts]
+        here = set().union(*cut) if cut else set()
         if len(self.cache) > CACHE_PARTS:
-            self.cache.clear()
+            # What this batch uses stays: the frequent parts are among it.
+            self.cache = {p: self.cache[p] for p in here if p in self.cache}
         cache = self.cache
-        new = list(set().union(*cut).difference(cache)) if cut else []
+        new = list(here.difference(cache))
         if new:
             encoded = [self.encode_part(p) for p in new]
             if self.check:
