@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from attest.llm.common import only
+from attest.llm.common import only, kept, tidy
 
 SCHEMA = "key bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 CACHE_WORDS = 500_000  # about 75 MB
@@ -185,17 +185,6 @@ class RankMerger:
         return [n + sum(map(known, words)) for n, words in cut]
 
 
-_MERGERS: dict[str, RankMerger] = {}
-
-
-def merger_of(spec: str) -> RankMerger:
-    """One merger per worker process and vocabulary, so that its cache outlives a task."""
-    if spec not in _MERGERS:
-        _MERGERS.clear()
-        _MERGERS[spec] = RankMerger(spec)
-    return _MERGERS[spec]
-
-
 def count_tokens(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text",
                  limit: int = 2048) -> DataFrame:
     """One row per document: bytes, tokens, and whether there are more than ``limit``.
@@ -207,7 +196,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = merger_of(spec.value)
+        merger = kept(("bpe_count", hash(spec.value)), lambda: RankMerger(spec.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -217,4 +206,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
                     [part.column(0).cast(pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64()),
                      pa.array(n), pa.array(n > limit)], names=["key", "n_bytes", "n_tokens", "over_limit"])
 
-    return only(docs, key=key, text=text).mapInArrow(run, SCHEMA).withColumnRenamed("key", key)
+    return only(docs, key=key, text=text).mapInArrow(tidy(run, keeps=True), SCHEMA).withColumnRenamed("key", key)

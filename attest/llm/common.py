@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +22,33 @@ WORD_BYTES = bytes(
 LOWER_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
+# One object that outlives a task in its worker process (an encoder with its cache).
+_KEPT: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """The worker's kept object if it has this key, else a new one in its place."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False):
+    """``run`` for ``mapInArrow``, giving memory back: at its end what Arrow's pool holds, and at its
+    start the kept object of an earlier stage, unless it ``keeps`` one itself."""
+    @functools.wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _KEPT.clear()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return inner
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Lower-cased words: runs of digits, ASCII letters and characters beyond ASCII."""
     return text.translate(WORD_BYTES).split()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.common import WORD_BYTES, only, utf8, words_of
+from attest.llm.common import WORD_BYTES, only, utf8, words_of, tidy
 from attest.session import settle
 
 WINDOW = 10
@@ -130,7 +130,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
                     [*[batch.column(c) for c in kept], pa.array(n_words, pa.int64()), pa.array(spans, span),
                      pa.array(found, pa.list_(pa.int64()))], names=[*kept, "_words", "_spans", "_items"])
 
-        current = current.mapInArrow(run, f"{fields}, {added}")
+        current = current.mapInArrow(tidy(run), f"{fields}, {added}")
         if number + 1 < len(parts):
             current = settle(current)  # else the automata of all blocks would be in memory together
     return current

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attest.llm.common import only
+from attest.llm.common import only, tidy
 from attest.session import settle
 
 TASK_BYTES = 24 << 20  # content held by one input task before it writes its groups
@@ -138,7 +138,7 @@ def spill(docs: DataFrame, key: str, text: str, payload: list[str], task_bytes:
                        *[F.col(f"`{c}`").alias(f"p{i}") for i, c in enumerate(payload)])
     fields = [T.StructField(f.name, f.dataType, True) for f in base.schema.fields[2:]]
     run, schema = _collapse(fields, task_bytes)
-    return settle(base.mapInArrow(run, schema))
+    return settle(base.mapInArrow(tidy(run), schema))
 
 
 def _bucket(level: int, fan: int):
@@ -195,7 +195,7 @@ def _merge_bucket(groups: DataFrame, n_partitions: int, rows_too: list[T.StructF
         yield from finish(table, finals, gids)
 
     dealt = groups.select(*names).repartition(n_partitions, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, out)
+    return dealt.mapInArrow(tidy(run), out)
 
 
 def merge(spilled: DataFrame, rows_too: list[T.StructField] | None = None, bucket_bytes: int = BUCKET_BYTES,

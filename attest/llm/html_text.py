@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from attest.llm.common import only
+from attest.llm.common import only, tidy
 
 # Frequent words of the languages at hand.
 STOP_WORDS = frozenset(
@@ -208,5 +208,4 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
                 [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64())], names=["key", "url", "text", "n_chars"])
 
-    return only(pages, key=key, url=url, page=page).mapInArrow(
-        run, "key bigint, url string, text string, n_chars bigint").withColumnRenamed("key", key)
+    return only(pages, key=key, url=url, page=page).mapInArrow(tidy(run), "key bigint, url string, text string, n_chars bigint").withColumnRenamed("key", key)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.common import only, utf8, words_of
+from attest.llm.common import only, utf8, words_of, tidy
 
 # Base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -80,7 +80,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, dict
                 found[b""] += 1
         yield pa.RecordBatch.from_pydict({"word": [w.decode() for w in found], "n": list(found.values())})
 
-    rows = only(docs, text=text).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = only(docs, text=text).mapInArrow(tidy(count), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     freq = {r["word"].encode(): r["n"] for r in rows.collect()}
     return freq.pop(b"", 0), freq
 
@@ -147,4 +147,4 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 })
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return only(docs, key=key, text=text).mapInArrow(run, SCHEMA).withColumnRenamed("key", key)
+    return only(docs, key=key, text=text).mapInArrow(tidy(run), SCHEMA).withColumnRenamed("key", key)

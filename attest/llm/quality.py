@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.common import only
+from attest.llm.common import only, tidy
 from attest.session import settle
 
 # At most this many labelled rows fit the model; the smallest hashes of doc_id are taken.
@@ -124,7 +124,7 @@ def with_evidence(docs: DataFrame, model: Evidence | None, text: str, out: str =
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], column], names=[*kept, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if keep_text or f.name != text)
-    return docs.mapInArrow(run, f"{fields}, `{out}` {kind}")
+    return docs.mapInArrow(tidy(run), f"{fields}, `{out}` {kind}")
 
 
 def _strength(found: float | None, expected: float | None, room: float | None, spread: float | None) -> float:
@@ -159,7 +159,8 @@ def site_rates(labelled: DataFrame) -> tuple[DataFrame, float]:
     host_rate = (F.col("hk") + over_host * mean) / (F.col("hn") + over_host)
     path_rate = (F.col("k") + over_path * F.col("host_rate")) / (F.col("n") + over_path)
     rates = by_path.withColumn("host_rate", host_rate)
-    return rates.select("host", "path", "host_rate", path_rate.alias("path_rate")), mean
+    # Written, so that the join with documents is planned by their true size.
+    return settle(rates.select("host", "path", "host_rate", path_rate.alias("path_rate"))), mean
 
 
 def _logit(p: Column) -> Column:
@@ -182,7 +183,7 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rates, mean = site_rates(labelled)
     judged = with_evidence(docs, model, text, keep_text=keep_text)
     same = F.col(f"`{host}`").eqNullSafe(F.col("_rh")) & F.col(f"`{path}`").eqNullSafe(F.col("_rp"))
-    hosts = rates.select(F.col("host").alias("_hh"), F.col("host_rate").alias("_hr")).distinct()
+    hosts = settle(rates.select(F.col("host").alias("_hh"), F.col("host_rate").alias("_hr")).distinct())
     full = rates.select(F.col("host").alias("_rh"), F.col("path").alias("_rp"), F.col("path_rate").alias("_pr"))
     joined = judged.join(full, same, "left").join(hosts, F.col(f"`{host}`").eqNullSafe(F.col("_hh")), "left")
     host_rate = F.coalesce("_hr", F.lit(mean))

@@ -26,7 +26,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from attest.llm.common import only
+from attest.llm.common import only, kept, tidy
 
 SPACE = "▁"
 CACHE_PARTS = 350_000  # about 80 MB
@@ -206,18 +206,6 @@ class AgendaEncoder:
         return whole
 
 
-_ENCODERS: dict[tuple, AgendaEncoder] = {}
-
-
-def encoder_of(model: bytes, check: bool) -> AgendaEncoder:
-    """One encoder per worker process and model, so that its cache outlives a task."""
-    key = (hashlib.sha256(model).digest(), check)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = AgendaEncoder(model, check)
-    return _ENCODERS[key]
-
-
 def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", check: bool = True) -> DataFrame:
     """One row per document: ids, and the text decoded from them."""
     return _run(docs, model_path, key, text, check, "key bigint, ids array<bigint>, decoded string", lambda ids, decoded: (
@@ -239,7 +227,7 @@ def _run(docs, model_path, key, text, check, schema, shape, names, kinds) -> Dat
         model = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(model.value, check)
+        encoder = kept(("sentencepiece", hash(model.value), check), lambda: AgendaEncoder(model.value, check))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -248,4 +236,4 @@ def _run(docs, model_path, key, text, check, schema, shape, names, kinds) -> Dat
                 arrays = [pa.array(c, k) for c, k in zip(shape(ids, decoded), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *arrays], names=["key", *names])
 
-    return only(docs, key=key, text=text).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return only(docs, key=key, text=text).mapInArrow(tidy(run, keeps=True), schema).withColumnRenamed("key", key)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.common import only, tokens_of, utf8
+from attest.llm.common import only, tokens_of, utf8, tidy
 from attest.operators.components import connected_components
 from attest.session import settle
 
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "_fp") -> DataF
                                              names=[*batch.schema.names, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, `{out}` bigint")
+    return docs.mapInArrow(tidy(run), f"{fields}, `{out}` bigint")
 
 
 def position_sets(shared: int, width: int) -> list[tuple[int, ...]]:
@@ -175,7 +175,7 @@ def links(posted: DataFrame, shared: int, bits: int) -> DataFrame:
 
     keys = ["part", "key", "lo", "hi"]
     dealt = posted.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "u bigint, v bigint")
+    return dealt.mapInArrow(tidy(run), "u bigint, v bigint")
 
 
 def components(prints: DataFrame, bits: int = BITS, posting_rows: int = POSTING_ROWS) -> DataFrame:
@@ -209,7 +209,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int
     # One row for a component; a null id names it only where there is no other.
     best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("sign").alias("sign")))
     by_name = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_alone"))
-    stay = by_name.agg(best.alias("b")).select(F.col("b.id").alias("_id"), F.col("b.sign").alias("_sign"))
-    marked = docs.withColumn("_sign", sign).withColumn("_id", F.col(f"`{key}`").cast("bigint"))
-    same = marked["_id"].eqNullSafe(stay["_id"]) & (marked["_sign"] == stay["_sign"])
-    return marked.join(stay, same, "left_semi").dropDuplicates(["_id", "_sign"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Keys without nulls: the join and the removal of repeated rows then share one shuffle.
+    name = {"_none": F.col("b.none"), "_id": F.coalesce("b.id", F.lit(0)), "_sign": F.col("b.sign")}
+    stay = settle(by_name.agg(best.alias("b")).select(*[c.alias(n) for n, c in name.items()]))
+    own = F.col(f"`{key}`").cast("bigint")
+    marked = docs.withColumns({"_none": own.isNull(), "_id": F.coalesce(own, F.lit(0)), "_sign": sign})
+    kept = marked.join(stay, list(name), "left_semi").dropDuplicates(list(name))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
