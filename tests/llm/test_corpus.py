@@ -206,21 +206,24 @@ def test_scores_against_brute_force(spark, monkeypatch, frequent):
     c = Counter(w for w_, h in zip(tokens, held) if not h for w in w_)
     n, v = sum(c.values()), len(c)
     counts = [Counter() for _ in range(256)]
-    seqs = [b"\xff\xff" + t + b"\xff" for t in low]
+    seqs = [b"\xff\xff\xff" + t + b"\xff" for t in low]
+    kind = C.CLASSES.tolist()
+    context = lambda s, i: kind[s[i - 1]] << 12 | kind[s[i - 2]] << 6 | kind[s[i - 3]]
+    asked = sorted({context(s, i) for s in seqs for i in range(3, len(s))})
     for s, h in zip(seqs, held):
         if not h:
-            for i in range(2, len(s)):
+            for i in range(3, len(s)):
                 for k in range(8):
                     node, bit = 1 << k | s[i] >> (8 - k), s[i] >> (7 - k) & 1
-                    counts[node][s[i - 1] << 8 | s[i - 2], bit] += 1
+                    counts[node][context(s, i), bit] += 1
     cache = {}
 
     def p_one(node, ctx):
         if node not in cache:
             known = sorted({x for x, _ in counts[node]})
             p = C.predictions(np.array(known, np.int64), np.array([float(counts[node][x, 0]) for x in known]),
-                              np.array([float(counts[node][x, 1]) for x in known]), np.arange(1 << 16))
-            cache[node] = p
+                              np.array([float(counts[node][x, 1]) for x in known]), np.array(asked))
+            cache[node] = dict(zip(asked, p))
         return cache[node][ctx]
 
     for i, (t, s) in enumerate(zip(tokens, seqs), 1):
@@ -230,10 +233,10 @@ def test_scores_against_brute_force(spark, monkeypatch, frequent):
         assert got["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), rel=1e-9)
         if len(s) < 300:
             want = 0.0
-            for j in range(2, len(s)):
+            for j in range(3, len(s)):
                 for k in range(8):
                     node, bit = 1 << k | s[j] >> (8 - k), s[j] >> (7 - k) & 1
-                    one = p_one(node, s[j - 1] << 8 | s[j - 2])
+                    one = p_one(node, context(s, j))
                     want += math.log10(one if bit else 1 - one)
             assert got["score"] == pytest.approx(want, rel=1e-4)
 
