@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from attest.functions import imaging, vectors as V
@@ -88,21 +89,61 @@ def mean_rgb(spark, folder):
         "ord", r(F.col("m")[0], 8).alias("c0"), r(F.col("m")[3], 8).alias("c3"))
 
 
-@query("color_features")
-def color_features(spark, folder):
-    out = _pictures(spark, folder).select("ord", imaging.color_features(8, 8, 1, F.col("pixels")).alias("f"))
-    return out.select("ord", F.size("f").alias("width"), r(F.col("f")[0]).alias("mean"), r(F.col("f")[5]).alias("bin"))
+# Pictures as lists of 64 grey values, and one row per pixel.
+_PICTURES = """
++ pic AS (SELECT ord, [greatest(0, least(1, 0.4 + v / 2 + CASE WHEN side = 'current' THEN 0.2 ELSE 0 END)) FOR v IN vec] AS p FROM batches),
+px AS (SELECT ord, p, i, i // 8 AS y, i % 8 AS x, p[i + 1] AS l FROM pic, range(64) AS t(i))
+"""
+
 
+def _joined(values: Column, digits: int = 6) -> Column:
+    """Values as text for comparison, minus zero as zero."""
+    return F.array_join(F.transform(values, lambda v: F.format_string("%.6f", F.round(v, digits) + 0.0)), " ")
 
-@query("perceptual_fingerprint")
+
+@query("color_features", with_roles("batches", body=_PICTURES + """,
+h AS (SELECT ord, b, count(px.i) / 64 AS share FROM (SELECT ord, b FROM pic, range(8) AS t(b)) AS g LEFT JOIN px USING (ord)
+  WHERE least(7, floor(l * 8)) = b GROUP BY ALL),
+f AS (SELECT g.ord, string_agg(printf('%.6f', coalesce(share, 0)), ' ' ORDER BY b) AS bins
+  FROM (SELECT ord, b FROM pic, range(8) AS t(b)) AS g LEFT JOIN h USING (ord, b) GROUP BY g.ord)
+SELECT ord, round(list_sum(p) / 64, 6) AS red, round(list_sum(p) / 64, 6) AS green, round(list_sum(p) / 64, 6) AS blue,
+  bins || ' ' || bins || ' ' || bins AS bins FROM pic JOIN f USING (ord)"""))
+def color_features(spark, folder):
+    out = _pictures(spark, folder).select("ord", imaging.color_features(8, 8, 1, F.col("pixels")).alias("f"))
+    return out.select("ord", *[r(F.col("f")[i]).alias(n) for i, n in enumerate(("red", "green", "blue"))],
+                      _joined(F.slice("f", 4, 24)).alias("bins"))
+
+
+@query("perceptual_fingerprint", with_roles("batches", body=_PICTURES + """,
+wave AS (SELECT u, v, i, cos(pi() * u * (2 * (i // 8) + 1) / 16) * CASE WHEN u = 0 THEN sqrt(0.5) ELSE 1 END
+    * cos(pi() * v * (2 * (i % 8) + 1) / 16) * CASE WHEN v = 0 THEN sqrt(0.5) ELSE 1 END AS c
+  FROM range(8) AS a(u), range(8) AS b(v), range(64) AS t(i) WHERE u + v > 0),
+s AS (SELECT ord, u * 8 + v - 1 AS k, sum(c * l) AS raw FROM px JOIN wave USING (i) GROUP BY ALL),
+z AS (SELECT ord, k, CASE WHEN abs(raw) < 1e-8 THEN 0 ELSE raw END AS s FROM s),
+m AS (SELECT ord, median(s) AS mid FROM z GROUP BY ord)
+SELECT ord, CAST(sum(CASE WHEN s > mid THEN 1::BIGINT << k::BIGINT ELSE 0 END) AS BIGINT) AS fp FROM z JOIN m USING (ord) GROUP BY ord"""))
 def perceptual_fingerprint(spark, folder):
     return _pictures(spark, folder).select("ord", imaging.perceptual_fingerprint(8, F.col("pixels")).alias("fp"))
 
 
-@query("shift_features")
+@query("shift_features", with_roles("batches", body=_PICTURES + """,
+lap AS (SELECT ord, p[abs(y - 1) * 8 + x + 1] + p[(7 - abs(7 - (y + 1))) * 8 + x + 1] + p[y * 8 + abs(x - 1) + 1]
+  + p[y * 8 + 7 - abs(7 - (x + 1)) + 1] - 4 * l AS e FROM px),
+mid AS (SELECT ord, median(e) AS m FROM lap GROUP BY ord),
+edge AS (SELECT ord, var_pop(e) AS blur, median(abs(e - m)) / (0.67448975 * sqrt(20)) AS noise FROM lap JOIN mid USING (ord) GROUP BY ord),
+cell AS (SELECT ord, y // 2 AS gy, x // 2 AS gx, avg(l) - list_sum(any_value(p)) / 64 AS s FROM px GROUP BY ALL),
+st AS (SELECT ord, string_agg(printf('%.6f', round(s, 6) + 0), ' ' ORDER BY gy, gx) AS structure FROM cell GROUP BY ord)
+SELECT ord, round(list_sum(p) / 64, 6) AS brightness, 0.0::DOUBLE AS channel, 3.0::DOUBLE AS chroma, 3.0::DOUBLE AS chroma_grey,
+  round(blur, 6) AS blur, round(noise, 6) AS noise, structure FROM pic JOIN edge USING (ord) JOIN st USING (ord)"""))
 def shift_features(spark, folder):
+    """Grey pictures: no channel differs, and all chroma is in the middle bin."""
     out = _pictures(spark, folder).select("ord", imaging.shift_features(8, 8, 1, F.col("pixels")).alias("f"))
-    return out.select("ord", r(F.col("f")[0]).alias("brightness"), r(F.col("f")[52]).alias("blur"), r(F.col("f")[53]).alias("noise"))
+    part = {k: F.slice("f", a + 1, n) for k, (a, n) in imaging.SHIFT_LAYOUT.items()}
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + F.abs(x))
+    grey = F.col("f")[12] + F.col("f")[28] + F.col("f")[44]
+    return out.select("ord", r(part["brightness"][0]).alias("brightness"), r(total(part["channel"])).alias("channel"),
+                      r(total(part["chroma"])).alias("chroma"), r(grey).alias("chroma_grey"), r(part["blur"][0]).alias("blur"),
+                      r(part["noise"][0]).alias("noise"), _joined(part["structure"]).alias("structure"))
 
 
 def _causes(spark, folder):

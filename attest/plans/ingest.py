@@ -169,8 +169,7 @@ def sample_metadata(spark, folder):
 @query("file_inventory")
 def file_inventory(spark, folder):
     """Hashes of the table files themselves; their bytes grow with the tables."""
-    listed = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/*.parquet")
-    return listed.select(F.regexp_extract("path", "([^/]+)$", 1).alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    return files.file_inventory(spark, folder.rstrip("/")).where(F.col("path").endswith(".parquet"))
 
 
 @query("unsafe_paths", """
