@@ -47,6 +47,9 @@ OUT_WORDS = frozenset("ad ads advert advertisement adverts banner promo promotio
                       "navbar menu breadcrumb breadcrumbs footer header cookie cookies consent notice gdpr comment comments "
                       "disqus reply replies related recommended share sharing social newsletter subscribe signup login "
                       "popup modal widget pagination pager toolbar complementary contentinfo search".split())
+# Of them, those that make an article element itself no article text; others may tell of its layout.
+OUT_ARTICLES = frozenset("ad ads advert advertisement adverts promo promotion sponsor sponsored comment comments reply replies "
+                         "related recommended".split())
 # Elements that end an open element of the same kind, as writers leave end tags out.
 _CLOSES = {t: {t} for t in ("p", "li", "option", "tr", "td", "th")} | {"dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 
@@ -75,8 +78,9 @@ def _is_out(name: str, attributes: str) -> bool:
         return True
     for m in _NAMED.finditer(attributes):
         words = _PARTS.split((m[1] or m[2] or m[3] or "").lower())
-        if not OUT_WORDS.isdisjoint(words):
-            return name not in ("body", "html", "article", "main")
+        named = (OUT_ARTICLES if name in CONTAINERS else OUT_WORDS).intersection(words)
+        if named and name not in ("body", "html"):
+            return True
     return False
 
 
