@@ -113,6 +113,7 @@ def test_text_without_a_container_goes_by_density():
 @pytest.mark.parametrize("page,text", [
     ("", ""), ("<p>", ""), ("plain", "plain"), ("<article>a&nbsp;b &#233; <p", "a b é"), ("<!-- <article>x</article> -->", ""),
     ("<article><script>x", ""), ("<article>1 < 2 and 3</article>", "1 < 2 and 3"), ("<main>a<hr>b</main>c", "a\nb"),
+    ("<article class='post with-sidebar'>a<article class='comment even'>b</article></article><article class=related>c</article>", "a"),
     ("<article>" + "<p>x" * 30000 + "</article>", "\n".join(["x"] * 30000)),
 ])
 def test_odd_pages(page, text):
