@@ -150,7 +150,8 @@ def two_means(rows: DataFrame, ord: str, label: str, vec: str, min_rows: int = 4
         F.col(vec).cast("array<double>").alias("vec"),
     )
     sizes = data.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
-    data = data.join(sizes.select("label"), "label").persist()
+    # Read once per round: written to the shared folder, which outlives a lost executor.
+    data = settle(data.join(sizes.select("label"), "label"))
     dims = data.select(F.size("vec")).first()
     if dims is None:
         empty = data.select("ord", "label", "vec", F.lit(0).alias("cluster"),

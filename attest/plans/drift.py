@@ -82,11 +82,12 @@ def _pictures(spark, folder):
 
 @query("mean_rgb", with_roles("batches", body="""
 SELECT ord, round(list_sum(list_concat(vec[1:1], [vec[1 + 4 * i] FOR i IN range(1, 16)])) / 16 / 255, 8) AS c0,
+  round(list_sum([vec[2 + 4 * i] FOR i IN range(16)]) / 16 / 255, 8) AS c1, round(list_sum([vec[3 + 4 * i] FOR i IN range(16)]) / 16 / 255, 8) AS c2,
   round(list_sum([vec[4 + 4 * i] FOR i IN range(16)]) / 16 / 255, 8) AS c3 FROM batches"""))
 def mean_rgb(spark, folder):
     means = V.channel_means(F.col("vec"), 4, 255.0)
     return role(spark, folder, "batches").select("ord", means.alias("m")).select(
-        "ord", r(F.col("m")[0], 8).alias("c0"), r(F.col("m")[3], 8).alias("c3"))
+        "ord", *[r(F.col("m")[i], 8).alias(f"c{i}") for i in range(4)])
 
 
 # Pictures as lists of 64 grey values, and one row per pixel.

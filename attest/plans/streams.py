@@ -24,7 +24,8 @@ def _in_seconds(df: DataFrame) -> DataFrame:
 def _events(spark, folder):
     """The event table as a file stream."""
     schema = table(spark, folder, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    # A micro-batch takes a bounded number of files.
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 64).parquet(folder)
     # The table stores wall-clock times: read them as UTC whatever the session zone.
     micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', CAST(ts AS timestamp_ntz))")
     return raw.withColumn("ts", F.timestamp_micros(micros))
