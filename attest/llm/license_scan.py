@@ -1,12 +1,12 @@
 """License scan with a positional index of rare licence words.
 
 Templates are short licence sentences with mandatory key phrases. Corpus-wide document
-frequencies of the template vocabulary give each word's IDF; a phrase is looked up by
-its highest-IDF word. In a file, every occurrence of such an anchor asks the postings
-(template, position): the difference of the positions is the template's offset in the
-file. Offsets are intersected over the anchors of a template, its mandatory phrases are
-verified word by word there, and the IDF share of template words standing at the offset
-is the score.
+frequencies of the template vocabulary give each word's IDF; a template has one anchor,
+the highest-IDF word of its first mandatory phrase. In a file, every occurrence of an
+anchor asks the postings (template, position): the difference of the positions is the
+template's offset in the file. There its mandatory phrases are verified word by word, and
+the IDF share of template words standing at the offset is the score. Offsets of several
+anchors are not intersected: with one posting for a template there is nothing to intersect.
 
 Defined results: null and wordless texts have zero words, no places and no labels, score
 0; ties between templates give one label each; order and repeats of rows play no part.
