@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attest.llm import (bpe_count, context_tree, decontaminate, exact_dedup, html_text, license_scan, quality,
-                        sentencepiece_bpe, simhash, url_filter)
+                        sentencepiece_bpe, simhash, token_alignment, url_filter)
 from attest.llm.queries import query, table
 
 # The rules (host, path, action) and the host labels whose pages form the block list.
@@ -131,3 +131,9 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_context_tree")
 def op10_context_tree(spark: SparkSession, folder: str) -> DataFrame:
     return context_tree.score(table(spark, folder, "documents"))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.report(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                  public_tokenizers.path("piece_bpe_32k.model"))
