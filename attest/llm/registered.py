@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attest.llm import (bpe_count, context_tree, decontaminate, exact_dedup, html_text, license_scan, quality,
+from attest.llm import (bpe_count, context_tree, decontaminate, exact_dedup, html_text, license_scan, phrases, quality,
                         sentencepiece_bpe, simhash, token_alignment, url_filter)
 from attest.llm.queries import query, table
 
@@ -137,3 +137,35 @@ def op10_context_tree(spark: SparkSession, folder: str) -> DataFrame:
 def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return token_alignment.report(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                                   public_tokenizers.path("piece_bpe_32k.model"))
+
+
+# All phrases of up to three words inside the pieces, counted; then the cuts, and what longer ones share.
+_OP12_SQL = r"""
+with w as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w
+  from (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents)),
+f as (
+  select lang, p, len(p) as size, count(*) as n
+  from (select lang, w[i:i + k - 1] as p from (select lang, w, unnest(range(1, len(w) + 1)) as i from w), (values (1), (2), (3)) ks(k)
+        where i + k - 1 <= len(w))
+  group by 1, 2),
+totals as (select lang, sum(n)::bigint as n from f where size = 1 group by 1),
+inside as (
+  select lang, part, max(n) as most
+  from (select lang, n, unnest([p[1:2], p[2:3]]) as part from f where size = 3 and n >= 10) group by 1, 2),
+cuts as (
+  select c.lang, c.p, c.n as a, k, x.n as l, y.n as r,
+         (1000000::hugeint * c.n * c.n) // (x.n::hugeint * y.n) as score
+  from (select f.*, unnest(range(1, size)) as k from f left join inside i on i.lang = f.lang and i.part = f.p
+        where f.size > 1 and f.n >= 10 and (most is null or 100 * most < 50 * f.n)) c
+  join f x on x.lang = c.lang and x.p = c.p[1:k] join f y on y.lang = c.lang and y.p = c.p[k + 1:size]),
+lowest as (select lang, array_to_string(p, ' ') as phrase, a, min(struct_pack(score := score, k := k, l := l, r := r)) as s from cuts group by lang, p, a),
+placed as (select lang, row_number() over (partition by lang order by s.score desc, a desc, phrase) as rank, phrase, a, s.l as l, s.r as r, s.score::bigint as score from lowest)
+select lang, rank, phrase, a, l, r, n, score from placed join totals using (lang) where rank <= 2000
+"""
+
+
+@query("op12_phrases", _OP12_SQL)
+def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
