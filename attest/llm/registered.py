@@ -159,7 +159,7 @@ cuts as (
          (1000000::hugeint * c.n * c.n) // (x.n::hugeint * y.n) as score
   from (select f.*, unnest(range(1, size)) as k from f left join inside i on i.lang = f.lang and i.part = f.p
         where f.size > 1 and f.n >= 10 and (most is null or 100 * most < 50 * f.n)) c
-  join f x on x.lang = c.lang and x.p = c.p[1:k] join f y on y.lang = c.lang and y.p = c.p[k + 1:size]),
+  join f x on x.lang = c.lang and x.p = c.p[1:k] join f y on y.lang = c.lang and y.p = c.p[k + 1:c.size]),
 lowest as (select lang, array_to_string(p, ' ') as phrase, a, min(struct_pack(score := score, k := k, l := l, r := r)) as s from cuts group by lang, p, a),
 placed as (select lang, row_number() over (partition by lang order by s.score desc, a desc, phrase) as rank, phrase, a, s.l as l, s.r as r, s.score::bigint as score from lowest)
 select lang, rank, phrase, a, l, r, n, score from placed join totals using (lang) where rank <= 2000
