@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attest.llm import (bpe_count, context_tree, decontaminate, exact_dedup, html_text, license_scan, phrases, quality,
+from attest.llm import (bpe_count, context_tree, decontaminate, exact_dedup, html_text, language_kernel, license_scan, phrases, quality,
                         sentencepiece_bpe, simhash, token_alignment, url_filter)
 from attest.llm.queries import query, table
 
@@ -169,3 +169,8 @@ select lang, rank, phrase, a, l, r, n, score from placed join totals using (lang
 @query("op12_phrases", _OP12_SQL)
 def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(table(spark, folder, "documents"))
+
+
+@query("op13_language_id")
+def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_kernel.identify(table(spark, folder, "documents").select("doc_id", "text", "lang"))
