@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attest.operators.condensed import Graph, condense, sweep
 from attest.operators.evidence import SCOPES
 from attest.session import settle
 
@@ -15,9 +14,6 @@ RADIUS = {"model": "models", "dataset": "datasets",
           "inference": "inference_records", "inference_record": "inference_records"}
 
 
-_COMPACT = 16
-
-
 def build_nodes(declared: DataFrame, edges: DataFrame, parent_types: DataFrame | None = None) -> DataFrame:
     """Declared nodes plus an orphan row for every parent nobody declared.
 
@@ -65,64 +61,53 @@ def finding_nodes(findings: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def closure(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """All ``(source, node)`` pairs with node strictly downstream of source.
+def reach(graph: Graph, sources: DataFrame) -> DataFrame:
+    """``(source, node)`` numbers with node strictly downstream of the source; sources(id).
 
-    Semi-naive: each round extends only the pairs found in the previous one. Pairs
-    are settled per round, so the plan does not grow and a lost executor does not
-    restart the walk. Cycles end because known pairs are not extended again.
+    Carried from level to level over the condensed graph; members of a cycle are below each
+    other and themselves.
     """
-    links = settle(edges.select(F.col("parent").alias("node"), "child").distinct())
-    frontier = settle(
-        sources.select(F.col("id").alias("source")).distinct()
-        .join(links.withColumnRenamed("node", "source"), "source").select("source", F.col("child").alias("node")).distinct()
-    )
-    known = frontier
-    for number in itertools.count(1):
-        step = frontier.join(links, "node").select("source", F.col("child").alias("node")).distinct()
-        frontier = settle(step.join(known, ["source", "node"], "left_anti"))
-        if frontier.limit(1).count() == 0:
-            return known
-        # Known pairs are the files of all rounds; deep walks compact them now and then.
-        known = known.union(frontier)
-        if number % _COMPACT == 0:
-            known = settle(known)
+    asked = settle(graph.components(sources.select("id").distinct(), "id").select("comp", F.col("node").alias("value")))
+    got = sweep(graph, asked, DataFrame.distinct)
+    every = got.union(asked.join(graph.cyclic, "comp", "left_semi"))
+    return every.join(graph.members, "comp").select(F.col("value").alias("source"), "node")
 
 
-def downstream_of(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    return closure(edges, sources)
+def _named(graph: Graph, pairs: DataFrame, **columns: str) -> DataFrame:
+    """Ids in place of numbers: new column = old column."""
+    for new, old in columns.items():
+        pairs = pairs.join(graph.members.select(F.col("node").alias(old), F.col("id").alias(new)), old).drop(old)
+    return pairs.select(*columns)
 
 
-def ancestors_of(edges: DataFrame, targets: DataFrame) -> DataFrame:
-    """``(node, ancestor)`` pairs: the closure of the reversed edges."""
-    back = edges.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
-    return closure(back, targets).select(F.col("source").alias("node"), F.col("node").alias("ancestor"))
+def closure(edges: DataFrame, sources: DataFrame, graph: Graph | None = None) -> DataFrame:
+    """All ``(source, node)`` pairs with node strictly downstream of source."""
+    graph = graph or condense(edges)
+    numbers = reach(graph, sources).select(F.col("source").alias("s"), F.col("node").alias("n"))
+    return _named(graph, numbers, source="s", node="n")
 
 
-def cycle_edges(edges: DataFrame) -> DataFrame:
-    """Edges that lie on a cycle: their child reaches their parent.
+def downstream_of(edges: DataFrame, sources: DataFrame, graph: Graph | None = None) -> DataFrame:
+    return closure(edges, sources, graph)
 
-    Nodes without incoming or without outgoing edges cannot lie on a cycle; they
-    are peeled away round by round, and only the core that is left is walked.
-    """
-    current = settle(edges.select("parent", "child").distinct())
-    size = current.count()
-    while True:
-        if not size:
-            return current
-        children = current.select(F.col("child").alias("parent")).distinct()
-        parents = current.select(F.col("parent").alias("child")).distinct()
-        kept = settle(current.join(children, "parent", "left_semi").join(parents, "child", "left_semi")
-                      .select("parent", "child"))
-        left = kept.count()
-        current = kept
-        if left == size:
-            break
-        size = left
-    reach = closure(current, current.select(F.col("child").alias("id")))
-    loops = current.where("parent = child")
-    back = reach.select(F.col("source").alias("child"), F.col("node").alias("parent"))
-    return current.join(back, ["parent", "child"], "left_semi").union(loops).distinct()
+
+def ancestors_of(edges: DataFrame, targets: DataFrame | None = None, graph: Graph | None = None) -> DataFrame:
+    """``(node, ancestor)`` pairs of the targets(id), or of all nodes."""
+    graph = graph or condense(edges)
+    pairs = reach(graph, graph.members)
+    if targets is not None:
+        wanted = graph.components(targets.select("id").distinct(), "id").select("node")
+        pairs = pairs.join(wanted, "node", "left_semi")
+    return _named(graph, pairs.select(F.col("node").alias("n"), F.col("source").alias("a")), node="n", ancestor="a")
+
+
+def cycle_edges(edges: DataFrame, graph: Graph | None = None) -> DataFrame:
+    """Edges that lie on a cycle: both ends are in one component, or the edge is a loop."""
+    graph = graph or condense(edges)
+    on_cycle = graph.members.join(graph.cyclic, "comp", "left_semi")
+    side = lambda name: on_cycle.select(F.col("id").alias(name), F.col("comp").alias(f"_{name}"))
+    both = edges.select("parent", "child").distinct().join(side("parent"), "parent").join(side("child"), "child")
+    return both.where("_parent = _child").select("parent", "child")
 
 
 def blast_radius(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -146,57 +131,46 @@ def consumers_hit(pairs: DataFrame, records: DataFrame) -> DataFrame:
     ).groupBy("source", "consumer_id").agg(F.count(F.lit(1)).alias("records"))
 
 
-def _links(edges: DataFrame) -> DataFrame:
-    return settle(edges.select(F.col("parent").alias("id"), "child").distinct())
+def propagate_min(edges: DataFrame, seeds: DataFrame, graph: Graph | None = None) -> DataFrame:
+    """``(id, value)``: the smallest of seeds(id, value) on any strict ancestor of a node.
+
+    Minima go from level to level, so the work is one use of every edge and no ancestor
+    pairs are built. Members of a cycle are above each other and themselves.
+    """
+    graph = graph or condense(edges)
+    own = graph.components(seeds.select("id", "value"), "id").groupBy("comp").agg(F.min("value").alias("value"))
+    return _lowest(graph, own).join(graph.members, "comp").select("id", "value")
 
 
-def propagate_min(edges: DataFrame, seeds: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """``(id, value)``: the smallest seed value on any strict ancestor of a node.
+def _lowest(graph: Graph, own: DataFrame) -> DataFrame:
+    """``(comp, value)``: the smallest own value strictly above each component's members."""
+    least = lambda df: df.groupBy("comp").agg(F.min("value").alias("value"))
+    own = settle(own)
+    return least(sweep(graph, own, least).union(own.join(graph.cyclic, "comp", "left_semi").select("comp", "value")))
 
-    Values travel along edges and only improvements travel on, so the work is
-    edges times depth and no ancestor pairs are built. A round writes its improvements
-    only; they are merged when many files have gathered, and at the end.
-    """
-    links = _links(edges) if links is None else links
-    start = seeds.groupBy("id").agg(F.min("value").alias("value"))
-    frontier = settle(links.join(start, "id").groupBy(F.col("child").alias("id")).agg(F.min("value").alias("value")))
-    known = frontier
-    best = lambda df: df.groupBy("id").agg(F.min("value").alias("value"))
-    for number in itertools.count(1):
-        sent = best(links.join(frontier, "id").select(F.col("child").alias("id"), "value"))
-        # One aggregation over what is known and what is sent tells which nodes improve.
-        both = sent.select("id", "value", F.lit(None).cast(known.schema["value"].dataType).alias("had")).unionByName(
-            known.select("id", F.lit(None).cast(known.schema["value"].dataType).alias("value"), F.col("value").alias("had")))
-        merged = both.groupBy("id").agg(F.min("value").alias("value"), F.min("had").alias("had"))
-        frontier = settle(merged.where("value is not null and (had is null or value < had)").select("id", "value"))
-        if frontier.isEmpty():
-            return best(known)
-        known = known.union(frontier)
-        if number % _COMPACT == 0:
-            known = settle(best(known))
-
-
-def propagate_confidence(edges: DataFrame, findings: DataFrame, own: DataFrame) -> DataFrame:
+
+def propagate_confidence(edges: DataFrame, findings: DataFrame, own: DataFrame, graph: Graph | None = None) -> DataFrame:
     """``own(id, confidence)`` capped by findings attached to strict ancestors, not siblings."""
     attached = findings.select(F.col("asset_id").alias("id"), F.col("confidence").alias("value"))
-    capped = propagate_min(edges, attached)
+    capped = propagate_min(edges, attached, graph)
     return own.join(capped, "id", "left").select(
         "id", F.least(F.col("confidence"), F.coalesce("value", F.col("confidence"))).alias("confidence")
     )
 
 
-def scope_tops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def scope_tops(nodes: DataFrame, edges: DataFrame, graph: Graph | None = None) -> DataFrame:
     """``(id, top_id, top_type)``: the smallest highest scoped ancestor-or-self of each node.
 
     A scoped node is highest when no scoped node lies above it, whatever asset asks,
-    so the highest ids themselves can travel downstream.
+    so the highest ids themselves can travel downstream, as numbers in the ids' order.
     """
-    nodes = settle(nodes.select("id", "node_type"))
-    links = _links(edges)
-    scoped = nodes.where(F.col("node_type").isin(sorted(SCOPES)))
-    below = propagate_min(edges, scoped.select("id", F.lit(1).alias("value")), links=links).select("id")
-    top = scoped.join(below, "id", "left_anti")
-    reached = propagate_min(edges, top.select("id", F.col("id").alias("value")), links=links)
-    best = reached.union(top.select("id", F.col("id").alias("value"))).groupBy("id").agg(F.min("value").alias("top_id"))
-    kinds = nodes.select(F.col("id").alias("top_id"), F.col("node_type").alias("top_type"))
-    return best.join(kinds, "top_id").select("id", "top_id", "top_type")
+    graph = graph or condense(edges, nodes)
+    typed = settle(graph.components(nodes.select("id", "node_type"), "id"))
+    scoped = typed.where(F.col("node_type").isin(sorted(SCOPES)))
+    below = _lowest(graph, scoped.select("comp", F.lit(1).alias("value")).distinct())
+    top = settle(scoped.join(below, "comp", "left_anti").select("comp", F.col("node").alias("value"), "id", "node_type"))
+    # A highest node is on no cycle with a scoped node, itself included: it is its own component's only one.
+    reached = sweep(graph, top.select("comp", "value"), lambda df: df.groupBy("comp").agg(F.min("value").alias("value")))
+    best = reached.union(top.select("comp", "value")).groupBy("comp").agg(F.min("value").alias("value"))
+    names = top.select("value", F.col("id").alias("top_id"), F.col("node_type").alias("top_type"))
+    return best.join(names, "value").join(graph.members, "comp").select("id", "top_id", "top_type")

@@ -10,6 +10,7 @@ from attest.operators import behaviour as B
 from attest.operators import contributors as C
 from attest.operators import evidence as E
 from attest.operators import lineage as L
+from attest.operators.condensed import condense
 from attest.plans import roles
 from attest.plans.registry import query, r, table
 from attest.plans.roles import role, with_roles
@@ -519,19 +520,24 @@ def orphan_nodes(spark, folder):
 
 
 @query("lineage_cycles", with_roles("lineage_edges", recursive=True, body="""
-+ e AS (SELECT parent, child FROM lineage_edges WHERE parent_type = 'contributor'
++ e AS (SELECT parent, child FROM lineage_edges
   UNION SELECT 'nation-' || TEXT(n_nationkey), 'region-' || TEXT(n_regionkey) FROM nation WHERE n_nationkey % 5 = 0
-  UNION SELECT 'customer-' || TEXT(c_custkey), 'nation-' || TEXT(c_nationkey) FROM customer WHERE c_custkey % 41 = 0),
-reach(src, dst) AS (SELECT parent, child FROM e UNION SELECT r.src, e.child FROM reach r JOIN e ON r.dst = e.parent)
+  UNION SELECT 'customer-' || TEXT(c_custkey), 'nation-' || TEXT(c_nationkey) FROM customer WHERE c_custkey % 41 = 0
+  UNION SELECT 'order-' || TEXT(o_orderkey), 'customer-' || TEXT(o_custkey) FROM orders WHERE o_orderkey % 83 = 0),
+t AS (SELECT * FROM e WHERE child IN (SELECT parent FROM e)),
+u AS (SELECT * FROM t WHERE child IN (SELECT parent FROM t)),
+reach(src, dst) AS (SELECT parent, child FROM u UNION SELECT r.src, u.child FROM reach r JOIN u ON r.dst = u.parent)
 SELECT e.parent, e.child FROM e JOIN reach r ON r.src = e.child AND r.dst = e.parent"""))
 def lineage_cycles(spark, folder):
-    edges = role(spark, folder, "lineage_edges").where("parent_type = 'contributor'").select("parent", "child")
+    edges = role(spark, folder, "lineage_edges").select("parent", "child")
     name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
     back = table(spark, folder, "nation").where("n_nationkey % 5 = 0").select(
         name("nation-", "n_nationkey").alias("parent"), name("region-", "n_regionkey").alias("child"))
     more = table(spark, folder, "customer").where("c_custkey % 41 = 0").select(
         name("customer-", "c_custkey").alias("parent"), name("nation-", "c_nationkey").alias("child"))
-    return L.cycle_edges(edges.union(back).union(more))
+    deep = table(spark, folder, "orders").where("o_orderkey % 83 = 0").select(
+        name("order-", "o_orderkey").alias("parent"), name("customer-", "o_custkey").alias("child"))
+    return L.cycle_edges(edges.union(back).union(more).union(deep))
 
 
 _REACH = """
@@ -553,13 +559,11 @@ def downstream_of(spark, folder):
 
 @query("ancestors_of", with_roles("lineage_edges", recursive=True, body="""
 + e AS (SELECT DISTINCT parent, child FROM lineage_edges),
-up(node, anc) AS (SELECT child, parent FROM e WHERE child LIKE 'order-%'
-  UNION SELECT u.node, e.parent FROM up u JOIN e ON u.anc = e.child)
+up(node, anc) AS (SELECT child, parent FROM e UNION SELECT u.node, e.parent FROM up u JOIN e ON u.anc = e.child)
 SELECT node, anc AS ancestor FROM up"""))
 def ancestors_of(spark, folder):
     edges, _, _ = _graph(spark, folder)
-    orders = edges.where("child like 'order-%'").select(F.col("child").alias("id"))
-    return L.ancestors_of(edges, orders)
+    return L.ancestors_of(edges)
 
 
 @query("blast_radius", with_roles("lineage_edges", "lineage_nodes", recursive=True, body=_REACH + """
@@ -568,8 +572,12 @@ SELECT src AS source, count(*) FILTER (node_type = 'model') AS models, count(*)
 FROM reach JOIN node ON dst = id WHERE node_type IN ('model', 'dataset', 'inference') GROUP BY src"""))
 def blast_radius(spark, folder):
     edges, _, nodes = _graph(spark, folder)
-    pairs = L.closure(edges, nodes.where("id like 'region-%' or id like 'nation-%'"))
-    return L.blast_radius(pairs, nodes)
+    graph = condense(edges)
+    sources = nodes.where("id like 'region-%' or id like 'nation-%'")
+    numbered = graph.components(nodes, "id").select(F.col("node").alias("id"), "node_type")
+    hit = L.blast_radius(L.reach(graph, sources), numbered)
+    names = graph.members.select(F.col("node").alias("source"), "id")
+    return hit.join(names, "source").select(F.col("id").alias("source"), "models", "datasets", "inference_records", "total")
 
 
 @query("blast_consumers", with_roles("lineage_edges", "lineage_nodes", recursive=True, body=_REACH + """
@@ -587,20 +595,20 @@ def blast_consumers(spark, folder):
 
 @query("propagate_confidence", with_roles("lineage_edges", "lineage_findings", recursive=True, body="""
 + e AS (SELECT DISTINCT parent, child FROM lineage_edges),
-up(node, anc) AS (SELECT child, parent FROM e WHERE child LIKE 'order-%'
-  UNION SELECT u.node, e.parent FROM up u JOIN e ON u.anc = e.child)
-SELECT node AS id, least(0.45, coalesce(min(confidence), 0.45)) AS confidence
-FROM up LEFT JOIN lineage_findings ON anc = asset_id GROUP BY node"""))
+up(node, anc) AS (SELECT child, parent FROM e UNION SELECT u.node, e.parent FROM up u JOIN e ON u.anc = e.child),
+every AS (SELECT parent AS id FROM e UNION SELECT child FROM e),
+cap AS (SELECT node, min(confidence) AS confidence FROM up JOIN lineage_findings ON anc = asset_id GROUP BY node)
+SELECT id, least(CAST(0.45 AS DOUBLE), coalesce(confidence, 0.45)) AS confidence FROM every LEFT JOIN cap ON id = node"""))
 def propagate_confidence(spark, folder):
     edges, _, _ = _graph(spark, folder)
-    own = edges.where("child like 'order-%'").select(F.col("child").alias("id"), F.lit(0.45).alias("confidence")).distinct()
-    return L.propagate_confidence(edges, role(spark, folder, "lineage_findings"), own)
+    every = edges.select(F.col("parent").alias("id")).union(edges.select("child")).distinct()
+    return L.propagate_confidence(edges, role(spark, folder, "lineage_findings"), every.withColumn("confidence", F.lit(0.45)))
 
 
 @query("resolve_scope", with_roles("lineage_edges", "lineage_nodes", recursive=True, body="""
 + e AS (SELECT DISTINCT parent, child FROM lineage_edges),
 node AS (SELECT id, node_type FROM lineage_nodes UNION SELECT parent, parent_type FROM lineage_edges WHERE parent NOT IN (SELECT id FROM lineage_nodes)),
-ask AS (SELECT id FROM node WHERE id LIKE 'line-%' OR id LIKE 'region-%' OR id LIKE 'supplier-%'),
+ask AS (SELECT id FROM node),
 up(id, anc) AS (SELECT id, id FROM ask UNION SELECT u.id, e.parent FROM up u JOIN e ON u.anc = e.child),
 cand AS (SELECT up.id, anc, node_type FROM up JOIN node ON node.id = anc WHERE node_type <> 'asset'),
 tops AS (SELECT c.id, c.anc, c.node_type FROM cand c WHERE NOT EXISTS (
@@ -612,7 +620,6 @@ SELECT ask.id AS asset_id, CASE coalesce(node_type, '') WHEN 'contributor' THEN
 FROM ask LEFT JOIN best USING (id)"""))
 def resolve_scope(spark, folder):
     edges, _, nodes = _graph(spark, folder)
-    asked = nodes.where("id like 'line-%' or id like 'region-%' or id like 'supplier-%'").select(
-        F.col("id").alias("asset_id"), F.lit(None).cast("string").alias("quarantine_scope"))
+    asked = nodes.select(F.col("id").alias("asset_id"), F.lit(None).cast("string").alias("quarantine_scope"))
     out = E.resolve_scope(asked, L.scope_tops(nodes, edges))
     return out.select("asset_id", "scope", "scope_asset_id", F.col("scope_note").isNotNull().alias("fallback"))

@@ -10,6 +10,7 @@ from attest.operators import evidence as E
 from attest.operators import lineage as L
 from attest.operators import merkle as M
 from attest.operators import spotcheck as S
+from attest.operators.condensed import condense
 from tests.helpers import make_findings, rows_of
 
 
@@ -65,6 +66,58 @@ def test_cycles(spark):
     assert L.cycle_edges(edges.where("parent = 'x'")).count() == 0
 
 
+def random_graph(seed, n, m, loops):
+    r = np.random.default_rng(seed)
+    pairs = {(f"n{a:02d}", f"n{b:02d}") for a, b in r.integers(0, n, (m, 2)).tolist() if loops or a < b}
+    return sorted(pairs)
+
+
+@pytest.mark.parametrize("seed,n,m,loops", [(1, 30, 40, False), (2, 30, 90, False), (3, 30, 28, True), (4, 30, 60, True), (5, 12, 60, True), (6, 40, 44, True)])
+def test_graph_results_against_walking_every_path(spark, seed, n, m, loops):
+    """Cycles, ancestors, minima and scopes of small graphs with and without cycles."""
+    pairs = random_graph(seed, n, m, loops)
+    kids = {}
+    for a, b in pairs:
+        kids.setdefault(a, set()).add(b)
+    every = sorted({x for p in pairs for x in p})
+    below = {}
+    for x in every:
+        seen, todo = set(), [x]
+        while todo:
+            for y in kids.get(todo.pop(), ()):
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        below[x] = seen
+    edges = spark.createDataFrame(pairs * 2, "parent string, child string")
+    graph = condense(edges)
+    assert rows_of(L.cycle_edges(edges, graph), "parent", "child") == sorted((a, b) for a, b in pairs if a in below[b])
+    assert rows_of(L.ancestors_of(edges, graph=graph), "node", "ancestor") == sorted((y, x) for x in every for y in below[x])
+    some = spark.createDataFrame([(x,) for x in every[::3]] * 2, "id string")
+    assert rows_of(L.closure(edges, some, graph), "source", "node") == sorted((x, y) for x in every[::3] for y in below[x])
+    value = {x: (i * 7) % 11 for i, x in enumerate(every) if i % 2}
+    seeds = spark.createDataFrame(list(value.items()), "id string, value int")
+    want = {y: min(value[x] for x in value if y in below[x]) for y in every if any(y in below[x] for x in value)}
+    assert dict(rows_of(L.propagate_min(edges, seeds, graph), "id", "value")) == want
+    kinds = {x: ("asset", "dataset", "model")[i % 3] for i, x in enumerate([*every, "apart", "alone"])}
+    nodes = spark.createDataFrame(list(kinds.items()), "id string, node_type string")
+    below |= {"apart": set(), "alone": set()}
+    tops = {x for x in kinds if kinds[x] != "asset" and not any(x in below[y] for y in kinds if kinds[y] != "asset")}
+    want = {}
+    for x in kinds:
+        able = [t for t in tops if t == x or x in below[t]]
+        if able:
+            want[x] = (min(able), kinds[min(able)])
+    assert {r.id: (r.top_id, r.top_type) for r in L.scope_tops(nodes, edges).collect()} == want
+
+
+def test_graph_without_edges(spark):
+    none = spark.createDataFrame([], "parent string, child string")
+    nodes = spark.createDataFrame([("a", "model"), ("b", "asset")], "id string, node_type string")
+    assert L.cycle_edges(none).count() == 0 and L.ancestors_of(none).count() == 0
+    assert rows_of(L.scope_tops(nodes, none), "id", "top_id") == [("a", "a")]
+
+
 def test_finding_nodes_are_content_addressed(spark):
     found = make_findings(spark, [dict(ord=1), dict(ord=1)])
     assert L.finding_nodes(found).count() == 1
