@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
-from collections.abc import Callable, Hashable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z,
@@ -34,8 +36,16 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
     return _KEPT[key]
 
 
+def _give_back() -> None:
+    """Free pages of Arrow's pool, and of the C library where it can, go back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False):
-    """``run`` for ``mapInArrow``, giving memory back: at its end what Arrow's pool holds, and at its
+    """``run`` for ``mapInArrow``, giving memory back: at its end what Arrow's pool and the C library hold, and at its
     start the kept object of an earlier stage, unless it ``keeps`` one itself."""
     @functools.wraps(run)
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,7 +54,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ke
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            _give_back()
 
     return inner
 
@@ -69,3 +79,23 @@ def utf8(column: pa.Array) -> Iterator[bytes]:
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under fixed names, so that extra or clashing columns play no part."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
+
+
+def spare(columns: Iterable[str], *names: str) -> list[str]:
+    """``names`` behind as many underscores as it takes for none of them to be a column."""
+    taken, front = {c.lower() for c in columns}, "_"
+    while any((front + n).lower() in taken for n in names):
+        front += "_"
+    return [front + n for n in names]
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """Jobs inside send at most about ``size`` of rows to Python at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

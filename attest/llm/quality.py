@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.common import only, tidy
+from attest.llm.common import only, spare, tidy
 from attest.session import settle
 
 # At most this many labelled rows fit the model; the smallest hashes of doc_id are taken.
@@ -167,10 +167,18 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def added_names(columns: list[str]) -> list[str]:
+    """Names of the evidence, host rate, path rate, quality and kept columns of ``score``."""
+    return spare(columns, "evidence", "host_rate", "path_rate", "quality", "kept")
+
+
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source",
           path: str = "lang", label: str = "quality", max_fit: int = MAX_FIT, threshold: float = THRESHOLD,
           keep_text: bool = True) -> DataFrame:
-    """``docs`` (without their text if asked) with _evidence, _host_rate, _path_rate, _quality and _kept."""
+    """``docs`` (without their text if asked) with _evidence, _host_rate, _path_rate, _quality and _kept.
+
+    Where a column of ``docs`` has one of these names, all five take more underscores (``added_names``).
+    """
     truth = only(labels, key=key, good=label).where("key is not null and good is not null")
     truth = truth.groupBy("key").agg(F.max(F.col("good").cast("int")).alias("good"))
     sites = only(docs, key=key, host=host, path=path).where("key is not null")
@@ -181,15 +189,17 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     fitted = sample.orderBy("key").toPandas()
     model = fit(np.array(fitted["_evidence"].tolist()).reshape(-1, len(FEATURES)), fitted["good"].to_numpy(float))
     rates, mean = site_rates(labelled)
-    judged = with_evidence(docs, model, text, keep_text=keep_text)
-    same = F.col(f"`{host}`").eqNullSafe(F.col("_rh")) & F.col(f"`{path}`").eqNullSafe(F.col("_rp"))
-    hosts = settle(rates.select(F.col("host").alias("_hh"), F.col("host_rate").alias("_hr")).distinct())
-    full = rates.select(F.col("host").alias("_rh"), F.col("path").alias("_rp"), F.col("path_rate").alias("_pr"))
-    joined = judged.join(full, same, "left").join(hosts, F.col(f"`{host}`").eqNullSafe(F.col("_hh")), "left")
-    host_rate = F.coalesce("_hr", F.lit(mean))
-    path_rate = F.coalesce("_pr", host_rate)
-    odds = F.col("_evidence") + _logit(path_rate) - math.log(mean / (1 - mean))
+    evidence, *others = added_names(docs.columns)
+    rh, rp, pr, hh, hr = spare([*docs.columns, evidence], "rh", "rp", "pr", "hh", "hr")
+    judged = with_evidence(docs, model, text, out=evidence, keep_text=keep_text)
+    same = F.col(f"`{host}`").eqNullSafe(F.col(rh)) & F.col(f"`{path}`").eqNullSafe(F.col(rp))
+    hosts = settle(rates.select(F.col("host").alias(hh), F.col("host_rate").alias(hr)).distinct())
+    full = rates.select(F.col("host").alias(rh), F.col("path").alias(rp), F.col("path_rate").alias(pr))
+    joined = judged.join(full, same, "left").join(hosts, F.col(f"`{host}`").eqNullSafe(F.col(hh)), "left")
+    host_rate = F.coalesce(hr, F.lit(mean))
+    path_rate = F.coalesce(pr, host_rate)
+    odds = F.col(evidence) + _logit(path_rate) - math.log(mean / (1 - mean))
     quality = F.coalesce(1 / (1 + F.exp(-odds)), F.lit(0.0))
-    return joined.select(
-        *[F.col(f"`{c}`") for c in docs.columns if keep_text or c != text], "_evidence", host_rate.alias("_host_rate"),
-        path_rate.alias("_path_rate"), quality.alias("_quality"), (quality >= threshold).alias("_kept"))
+    added = (host_rate, path_rate, quality, quality >= threshold)
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if keep_text or c != text], evidence,
+                         *[c.alias(n) for n, c in zip(others, added)])

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.common import only, tokens_of, utf8, tidy
+from attest.llm.common import only, spare, tidy, tokens_of, utf8
 from attest.operators.components import connected_components
 from attest.session import settle
 
@@ -210,9 +210,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int
     best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("sign").alias("sign")))
     by_name = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_alone"))
     # Keys without nulls: the join and the removal of repeated rows then share one shuffle.
-    name = {"_none": F.col("b.none"), "_id": F.coalesce("b.id", F.lit(0)), "_sign": F.col("b.sign")}
-    stay = settle(by_name.agg(best.alias("b")).select(*[c.alias(n) for n, c in name.items()]))
+    names = spare(docs.columns, "none", "id", "sign")
+    parts = (F.col("b.none"), F.coalesce("b.id", F.lit(0)), F.col("b.sign"))
+    stay = settle(by_name.agg(best.alias("b")).select(*[c.alias(n) for n, c in zip(names, parts)]))
     own = F.col(f"`{key}`").cast("bigint")
-    marked = docs.withColumns({"_none": own.isNull(), "_id": F.coalesce(own, F.lit(0)), "_sign": sign})
-    kept = marked.join(stay, list(name), "left_semi").dropDuplicates(list(name))
+    marked = docs.withColumns(dict(zip(names, (own.isNull(), F.coalesce(own, F.lit(0)), sign))))
+    kept = marked.join(stay, names, "left_semi").dropDuplicates(names)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

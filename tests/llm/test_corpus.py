@@ -281,8 +281,9 @@ def test_pipeline_against_its_parts(spark):
     for i, t in sorted(left.items()):
         last[t or ""] = i
     left = {i: t for i, t in left.items() if last[t or ""] == i}
-    prints = {i: simhash(t) for i, t in left.items()}
-    root = roots(list(left), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
+    from .test_shingle_join import alike, grams
+    sets = {i: grams(t) for i, t in left.items()}
+    root = roots(list(left), lambda a, b: alike(sets[a], sets[b]))
     left = {i: t for i, t in left.items() if root[i] == i}
     from .test_url_and_text import brute_hits
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
