@@ -2,46 +2,58 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def _six(value) -> str | None:
-    if value is None:
-        return None
-    text = f"{value:.6f}"
-    return "0.000000" if text == "-0.000000" else text
-
-
-@F.pandas_udf(T.StringType())
-def _float_text(values: pd.Series) -> pd.Series:
-    return values.map(_six, na_action="ignore")
-
-
-@F.pandas_udf(T.StringType())
-def _float_array_text(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: "[" + ",".join(_six(x) for x in v) + "]", na_action="ignore")
+_FAIL = "non-finite numbers have no canonical form"
+_LARGE = "numbers from 10^38 on have no canonical form"
+_MILLION = 1_000_000.0
+_HALF = float(1 << 63)
 
 
 def _unfit(value: Column) -> Column:
     return F.isnan(value) | (F.abs(value) == float("inf"))
 
 
-# Python stages run before conditions are looked at, so the check sits on their input.
-_FAIL = "non-finite numbers have no canonical form"
+def _millionths(part: Column) -> Column:
+    """Millionths of a number in [0, 1), rounded by its exact binary value, half to even.
+
+    The product's rounding error is had exactly from the two halves of the number, and
+    moves the result only where the product itself lies half-way.
+    """
+    product = part * _MILLION
+    scaled = part * 134217729.0
+    high = scaled - (scaled - part)
+    error = (high * _MILLION - product) + (part - high) * _MILLION
+    near = F.rint(product)
+    off = product - near
+    return F.when((off == 0.5) & (error > 0), near + 1).when((off == -0.5) & (error < 0), near - 1).otherwise(near).cast("bigint")
 
 
 def canonical_float(value: Column) -> Column:
-    """Six decimals of the exact binary value; JVM formatting rounds the decimal text instead."""
-    checked = F.when(_unfit(value), F.raise_error(F.lit(_FAIL)).cast("double")).otherwise(value)
-    return _float_text(checked)
+    """Six decimals of the exact binary value; JVM formatting would round the decimal text instead."""
+    size = F.abs(value)
+    whole = F.floor(size)
+    parts = _millionths(F.when(size < _HALF, size - whole.cast("double")).otherwise(0.0))
+    small = whole + F.when(parts == 1_000_000, 1).otherwise(0)
+    # From 2^63 on numbers are whole: high and low part of 63 bits each.
+    above = F.floor(size / _HALF)
+    rest = (size - above.cast("double") * _HALF).cast("bigint").cast("decimal(38,0)")
+    large = (above.cast("decimal(19,0)") * F.lit(str(1 << 63)).cast("decimal(19,0)") + rest).cast("string")
+    digits = F.when(size < _HALF, F.concat(small.cast("string"), F.lit("."), F.lpad((parts % 1_000_000).cast("string"), 6, "0"))).when(
+        size < 1e38, F.concat(large, F.lit(".000000")))
+    zero = (size < _HALF) & (small == 0) & (parts == 0)
+    text = F.concat(F.when((value < 0) & ~zero, F.lit("-")).otherwise(F.lit("")), digits)
+    fail = F.when(_unfit(value), F.raise_error(F.lit(_FAIL))).otherwise(F.raise_error(F.lit(_LARGE)))
+    return F.when(_unfit(value) | (size >= 1e38), fail.cast("string")).otherwise(text)
 
 
 def canonical_float_array(values: Column) -> Column:
-    checked = F.when(F.exists(values, _unfit), F.raise_error(F.lit(_FAIL)).cast("array<double>")).otherwise(values)
-    return _float_array_text(checked)
+    texts = F.transform(values, lambda v: F.coalesce(canonical_float(v), F.lit("null")))
+    return F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
 
 
 def canonical_epoch(ts: Column) -> Column:
@@ -74,8 +86,22 @@ def canonical_value(column: Column, kind: T.DataType) -> Column:
         text = column.cast("string")
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
         text = canonical_float(column.cast("double"))
+    elif isinstance(kind, T.DecimalType):
+        # As few decimals as it takes, so that the declared scale plays no part.
+        plain = column.cast("string") if kind.scale == 0 else F.regexp_replace(column.cast("string"), r"\.?0+$", "")
+        text = F.when(column == 0, "0").otherwise(plain)
     elif isinstance(kind, T.TimestampType):
         text = canonical_epoch(column)
+    elif isinstance(kind, (T.DateType, T.TimestampNTZType)):
+        text = F.concat(F.lit('"'), column.cast("string"), F.lit('"'))
+    elif isinstance(kind, T.BinaryType):
+        text = F.concat(F.lit('"'), F.lower(F.hex(column)), F.lit('"'))
+    elif isinstance(kind, T.StructType):
+        text = canonical_object({f.name: canonical_value(column.getField(f.name), f.dataType) for f in kind.fields})
+    elif isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+        entries = F.transform(F.array_sort(F.map_keys(column)), lambda k: F.concat(
+            canonical_string(k), F.lit(":"), canonical_value(F.element_at(column, k), kind.valueType)))
+        text = F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}"))
     elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.DoubleType, T.FloatType)):
         text = canonical_float_array(column.cast("array<double>"))
     elif isinstance(kind, T.ArrayType):
@@ -88,9 +114,9 @@ def canonical_value(column: Column, kind: T.DataType) -> Column:
 
 def canonical_object(fields: dict[str, Column]) -> Column:
     """``{"a":..,"b":..}`` with sorted keys from already canonical values."""
-    parts: list[Column] = []
+    parts: list[Column] = [] if fields else [F.lit("{")]
     for i, name in enumerate(sorted(fields)):
-        lead = ("{" if i == 0 else ",") + '"' + name + '":'
+        lead = ("{" if i == 0 else ",") + json.dumps(name, ensure_ascii=False) + ":"
         parts += [F.lit(lead), fields[name]]
     return F.concat(*parts, F.lit("}"))
 

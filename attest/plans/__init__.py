@@ -4,7 +4,7 @@ import importlib
 
 from attest.plans.registry import ORACLES, QUERIES
 
-_MODULES = ["evidence", "evaluation", "similarity", "integrity", "drift", "behaviour", "provenance", "ingest", "streams"]
+_MODULES = ["evidence", "assessment", "evaluation", "similarity", "integrity", "drift", "behaviour", "provenance", "ingest", "streams"]
 
 
 def load() -> tuple[dict, dict]:

@@ -10,10 +10,11 @@ from attest.operators import behaviour as B
 from attest.operators import contributors as C
 from attest.operators import evidence as E
 from attest.operators import lineage as L
+from attest.operators import passport as P
 from attest.operators.condensed import condense
 from attest.plans import roles
 from attest.plans.registry import query, r, table
-from attest.plans.roles import role, with_roles
+from attest.plans.roles import ROLES, role, with_roles
 from attest.schemas import as_findings
 
 # SQL shared by several checks.
@@ -403,24 +404,93 @@ def assurance_debt(spark, folder):
     return owed.groupBy("check", "gap").agg(F.count(F.lit(1)).alias("owed"))
 
 
-@query("coverage_statement", _ACCESS_SQL + """
-SELECT section, count(*) AS items FROM (
-  SELECT DISTINCT 'assurance_debt' AS section, "check", reason FROM x WHERE status <> 'ran') GROUP BY section
-UNION ALL SELECT 'attack_class', 6 UNION ALL SELECT 'capability', 18 UNION ALL SELECT 'evaluation', 2""")
+_STATIC_SQL = ("(VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in [
+    *[("attack_class", n, f"near to {e}; its checks may miss cases") for n, e in P.ATTACK_CLASSES.items()],
+    ("fallback", "black_box", P.FALLBACK), *[("limitation", f"{i:02d}", t) for i, t in enumerate(P.LIMITATIONS, 1)],
+    ("evaluation", "ablation", "reported for the data given"), ("evaluation", "adaptive_attacker", "not evaluated")]) + ") s(section, item, status)")
+_STATEMENT_SQL = f"""SELECT section, item, status FROM {_STATIC_SQL}
+UNION ALL SELECT 'capability', "check" || ' / ' || level, CASE level WHEN 'black_box' THEN black_box WHEN 'gray_box' THEN gray_box ELSE white_box END
+  FROM cap, (VALUES ('black_box'), ('gray_box'), ('white_box')) l(level) WHERE no < 6
+UNION ALL SELECT DISTINCT 'assurance_debt', "check", reason FROM x WHERE status <> 'ran'"""
+
+
+def _debt(spark, folder):
+    return B.assurance_debt(B.access_matrix(*_access_inputs(spark, folder)))
+
+
+@query("coverage_statement", _ACCESS_SQL + _STATEMENT_SQL)
 def coverage_statement(spark, folder):
-    owed = B.assurance_debt(B.access_matrix(*_access_inputs(spark, folder)))
-    return E.coverage_statement(owed, ["ablation"]).groupBy("section").agg(F.count(F.lit(1)).alias("items"))
+    return P.coverage_statement(_debt(spark, folder), ["ablation"])
 
 
-@query("passport", with_roles("findings", body=f"""
-SELECT asset_id, count(*) AS findings, count(*) FILTER ({SQL_VERDICT} = 'QUARANTINE') AS quarantine,
-  count(*) FILTER ({SQL_VERDICT} = 'REVIEW') AS review, count(*) FILTER ({SQL_VERDICT} = 'ACCEPT') AS accept,
-  string_agg(DISTINCT access_assumptions, ',' ORDER BY access_assumptions) AS access_used FROM findings GROUP BY asset_id"""))
-def passport(spark, folder):
+# Manifests of every asset that has findings, and of some that have none; assets of the debts.
+ROLES["passport_assets"] = """
+SELECT 'doc-' || TEXT(doc_id) AS asset_id, CASE WHEN doc_id % 3 > 0 THEN 'dataset' END AS node_type, CASE WHEN doc_id % 5 > 0 THEN md5(source) END AS hash FROM {documents}"""
+ROLES["passport_manifests"] = """
+SELECT 'doc-' || TEXT(doc_id) AS asset_id, CASE no WHEN 1 THEN 'dataset' WHEN 2 THEN 'model' ELSE 'pipeline' END AS kind,
+  md5(source || TEXT(no)) AS digest, CASE WHEN no < 3 THEN '/data/' || source || '_' || TEXT(no) END AS path
+FROM (SELECT doc_id, source, EACH(1, 3) AS no FROM {documents}) AS d WHERE (doc_id + no) % 4 > 0"""
+ROLES["passport_debts"] = """
+SELECT 'doc-' || TEXT(doc_id) AS asset_id, 'Probe ' || TEXT(no) AS check_name, 'gap of ' || lang AS gap,
+  'Probe ' || TEXT(no) || ': run it on ' || lang AS recommendation
+FROM (SELECT doc_id, lang, EACH(1, 2) AS no FROM {documents}) AS d WHERE (doc_id + no) % 6 = 0"""
+
+
+def _passports(spark, folder):
     judged = E.decide(findings(spark, folder))
-    limits = spark.createDataFrame([("Six-decimal precision in canonical text.",)], "limitation string")
-    return E.passport_headers(judged, limits).select(
-        "asset_id", "findings", "quarantine", "review", "accept", F.array_join("access_used", ",").alias("access_used"))
+    assets, manifests = role(spark, folder, "passport_assets"), role(spark, folder, "passport_manifests")
+    debt = role(spark, folder, "passport_debts").withColumnRenamed("check_name", "check")
+    rows = P.passport_rows(judged, assets, manifests, debt)
+    statement = P.coverage_statement(_debt(spark, folder), ["ablation"])
+    heads = P.passport_headers(judged, rows, assets, statement, F.lit("2024-05-01 12:00:00").cast("timestamp"))
+    return judged, manifests, debt, rows, heads
+
+
+_NUM = "printf('%.6f', {})"
+_TEXT = "coalesce('\"' || {} || '\"', 'null')"
+_SUMS = "coalesce(TEXT(sum(CAST('0x' || substr(h, {}, 15) AS BIGINT)::HUGEINT)), '0')"
+_H4 = " || ':' || ".join(_SUMS.format(1 + 15 * i) for i in range(4))
+_LIMITS_SQL = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in P.LIMITATIONS) + "]"
+_PASSPORT_CTE = _ACCESS_SQL.rstrip() + f""",
+judged AS (SELECT *, {SQL_VERDICT} AS verdict FROM findings),
+body AS (SELECT *, CASE WHEN verdict = 'QUARANTINE' AND counter_text IS NULL THEN 'Nothing given speaks against this quarantine: have it reviewed again.' END AS warning,
+  replace(finding_type, '_', ' ') || ': ' || evidence_text || ' (severity ' || TEXT(severity) || ', confidence ' || TEXT(confidence) || ': ' || lower(verdict) || ')' AS reason FROM judged),
+content AS (
+  SELECT asset_id, 'finding' AS section, '{{"access_assumptions":' || {_TEXT.format('access_assumptions')} || ',"asset_id":"' || asset_id || '","confidence":' || {_NUM.format('confidence')}
+    || ',"counter_evidence":[' || coalesce('"' || counter_text || '"', '') || '],"disposition":"' || lower(verdict) || '","evidence":["' || evidence_text || '"],"finding_type":"' || finding_type
+    || '","modality":"' || modality || '","ord":' || TEXT(ord) || ',"provenance":{{"attrs":{{}},"config_hash":"' || config_hash || '","detector_id":"' || detector_id
+    || '","detector_ids":[],"input_hashes":[],"modalities":[],"signal_ids":[' || coalesce('"' || signal_id || '"', '') || '],"version":"1.0.0"}},"quarantine_scope":' || {_TEXT.format('quarantine_scope')}
+    || ',"reason":"' || reason || '","recommended_action":"' || recommended_action || '","severity":' || {_NUM.format('severity')} || ',"verdict":"' || verdict || '","warning":' || {_TEXT.format('warning')} || '}}' AS content FROM body
+  UNION ALL SELECT asset_id, 'asset', '{{"asset_id":"' || asset_id || '","hash":' || {_TEXT.format('hash')} || ',"node_type":' || {_TEXT.format('node_type')} || '}}' FROM passport_assets
+  UNION ALL SELECT asset_id, 'manifest', '{{"asset_id":"' || asset_id || '","digest":"' || digest || '","kind":"' || kind || '","path":' || {_TEXT.format('path')} || '}}' FROM passport_manifests
+  UNION ALL SELECT asset_id, 'debt', '{{"asset_id":"' || asset_id || '","check":"' || check_name || '","gap":"' || gap || '","recommendation":"' || recommendation || '"}}' FROM passport_debts),
+sums AS (SELECT asset_id, {_H4} AS all_rows, count(*) FILTER (section = 'manifest') AS manifests, count(*) FILTER (section = 'debt') AS debts
+  FROM (SELECT *, sha256(section || ':' || content) AS h FROM content) GROUP BY asset_id),
+stated AS (SELECT sha256({_H4}) AS coverage_digest FROM (SELECT sha256('{{"item":"' || item || '","section":"' || section || '","status":' || {_TEXT.format('status')} || '}}') AS h FROM ({_STATEMENT_SQL}))),
+counts AS (SELECT asset_id, count(*) AS findings, count(*) FILTER (verdict = 'QUARANTINE') AS quarantine, count(*) FILTER (verdict = 'REVIEW') AS review,
+  count(*) FILTER (verdict = 'ACCEPT') AS accept, list_sort(list(DISTINCT access_assumptions)) AS access_used FROM judged GROUP BY asset_id),
+heads AS (SELECT a.asset_id, node_type, hash, coalesce(findings, 0) AS findings, coalesce(quarantine, 0) AS quarantine, coalesce(review, 0) AS review, coalesce(accept, 0) AS accept,
+  manifests, debts, coalesce(access_used, []) AS access_used, list_concat({_LIMITS_SQL}, CASE WHEN findings IS NULL THEN ['{P.NO_FINDINGS}'] ELSE [] END, ['{P.PRECISION}']) AS limitations,
+  coverage_digest, all_rows FROM passport_assets a LEFT JOIN counts USING (asset_id) JOIN sums USING (asset_id), stated),
+passports AS (SELECT *, sha256(concat_ws(chr(10), all_rows, '"' || asset_id || '"', {_TEXT.format('node_type')}, {_TEXT.format('hash')}, '"1.0.0"', '1714564800.000000', TEXT(findings), TEXT(quarantine),
+  TEXT(review), TEXT(accept), TEXT(manifests), TEXT(debts), '[' || coalesce('"' || array_to_string(access_used, '","') || '"', '') || ']', '["' || array_to_string(limitations, '","') || '"]',
+  '"' || coverage_digest || '"')) AS digest FROM (SELECT * REPLACE (CASE WHEN len(access_used) = 0 THEN NULL ELSE access_used END AS access_used) FROM heads))
+"""
+
+
+@query("passport", with_roles("findings", "passport_assets", "passport_manifests", "passport_debts", body="+ " + _PASSPORT_CTE.strip().removeprefix("WITH") + """
+SELECT asset_id, node_type, hash, findings, quarantine, review, accept, manifests, debts, coalesce(array_to_string(access_used, ','), '') AS access_used,
+  array_to_string(limitations, '|') AS limitations, coverage_digest, digest FROM passports"""))
+def passport(spark, folder):
+    heads = _passports(spark, folder)[-1]
+    return heads.drop("version", "issued_at").withColumns(
+        {"access_used": F.array_join("access_used", ","), "limitations": F.array_join("limitations", "|")})
+
+
+@query("passport_rows", with_roles("findings", "passport_assets", "passport_manifests", "passport_debts", body="+ " + _PASSPORT_CTE.strip().removeprefix("WITH") + """
+SELECT asset_id, section, content FROM content"""))
+def passport_rows(spark, folder):
+    return _passports(spark, folder)[3].select("asset_id", "section", "content")
 
 
 @query("passport_reasons", with_roles("findings", body=f"""
@@ -431,11 +501,36 @@ def passport_reasons(spark, folder):
     return body.select("asset_id", "ord", "disposition", F.substring_index("reason", " (severity ", 1).alias("reason_start"))
 
 
-@query("passport_markdown")
+_CLEAN = "regexp_replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '([\\\\`*_{{}}\\[\\]()#+\\-.!|])', '\\\\\\1', 'g')"
+
+
+@query("passport_markdown", with_roles("findings", "passport_assets", "passport_manifests", "passport_debts", body="+ " + _PASSPORT_CTE.strip().removeprefix("WITH") + f"""
+, texts AS (
+SELECT asset_id, 0 AS section, 0 AS ord, ['# Passport', 'Asset: ' || {_CLEAN.format('asset_id')}, 'Type: ' || {_CLEAN.format("coalesce(node_type, 'unknown')")}, 'Hash: ' || coalesce(hash, 'none'),
+  'Version: 1\\.0\\.0', 'Issued: 2024\\-05\\-01 12:00:00', 'quarantine ' || TEXT(quarantine) || ', review ' || TEXT(review) || ', accept ' || TEXT(accept) || ', findings ' || TEXT(findings)] AS l FROM passports
+UNION ALL SELECT asset_id, 1, ord, list_concat(['### ' || {_CLEAN.format('finding_type')}, 'Disposition: ' || lower(verdict), 'Evidence:', '- ' || {_CLEAN.format('evidence_text')}, 'Counter-evidence:'],
+  CASE WHEN counter_text IS NULL THEN [] ELSE ['- ' || {_CLEAN.format('counter_text')}] END, ['Modality: ' || {_CLEAN.format('modality')}, 'Access: ' || {_CLEAN.format('access_assumptions')}]) FROM body
+UNION ALL SELECT asset_id, 1, 0, ['{P.NO_FINDINGS}'] FROM passports WHERE findings = 0
+UNION ALL SELECT asset_id, 2, CASE kind WHEN 'dataset' THEN 1 WHEN 'model' THEN 2 ELSE 3 END, ['- ' || kind || ' manifest ' || digest || coalesce(' of ' || {_CLEAN.format('path')}, '')] FROM passport_manifests
+UNION ALL SELECT asset_id, 3, -1, ['- ' || {_CLEAN.format('recommendation')}] FROM passport_debts
+UNION ALL SELECT asset_id, 4, 0, list_transform(limitations, lambda t: '- ' || {_CLEAN.format('t')}) FROM passports
+UNION ALL SELECT asset_id, 5, 0, ['Coverage statement: ' || coverage_digest, 'Digest: ' || digest] FROM passports)
+SELECT asset_id, section, CAST(ord AS BIGINT) AS ord, CAST(part AS INT) AS part, l[part + 1] AS line FROM (SELECT *, unnest(range(len(l))) AS part FROM texts)"""))
 def passport_markdown(spark, folder):
-    judged = E.decide(findings(spark, folder))
-    limits = spark.createDataFrame([("Six-decimal precision in canonical text.",)], "limitation string")
-    return E.passport_lines(E.passport_headers(judged, limits), E.passport_findings(judged))
+    judged, manifests, debt, _, heads = _passports(spark, folder)
+    out = P.passport_lines(heads, judged, manifests, debt)
+    # Debts stand in the order of a hash, which the check does not repeat.
+    return out.withColumn("ord", F.when(F.col("section") == 3, -1).otherwise(F.col("ord")))
+
+
+@query("verify_passports", with_roles("passport_assets", "passport_manifests", body="""
+SELECT a.asset_id, count(digest) FILTER (kind = 'model' AND length(a.asset_id) % 2 = 0) = 0 AS valid
+FROM passport_assets a LEFT JOIN passport_manifests m USING (asset_id) GROUP BY a.asset_id"""))
+def verify_passports(spark, folder):
+    """Model manifests of every asset with an id of even length are tampered with."""
+    _, _, _, rows, heads = _passports(spark, folder)
+    hit = (F.col("section") == "manifest") & F.col("content").contains('"kind":"model"') & (F.length("asset_id") % 2 == 0)
+    return P.verify_passports(heads, rows.withColumn("content", F.when(hit, F.replace("content", F.lit("/data/"), F.lit("/date/"))).otherwise(F.col("content"))))
 
 
 @query("staleness", """

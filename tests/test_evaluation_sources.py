@@ -102,6 +102,31 @@ def test_prefix_totals_and_salted_join(spark):
         assert rows_of(salted_join(left, right, ["k"], how, hot_rows=10).na.fill("-"), "k", "v", "w") == want
 
 
+def test_floats_round_by_their_binary_value(spark):
+    r = np.random.default_rng(4)
+    values = [0.0, -0.0, 0.5e-6, 1.5e-6, 2.5e-6, -0.5e-6, 1e-7, -1e-7, 0.1, 2.675, 0.9999995, 0.99999949999, 1e15 + 0.5, 2.0 ** 53, 2.0 ** 63, -(2.0 ** 63), 3e37, 1.0000005, 12345678.0000005,
+              5e-324, 1.7e-6, *(r.integers(0, 4_000_000, 300) / 2_000_000).tolist(), *(r.integers(0, 1 << 30, 300) / 2.0 ** 21).tolist(),
+              *np.exp(r.uniform(-20, 80, 300)).tolist(), *(-np.exp(r.uniform(-20, 40, 300))).tolist(), *(r.integers(0, 1 << 22, 300) / 64 / 15625).tolist()]
+    want = [f"{v:.6f}" for v in values]
+    want = ["0.000000" if w == "-0.000000" else w for w in want]
+    df = spark.createDataFrame([(i, v, [v, 1.0]) for i, v in enumerate(values)], "i int, v double, a array<double>")
+    out = df.select("i", K.canonical_float(F.col("v")).alias("t"), K.canonical_float_array(F.col("a")).alias("a")).orderBy("i").collect()
+    assert [r.t for r in out] == want and [r.a for r in out] == [f"[{w},1.000000]" for w in want]
+    for bad in (float("inf"), float("nan"), 1e38):
+        with pytest.raises(Exception, match="no canonical form"):
+            spark.createDataFrame([(bad,)], "v double").select(K.canonical_float(F.col("v"))).collect()
+
+
+def test_nested_canonical_text(spark):
+    df = spark.sql("""select named_struct('b', 1, 'a', named_struct('z', 'x"y', 'm', map('k2', array(1.5D, null), 'k1', array(-0.25D)))) as s,
+      cast(1.50 as decimal(10,4)) as d, cast(100 as decimal(10,0)) as e, cast(0 as decimal(9,3)) as z, date'2024-02-29' as day, unhex('00ff') as b,
+      timestamp_ntz'2024-01-01 00:00:01.5' as t, cast(null as map<string,int>) as n, map_from_entries(array(struct('b', 2), struct('a', 1))) as m,
+      array(named_struct('q', true)) as l, named_struct('p', cast(null as int)) as h""")
+    assert df.select(K.canonical_row(df.schema)).first()[0] == (
+        '{"b":"00ff","d":1.5,"day":"2024-02-29","e":100,"h":{"p":null},"l":[{"q":true}],"m":{"a":1,"b":2},"n":null,'
+        '"s":{"a":{"m":{"k1":[-0.250000],"k2":[1.500000,null]},"z":"x\\"y"},"b":1},"t":"2024-01-01 00:00:01.5","z":0}')
+
+
 def test_canonical_text(spark):
     text = 'quote " slash \\ line\nbell\x07 tab\t é'
     df = spark.createDataFrame([(text, -0.0000001, 0.1234565, True, 3, None)], "s string, z double, f double, b boolean, i int, n string")
