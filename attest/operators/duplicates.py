@@ -215,17 +215,13 @@ def cosine_clusters(rows: DataFrame, ord: str, vec: str, similarity: float = 0.9
     )
     edges = copies
     if total > 1:
-        pivots = M.choose_pivots(points, "vid", "unit", M.pivot_count(total))
-        assigned = settle(M.assign_cells(points, "vid", "unit", pivots, []))
-        rings = M.cell_rings(assigned, len(pivots))
+        tree, stored = M.build_tree(points, "vid", "unit", [])
         reach = math.sqrt(max(0.0, 2.0 - 2.0 * similarity)) + 1e-9
-        probes = M.target_cells(
-            points, "vid", "unit", pivots, rings, reach, include_home=True, only_lower=True
-        )
+        probes = M.target_cells(stored.withColumn("reach", F.lit(reach)), tree, include_home=True, only_lower=True)
         schema = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
         near = M.join_blocks(
-            probes, assigned.select("vid", "unit", "cell"), "vid", "unit", [],
-            _forest_kernel(similarity - 1e-12, "vid", "unit"), schema,
+            probes, stored.select("vid", "vec", "cell"), "vid", "vec", [],
+            _forest_kernel(similarity - 1e-12, "vid", "vec"), schema,
         )
         edges = copies.union(near)
     members = connected_components(edges)

@@ -1,9 +1,11 @@
-"""Exact distance joins in Euclidean space over pivot cells and row blocks.
-
-Points go to the cell of their nearest pivot. The distance from a point x to the
-hyperplane between its own pivot p and another pivot q is
-(d(x,q)^2 - d(x,p)^2) / (2 d(p,q)), so a cell whose hyperplane or annulus is
-farther than the search radius cannot hold a partner and is never visited.
+"""Exact distance joins in Euclidean space over a metric tree of two levels and row blocks.
+
+A point goes to the super-cell of its nearest top pivot (at most TOP of them, on the driver),
+and inside it to the cell of its nearest sub-pivot. Sub-pivots are rows, one list per
+super-cell, and meet blocks of points in a join: nothing on the driver grows with the rows.
+The distance from a point x to the hyperplane between its nearest pivot p and another
+pivot q is (d(x,q)^2 - d(x,p)^2) / (2 d(p,q)), so a cell whose hyperplane or annulus is
+farther than the search radius, on either level, cannot hold a partner and is never visited.
 Cells are cut into row blocks of bounded size; Spark equi-joins block pairs on
 (cell, block) and a numpy product compares one pair of blocks at a time. No
 task ever holds a whole cell, and no row pair is materialised unless it matches.
@@ -11,6 +13,7 @@ task ever holds a whole cell, and no row pair is materialised unless it matches.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Callable, Iterator
 
 import numpy as np
@@ -20,8 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attest.functions.scale import pack_blocks
+from attest.session import settle
 
 BLOCK_ROWS = 1024
+TOP = 256  # top pivots at most
+_SUB = 32  # a cell's number is its super-cell's, shifted by so many bits, and its own
 _ARROW_BYTES = 64 * 1024 * 1024
 
 
@@ -44,19 +50,21 @@ def block_of(column: pa.Array, row: int) -> pa.StructArray:
     return column[row].values
 
 
-def choose_pivots(points: DataFrame, ident: str, vec: str, count: int) -> np.ndarray:
-    """A fixed number of pivots: the points with the smallest hash of their id."""
-    rows = (
-        points.orderBy(F.xxhash64(F.col(ident), F.lit(17)), ident).limit(count).select(vec).collect()
-    )
-    return np.unique(np.asarray([r[0] for r in rows], dtype=np.float64), axis=0)
-
-
 def pivot_count(rows: int) -> int:
     """Cells grow with the square root of the rows, and so do the rows of a cell."""
     return int(max(4, np.sqrt(rows) / 2))
 
 
+@dataclass
+class Tree:
+    """``top`` pivots with the smallest and largest radius of their super-cells, and
+    ``subs(super, pivots, low, high)`` with the same for the cells of each super-cell."""
+
+    top: np.ndarray
+    rings: np.ndarray
+    subs: DataFrame
+
+
 def _distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     square = (
         (points * points).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2.0 * points @ pivots.T
@@ -64,87 +72,133 @@ def _distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
-def assign_cells(points: DataFrame, ident: str, vec: str, pivots: np.ndarray, keep: list[str]) -> DataFrame:
-    """Add ``cell`` and ``radius`` (distance to the own pivot)."""
+def _with_top(points: DataFrame, vec: str, top: np.ndarray, names: list[str]) -> DataFrame:
+    """``names`` of the points with ``super`` and ``top_radius``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            far = _distances(matrix_of(batch.column(vec)), pivots)
+            far = _distances(matrix_of(batch.column(vec)), top)
             cell = far.argmin(1)
-            arrays = list(batch.columns) + [
-                pa.array(cell.astype(np.int32)),
-                pa.array(far[np.arange(len(cell)), cell]),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "cell", "radius"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(cell)), cell])],
+                names=[*batch.schema.names, "super", "top_radius"])
 
-    source = points.select(ident, vec, *keep)
+    source = points.select(*names)
     schema = T.StructType(source.schema.fields + [
-        T.StructField("cell", T.IntegerType()), T.StructField("radius", T.DoubleType())
-    ])
+        T.StructField("super", T.IntegerType()), T.StructField("top_radius", T.DoubleType())])
     return source.mapInArrow(run, schema)
 
 
-def cell_rings(assigned: DataFrame, count: int) -> np.ndarray:
-    """Smallest and largest radius per cell: ``count`` rows on the driver."""
-    rings = np.full((count, 2), np.nan)
-    for r in assigned.groupBy("cell").agg(F.min("radius"), F.max("radius")).collect():
+def _by_super(rows: DataFrame, payload: list[str], subs: DataFrame, columns: list[str], size: int) -> DataFrame:
+    """Blocks of rows of one super-cell, each beside the columns of its sub-pivots."""
+    blocks = pack_blocks(rows, ["super"], "vid", payload, size).select("super", "rows")
+    return blocks.hint("merge").join(subs.select("super", *columns), "super")
+
+
+def build_tree(points: DataFrame, ident: str, vec: str, keep: list[str], size: int = BLOCK_ROWS) -> tuple[Tree, DataFrame]:
+    """The tree over ``points``, and the points with ``vid``, ``keep``, their ``cell`` and its radius (settled)."""
+    total = points.count()
+    wanted = pivot_count(total)
+    count = min(TOP, wanted)
+    # At most TOP vectors reach the driver.
+    rows = points.orderBy(F.xxhash64(F.col(ident), F.lit(17)), ident).limit(count).select(vec).collect()
+    top = np.unique(np.asarray([r[0] for r in rows], dtype=np.float64), axis=0)
+    named = points.select(F.col(ident).alias("vid"), F.col(vec).alias("vec"), *keep)
+    placed = settle(_with_top(named, "vec", top, ["vid", "vec", *keep]))
+    rings = np.full((len(top), 2), np.nan)
+    for r in placed.groupBy("super").agg(F.min("top_radius"), F.max("top_radius")).collect():
         rings[r[0]] = (r[1], r[2])
-    return rings
-
+    # The top pivot itself and a share of the points of its super-cell, by hash.
+    own = points.sparkSession.createDataFrame([(i, p.tolist()) for i, p in enumerate(top)], "super int, pivot array<double>")
+    share = max(0, wanted - count) / max(1, total)
+    more = placed.where(F.pmod(F.xxhash64("vid", F.lit(29)), F.lit(1 << 53)) < share * float(1 << 53)).select(
+        "super", F.col("vec").cast("array<double>").alias("pivot"))
+    pivots = settle(own.union(more).groupBy("super").agg(F.array_sort(F.collect_set("pivot")).alias("pivots")))
 
-def target_cells(
-    points: DataFrame,
-    ident: str,
-    vec: str,
-    pivots: np.ndarray,
-    rings: np.ndarray,
-    reach: str | float,
-    include_home: bool,
-    only_lower: bool = False,
-) -> DataFrame:
-    """One row per (point, cell that may hold a partner within its reach).
-
-    ``reach`` is a number or the name of a per-point column. ``only_lower`` keeps
-    cells numbered up to the own one, for symmetric joins.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, subs = block_of(batch.column("rows"), i), matrix_of(batch.column("pivots")[i].values)
+                far = _distances(matrix_of(block.field("vec")), subs)
+                near = far.argmin(1)
+                cell = (batch.column("super")[i].as_py() << _SUB) + near.astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [*[block.field(c) for c in ("vid", "vec", *keep)], pa.array(cell), pa.array(far[np.arange(len(near)), near])],
+                    names=["vid", "vec", *keep, "cell", "radius"])
+
+    bound_arrow_batches(points.sparkSession)
+    schema = T.StructType([f for f in placed.schema.fields if f.name not in ("super", "top_radius")] + [
+        T.StructField("cell", T.LongType()), T.StructField("radius", T.DoubleType())])
+    stored = settle(_by_super(placed, ["vec", *keep], pivots, ["pivots"], size).mapInArrow(run, schema))
+    cells = stored.groupBy("cell").agg(F.min("radius").alias("low"), F.max("radius").alias("high"))
+    listed = pivots.select("super", F.posexplode("pivots").alias("sub", "pivot")).withColumn(
+        "cell", F.shiftleft(F.col("super").cast("bigint"), _SUB) + F.col("sub"))
+    entry = F.array_sort(F.collect_list(F.struct("sub", "pivot", "low", "high")))
+    subs = listed.join(cells, "cell", "left").groupBy("super").agg(entry.alias("e")).select(
+        "super", F.col("e.pivot").alias("pivots"), F.col("e.low").alias("low"), F.col("e.high").alias("high"))
+    return Tree(top, rings, settle(subs)), stored
+
+
+def _open(far: np.ndarray, between: np.ndarray, rings: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Which cells of the pivots may hold a partner of each point; empty cells have no rings."""
+    home = far.argmin(1)
+    line = np.arange(len(home))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        margin = (far**2 - far[line, home][:, None] ** 2) / (2.0 * between[home])
+    margin[line, home] = 0.0
+    # Equal pivots have no plane between them.
+    margin = np.nan_to_num(margin, nan=0.0, posinf=np.inf)
+    return (margin <= reach) & (far - reach <= rings[:, 1]) & (far + reach >= rings[:, 0])
+
+
+def target_cells(points: DataFrame, tree: Tree, include_home: bool, only_lower: bool = False, size: int = BLOCK_ROWS) -> DataFrame:
+    """One row ``(vid, vec, cell)`` per point and cell that may hold a partner within its reach.
+
+    ``points(vid, vec, cell, reach)`` with their own cell. ``only_lower`` keeps cells
+    numbered up to the own one, for symmetric joins.
     """
-    between = _distances(pivots, pivots)
     tolerance = 1e-9
+    top, rings = tree.top, tree.rings
+    between = _distances(top, top)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            far = _distances(matrix_of(batch.column(vec)), pivots)
-            home = far.argmin(1)
-            line = np.arange(len(home))
-            radius = (
-                np.full(len(home), float(reach)) if not isinstance(reach, str)
-                else batch.column(reach).to_numpy(zero_copy_only=False)
-            )[:, None] + tolerance
-            gap = between[home]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                margin = (far**2 - far[line, home][:, None] ** 2) / (2.0 * gap)
-            margin[line, home] = 0.0
-            open_ = (margin <= radius) & (far - radius <= rings[:, 1]) & (far + radius >= rings[:, 0])
-            if not include_home:
-                open_[line, home] = False
-            else:
-                open_[line, home] = True
+            far = _distances(matrix_of(batch.column("vec")), top)
+            own = batch.column("cell").to_numpy(zero_copy_only=False) >> _SUB
+            reach = batch.column("reach").to_numpy(zero_copy_only=False)[:, None] + tolerance
+            able = _open(far, between, rings, reach)
+            able[np.arange(len(own)), own] = True
             if only_lower:
-                open_ &= np.arange(len(pivots))[None, :] <= home[:, None]
-            who, cell = np.nonzero(open_)
-            out = batch.take(pa.array(who))
-            yield pa.RecordBatch.from_arrays(
-                [out.column(ident), out.column(vec), pa.array(cell.astype(np.int32))],
-                names=[ident, vec, "cell"],
-            )
+                able &= np.arange(len(top))[None, :] <= own[:, None]
+            who, cell = np.nonzero(able)
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(who)).columns, pa.array(cell.astype(np.int32))], names=[*batch.schema.names, "super"])
 
-    fields = [ident, vec] + ([reach] if isinstance(reach, str) else [])
-    source = points.select(*fields)
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, subs = block_of(batch.column("rows"), i), matrix_of(batch.column("pivots")[i].values)
+                ring = np.stack([batch.column(c)[i].values.to_numpy(zero_copy_only=False).astype(float) for c in ("low", "high")], axis=1)
+                own = block.field("cell").to_numpy(zero_copy_only=False)
+                reach = block.field("reach").to_numpy(zero_copy_only=False)[:, None] + tolerance
+                cells = (batch.column("super")[i].as_py() << _SUB) + np.arange(len(subs), dtype=np.int64)
+                able = _open(_distances(matrix_of(block.field("vec")), subs), _distances(subs, subs), ring, reach)
+                mine = cells[None, :] == own[:, None]
+                able = able | mine if include_home else able & ~mine
+                if only_lower:
+                    able &= cells[None, :] <= own[:, None]
+                who, cell = np.nonzero(able)
+                out = block.take(pa.array(who))
+                yield pa.RecordBatch.from_arrays([out.field("vid"), out.field("vec"), pa.array(cells[cell])], names=["vid", "vec", "cell"])
+
+    bound_arrow_batches(points.sparkSession)
+    source = points.select("vid", "vec", "cell", F.col("reach").cast("double").alias("reach"))
     kinds = {f.name: f for f in source.schema.fields}
-    schema = T.StructType([kinds[ident], kinds[vec], T.StructField("cell", T.IntegerType())])
-    return source.mapInArrow(run, schema)
+    asked = source.mapInArrow(above, T.StructType([*source.schema.fields, T.StructField("super", T.IntegerType())]))
+    schema = T.StructType([kinds["vid"], kinds["vec"], T.StructField("cell", T.LongType())])
+    return _by_super(settle(asked), ["vec", "cell", "reach"], tree.subs, ["pivots", "low", "high"], size).mapInArrow(below, schema)
 
 
 def join_blocks(
@@ -168,7 +222,7 @@ def join_blocks(
     asked = (
         pack_blocks(probes, ["cell"], ident, [vec], size)
         .select("cell", F.col("rows").alias("probe"))
-        .join(F.broadcast(counts), "cell")  # one row per pivot at most
+        .join(counts, "cell")
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("base_blocks") - 1)))
         .drop("base_blocks")
     )

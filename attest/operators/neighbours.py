@@ -90,10 +90,7 @@ def knn(rows: DataFrame, ord: str, vec: str, label: str, k: int = 5) -> DataFram
     if not total:
         nothing = F.array().cast("array<struct<distance:double,n_ord:bigint,n_label:string>>")
         return data.select("ord", "label", nothing.alias("neighbours"))
-    pivots = M.choose_pivots(searches, "vid", "vec", M.pivot_count(total))
-    stored = settle(M.assign_cells(base.withColumn("vid", F.col("n_ord")), "vid", "vec", pivots,
-                                   ["n_ord", "n_label", "copy"]))
-    rings = M.cell_rings(stored, len(pivots))
+    tree, stored = M.build_tree(base.withColumn("vid", F.col("n_ord")), "vid", "vec", ["n_ord", "n_label", "copy"])
     kernel = _top_kernel(keep)
 
     home = stored.where("copy = 1").select("vid", "vec", "cell")
@@ -101,11 +98,11 @@ def knn(rows: DataFrame, ord: str, vec: str, label: str, k: int = 5) -> DataFram
         M.join_blocks(home, stored, "vid", "vec", ["n_ord", "n_label"], kernel, _CANDIDATE), keep
     ).drop("rank"))
     reach = first.groupBy("vid").agg(F.max("distance").alias("far"), F.count(F.lit(1)).alias("found"))
-    bounded = searches.join(reach, "vid", "left").select(
-        "vid", "vec",
+    bounded = home.join(reach, "vid", "left").select(
+        "vid", "vec", "cell",
         F.when(F.col("found") >= keep, F.col("far")).otherwise(F.lit(float("inf"))).alias("reach"),
     )
-    probes = M.target_cells(bounded, "vid", "vec", pivots, rings, "reach", include_home=False)
+    probes = M.target_cells(bounded, tree, include_home=False)
     second = M.join_blocks(probes, stored, "vid", "vec", ["n_ord", "n_label"], kernel, _CANDIDATE)
     nearest = _top(first.union(second), keep).groupBy("vid").agg(
         F.array_sort(F.collect_list(F.struct("distance", "n_ord", "n_label"))).alias("near")

@@ -58,8 +58,11 @@ def brute_clusters(vectors, s):
     return {i: label[i] for i in range(n) if label.count(label[i]) > 1}
 
 
-@pytest.mark.parametrize("seed,s", [(0, 0.995), (1, 0.98), (2, 0.9)])
-def test_cosine_clusters_equal_brute_force(spark, seed, s):
+@pytest.mark.parametrize("seed,s,top,cells", [(0, 0.995, 256, 4), (1, 0.98, 3, 30), (2, 0.9, 5, 60)])
+def test_cosine_clusters_equal_brute_force(spark, monkeypatch, seed, s, top, cells):
+    """With few top pivots and many cells the second level does the work."""
+    monkeypatch.setattr(M, "TOP", top)
+    monkeypatch.setattr(M, "pivot_count", lambda rows: cells)
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(40, 6))
     near = base[rng.integers(0, 40, 60)] + rng.normal(size=(60, 6)) * 0.08
@@ -85,8 +88,10 @@ def brute_knn(vectors, k):
     return out
 
 
-@pytest.mark.parametrize("seed,dims,block", [(0, 2, 1024), (1, 8, 7), (2, 3, 16)])
-def test_knn_equals_brute_force_with_many_copies(spark, monkeypatch, seed, dims, block):
+@pytest.mark.parametrize("seed,dims,block,top,cells", [(0, 2, 1024, 256, 5), (1, 8, 7, 2, 25), (2, 3, 16, 4, 40)])
+def test_knn_equals_brute_force_with_many_copies(spark, monkeypatch, seed, dims, block, top, cells):
+    monkeypatch.setattr(M, "TOP", top)
+    monkeypatch.setattr(M, "pivot_count", lambda rows: cells)
     monkeypatch.setattr(M.join_blocks, "__defaults__", (block,))
     rng = np.random.default_rng(seed)
     vectors = np.round(rng.normal(size=(120, dims)), 1)
