@@ -112,7 +112,7 @@ def postings(distinct: DataFrame, shared: int, width: int, posting_rows: int = P
         "part", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp")
 
 
-def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Joins the trees of a[i] and b[i]; every node points at its root before and after."""
     while True:
         ra, rb = root[a], root[b]
@@ -144,7 +144,7 @@ def forest(group: np.ndarray, fp: np.ndarray, shared: int, bits: int) -> tuple[n
         able = equal >= shared
         link = apart[able][np.bitwise_count(differ[able]) <= bits]
         if len(link):
-            root = _unite(root, link, link + step)
+            root = unite(root, link, link + step)
         step += 1
         at = at[remaining[at] > step]
     child = np.flatnonzero(root != np.arange(n))
