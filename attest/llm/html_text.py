@@ -1,14 +1,18 @@
 """Main text of web pages by two-pass block rules.
 
 The page is cut into blocks at block-level tags. Zones that are never article text
-(navigation, forms, scripts, adverts, comments ... by element or by class and id words)
-are set aside while reading. Pass one decides each remaining block by its length, stop-word
+(navigation, forms, scripts, adverts, comments ... by element or by class and id names)
+are set aside while reading. A name tells of a zone by its last word ("site-header",
+"share-list"), not by any ("header-fixed", "with-sidebar"); and a zone that only its layout names
+ends where an article begins. Pass one decides each remaining block by its length, stop-word
 density and link density: good, bad, or open where the block is short or its words say
 little. Pass two gives every open block the label of the nearest decided block of its own
 container (the nearer one, the earlier at equal distance); without any decided block it
 is kept, since zones that are no article text are already gone.
 
-If a page has article or main elements, blocks outside them are bad. Text of a block:
+If a page has article or main elements, blocks outside them are bad, and inside them only
+links make a block bad. On other pages a long block with few stop words, a short notice of
+rights, and three or more short blocks in a row without any stop word are bad as well. Text of a block:
 character references decoded, white space as one space, trimmed; blocks joined by \\n.
 Defined results: null and empty pages give an empty text; tags cut off at the end of a
 page are markup and vanish.
@@ -50,6 +54,12 @@ OUT_WORDS = frozenset("ad ads advert advertisement adverts banner promo promotio
 # Of them, those that make an article element itself no article text; others may tell of its layout.
 OUT_ARTICLES = frozenset("ad ads advert advertisement adverts promo promotion sponsor sponsored comment comments reply replies "
                          "related recommended".split())
+# Words of a name that say nothing of what a zone holds, and such that speak of another element.
+AROUND_WORDS = frozenset("list box block section area wrapper wrap container inner outer left right top bottom item items post posts "
+                         "article articles link links bar panel content title text row col column group unit slot zone button buttons "
+                         "icons tools body author meta count thread card form".split())
+LAYOUT_WORDS = frozenset("with has no without is not show hide".split())
+NOTICES = re.compile(r"^\W*(?:copyright|©|\(c\))|all rights reserved", re.IGNORECASE)
 # Elements that end an open element of the same kind, as writers leave end tags out.
 _CLOSES = {t: {t} for t in ("p", "li", "option", "tr", "td", "th")} | {"dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 
@@ -59,38 +69,55 @@ LINKS_MOST = 0.33
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/!?][^<]*\Z",
                     re.DOTALL)
-_NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_NAMED = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _PARTS = re.compile(r"[^a-z0-9]+")
 _GAP = re.compile(r"\s+")
 
 
 class Block:
-    __slots__ = ("container", "linked", "out", "parts")
+    __slots__ = ("container", "linked", "parts")
 
-    def __init__(self, container: int, out: bool):
-        self.container, self.out = container, out
+    def __init__(self, container: int):
+        self.container = container
         self.parts: list[str] = []
         self.linked = 0
 
 
-def _is_out(name: str, attributes: str) -> bool:
+# A zone by its element, by a name for what is never an article's, or by a name that may be its layout's.
+_ELEMENT, _FOREIGN, _LAYOUT = 4, 2, 1
+
+
+def _named_word(name: str) -> str:
+    """The word that says what a class or id stands for."""
+    parts = [p for p in _PARTS.split(name) if p]
+    if not parts or parts[0] in LAYOUT_WORDS:
+        return ""
+    while len(parts) > 1 and (parts[-1] in AROUND_WORDS or parts[-1].isdigit()):
+        parts.pop()
+    return parts[-1]
+
+
+def _zone(name: str, attributes: str) -> int:
     if name in OUT_TAGS:
-        return True
-    for m in _NAMED.finditer(attributes):
-        words = _PARTS.split((m[1] or m[2] or m[3] or "").lower())
-        named = (OUT_ARTICLES if name in CONTAINERS else OUT_WORDS).intersection(words)
-        if named and name not in ("body", "html"):
-            return True
-    return False
+        return _ELEMENT
+    found = 0
+    if name not in ("body", "html"):
+        for m in _NAMED.finditer(attributes):
+            for word in map(_named_word, (m[1] or m[2] or m[3] or "").lower().split()):
+                if word in OUT_ARTICLES:
+                    found |= _FOREIGN
+                elif word in OUT_WORDS and name not in CONTAINERS:
+                    found |= _LAYOUT
+    return found
 
 
 def blocks(page: str) -> tuple[list[Block], bool]:
     """Text blocks in page order, and whether the page has an article or main element."""
     found: list[Block] = []
-    # Open elements: (name, zone set aside, container number); container 0 is the page.
-    stack: list[tuple[str, bool, int]] = []
+    # Open elements: (name, zones it is in, container number); container 0 is the page.
+    stack: list[tuple[str, int, int]] = []
     containers, links, at = 0, 0, 0
-    out, container = False, 0
+    out, container = 0, 0
     current: Block | None = None
 
     def text(piece: str) -> None:
@@ -98,7 +125,7 @@ def blocks(page: str) -> tuple[list[Block], bool]:
         if not piece or out:
             return
         if current is None:
-            current = Block(container, out)
+            current = Block(container)
             found.append(current)
         current.parts.append(piece)
         if links:
@@ -133,17 +160,19 @@ def blocks(page: str) -> tuple[list[Block], bool]:
                     links -= last == "a"
                     if last == "p":
                         break
-            out, container = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+            out, container = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
             if m[3].endswith("/") and name not in BLOCK_TAGS:
                 continue
             if name in RAW_TAGS:
                 end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
                 at = end.end() if end else len(page)
                 continue
-            if name in CONTAINERS and container == 0:
-                containers += 1
-                container = containers
-            out = out or _is_out(name, m[3])
+            if name in CONTAINERS:
+                out &= ~_LAYOUT
+                if container == 0:
+                    containers += 1
+                    container = containers
+            out |= _zone(name, m[3])
             stack.append((name, out, container))
             links += name == "a"
         elif any(s[0] == name for s in stack):
@@ -154,21 +183,34 @@ def blocks(page: str) -> tuple[list[Block], bool]:
                     current = None
                 if last == name:
                     break
-            out, container = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+            out, container = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
     return found, containers > 0
 
 
-def _first_pass(text: str, linked: int) -> int:
-    """1 good, 0 bad, -1 open."""
+def _first_pass(text: str, linked: int, framed: bool) -> int:
+    """1 good, 0 bad, -1 open; inside an article only links make a block bad."""
     if linked / max(1, len(text)) > LINKS_MOST:
         return 0
+    if not framed and len(text) < LONG and NOTICES.search(text):
+        return 0
     if len(text) < SHORT:
         return -1
     words = text.lower().split()
     density = sum(w in STOP_WORDS for w in words) / len(words)
     if density >= STOP_HIGH or density >= STOP_LOW and len(text) >= LONG:
         return 1
-    return -1
+    return 0 if not framed and density < STOP_LOW and len(text) >= LONG else -1
+
+
+def _word_lists(labels: np.ndarray, texts: list[str]) -> None:
+    """Three or more short open blocks in a row without a stop word are a list of words: bad."""
+    start = 0
+    for i in range(len(texts) + 1):
+        bare = i < len(texts) and labels[i] < 0 and len(texts[i]) < SHORT and not STOP_WORDS.intersection(texts[i].lower().split())
+        if not bare:
+            if i - start >= 3:
+                labels[start:i] = 0
+            start = i + 1
 
 
 def _second_pass(labels: np.ndarray, container: np.ndarray) -> np.ndarray:
@@ -198,7 +240,9 @@ def main_text(page: str) -> str:
             kept.append((text, b.linked, b.container))
     if not kept:
         return ""
-    labels = np.array([_first_pass(t, linked) for t, linked, _ in kept])
+    labels = np.array([_first_pass(t, linked, framed) for t, linked, _ in kept])
+    if not framed:
+        _word_lists(labels, [t for t, _, _ in kept])
     final = _second_pass(labels, np.array([c for _, _, c in kept]))
     return "\n".join(t for (t, _, _), keep in zip(kept, final, strict=True) if keep == 1)
 

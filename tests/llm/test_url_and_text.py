@@ -179,3 +179,27 @@ def test_spans_point_into_the_original():
 def test_pages_of_the_tables_keep_their_articles(spark):
     rows = H.extract(spark.read.parquet(f"{SF}/pages.parquet")).collect()
     assert rows and all("©" not in r["text"] and "track(" not in r["text"] for r in rows)
+
+
+PROSE = "It is one of the things that they had to see for it was not as good as this one was."
+PAGES = {
+    # Names around an article tell of its layout.
+    f'<div class="page with-sidebar"><article><p>{PROSE}</p></article></div>': PROSE,
+    f'<div class="content header-fixed"><article><p>{PROSE}</p></article></div>': PROSE,
+    f'<div class="sidebar"><main><p>{PROSE}</p></main></div>': PROSE,
+    f'<div class="comments"><article><p>{PROSE}</p></article></div><article><p>Mine. {PROSE}</p></article>': f"Mine. {PROSE}",
+    f'<article><p data-id="share-1">{PROSE}</p><p class="share-list">Share it</p><p id="grid">and so on</p></article>': f"{PROSE}\nand so on",
+    # Without an article: names, notices, word lists, long blocks without stop words.
+    f'<div class="content header-fixed"><p>{PROSE}</p></div><div class="site-header"><p>{PROSE}</p></div>': PROSE,
+    f'<p>{PROSE}</p><p>Copyright 2020 Some People. All rights reserved.</p>': PROSE,
+    f'<ul><li>Alpha</li><li>Beta</li><li>Gamma</li></ul><p>{PROSE}</p>': PROSE,
+    f'<p>{PROSE}</p><p>{"Widget gadget sprocket " * 12}</p><p>So it is.</p>': PROSE,
+    # Inside an article all of these stay.
+    f'<article><p>{PROSE}</p><p>All rights reserved.</p><ul><li>Alpha</li><li>Beta</li><li>Gamma</li></ul></article>':
+        f"{PROSE}\nAll rights reserved.\nAlpha\nBeta\nGamma",
+}
+
+
+@pytest.mark.parametrize("page", PAGES)
+def test_zones_and_block_rules(page):
+    assert H.main_text(page) == PAGES[page]
