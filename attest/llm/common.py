@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attest.session import scratch
+
 # Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z,
 # that is digits, small letters and everything beyond ASCII. On UTF-8 bytes this is
 # one table lookup per byte, since all bytes of other characters are above 0x7F.
@@ -89,6 +91,19 @@ def spare(columns: Iterable[str], *names: str) -> list[str]:
     return [front + n for n in names]
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written below the shared folder and read from there, and its path for ``forget``."""
+    path = scratch(df.sparkSession, "round")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Remove a folder that ``written`` made and nothing will read again."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
     """Jobs inside send at most about ``size`` of rows to Python at a time."""
