@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attest.session import settle
+
 # A key with more rows than this is spread by ``salted_join``, over one task for each such lot.
 HOT_ROWS = 200_000
 
@@ -93,6 +95,21 @@ def _attach(rows: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(per_key, keys) if keys else with_row(rows, per_key)
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with dense numbers from 0 in the given order, sorted in ranges and never in one task.
+
+    Rows are numbered inside their range; one number per range is added to that.
+    """
+    ranged = settle(df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", 33)
+    # One row per range: the only window without a partition key.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return ranged.withColumn("_part", part).join(starts, "_part").select(
+        *df.columns, (F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
+
+
 def prefix_totals(df: DataFrame, order: str, totals: list[str], buckets: int = 64) -> DataFrame:
     """Running sums of ``totals`` in descending ``order``, as ``cum_<name>``.
 

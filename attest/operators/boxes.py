@@ -60,32 +60,78 @@ def box_findings(boxes: DataFrame) -> DataFrame:
     )
 
 
-def covered_fraction(boxes: DataFrame) -> DataFrame:
+# Boxes that a tile is swept with at most, and the parts a fuller tile is cut into along each side.
+TILE_BOXES, TILE_PARTS = 64, 8
+_TILE = ["image_id", "left", "top", "right", "bottom"]
+_EDGES = ["x1", "y1", "x2", "y2"]
+
+
+def _cut_tiles(rows: DataFrame, parts: int) -> DataFrame:
+    """The boxes of each tile in its ``parts`` x ``parts`` equal parts, clipped, copies once."""
+    def spread(low: str, high: str, start: str, end: str) -> Column:
+        step = (F.col(high) - F.col(low)) / parts
+        first = F.greatest(F.lit(0), F.floor((F.col(start) - F.col(low)) / step) - 1)
+        last = F.least(F.lit(parts - 1), F.floor((F.col(end) - F.col(low)) / step) + 1)
+        return F.sequence(first.cast("int"), last.cast("int"))
+
+    def side(low: str, high: str, at: Column) -> Column:
+        # The right side of a part is, digit for digit, the left side of the next.
+        return F.when(at == parts, F.col(high)).otherwise(F.col(low) + (F.col(high) - F.col(low)) * at / parts)
+
+    columns = rows.withColumn("i", F.explode(spread("left", "right", "x1", "x2"))).withColumn("j", F.explode(spread("top", "bottom", "y1", "y2")))
+    cut = columns.select(
+        "image_id", *SIZE, *_EDGES, side("left", "right", F.col("i")).alias("l"), side("top", "bottom", F.col("j")).alias("t"),
+        side("left", "right", F.col("i") + 1).alias("r"), side("top", "bottom", F.col("j") + 1).alias("b"))
+    return cut.select(
+        "image_id", *SIZE, F.col("l").alias("left"), F.col("t").alias("top"), F.col("r").alias("right"), F.col("b").alias("bottom"),
+        F.greatest("x1", "l").alias("x1"), F.greatest("y1", "t").alias("y1"), F.least("x2", "r").alias("x2"), F.least("y2", "b").alias("y2"),
+    ).where("x2 > x1 and y2 > y1").distinct()
+
+
+def _swept(rows: DataFrame) -> DataFrame:
+    """``(image_id, area)`` per tile: x strips between neighbouring edges, and in a strip a running maximum of y."""
+    key = ["image_id", "left", "top"]
+    edges = rows.select(*key, F.explode(F.array("x1", "x2")).alias("start")).distinct()
+    strips = edges.withColumn("end", F.lead("start").over(Window.partitionBy(*key).orderBy("start"))).where(F.col("end").isNotNull())
+    cut = strips.join(rows, key).where("x1 < end and x2 > start")
+    before = Window.partitionBy(*key, "start").orderBy("y1", "y2", "x1", "x2").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.max("y2").over(before), F.lit(0.0))
+    gain = F.greatest(F.lit(0.0), F.col("y2") - F.greatest(F.col("y1"), reached))
+    return cut.select("image_id", ((F.col("end") - F.col("start")) * gain).alias("area"))
+
+
+def covered_fraction(boxes: DataFrame, tile_boxes: int | None = None) -> DataFrame:
     """Area of the union of clipped boxes over the image area: ``(image_id, coverage)``.
 
-    The sweep works on the boxes of one image at a time: x strips between
-    neighbouring edges, and inside a strip a running maximum of y.
+    An image starts as one tile. A tile with more than ``tile_boxes`` different boxes is cut into
+    8 x 8 parts, and these again, until all can be swept; a part that one box covers whole is
+    done. A task so gets tiles, not images, and the work of an image with very many
+    boxes grows with them, not with their square. Tile areas add up.
     """
+    most = tile_boxes or TILE_BOXES
     clipped = boxes.select(
-        "image_id", "box_index", *SIZE,
+        "image_id", *SIZE, F.lit(0.0).alias("left"), F.lit(0.0).alias("top"), F.col("width").alias("right"), F.col("height").alias("bottom"),
         F.greatest(F.lit(0.0), "x").alias("x1"), F.greatest(F.lit(0.0), "y").alias("y1"),
         F.least(F.col("width"), F.col("x") + F.col("w")).alias("x2"),
         F.least(F.col("height"), F.col("y") + F.col("h")).alias("y2"),
     ).where("x2 > x1 and y2 > y1")
-    edges = clipped.select("image_id", F.explode(F.array("x1", "x2")).alias("left")).distinct()
-    strips = edges.withColumn(
-        "right", F.lead("left").over(Window.partitionBy("image_id").orderBy("left"))
-    ).where(F.col("right").isNotNull())
-    cut = strips.join(clipped, "image_id").where("x1 < right and x2 > left")
-    before = Window.partitionBy("image_id", "left").orderBy("y1", "y2", "box_index").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    reached = F.coalesce(F.max("y2").over(before), F.lit(0.0))
-    gain = F.greatest(F.lit(0.0), F.col("y2") - F.greatest(F.col("y1"), reached))
-    return cut.withColumn("gain", gain).groupBy("image_id").agg(
-        (F.sum((F.col("right") - F.col("left")) * F.col("gain"))
-         / F.first(F.col("width") * F.col("height"))).alias("coverage")
-    )
+    size = clipped.groupBy("image_id").agg(F.first(F.col("width") * F.col("height")).alias("size"))
+    current, areas = settle(clipped.distinct()), []
+    while True:
+        full = (F.col("x1") == F.col("left")) & (F.col("y1") == F.col("top")) & (F.col("x2") == F.col("right")) & (F.col("y2") == F.col("bottom"))
+        tiles = current.groupBy(*_TILE).agg(F.count(F.lit(1)).alias("n"), F.bool_or(full).alias("full")).where(F.col("n") > most)
+        if tiles.isEmpty():
+            areas.append(_swept(current))
+            break
+        tiles = settle(tiles)
+        areas.append(_swept(current.join(tiles, _TILE, "left_anti")))
+        areas.append(tiles.where("full").select("image_id", ((F.col("right") - F.col("left")) * (F.col("bottom") - F.col("top"))).alias("area")))
+        current = settle(_cut_tiles(current.join(tiles.where("not full"), _TILE, "left_semi"), TILE_PARTS))
+    total = areas[0]
+    for more in areas[1:]:
+        total = total.union(more)
+    return total.groupBy("image_id").agg(F.sum("area").alias("area")).join(size, "image_id").select(
+        "image_id", (F.col("area") / F.col("size")).alias("coverage"))
 
 
 def valid_images(images: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -112,27 +112,36 @@ def freshness(records: DataFrame, last_sequence: DataFrame | None = None,
     maximum is taken in chunks of positions, then across chunk maxima.
     """
     rows = records.select("log_id", "pos", "sequence_number", F.coalesce("nonce", F.lit("")).alias("nonce"))
-    first = rows.groupBy("log_id", "nonce").agg(F.min("pos").alias("first_pos"))
+    # Blank nonces may be most of a log: their first position goes with the chunks, and only others are a key.
+    named, blank = rows.where("nonce <> ''"), F.col("nonce") == ""
+    first = named.groupBy("log_id", "nonce").agg(F.min("pos").alias("first_pos"))
     if seen_nonces is not None:
-        seen = seen_nonces.select("log_id", "nonce", F.lit(True).alias("seen")).distinct()
+        seen = seen_nonces.where("nonce <> ''").select("log_id", "nonce", F.lit(True).alias("seen")).distinct()
         first = first.join(seen, ["log_id", "nonce"], "left").withColumn(
             "first_pos", F.when(F.col("seen"), F.lit(-1)).otherwise(F.col("first_pos"))
         ).drop("seen")
-    chunked = rows.join(first, ["log_id", "nonce"]).withColumn("chunk", F.floor(F.col("pos") / CHUNK))
+    placed = named.join(first, ["log_id", "nonce"]).select(*rows.columns, "first_pos").unionByName(
+        rows.where(blank).withColumn("first_pos", F.lit(None).cast(first.schema["first_pos"].dataType)))
+    chunked = placed.withColumn("chunk", F.floor(F.col("pos") / CHUNK))
     # First allowed sequence is 0, so the scan starts at -1.
-    peaks = records.groupBy("log_id", F.floor(F.col("pos") / CHUNK).alias("chunk")).agg(
-        F.max("sequence_number").alias("peak")
+    peaks = rows.groupBy("log_id", F.floor(F.col("pos") / CHUNK).alias("chunk")).agg(
+        F.max("sequence_number").alias("peak"), F.min(F.when(blank, F.col("pos"))).alias("blank")
     )
-    earlier = Window.partitionBy("log_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = peaks.select("log_id", "chunk", F.coalesce(F.max("peak").over(earlier), F.lit(-1)).alias("carried"))
+    whole = Window.partitionBy("log_id").orderBy("chunk")
+    earlier, all_ = whole.rowsBetween(Window.unboundedPreceding, -1), whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = peaks.select("log_id", "chunk", F.coalesce(F.max("peak").over(earlier), F.lit(-1)).alias("carried"),
+                           F.min("blank").over(all_).alias("first_blank"))
     if last_sequence is not None:
         carried = carried.join(last_sequence, "log_id", "left").select(
-            "log_id", "chunk", F.greatest("carried", F.coalesce("last", F.lit(-1))).alias("carried")
+            "log_id", "chunk", F.greatest("carried", F.coalesce("last", F.lit(-1))).alias("carried"), "first_blank"
         )
+    if seen_nonces is not None:
+        before = seen_nonces.where(blank).select("log_id", F.lit(-1).alias("seen_blank")).distinct()
+        carried = carried.join(before, "log_id", "left").select("log_id", "chunk", "carried", F.coalesce("seen_blank", "first_blank").alias("first_blank"))
     local = Window.partitionBy("log_id", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    scanned = chunked.join(carried, ["log_id", "chunk"]).withColumn(
-        "top", F.greatest(F.col("carried"), F.coalesce(F.max("sequence_number").over(local), F.lit(-1)))
-    )
+    scanned = chunked.join(carried, ["log_id", "chunk"]).withColumns({
+        "top": F.greatest(F.col("carried"), F.coalesce(F.max("sequence_number").over(local), F.lit(-1))),
+        "first_pos": F.when(blank, F.col("first_blank")).otherwise(F.col("first_pos"))})
     reason = (
         F.when(F.col("first_pos") < F.col("pos"), REPLAYED)
         .when(F.col("sequence_number") <= F.col("top"), REGRESSED)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attest.functions.scale import with_row
+from attest.functions.scale import numbered, with_row
 from attest.operators.evidence import family_of
 from attest.schemas import counts_as_anomaly
 from attest.session import settle
@@ -139,8 +139,13 @@ def batch_series(batches: DataFrame) -> DataFrame:
 def merged_batch_order(declared: DataFrame) -> DataFrame:
     """Batch order over several assets: first seen by (asset_id, pos) wins.
 
-    ``declared(asset_id, pos, batch_id)`` -> ``(batch_id, pos)`` with dense positions.
-    The table has one row per batch, not per sample.
+    ``declared(asset_id, pos, batch_id)`` -> ``(batch_id, pos)`` with dense positions from 1.
     """
     first = declared.groupBy("batch_id").agg(F.min(F.struct("asset_id", "pos")).alias("seen"))
-    return first.select("batch_id", F.row_number().over(Window.orderBy("seen")).alias("pos"))
+    return numbered(first, ["seen", "batch_id"], "pos").select("batch_id", (F.col("pos") + 1).alias("pos"))
+
+
+def namespaced(rows: DataFrame, asset: str, sample: str, out: str = "asset_id") -> DataFrame:
+    """Samples of several assets under names that tell equal sample ids apart."""
+    escaped = F.replace(F.replace(F.col(asset), F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F"))
+    return rows.withColumn(out, F.concat(escaped, F.lit("/"), F.col(sample)))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attest.functions import vectors as V
+from attest.functions.scale import numbered
 from attest.operators import behaviour as B
 from attest.plans.registry import query, r, table
 from attest.plans.roles import role, with_roles
@@ -137,11 +137,11 @@ def prediction_entropy(spark, folder):
 + b AS (SELECT CAST(row_number() OVER (ORDER BY ord) - 1 AS BIGINT) AS background, vec FROM samples WHERE label = 0),
 o AS (SELECT ord, vec, CAST(unnest(range(4)) AS INT) AS overlay FROM samples WHERE label > 0),
 p AS (SELECT *, CAST('0x' || substr(md5('7|' || TEXT(ord) || '|' || TEXT(overlay)), 1, 8) AS BIGINT) % (SELECT count(*) FROM b) AS background FROM o)
-SELECT p.ord, overlay, background, round(p.vec[1] * 0.5 + b.vec[1] * 0.5, 6) AS first_value, round(p.vec[64] * 0.5 + b.vec[64] * 0.5, 6) AS last_value
-FROM p JOIN b USING (background)"""))
+SELECT p.ord, overlay, background, CAST(k - 1 AS INT) AS place, round(p.vec[k] * 0.5 + b.vec[k] * 0.5, 6) AS value
+FROM p JOIN b USING (background), range(1, 65) AS places(k)"""))
 def overlay_blend(spark, folder):
     rows = role(spark, folder, "samples")
-    # The pool of backgrounds is one small class; numbering it needs a total order.
-    pool = rows.where("label = 0").select((F.row_number().over(Window.orderBy("ord")) - 1).alias("background"), F.col("vec").alias("pixels"))
+    pool = numbered(rows.where("label = 0").select("ord", F.col("vec").alias("pixels")), ["ord"], "background").select("background", "pixels")
     out = B.overlay_blend(rows.where("label > 0").select("ord", "vec"), pool, "ord", "vec", overlays=4)
-    return out.select("ord", "overlay", "background", r(F.col("pixels")[0]).alias("first_value"), r(F.col("pixels")[63]).alias("last_value"))
+    each = out.select("ord", "overlay", "background", F.posexplode("pixels").alias("place", "value"))
+    return each.withColumn("value", r("value"))

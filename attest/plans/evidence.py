@@ -298,15 +298,28 @@ def semi_anti_sets(spark, folder):
         .unionByName(pick(C.unknown_batches(samples, order), "unknown_batch", "batch_id"))
 
 
-@query("contributor_heatmap", with_roles("findings", "sample_meta", "batch_order", body=f"""
+# Documents dealt to three assets, whose sample ids repeat; the first has every other batch only.
+ROLES["asset_samples"] = """
+SELECT 'set/' || TEXT(doc_id % 3) AS owner, 's' || TEXT((doc_id - doc_id % 3) / 3) AS sample, 'doc-' || TEXT(doc_id) AS asset_id,
+  CASE WHEN doc_id % 53 > 0 THEN source END AS contributor_id, 'b' || TEXT(doc_id % 7) AS batch_id, CAST((doc_id % 7 * (doc_id % 3 + 2)) % 7 AS BIGINT) AS pos
+FROM {documents} WHERE NOT (doc_id % 3 = 0 AND doc_id % 7 % 2 = 1)"""
+
+
+@query("contributor_heatmap", with_roles("findings", "asset_samples", body=f"""
 + bad AS (SELECT DISTINCT asset_id FROM findings WHERE {SQL_COUNTS}),
-b AS (SELECT contributor_id, batch_id, pos, round(count(bad.asset_id) / count(*), 6) AS rate
-  FROM sample_meta LEFT JOIN bad USING (asset_id) JOIN batch_order USING (batch_id) WHERE contributor_id IS NOT NULL GROUP BY ALL)
+seen AS (SELECT batch_id, min(struct_pack(owner := owner, pos := pos)) AS s FROM asset_samples GROUP BY batch_id),
+o AS (SELECT batch_id, row_number() OVER (ORDER BY s, batch_id) AS pos FROM seen),
+b AS (SELECT contributor_id, a.batch_id, o.pos, round(count(bad.asset_id) / count(*), 6) AS rate
+  FROM asset_samples a LEFT JOIN bad USING (asset_id) JOIN o ON o.batch_id = a.batch_id WHERE contributor_id IS NOT NULL GROUP BY ALL)
 SELECT contributor_id, string_agg(batch_id || '=' || printf('%.4f', rate), ' ' ORDER BY pos) AS series FROM b GROUP BY contributor_id"""))
 def contributor_heatmap(spark, folder):
-    declared = role(spark, folder, "batch_order").select(F.lit("all").alias("asset_id"), "pos", "batch_id")
-    batches = C.batch_rates(findings(spark, folder), role(spark, folder, "sample_meta"), C.merged_batch_order(declared))
-    series = C.batch_series(batches)
+    """Over all assets: samples go by (asset, sample), and the batch order is merged as first seen."""
+    samples = role(spark, folder, "asset_samples")
+    order = C.merged_batch_order(samples.select(F.col("owner").alias("asset_id"), "pos", "batch_id").distinct())
+    names = samples.select("asset_id", "owner", "sample")
+    found = C.namespaced(findings(spark, folder).join(names, "asset_id"), "owner", "sample").drop("owner", "sample")
+    meta = C.namespaced(samples.drop("asset_id"), "owner", "sample").select("asset_id", "contributor_id", "batch_id")
+    series = C.batch_series(C.batch_rates(found, meta, order))
     cells = F.transform("series", lambda s: F.concat(s["batch_id"], F.lit("="), F.format_string("%.4f", F.round(s["anomaly_rate"], 6))))
     return series.select("contributor_id", F.array_join(cells, " ").alias("series"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attest.functions.canonical import canonical_row, digest
@@ -57,12 +60,15 @@ def coco_violations(spark, folder):
 
 
 @query("read_coco", """
-SELECT 'annotations' AS part, count(*) AS rows FROM lineitem
-UNION ALL SELECT 'images', count(*) FROM orders
-UNION ALL SELECT 'documents', count(DISTINCT o_orderkey // 1000) FROM orders
-UNION ALL SELECT 'categories', count(DISTINCT o_orderkey // 1000) * 2 FROM orders""")
+WITH o AS (SELECT *, o_orderkey // 1000 AS shard FROM orders), good AS (SELECT * FROM o WHERE shard % 7 < 5)
+SELECT 'annotations' AS part, l_orderkey || '-' || l_linenumber AS id, CAST(l_orderkey AS VARCHAR) AS owner, CAST(l_partkey % 2 AS VARCHAR) AS detail, round(l_quantity * 4, 6) AS amount
+  FROM lineitem JOIN good ON l_orderkey = o_orderkey
+UNION ALL SELECT 'images', CAST(o_orderkey AS VARCHAR), CAST(shard AS VARCHAR), o_orderkey || '.jpg', NULL FROM good
+UNION ALL SELECT DISTINCT 'documents', CAST(shard AS VARCHAR), 'batch-1', '1', NULL FROM good
+UNION ALL SELECT DISTINCT 'categories', id, CAST(shard AS VARCHAR), name, NULL FROM good, (VALUES ('0', 'even'), ('1', 'odd')) c(id, name)
+UNION ALL SELECT DISTINCT 'broken', CAST(shard AS VARCHAR), CASE WHEN shard % 7 = 5 THEN 'the file is no JSON' ELSE 'the file''s fields have other types than an annotation document''s' END, NULL, NULL FROM o WHERE shard % 7 >= 5""")
 def read_coco(spark, folder):
-    """Writes one annotation document per thousand order keys, then reads them all back."""
+    """Writes one annotation document per thousand order keys, some cut off or with other types, then reads them all back."""
     orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
     shard = F.floor(F.col("o_orderkey") / 1000).alias("shard")
     images = orders.select(shard, _text("o_orderkey").alias("id"), F.concat(_text("o_orderkey"), F.lit(".jpg")).alias("file_name"))
@@ -75,14 +81,23 @@ def read_coco(spark, folder):
     docs = pack(images, "images").join(pack(notes, "annotations"), "shard", "left").select(
         "shard", F.lit("batch-1").alias("batch_id"), "images", F.coalesce("annotations", F.array()).alias("annotations"),
         F.array(F.struct(F.lit("0").alias("id"), F.lit("even").alias("name")), F.struct(F.lit("1").alias("id"), F.lit("odd").alias("name"))).alias("categories"))
+    whole = F.to_json(F.struct(*[c for c in docs.columns if c != "shard"]))
+    text = F.when(F.col("shard") % 7 == 5, F.substring(whole, F.lit(1), F.length(whole) - 20)).when(
+        F.col("shard") % 7 == 6, F.lit('{"images": "none", "annotations": 3}')).otherwise(whole)
     path = scratch(spark, "coco")
-    docs.write.partitionBy("shard").json(path)
-    parts = files.read_coco(spark, f"{path}/*/*.json")
-    out = None
-    for name, df in parts.items():
-        one = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("part"), "rows")
-        out = one if out is None else out.unionByName(one)
-    return out
+    docs.select("shard", text.alias("value")).write.partitionBy("shard").text(path)
+    parts = files.read_coco(spark, f"{path}/*/*.txt")
+    # The folder names the document.
+    named = {k: df.withColumn("shard", F.regexp_extract("document_id", "shard=([0-9]+)", 1)) for k, df in parts.items()}
+    row = lambda part, df, *c: df.select(F.lit(part).alias("part"), *[x.alias(n) for x, n in zip(c, ("id", "owner", "detail", "amount"))])
+    none, no_sum = F.lit(None).cast("string"), F.lit(None).cast("double")
+    total = F.aggregate("bbox", F.lit(0.0), lambda a, x: a + x)
+    return reduce(DataFrame.unionByName, [
+        row("annotations", named["annotations"], F.col("id"), F.col("image_id"), F.col("category_id"), F.round(total, 6)),
+        row("images", named["images"], F.col("id"), F.col("shard"), F.col("file_name"), no_sum),
+        row("documents", named["documents"], F.col("shard"), F.col("batch_id"), F.col("dataset_version"), no_sum),
+        row("categories", named["categories"], F.col("id"), F.col("shard"), F.col("name"), no_sum),
+        row("broken", named["broken"], F.col("shard"), F.col("reason"), none, no_sum)])
 
 
 def _yolo(spark, folder):
@@ -166,10 +181,18 @@ def sample_metadata(spark, folder):
     return M.sample_metadata(samples, heads, contributor="nobody", batch="default")
 
 
-@query("file_inventory")
+@query("file_inventory", """
+SELECT 'part=' || CAST(doc_id % 4 AS VARCHAR) || '/doc=' || CAST(doc_id AS VARCHAR) AS path, sha256(replace(replace(text, chr(10), ' '), chr(13), ' ') || chr(10)) AS sha256,
+  CAST(strlen(replace(replace(text, chr(10), ' '), chr(13), ' ')) + 1 AS BIGINT) AS bytes
+FROM documents WHERE text IS NOT NULL""")
 def file_inventory(spark, folder):
-    """Hashes of the table files themselves; their bytes grow with the tables."""
-    return files.file_inventory(spark, folder.rstrip("/")).where(F.col("path").endswith(".parquet"))
+    """Documents as files of a tree, one folder each; hashed from what lies on disk."""
+    docs = table(spark, folder, "documents").where("text is not null")
+    line = F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+    path = scratch(spark, "tree")
+    docs.select((F.col("doc_id") % 4).alias("part"), F.col("doc_id").alias("doc"), line.alias("value")).write.partitionBy("part", "doc").text(path)
+    found = files.file_inventory(spark, path).where(F.col("path").endswith(".txt"))
+    return found.withColumn("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
 
 
 @query("unsafe_paths", """

@@ -10,7 +10,7 @@ from attest.plans import roles
 from attest.plans.provenance import _FRESH
 from attest.plans.registry import query, r, table
 from attest.plans.roles import with_roles
-from attest.session import scratch
+from attest.session import scratch, settle
 from attest.streaming import freshness as S
 from attest.streaming import windows as W
 
@@ -60,22 +60,38 @@ _BINS = 10
 
 @query("stream_marginal_kl", f"""
 WITH b AS (SELECT CAST({_DAY} AS BIGINT) AS window_start, CAST(least(floor(value / 5), 9) AS INT) AS bin FROM events),
-ref AS (SELECT g.bin, count(b.bin) AS n FROM range({_BINS}) AS g(bin) LEFT JOIN b ON b.bin = g.bin GROUP BY g.bin),
+past AS (SELECT CAST(least(floor(l_quantity / 5), 9) AS INT) AS bin FROM lineitem),
+ref AS (SELECT g.bin, count(past.bin) AS n FROM range({_BINS}) AS g(bin) LEFT JOIN past ON past.bin = g.bin GROUP BY g.bin),
 h AS (SELECT w.window_start, g.bin, count(b.bin) AS q FROM (SELECT DISTINCT window_start FROM b) w CROSS JOIN range({_BINS}) AS g(bin)
   LEFT JOIN b ON b.window_start = w.window_start AND b.bin = g.bin GROUP BY ALL),
 s AS (SELECT window_start, h.bin, n / greatest(max(n) OVER w, 1) + 1e-10 AS p, q / greatest(max(q) OVER w, 1) + 1e-10 AS q FROM h JOIN ref ON ref.bin = h.bin WINDOW w AS (PARTITION BY window_start)),
 t AS (SELECT window_start, p / sum(p) OVER w AS p, q / sum(q) OVER w AS q FROM s WINDOW w AS (PARTITION BY window_start))
 SELECT window_start, round(greatest(0, sum(p * ln(p / q))), 6) AS kl FROM t GROUP BY window_start""")
 def stream_marginal_kl(spark, folder):
+    """The quantities of past orders are the reference; the stream's values are measured against them."""
     edges = linspace(0.0, 50.0, _BINS)
-    counts = W.stream_histogram(_events(spark, folder), "ts", "value", edges)
+    past = table(spark, folder, "lineitem").select(F.col("l_quantity").cast("double").alias("value"))
+    reference = settle(W.reference_histogram(past, "value", edges))
+    counts = W.stream_histogram(_events(spark, folder), "ts", "value", edges, reference=reference)
     place = scratch(spark, "histogram")
     W.run_to_files(_in_seconds(counts), place)
-    latest = W.latest_rows(spark, place, "window_start bigint, bin int, n bigint", ["window_start", "bin"])
-    reference = latest.groupBy("bin").agg(F.sum("n").alias("n"))
+    latest = W.latest_rows(spark, place, "window_start bigint, bin int, n bigint, reference_n bigint", ["window_start", "bin"])
     return W.window_kl(latest, reference, _BINS).select("window_start", r("kl").alias("kl"))
 
 
+@query("stream_against_reference", f"""
+WITH b AS (SELECT CAST({_DAY} AS BIGINT) AS window_start, CAST(least(floor(value / 5), 9) AS INT) AS bin FROM events),
+ref AS (SELECT CAST(least(floor(l_quantity / 5), 9) AS INT) AS bin, count(*) AS reference_n FROM lineitem GROUP BY 1)
+SELECT window_start, bin, count(*) AS n, coalesce(any_value(reference_n), 0) AS reference_n FROM b LEFT JOIN ref USING (bin) GROUP BY ALL""")
+def stream_against_reference(spark, folder):
+    edges = linspace(0.0, 50.0, _BINS)
+    past = table(spark, folder, "lineitem").select(F.col("l_quantity").cast("double").alias("value"))
+    counts = W.stream_histogram(_events(spark, folder), "ts", "value", edges, reference=settle(W.reference_histogram(past, "value", edges)))
+    place = scratch(spark, "bins")
+    W.run_to_files(_in_seconds(counts), place)
+    return W.latest_rows(spark, place, "window_start bigint, bin int, n bigint, reference_n bigint", ["window_start", "bin"])
+
+
 @query("freshness_stream", with_roles("replay", body=_FRESH))
 def freshness_stream(spark, folder):
     text = roles.expand(roles.ROLES["replay"], 0)

@@ -22,24 +22,36 @@ def stream_anomaly_rate(events: DataFrame, time: str, contributor: str, anomalou
     )
 
 
+def reference_histogram(rows: DataFrame, value: str, edges: list[float]) -> DataFrame:
+    """``(bin, reference_n)`` of a table outside the stream, with at most as many rows as bins."""
+    return rows.groupBy(bin_index(F.col(value), edges).alias("bin")).agg(F.count(F.lit(1)).alias("reference_n"))
+
+
 def stream_histogram(events: DataFrame, time: str, value: str, edges: list[float],
-                     width: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    """Counts per window and bin; the bins are fixed by the reference."""
-    return events.withWatermark(time, delay).groupBy(
+                     width: str = "1 day", delay: str = "1 hour", reference: DataFrame | None = None) -> DataFrame:
+    """Counts per window and bin; the bins are fixed by the reference.
+
+    With ``reference(bin, reference_n)``, every micro-batch meets this static table, and its rows carry
+    the reference's count of their bin.
+    """
+    counts = events.withWatermark(time, delay).groupBy(
         F.window(F.col(time), width).alias("window"), bin_index(F.col(value), edges).alias("bin")
     ).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("window_start"), "bin", "n")
+    if reference is None:
+        return counts
+    return counts.join(reference, "bin", "left").select("window_start", "bin", "n", F.coalesce("reference_n", F.lit(0)).alias("reference_n"))
 
 
 def window_kl(counts: DataFrame, reference: DataFrame, bins: int) -> DataFrame:
     """KL of the reference against every window: ``(window_start, kl)``.
 
-    ``counts(window_start, bin, n)``, ``reference(bin, n)`` with at most ``bins`` rows.
+    ``counts(window_start, bin, n)``, ``reference(bin, reference_n)`` with at most ``bins`` rows.
     """
     def packed(df: DataFrame, keys: list[str]) -> DataFrame:
         sums = [F.coalesce(F.sum(F.when(F.col("bin") == b, F.col("n"))), F.lit(0)).cast("double") for b in range(bins)]
         return (df.groupBy(*keys) if keys else df.groupBy()).agg(F.array(*sums).alias("h"))
 
-    base = packed(reference, []).withColumnRenamed("h", "reference_h")
+    base = packed(reference.withColumnRenamed("reference_n", "n"), []).withColumnRenamed("h", "reference_h")
     return with_row(packed(counts, ["window_start"]), base).select(
         "window_start", kl_of(F.col("reference_h"), F.col("h")).alias("kl")
     )
