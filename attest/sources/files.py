@@ -44,14 +44,13 @@ def read_coco(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Documents, images, annotations and categories of one or many annotation files, and the
     ``broken(document_id, batch_id, reason, characters)`` files: no JSON, or JSON of another form; the batch
     is there as far as it could be read."""
-    raw = spark.read.schema(COCO_SCHEMA + ", _raw string").option("multiLine", "true").option("columnNameOfCorruptRecord", "_raw").json(path)
-    read = raw.withColumn("document_id", F.col("_metadata.file_path"))
-    bad = F.col("_raw").isNotNull()
-    reason = F.when(F.try_parse_json("_raw").isNull(), "the file is no JSON").when(
-        F.coalesce(F.col("batch_id").isNotNull() | F.col("images").isNotNull(), F.lit(False)), "some of the file's fields have other types than an annotation document's"
-    ).otherwise("the file's fields have other types than an annotation document's")
-    broken = read.where(bad).select("document_id", "batch_id", reason.alias("reason"), F.length("_raw").alias("characters"))
-    docs = read.where(~bad).drop("_raw")
+    raw = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("document_id"), "value")
+    parsed = F.from_json("value", COCO_SCHEMA + ", _raw string", {"columnNameOfCorruptRecord": "_raw"})
+    read = raw.withColumn("d", parsed).select("document_id", "d.*", F.length("value").alias("characters"), F.get_json_object("value", "$").isNull().alias("no_json"))
+    bad = F.col("_raw").isNotNull() | F.col("no_json")
+    reason = F.when(F.col("no_json"), "the file is no JSON").otherwise("the file's fields have other types than an annotation document's")
+    broken = read.where(bad).select("document_id", "batch_id", reason.alias("reason"), "characters")
+    docs = read.where(~bad).drop("_raw", "characters", "no_json")
     head = docs.select(
         "document_id", "contributor_id", "batch_id",
         F.coalesce("dataset_version", "version", F.lit("1")).alias("dataset_version"),
