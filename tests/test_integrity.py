@@ -185,3 +185,28 @@ def test_contributor_gaps(spark):
     row = C.metadata_coverage(found, meta).first()
     assert (row.samples, row.missing, row.unmatched) == (3, 1, 1)
     assert [r.batch_id for r in C.unknown_batches(meta, order).collect()] == ["zz"]
+
+
+def test_coverage_of_an_image_with_a_third_of_all_boxes(spark):
+    """A hot image is cut into tiles again and again; the area is that of a pixel count."""
+    r = np.random.default_rng(8)
+    size, rows = 256, []
+    for image, n in (("hot", 900), ("small", 3), ("none", 0), ("whole", 200), ("lines", 300)):
+        for i in range(n):
+            x, y, w, h = r.integers(0, size), r.integers(0, size), r.integers(1, 30), r.integers(1, 30)
+            if image == "whole" and i == 7:
+                x, y, w, h = -5, -5, 400, 400
+            if image == "lines":
+                x, y, w, h = 0, i % size, size, 1
+            rows.append((image, i, float(size), float(size), float(x), float(y), float(w), float(h)))
+    rows += [r_ for r_ in rows if r_[0] == "hot"]
+    df = spark.createDataFrame(rows, "image_id string, box_index int, width double, height double, x double, y double, w double, h double")
+    want = {}
+    for image in {r_[0] for r_ in rows}:
+        grid = np.zeros((size, size), bool)
+        for _, _, _, _, x, y, w, h in (r_ for r_ in rows if r_[0] == image):
+            grid[max(0, int(x)):int(x + w), max(0, int(y)):int(y + h)] = True
+        want[image] = grid.mean()
+    for most in (64, 5):
+        got = {x.image_id: x.coverage for x in X.covered_fraction(df, most).collect()}
+        assert got == pytest.approx(want)
