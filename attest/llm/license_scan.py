@@ -1,12 +1,13 @@
 """License scan with a positional index of rare licence words.
 
 Templates are short licence sentences with mandatory key phrases. Corpus-wide document
-frequencies of the template vocabulary give each word's IDF; a template has one anchor,
-the highest-IDF word of its first mandatory phrase. In a file, every occurrence of an
-anchor asks the postings (template, position): the difference of the positions is the
-template's offset in the file. There its mandatory phrases are verified word by word, and
-the IDF share of template words standing at the offset is the score. Offsets of several
-anchors are not intersected: with one posting for a template there is nothing to intersect.
+frequencies of the template vocabulary give each word's IDF. The ANCHORS highest-IDF words of
+every template and of each mandatory phrase are posted as (template, position). In a file,
+every occurrence of a posted word votes for the offset that its relative position gives
+each of its templates; an offset is a candidate when all anchors of the mandatory phrases
+agree on it. There the phrases are verified word by word, and the IDF share of template
+words standing at the offset is the score; the other anchors add to a template's first share, and an
+offset whose votes leave less than MIN_SHARE within reach is not looked at.
 
 Defined results: null and wordless texts have zero words, no places and no labels, score
 0; ties between templates give one label each; order and repeats of rows play no part.
@@ -48,6 +49,7 @@ TEMPLATES = [
     ("cc-by-nc", "creative commons attribution noncommercial", ["creative commons attribution noncommercial"]),
     ("cc-by", "creative commons attribution 4 0 international", ["creative commons attribution 4 0"]),
 ]
+ANCHORS = 3
 # Share of a template's IDF weight that has to stand at the offset besides its phrases.
 MIN_SHARE = 0.5
 
@@ -88,34 +90,48 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, dict
 class Index:
     """Postings of the anchors, with IDF weights."""
 
-    def __init__(self, n_docs: int, freq: dict[bytes, int]):
+    def __init__(self, n_docs: int, freq: dict[bytes, int], anchors: int = ANCHORS):
         self.templates = _all_templates()
         self.idf = {w: math.log((n_docs + 1) / (freq.get(w, 0) + 1)) + 1.0 for w in vocabulary()}
-        # word -> (template, position in it, start of the phrase in it)
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        # word -> (template, position in it, its anchor's bit)
+        self.postings: dict[bytes, list[tuple[int, int, int]]] = defaultdict(list)
         self.phrases: list[list[tuple[int, list[bytes]]]] = []
+        self.needed: list[int] = []  # bits of the mandatory phrases' anchors
+        self.absent: list[list[tuple[int, float]]] = []  # of the other anchors: bit and IDF
+        self.weight = [sum(self.idf[w] for w in t[1]) for t in self.templates]
         for number, (_, words, needed, _) in enumerate(self.templates):
             spans = []
             for phrase in needed:
                 start = next(i for i in range(len(words)) if words[i:i + len(phrase)] == phrase)
                 spans.append((start, phrase))
             self.phrases.append(spans)
-            start, phrase = spans[0]
-            at = max(range(len(phrase)), key=lambda i: (self.idf[phrase[i]], -i))
-            self.postings[phrase[at]].append((number, start + at))
-        self.weight = [sum(self.idf[w] for w in t[1]) for t in self.templates]
+            rarest = lambda places: sorted(places, key=lambda i: (-self.idf[words[i]], i))[:anchors]
+            inside = sorted({i for start, phrase in spans for i in rarest(range(start, start + len(phrase)))})
+            other = [i for i in rarest(range(len(words))) if i not in inside]
+            for bit, at in enumerate(inside + other):
+                self.postings[words[at]].append((number, at, 1 << bit))
+            self.needed.append((1 << len(inside)) - 1)
+            self.absent.append([(1 << len(inside) + n, self.idf[words[at]]) for n, at in enumerate(other)])
 
     def scan(self, words: list[bytes]) -> list[tuple[int, int, float]]:
         """(template, start of its first phrase, IDF share) of every verified place."""
-        out = []
+        votes: dict[tuple[int, int], int] = defaultdict(int)
         postings = self.postings
         for i in [i for i, w in enumerate(words) if w in postings]:
-            for number, at in postings[words[i]]:
-                offset = i - at
-                if all(offset + s >= 0 and words[offset + s:offset + s + len(p)] == p for s, p in self.phrases[number]):
-                    got = sum(self.idf[w] for j, w in enumerate(self.templates[number][1])
-                              if 0 <= offset + j < len(words) and words[offset + j] == w)
-                    out.append((number, offset + self.phrases[number][0][0], got / self.weight[number]))
+            for number, at, bit in postings[words[i]]:
+                votes[number, i - at] |= bit
+        out = []
+        for (number, offset), got in votes.items():
+            needed = self.needed[number]
+            if got & needed != needed:
+                continue
+            _, template, _, base = self.templates[number]
+            missed = sum(w for bit, w in self.absent[number] if not got & bit)
+            if not base and self.weight[number] - missed < MIN_SHARE * self.weight[number]:
+                continue
+            if all(offset + s >= 0 and words[offset + s:offset + s + len(p)] == p for s, p in self.phrases[number]):
+                stand = sum(self.idf[w] for j, w in enumerate(template) if 0 <= offset + j < len(words) and words[offset + j] == w)
+                out.append((number, offset + self.phrases[number][0][0], stand / self.weight[number]))
         return out
 
 

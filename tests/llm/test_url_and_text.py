@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -203,3 +204,37 @@ PAGES = {
 @pytest.mark.parametrize("page", PAGES)
 def test_zones_and_block_rules(page):
     assert H.main_text(page) == PAGES[page]
+
+
+def test_license_labels_and_scores_by_trying_every_offset(spark):
+    r = random.Random(7)
+    vocab = [w.decode() for w in L.vocabulary()]
+    texts = list(LICENSES)
+    for _, sentence, _ in L.TEMPLATES * 3:
+        w = sentence.split()
+        for i in range(len(w)):
+            if r.random() < 0.15:
+                w[i] = r.choice(vocab)
+        cut = r.randrange(4)
+        texts.append(" ".join(r.choice(vocab) for _ in range(r.randrange(9))) + " " + " ".join(w[cut:] if r.random() < 0.3 else w) + " end " * r.randrange(3))
+    split = [words(t) for t in texts]
+    freq = {w: sum(w in s for s in split) for w in vocab}
+    idf = {w: math.log((len(texts) + 1) / (freq[w] + 1)) + 1.0 for w in vocab}
+    templates = [(label, p.split(), [p.split()], True) for p, label in L.BASE.items()] + [(label, t.split(), [p.split() for p in need], False) for label, t, need in L.TEMPLATES]
+    out = by_id(L.scan(documents(spark, texts)))
+    some = 0
+    for i, w in enumerate(split, 1):
+        want = []
+        for label, t, needed, base in templates:
+            for at in range(-len(t), len(w)):
+                here = [0 <= at + j < len(w) and w[at + j] == x for j, x in enumerate(t)]
+                starts = [next(k for k in range(len(t)) if t[k:k + len(p)] == p) for p in needed]
+                if all(all(here[s:s + len(p)]) for s, p in zip(starts, needed)):
+                    share = sum(idf[x] for x, h in zip(t, here) if h) / sum(idf[x] for x in t)
+                    if base or share >= L.MIN_SHARE:
+                        want.append((label, at + starts[0], round(share, 9)))
+        got = sorted((p["label"], p["start"], round(p["share"], 9)) for p in out[i]["places"])
+        assert got == sorted(want), texts[i - 1]
+        assert out[i]["labels"] == ",".join(sorted({x[0] for x in want})) and out[i]["score"] == pytest.approx(min(1.0, max((x[2] for x in want), default=0.0)))
+        some += len(want)
+    assert some > 30  # that there is something to find
