@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attest.functions import canonical as K
 from attest.functions.paths import is_unsafe_path
-from attest.functions.scale import order_statistics, prefix_totals, salted_join
+from attest.functions.scale import numbered, order_statistics, prefix_totals, salted_join
 from attest.operators import evaluation as X
 from attest.operators import manifests as M
 from attest.sources import files, sinks
@@ -252,3 +252,23 @@ def test_late_rows_go_aside(spark, tmp_path):
     W.split_late(stream, "ts", 600, str(tmp_path / "run"))
     count = lambda side: spark.read.schema("id int, ts timestamp").parquet(str(tmp_path / "run" / side)).count()
     assert (count("in_time"), count("late")) == (10, 5)
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_dense_numbers_by_ranges(spark, partitions):
+    values = [(i * 37) % 101 for i in range(101)] + [5, 5]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v int, i int").repartition(partitions)
+    out = numbered(df, ["v", "i"], "no").collect()
+    assert sorted((r.v, r.i, r.no) for r in out) == [(v, i, n) for n, (v, i) in enumerate(sorted((v, i) for i, v in enumerate(values)))]
+    assert numbered(df.where("false"), ["v"], "no").count() == 0
+
+
+def test_unreadable_annotation_files_have_a_reason(spark, tmp_path):
+    texts = {"good": '{"batch_id": "b", "images": [{"id": "1", "file_name": "a.jpg"}], "annotations": [], "categories": []}',
+             "cut": '{"batch_id": "b", "images": [{"id": "1"', "other": '{"images": 3}', "empty": "", "list": "[1]"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    parts = files.read_coco(spark, f"{tmp_path}/*.json")
+    assert [r.file_name for r in parts["images"].collect()] == ["a.jpg"] and parts["documents"].count() == 1
+    broken = {r.document_id.rsplit("/", 1)[1]: r.reason for r in parts["broken"].collect()}
+    assert {"cut.json", "other.json"} <= set(broken) and "good.json" not in broken and "no JSON" in broken["cut.json"]
