@@ -61,6 +61,23 @@ def finding_nodes(findings: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def finding_edges(findings: DataFrame) -> DataFrame:
+    """``(parent, child, parent_type)`` from each asset to its findings; an asset of any type takes findings."""
+    return finding_nodes(findings).select("parent", F.col("id").alias("child"), F.lit("asset").alias("parent_type"))
+
+
+def inference_edges(records: DataFrame, models: DataFrame) -> DataFrame:
+    """``(parent, child, parent_type)`` from models to the records they made, by the models' digests.
+
+    ``records(record_hash, model_digest)``, ``models(id, hash)``; a digest of no known model leads from a
+    parent of its own, so that it shows as an orphan.
+    """
+    known = models.where("hash is not null").groupBy(F.col("hash").alias("model_digest")).agg(F.min("id").alias("id"))
+    return records.join(known, "model_digest", "left").select(
+        F.coalesce("id", F.concat(F.lit("unknown-model:"), F.col("model_digest"))).alias("parent"),
+        F.col("record_hash").alias("child"), F.lit("model").alias("parent_type")).distinct()
+
+
 def reach(graph: Graph, sources: DataFrame) -> DataFrame:
     """``(source, node)`` numbers with node strictly downstream of the source; sources(id).
 

@@ -596,12 +596,17 @@ def lineage_nodes(spark, folder):
     return nodes.select("id", "node_type", F.coalesce("hash", F.lit("")).alias("hash"), "orphan")
 
 
-@query("lineage_edges", with_roles("lineage_edges", body="""
-SELECT parent_type, count(*) AS edges, count(DISTINCT parent) AS parents, count(DISTINCT child) AS children FROM lineage_edges GROUP BY parent_type"""))
+@query("lineage_edges", with_roles("lineage_edges", "findings", "log", body="""
+SELECT DISTINCT parent, child, parent_type FROM lineage_edges
+UNION ALL SELECT DISTINCT asset_id, 'finding:' || sha256(concat_ws(chr(31), asset_id, finding_type, TEXT(severity), TEXT(confidence), modality, detector_id, evidence_text)), 'asset' FROM findings
+UNION ALL SELECT DISTINCT CASE WHEN model_digest = md5('user') THEN 'user-model' ELSE 'unknown-model:' || model_digest END, input_hash, 'model' FROM log"""))
 def lineage_edges(spark, folder):
+    """Declared edges, those to findings, and those from models to inference records by digest."""
     edges, _, _ = _graph(spark, folder)
-    return edges.groupBy("parent_type").agg(
-        F.count(F.lit(1)).alias("edges"), F.countDistinct("parent").alias("parents"), F.countDistinct("child").alias("children"))
+    models = spark.createDataFrame([("user-model", "user")], "id string, name string").select("id", F.md5("name").alias("hash"))
+    records = role(spark, folder, "log").select(F.col("input_hash").alias("record_hash"), "model_digest")
+    return edges.select("parent", "child", "parent_type").distinct().unionByName(L.finding_edges(findings(spark, folder))).unionByName(
+        L.inference_edges(records, models))
 
 
 @query("lineage_type_conflicts", with_roles("lineage_nodes", body="""
