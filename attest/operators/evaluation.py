@@ -190,6 +190,19 @@ def false_positive_cost(verdicts: DataFrame, variants: DataFrame, limit: float =
     ).withColumn("flag", F.coalesce(F.col("rate") > limit, F.lit(False)))
 
 
+def false_positive_costs(verdicts: DataFrame, variants: DataFrame, limit: float = 0.05) -> DataFrame:
+    """The same for every detector of verdicts(detector_id, variant, verdict): its share of all clean variants."""
+    known = variants.select("variant").distinct()
+    up = F.upper("verdict")
+    per = verdicts.join(known, "variant", "left_semi").groupBy("detector_id", "variant").agg(
+        F.max(F.coalesce(up.isin("REVIEW", "QUARANTINE"), F.lit(False)).cast("int")).alias("raised"),
+        F.max(F.coalesce(up == "QUARANTINE", F.lit(False)).cast("int")).alias("stopped"))
+    sums = per.groupBy("detector_id").agg(F.sum("raised").alias("false_positives"), F.sum("stopped").alias("stopped"))
+    return with_row(sums, known.agg(F.count(F.lit(1)).alias("variants"))).select(
+        "detector_id", "variants", "false_positives", (F.col("false_positives") / F.col("variants")).alias("rate"),
+        (F.col("stopped") / F.col("variants")).alias("quarantine_rate"), (F.col("false_positives") / F.col("variants") > limit).alias("flag"))
+
+
 def run_diff(first: DataFrame, second: DataFrame) -> DataFrame:
     """Rows only in one of two runs, copies counted: ``(run, <columns>)``."""
     columns = first.columns

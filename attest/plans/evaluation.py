@@ -101,16 +101,29 @@ def ablation(spark, folder):
 + v AS (SELECT DISTINCT asset_id AS variant FROM findings),
 j AS (SELECT variant, max(CASE WHEN asset_id IS NOT NULL AND {SQL_VERDICT} <> 'ACCEPT' THEN 1 ELSE 0 END) AS raised,
   max(CASE WHEN asset_id IS NOT NULL AND {SQL_VERDICT} = 'QUARANTINE' THEN 1 ELSE 0 END) AS stopped
-  FROM v LEFT JOIN (SELECT * FROM findings WHERE detector_id = 'ood') f ON asset_id = variant GROUP BY variant)
+  FROM v LEFT JOIN findings f ON asset_id = variant GROUP BY variant)
 SELECT count(*) AS variants, CAST(sum(raised) AS BIGINT) AS false_positives, round(avg(raised), 6) AS rate, round(avg(stopped), 6) AS quarantine_rate,
   avg(raised) > 0.05 AS flag FROM j"""))
 def false_positive_cost(spark, folder):
     every = findings(spark, folder)
-    verdicts = E.decide(every.where("provenance.detector_id = 'ood'")).select(F.col("asset_id").alias("variant"), "verdict")
+    verdicts = E.decide(every).select(F.col("asset_id").alias("variant"), "verdict")
     out = X.false_positive_cost(verdicts, every.select(F.col("asset_id").alias("variant")))
     return out.select("variants", "false_positives", r("rate").alias("rate"), r("quarantine_rate").alias("quarantine_rate"), "flag")
 
 
+@query("false_positive_costs", with_roles("findings", body=f"""
++ j AS (SELECT detector_id, asset_id, max(CASE WHEN {SQL_VERDICT} <> 'ACCEPT' THEN 1 ELSE 0 END) AS raised,
+  max(CASE WHEN {SQL_VERDICT} = 'QUARANTINE' THEN 1 ELSE 0 END) AS stopped FROM findings GROUP BY ALL),
+n AS (SELECT count(DISTINCT asset_id) AS variants FROM findings)
+SELECT detector_id, variants, CAST(sum(raised) AS BIGINT) AS false_positives, round(sum(raised) / variants, 6) AS rate, round(sum(stopped) / variants, 6) AS quarantine_rate,
+  sum(raised) / variants > 0.05 AS flag FROM j, n GROUP BY detector_id, variants"""))
+def false_positive_costs(spark, folder):
+    every = findings(spark, folder)
+    verdicts = E.decide(every).select(F.col("provenance.detector_id").alias("detector_id"), F.col("asset_id").alias("variant"), "verdict")
+    out = X.false_positive_costs(verdicts, every.select(F.col("asset_id").alias("variant")))
+    return out.withColumn("rate", r("rate")).withColumn("quarantine_rate", r("quarantine_rate"))
+
+
 @query("run_diff", with_roles("findings", body="""
 + a AS (SELECT asset_id, finding_type, round(severity, 6) AS severity FROM findings),
 b AS (SELECT asset_id, finding_type, round(CASE WHEN ord % 50 = 0 THEN severity / 2 ELSE severity END, 6) AS severity FROM findings WHERE ord % 77 > 0)
