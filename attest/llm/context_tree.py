@@ -1,18 +1,20 @@
 """Language-model scoring by context-tree weighting over bytes.
 
 A byte is eight binary decisions, one for each node of the binary tree over byte values
-(255 nodes). Each node has a binary context tree over the three bytes before, nearest
-first, each as six bits (letters, space and some marks apart, rarer ASCII together, the
-low five bits of other bytes): 19 depths from no context to 18 bits. A tree node holds
-counts of zeros and ones with their Krichevsky-Trofimov estimate; its weighted
+(255 nodes). Each node has a context tree over the six whole bytes before, nearest first:
+seven depths, from no context to all six, each tree node with up to 256 children. A tree
+node holds counts of zeros and ones with their Krichevsky-Trofimov estimate; its weighted
 probability is half its own estimate and half the product of its children's. The
 prediction for a bit mixes the estimates of all depths on the context's path with the
 weights that follow. The sum over a text's bits is its code length.
 
-Counting runs over all training documents. The model has one row of 256 byte values for
-each context that occurs, at most 2^18 whatever the corpus (268 MB as float32; the test
-tables have some ten thousand, 12 MB), which bounds what is broadcast. A text is scored
-as its lower-cased bytes and one end byte, after three bytes of start.
+Counting runs over all training documents, and every context that occurs has its place:
+the model is a table that grows with the text and stays a table. Counts are summed to the
+root with one aggregation for each depth, mixtures come down with one join for each depth
+(at most 256 rows meet one parent). Texts lie in chunks of some megabytes; the distinct
+pairs of context and byte of a chunk meet the model in a join and travel to the chunk's
+texts, so that a task holds at most the pairs of one chunk. A text is scored as its
+lower-cased bytes and one end byte, after six bytes of start.
 
 The unigram base needs the count of every word of the corpus: frequent words, at most
 FREQUENT by the threshold they must reach, travel to the tasks; the rest are joined.
@@ -30,272 +32,301 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.common import LOWER_BYTES, only, utf8, tidy
+from attest.llm.common import LOWER_BYTES, forget, only, tidy, utf8, written
 from attest.session import settle
 
 END = 0xFF  # in no UTF-8 text
 FREQUENT = 1 << 18
 LONGEST_FREQUENT = 64  # bytes of a word that travels
+CHUNK = 16 << 20  # bytes of text whose contexts a task holds at once, and at most one text more
 _FLUSH = 400_000
 _PIECE = 4 << 20
-BEFORE, CLASS_BITS = 3, 6
-DEPTH = BEFORE * CLASS_BITS
+BEFORE = 6  # with the byte itself 56 bits of a code
 
 
 def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
 
 
-def _byte_classes() -> np.ndarray:
-    """Six bits for each byte as a context: a-z 0-25, space, controls, digits, full stop, comma,
-    other ASCII 26-31, and 32 with the low five bits for bytes beyond ASCII."""
-    b = np.arange(256)
-    out = np.where(b >= 0x80, 32 | b & 31, 31)
-    for known, value in ((b < 0x20, 27), (b == 0x20, 26), ((b >= 0x30) & (b <= 0x39), 28), (b == 0x2E, 29), (b == 0x2C, 30)):
-        out[known] = value
-    letters = (b >= 0x61) & (b <= 0x7A)
-    out[letters] = b[letters] - 0x61
-    return out.astype(np.int32)
-
-
-CLASSES = _byte_classes()
-
-
 def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Codes ``context << 8 | byte`` of all texts and their ends, and where each text begins.
 
-    The context is ``nearest << 12 | second << 6 | third`` of byte classes.
+    The nearest byte of the context has its highest bits, so that a shift gives the context one byte shorter.
     """
-    flat = np.frombuffer(b"".join(b"\xff\xff\xff" + t + b"\xff" for t in texts), np.uint8)
-    kind = CLASSES[flat]
-    code = kind[2:-1] << 20 | kind[1:-2] << 14 | kind[:-3] << 8 | flat[3:]
+    flat = np.frombuffer(b"".join(bytes([END]) * BEFORE + t + bytes([END]) for t in texts), np.uint8)
+    code = flat[BEFORE:].astype(np.int64)
+    for back in range(1, BEFORE + 1):
+        code |= flat[BEFORE - back:len(flat) - back].astype(np.int64) << 8 * (BEFORE + 1 - back)
     lengths = np.array([len(t) + 1 for t in texts])
-    starts = np.concatenate([[0], np.cumsum(lengths + BEFORE)[:-1]])
-    keep = np.repeat(starts, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    return code[keep], np.cumsum(lengths) - lengths
-
-
-def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and lower-cased texts in runs of a few megabytes."""
-    ids, texts, size = [], [], 0
-    for i, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-        ids.append(i)
-        texts.append(t.translate(LOWER_BYTES))
-        size += len(t)
-        if size >= _PIECE:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
-
-
-def _added(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two lists of distinct codes with their numbers as one."""
-    both, spot = np.unique(np.concatenate([a, b]), return_inverse=True)
-    return both, np.bincount(spot, np.concatenate([n, m]), len(both)).astype(np.int64)
-
-
-def count(base: DataFrame) -> DataFrame:
-    """(word, code, n) over base(id, text): words of training texts (the end is the empty word) and
-    byte codes, with n = 0 for contexts that only held-out texts have."""
+    first = np.cumsum(lengths) - lengths
+    keep = np.ones(len(code), bool)
+    for gap in range(BEFORE):  # the start of each text but the first
+        keep[(first + BEFORE * np.arange(len(texts)))[1:] - 1 - gap] = False
+    return code[keep], first
+
+
+def _runs(sizes: list[int], limit: int) -> Iterator[slice]:
+    """Slices of consecutive rows that end once they reach ``limit``."""
+    start = size = 0
+    for at, s in enumerate(sizes):
+        size += s
+        if size >= limit:
+            yield slice(start, at + 1)
+            start, size = at + 1, 0
+    if start < len(sizes):
+        yield slice(start, len(sizes))
+
+
+def in_chunks(base: DataFrame) -> DataFrame:
+    """(row, chunk, id, text) of base(id, text): lower-cased bytes; a chunk is named by its first row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size = None, CHUNK
+        for batch in batches:
+            rows, texts, chunks = batch.column(2).to_pylist(), [], []
+            for row, t in zip(rows, utf8(batch.column(1)), strict=True):
+                if size >= CHUNK:
+                    chunk, size = row, 0
+                size += len(t)
+                chunks.append(chunk)
+                texts.append(t.translate(LOWER_BYTES))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(2), pa.array(chunks, pa.int64()), batch.column(0), pa.array(texts, pa.binary())],
+                names=["row", "chunk", "id", "text"])
+
+    numbered = base.select(F.col("id").cast("bigint").alias("id"), "text", F.monotonically_increasing_id().alias("row"))
+    return numbered.mapInArrow(tidy(run), "row bigint, chunk bigint, id bigint, text binary")
+
+
+def count(texts: DataFrame) -> DataFrame:
+    """(chunk, code, word, n) over chunked texts, summed within tasks: words of training texts (the end is the
+    empty word) and byte codes of each chunk, with n = 0 for codes that only held-out texts of the chunk have."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[bytes] = Counter()
-        codes, numbers = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        seen = np.zeros(1 << DEPTH, bool)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        now = None
 
-        def out(word, code, n) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(word, pa.binary()), pa.array(code, pa.int32()), pa.array(n, pa.int64())], names=["word", "code", "n"])
+        def out(chunk, code, word, n) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(code, pa.int64()), pa.array(word, pa.binary()),
+                                               pa.array(n, pa.int64())], names=["chunk", "code", "word", "n"])
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush_words() -> Iterator[pa.RecordBatch]:
             part = list(words.items())
             for at in range(0, len(part), 50_000):
                 some = part[at:at + 50_000]
-                yield out([w for w, _ in some], [None] * len(some), [n for _, n in some])
+                none = [None] * len(some)
+                yield out(none, none, [w for w, _ in some], [n for _, n in some])
             words.clear()
 
+        def flush_codes() -> Iterator[pa.RecordBatch]:
+            if not found:
+                return
+            codes, spot = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+            numbers = np.bincount(spot, np.concatenate([n for _, n in found])).astype(np.int64)
+            found.clear()
+            for a in range(0, len(codes), 100_000):
+                some = codes[a:a + 100_000]
+                yield out(np.full(len(some), now), some, pa.nulls(len(some), pa.binary()), numbers[a:a + 100_000])
+
+        def add(texts: list[bytes], weight: int) -> None:
+            for part in _runs([len(t) + BEFORE for t in texts], _PIECE):
+                seen = pc.value_counts(pa.array(laid_out(texts[part])[0]))
+                found.append((seen.field(0).to_numpy(), seen.field(1).to_numpy() * weight))
+
         for batch in batches:
-            for ids, texts in _pieces(batch):
-                train = [t for i, t in zip(ids, texts, strict=True) if not is_held_out(i)]
-                held = [t for i, t in zip(ids, texts, strict=True) if is_held_out(i)]
-                if train:
-                    got, times = np.unique(laid_out(train)[0], return_counts=True)
-                    codes, numbers = _added(codes, numbers, got, times)
-                    words[b""] += len(train)
-                    for t in train:
-                        words.update(t.split())
-                if held:
-                    seen[np.unique(laid_out(held)[0] >> 8)] = True
+            chunks = batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if chunks[a] != now:
+                    yield from flush_codes()
+                    now = int(chunks[a])
+                ids, low = batch.column(2)[a:b].to_pylist(), batch.column(3)[a:b].to_pylist()
+                held = [is_held_out(i) for i in ids]
+                train = [t for t, h in zip(low, held, strict=True) if not h]
+                add(train, 1)
+                add([t for t, h in zip(low, held, strict=True) if h], 0)
+                for t in train:
+                    words[b""] += 1
+                    words.update(t.split())
                 if len(words) > _FLUSH:
-                    yield from flush()
-        yield from flush()
-        seen[codes >> 8] = False
-        extra = np.flatnonzero(seen) << 8
-        both = np.concatenate([codes, extra])
-        numbers = np.concatenate([numbers, np.zeros(len(extra), np.int64)])
-        for a in range(0, len(both), 100_000):
-            yield out([None] * len(both[a:a + 100_000]), both[a:a + 100_000], numbers[a:a + 100_000])
+                    yield from flush_words()
+                if sum(len(c) for c, _ in found) > _PIECE:
+                    codes, spot = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+                    found[:] = [(codes, np.bincount(spot, np.concatenate([n for _, n in found])))]
+        yield from flush_codes()
+        yield from flush_words()
 
-    return base.mapInArrow(tidy(run), "word binary, code int, n bigint").groupBy("word", "code").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(tidy(run), "chunk bigint, code bigint, word binary, n bigint")
 
 
 # Krichevsky-Trofimov and the weighting.
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series, after shifting small arguments up."""
-    shift = np.zeros_like(x)
-    y = x.astype(np.float64).copy()
-    for _ in range(8):
-        low = y < 8
-        shift[low] += np.log(y[low])
-        y[low] += 1
-    z = 1 / (y * y)
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y - shift
+def log_gamma(x: Column) -> Column:
+    """Stirling's series for x > 0, eight steps up."""
+    y = x + F.lit(8.0)
+    steps = x
+    for k in range(1, 8):
+        steps = steps * (x + F.lit(float(k)))
+    z = F.lit(1.0) / (y * y)
+    series = (F.lit(1 / 12) - z * (F.lit(1 / 360) - z * (F.lit(1 / 1260) - z / F.lit(1680.0)))) / y
+    return (y - F.lit(0.5)) * F.log(y) - y + F.lit(0.5 * math.log(2 * math.pi)) + series - F.log(steps)
 
 
-def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+def log_kt(zeros: Column, ones: Column) -> Column:
     """Log of the Krichevsky-Trofimov probability of a sequence with these counts."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
+    half = F.lit(0.5)
+    return log_gamma(zeros + half) + log_gamma(ones + half) - log_gamma(zeros + ones + F.lit(1.0)) - F.lit(math.log(math.pi))
 
 
-def predictions(context: np.ndarray, zeros: np.ndarray, ones: np.ndarray, asked: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """Probability of a one in each asked context, mixed over all depths.
+def decisions(codes: DataFrame, *keep: str) -> DataFrame:
+    """(key, bit, *keep): the eight decisions of each code; ``key`` is ``context << 8 | node``."""
+    way = codes.select("code", *keep, F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    return way.select(
+        F.expr("code - (code & 255) + (shiftleft(1, k) | cast(shiftright(code & 255, 8 - k) as int))").alias("key"),
+        F.expr("shiftright(code & 255, 7 - k) & 1").alias("bit"), *keep)
 
-    context: distinct observed contexts of ``depth`` bits, ascending, with their counts.
-    """
-    levels = []  # from the deepest: (contexts, KT prediction of a one, share of the own estimate)
-    weighted = log_kt(zeros, ones)
-    levels.append((context, (ones + 0.5) / (zeros + ones + 1.0), np.ones(len(context))))
-    for _ in range(depth):
-        if not len(context):
-            break
-        above, first = np.unique(context >> 1, return_index=True)
-        zeros, ones = np.add.reduceat(zeros, first), np.add.reduceat(ones, first)
-        below = np.add.reduceat(weighted, first)  # a child without counts has probability one
-        own = log_kt(zeros, ones)
-        weighted = np.logaddexp(own, below) - math.log(2)
-        context = above
-        levels.append((context, (ones + 0.5) / (zeros + ones + 1.0), np.exp(own - math.log(2) - weighted)))
-    # From the deepest level to the root; below what was observed every estimate is 1/2.
-    mixed = np.full(len(asked), 0.5)
-    for up, (known, own, share) in enumerate(levels):
-        path = asked >> up
-        at = np.searchsorted(known, path)
-        at[at == len(known)] = 0
-        there = known[at] == path if len(known) else np.zeros(len(path), bool)
-        if there.any():
-            s = share[at]
-            mixed = np.where(there, s * own[at] + (1 - s) * mixed, mixed)
-    return mixed
-
-
-def nodes(codes: DataFrame) -> DataFrame:
-    """(node, ctx, zeros, ones) of codes(code, n): a byte's decisions at the nodes on its way."""
-    way = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")
-    byte = F.col("code").bitwiseAND(F.lit(255))
-    return (
-        codes.where("n > 0").select(F.shiftright("code", 8).alias("ctx"), byte.alias("byte"), "n", way)
-        .select("ctx", "n", F.expr("shiftleft(1, k) | shiftright(byte, 8 - k)").alias("node"),
-                F.expr("shiftright(byte, 7 - k) & 1").alias("bit"))
-        .groupBy("node", "ctx").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("zeros"),
-                                    F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("ones"))
-    )
-
-
-def train(codes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(contexts, table): log2 probability of each byte value in each context that occurs in a text.
-
-    255 trees of at most 2^18 contexts are weighted in as many groups; their predictions
-    and the contexts are all that comes to the driver.
-    """
-    asked = np.array(sorted(r[0] for r in codes.select(F.shiftright("code", 8)).distinct().collect()), np.int64)
 
-    def weigh(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("ctx")
-        p = predictions(part["ctx"].to_numpy(np.int64), part["zeros"].to_numpy(float), part["ones"].to_numpy(float), asked)
-        return pd.DataFrame({"node": [int(part["node"].iloc[0])], "p": [p.astype(np.float32).tobytes()]})
+_ABOVE = "shiftleft(shiftright(key, 16), 8) | (key & 255)"  # the same node in the context one byte shorter
 
-    one = np.full((256, len(asked)), 0.5)
-    for r in nodes(codes).groupBy("node").applyInPandas(weigh, "node int, p binary").collect():
-        one[r["node"]] = np.frombuffer(r["p"], np.float32)
-    one = np.clip(one, 1e-9, 1 - 1e-7)
-    value = np.arange(256)
-    table = np.zeros((len(asked), 256), np.float32)
-    for k in range(8):
-        node, bit = 1 << k | value >> (8 - k), value >> (7 - k) & 1
-        table += np.log2(np.where(bit[:, None] == 1, one[node], 1 - one[node])).T.astype(np.float32)
-    return asked, table
+
+def levels(codes: DataFrame, depth: int = BEFORE) -> list[tuple[DataFrame, str]]:
+    """(key, zeros, ones, weighted, share) and its path for depth 0 to ``depth`` over codes(code, n).
+
+    ``weighted`` is the log of the weighted probability, ``share`` the part of it that is the node's own estimate.
+    """
+    half = F.lit(math.log(2))
+    top = decisions(codes, "n").groupBy("key").agg(
+        F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("zeros"),
+        F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("ones"))
+    out = [written(top.select("key", "zeros", "ones", log_kt(F.col("zeros"), F.col("ones")).alias("weighted"), F.lit(1.0).alias("share")))]
+    for _ in range(depth):
+        summed = out[-1][0].groupBy(F.expr(_ABOVE).alias("key")).agg(
+            F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below"))
+        own = summed.withColumn("own", log_kt(F.col("zeros"), F.col("ones")))
+        more = F.greatest("own", "below") + F.log1p(F.exp(-F.abs(F.col("own") - F.col("below")))) - half
+        mixed = own.withColumn("weighted", more)
+        out.append(written(mixed.select("key", "zeros", "ones", "weighted", F.exp(F.col("own") - half - F.col("weighted")).alias("share"))))
+    return out[::-1]
+
+
+def predictions(found: list[DataFrame]) -> DataFrame:
+    """(key, one): the probability of a one at every key of the deepest of the levels, mixed over all depths."""
+    one = (F.col("ones") + F.lit(0.5)) / (F.col("zeros") + F.col("ones") + F.lit(1.0))
+    path = None  # the sum of the estimates so far and the weight that is left for deeper ones
+    for level in found:
+        here = level.select("key", (F.col("share") * one).alias("own"), (F.lit(1.0) - F.col("share")).alias("rest"))
+        if path is None:
+            path = here.select("key", F.col("own").alias("sum"), F.col("rest").alias("left"))
+            continue
+        above = path.select(F.col("key").alias("up"), "sum", "left")
+        path = here.join(above, F.expr(_ABOVE) == F.col("up")).select(
+            "key", (F.col("sum") + F.col("left") * F.col("own")).alias("sum"), (F.col("left") * F.col("rest")).alias("left"))
+    return path.select("key", F.col("sum").alias("one"))
+
+
+def train(codes: DataFrame) -> DataFrame:
+    """(code, bits): log2 probability of each byte after its context, for all of codes(code, n)."""
+    found = levels(codes)
+    p = F.greatest(F.least("one", F.lit(1 - 1e-12)), F.lit(1e-12))
+    bit = F.when(F.col("bit") == 1, F.log2(p)).otherwise(F.log2(F.lit(1.0) - p))
+    out = settle(decisions(codes.select("code"), "code").join(predictions([f for f, _ in found]), "key")
+                 .groupBy("code").agg(F.sum(bit).cast("float").alias("bits")))
+    for _, path in found:
+        forget(codes.sparkSession, path)
+    return out
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: (key, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte)."""
     spark = docs.sparkSession
-    base = only(docs, id=key, text=text)
-    counted = settle(count(base))
-    words = counted.where("word is not null").select("word", "n")
-    contexts, table = train(counted.where("word is null").select("code", "n"))
+    texts = settle(in_chunks(only(docs, id=key, text=text)))
+    counted = settle(count(texts))
+    words = settle(counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")))
+    pairs = counted.where("word is null").select("chunk", "code", "n")
+    codes, gone = written(pairs.groupBy("code").agg(F.sum("n").alias("n")))
+    known_bits = train(codes)
+    forget(spark, gone)
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     # At most FREQUENT words reach this count.
     often = words.where((F.col("n") >= max(1, total / FREQUENT)) & (F.length("word") <= LONGEST_FREQUENT))
     frequent = {bytes(r["word"]): r["n"] for r in often.collect()}
     end = words.where(F.length("word") == 0).first()
     end_seen = end["n"] if end else 0
-    shared = spark.sparkContext.broadcast((contexts, table, frequent))
+    shared = spark.sparkContext.broadcast(frequent)
     scale = math.log10(total + 0.1 * (distinct + 1))
 
     arrow = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                        ("base", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("word", pa.binary()),
                        ("times", pa.int64())])
 
+    def tell(rows: list[int], ids: list, low: list[bytes], model: np.ndarray, gain: dict[bytes, float]) -> Iterator[pa.RecordBatch]:
+        heads, rare = [], ([], [], [])
+        for row, i, t, of_text in zip(rows, ids, low, model.tolist(), strict=True):
+            tokens = t.split()
+            known, got = 0, 0.0
+            for w, c in Counter(tokens).items():
+                g = gain.get(w)
+                if g is None:
+                    rare[0].append(row)
+                    rare[1].append(w)
+                    rare[2].append(c)
+                else:
+                    known += c
+                    got += c * g
+            got += math.log10(end_seen + 0.1)
+            # A space is in no word, so a document's own row meets no word in the join.
+            heads.append((row, i, len(tokens) + 1, known + (end_seen > 0), got - (len(tokens) + 1) * scale, of_text, len(t), b" %d" % row, 0))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*heads), arrow)], schema=arrow)
+        if rare[0]:
+            none, gone = pa.nulls(len(rare[0]), pa.int64()), pa.nulls(len(rare[0]), pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rare[0], pa.int64()), none, none, none, gone, gone, none, pa.array(rare[1], pa.binary()),
+                 pa.array(rare[2], pa.int64())], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts, table, frequent = shared.value
-        at_context = np.zeros(1 << DEPTH, np.int64)
-        at_context[contexts] = np.arange(len(contexts))
-        flat_table = table.reshape(-1)
-        gain = {w: math.log10(n + 0.1) for w, n in frequent.items()}
+        """Rows of a chunk lie together, its pairs before its texts."""
+        gain = {w: math.log10(n + 0.1) for w, n in shared.value.items()}
+        now, codes, bits = None, [], []
+        values, gains = pa.array([], pa.int64()), np.zeros(0)
         for batch in batches:
-            rows = batch.column(2).to_pylist()
-            done = 0
-            for ids, texts in _pieces(batch):
-                code, starts = laid_out(texts)
-                bits = flat_table[at_context[code >> 8] * 256 + (code & 255)].astype(np.float64)
-                model = np.add.reduceat(bits, starts) * math.log10(2)
-                heads, rare = [], ([], [], [])
-                for n, (i, t) in enumerate(zip(ids, texts, strict=True)):
-                    tokens = t.split()
-                    known, got = 0, 0.0
-                    row = rows[done + n]
-                    for w, c in Counter(tokens).items():
-                        g = gain.get(w)
-                        if g is None:
-                            rare[0].append(row)
-                            rare[1].append(w)
-                            rare[2].append(c)
-                        else:
-                            known += c
-                            got += c * g
-                    got += math.log10(end_seen + 0.1)
-                    # A space is in no word, so a document's own row meets no word in the join.
-                    heads.append((row, i, len(tokens) + 1, known + (end_seen > 0), got - (len(tokens) + 1) * scale,
-                                  float(model[n]), len(t), b" %d" % row, 0))
-                done += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*heads), arrow)], schema=arrow)
-                if rare[0]:
-                    none = pa.nulls(len(rare[0]), pa.int64())
-                    gone = pa.nulls(len(rare[0]), pa.float64())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(rare[0], pa.int64()), none, none, none, gone, gone, none, pa.array(rare[1], pa.binary()),
-                         pa.array(rare[2], pa.int64())], schema=arrow)
-
-    numbered = base.withColumn("row", F.monotonically_increasing_id())
+            chunks, is_text = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            turn = np.flatnonzero((np.diff(chunks) != 0) | (np.diff(is_text.astype(np.int8)) != 0)) + 1
+            cuts = [0, *turn.tolist(), len(chunks)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if chunks[a] != now:
+                    now, codes, bits = chunks[a], [], []
+                part = batch.slice(a, b - a)
+                if not is_text[a]:
+                    codes.append(part.column(2).to_numpy())
+                    bits.append(part.column(3).to_numpy())
+                    continue
+                if codes:
+                    values, gains = pa.array(np.concatenate(codes)), np.concatenate(bits).astype(np.float64)
+                    codes, bits = [], []
+                rows, ids, low = (part.column(c).to_pylist() for c in (4, 5, 6))
+                for some in _runs([len(t) + BEFORE for t in low], _PIECE):
+                    code, starts = laid_out(low[some])
+                    at = pc.index_in(pa.array(code), value_set=values).to_numpy()
+                    model = np.add.reduceat(gains[at], starts) * math.log10(2)
+                    yield from tell(rows[some], ids[some], low[some], model, gain)
+
+    priced = pairs.select("chunk", "code").join(known_bits, "code").select(
+        "chunk", F.lit(False).alias("is_text"), "code", "bits", F.lit(None).cast("bigint").alias("row"),
+        F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("binary").alias("text"))
+    asked = texts.select("chunk", F.lit(True).alias("is_text"), F.lit(None).cast("bigint").alias("code"),
+                         F.lit(None).cast("float").alias("bits"), "row", "id", "text")
+    together = priced.unionByName(asked).repartition("chunk").sortWithinPartitions("chunk", "is_text")
     schema = ("row bigint, id bigint, n_tokens bigint, n_known bigint, base double, score double, n_bytes bigint, "
               "word binary, times bigint")
-    partial = numbered.mapInArrow(tidy(run), schema)
+    partial = together.mapInArrow(tidy(run), schema)
     seen = partial.join(words.withColumnRenamed("n", "c"), "word", "left")
     times = F.col("times")
     known = F.coalesce("n_known", F.when(F.col("c") > 0, times).otherwise(F.lit(0)))

@@ -158,35 +158,76 @@ def kt_sequence(bits):
     return p
 
 
-def brute_weighted(history, depth, suffix=()):
-    """Weighted probability of the bits seen in a context; history: (context bits from the nearest, bit)."""
-    here = [b for ctx, b in history if tuple(ctx[:len(suffix)]) == suffix]
-    own = kt_sequence(here)
-    if len(suffix) == depth:
-        return own
-    return 0.5 * own + 0.5 * brute_weighted(history, depth, (*suffix, 0)) * brute_weighted(history, depth, (*suffix, 1))
-
-
-def test_predictions_are_those_of_the_definition():
-    depth = 4
-    for case in range(20):
-        r = random.Random(case)
-        history = [(tuple(r.randrange(2) for _ in range(depth)), int(r.random() < 0.3)) for _ in range(r.randrange(25))]
-        count = Counter((int("".join(map(str, c)), 2), b) for c, b in history)
-        ctx = sorted({c for c, _ in count})
-        got = C.predictions(np.array(ctx, np.int64), np.array([float(count[c, 0]) for c in ctx]), np.array([float(count[c, 1]) for c in ctx]),
-                            np.arange(1 << depth), depth)
-        before = brute_weighted(history, depth)
-        for c in range(1 << depth):
-            bits = tuple(int(x) for x in f"{c:0{depth}b}")
-            want = brute_weighted([*history, (bits, 1)], depth) / before
-            assert got[c] == pytest.approx(want, rel=1e-9), (case, c)
-
-
-def test_log_kt():
-    for a, b in [(0, 0), (1, 0), (3, 5), (40, 2), (1000, 3000)]:
-        want = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
-        assert C.log_kt(np.array([float(a)]), np.array([float(b)]))[0] == pytest.approx(want, abs=1e-9)
+class Definition:
+    """Trees of all nodes over whole contexts; a prediction is the quotient of two weighted probabilities."""
+
+    def __init__(self, history):
+        self.counts, self.children = {}, {}
+        for ctx, byte in history:
+            for k in range(8):
+                node, bit = 1 << k | byte >> (8 - k), byte >> (7 - k) & 1
+                for d in range(C.BEFORE + 1):
+                    self.counts.setdefault((node, ctx[:d]), [0, 0])[bit] += 1
+                    if d:
+                        self.children.setdefault((node, ctx[:d - 1]), set()).add(ctx[:d])
+        self.known = {}
+
+    @staticmethod
+    def kt(z, o):
+        return math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
+
+    def below(self, node, ctx):
+        return sum(self.weighted(node, c) for c in self.children.get((node, ctx), ()))
+
+    def weighted(self, node, ctx):
+        if (node, ctx) not in self.counts:
+            return 0.0
+        if (node, ctx) not in self.known:
+            own = self.kt(*self.counts[node, ctx])
+            self.known[node, ctx] = own if len(ctx) == C.BEFORE else math.log(0.5) + np.logaddexp(own, self.below(node, ctx))
+        return self.known[node, ctx]
+
+    def bit(self, node, ctx, bit):
+        new = None
+        for d in range(C.BEFORE, -1, -1):
+            z, o = self.counts.get((node, ctx[:d]), (0, 0))
+            own = self.kt(z + (bit == 0), o + (bit == 1))
+            if new is not None:
+                own = math.log(0.5) + np.logaddexp(own, self.below(node, ctx[:d]) - self.weighted(node, ctx[:d + 1]) + new)
+            new = own
+        return new - self.weighted(node, b"")
+
+    def byte(self, ctx, byte):
+        return sum(self.bit(1 << k | byte >> (8 - k), ctx, byte >> (7 - k) & 1) for k in range(8))
+
+
+def contexts_of(text):
+    s = b"\xff" * C.BEFORE + text + b"\xff"
+    return [(s[i - C.BEFORE:i][::-1], s[i]) for i in range(C.BEFORE, len(s))]
+
+
+def test_codes_of_texts():
+    texts = [b"", b"abcdefgh", b"", "é".encode(), b"xyz"]
+    code, starts = C.laid_out(texts)
+    want = [int.from_bytes(ctx + bytes([b]), "big") for t in texts for ctx, b in contexts_of(t)]
+    assert code.tolist() == want and starts.tolist() == [0, 1, 10, 11, 14]
+
+
+def test_log_kt(spark):
+    cases = [(0, 0), (1, 0), (3, 5), (40, 2), (1000, 3000), (10 ** 9, 7)]
+    for r in spark.createDataFrame(cases, "a bigint, b bigint").select("a", "b", C.log_kt(F.col("a"), F.col("b")).alias("got")).collect():
+        # Near 10^9 both sides are differences of numbers of 2 x 10^10.
+        assert r.got == pytest.approx(Definition.kt(r.a, r.b), rel=1e-7 if r.a > 10 ** 6 else 1e-12, abs=1e-9)
+        if r.a + r.b < 100:
+            assert r.got == pytest.approx(math.log(kt_sequence([0] * r.a + [1] * r.b)), abs=1e-9)
+
+
+def test_contexts_grow_with_the_text(spark):
+    r = random.Random(2)
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(300)) for _ in range(40)]
+    def size(t):
+        return C.count(C.in_chunks(documents(spark, t).select(F.col("doc_id").alias("id"), "text"))).where("word is null").select("code").distinct().count()
+    assert size(texts) > 3.5 * size(texts[:10])
 
 
 def lm_case():
@@ -195,9 +236,11 @@ def lm_case():
     return [None, "", " \t ", "hapax legomenon"] + [" ".join(r.choice(words) for _ in range(r.randrange(40))) for _ in range(120)] + ["kA " * 4000]
 
 
-@pytest.mark.parametrize("frequent", [1 << 18, 20])
-def test_scores_against_brute_force(spark, monkeypatch, frequent):
+@pytest.mark.parametrize("frequent,chunk,piece", [(1 << 18, 16 << 20, 4 << 20), (20, 500, 200)])
+def test_scores_against_brute_force(spark, monkeypatch, frequent, chunk, piece):
     monkeypatch.setattr(C, "FREQUENT", frequent)
+    monkeypatch.setattr(C, "CHUNK", chunk)
+    monkeypatch.setattr(C, "_PIECE", piece)
     texts = lm_case()
     out = by_id(C.score(clashing(documents(spark, texts))))
     low = [(t or "").encode().translate(C.LOWER_BYTES) for t in texts]
@@ -205,40 +248,19 @@ def test_scores_against_brute_force(spark, monkeypatch, frequent):
     tokens = [[*t.split(), None] for t in low]
     c = Counter(w for w_, h in zip(tokens, held) if not h for w in w_)
     n, v = sum(c.values()), len(c)
-    counts = [Counter() for _ in range(256)]
-    seqs = [b"\xff\xff\xff" + t + b"\xff" for t in low]
-    kind = C.CLASSES.tolist()
-    context = lambda s, i: kind[s[i - 1]] << 12 | kind[s[i - 2]] << 6 | kind[s[i - 3]]
-    asked = sorted({context(s, i) for s in seqs for i in range(3, len(s))})
-    for s, h in zip(seqs, held):
-        if not h:
-            for i in range(3, len(s)):
-                for k in range(8):
-                    node, bit = 1 << k | s[i] >> (8 - k), s[i] >> (7 - k) & 1
-                    counts[node][context(s, i), bit] += 1
-    cache = {}
-
-    def p_one(node, ctx):
-        if node not in cache:
-            known = sorted({x for x, _ in counts[node]})
-            p = C.predictions(np.array(known, np.int64), np.array([float(counts[node][x, 0]) for x in known]),
-                              np.array([float(counts[node][x, 1]) for x in known]), np.array(asked))
-            cache[node] = dict(zip(asked, p))
-        return cache[node][ctx]
-
-    for i, (t, s) in enumerate(zip(tokens, seqs), 1):
+    model = Definition([x for t, h in zip(low, held) if not h for x in contexts_of(t)])
+    price = {}
+
+    for i, (t, s) in enumerate(zip(tokens, low), 1):
         got = out[i]
         assert (got["held_out"], got["n_tokens"], got["train_tokens"]) == (held[i - 1], len(t), n)
         assert got["n_known"] == sum(c[w] > 0 for w in t)
         assert got["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), rel=1e-9)
-        if len(s) < 300:
-            want = 0.0
-            for j in range(3, len(s)):
-                for k in range(8):
-                    node, bit = 1 << k | s[j] >> (8 - k), s[j] >> (7 - k) & 1
-                    one = p_one(node, context(s, j))
-                    want += math.log10(one if bit else 1 - one)
-            assert got["score"] == pytest.approx(want, rel=1e-4)
+        for pair in contexts_of(s):
+            if pair not in price:
+                price[pair] = model.byte(*pair) / math.log(10)
+        assert got["score"] == pytest.approx(sum(price[pair] for pair in contexts_of(s)), rel=1e-6)
+        assert got["bits_per_byte"] == pytest.approx(-got["score"] / math.log10(2) / (len(s) + 1))
 
 
 def test_scores_of_odd_tables(spark):
