@@ -9,9 +9,11 @@ prediction for a bit mixes the estimates of all depths on the context's path wit
 weights that follow. The sum over a text's bits is its code length.
 
 Counting runs over all training documents, and every context that occurs has its place:
-the model is a table that grows with the text and stays a table. Counts are summed to the
-root with one aggregation for each depth, mixtures come down with one join for each depth
-(at most 256 rows meet one parent). Texts lie in chunks of some megabytes; the distinct
+the model is a table that grows with the text and stays a table. All contexts with the same
+four nearest bytes (at most 2^24 codes) are weighted together in a task, many such groups at
+a time; from there counts are summed to the root with one aggregation for each depth, and
+mixtures come down with one join for each depth (at most 256 rows meet one parent) and meet
+their groups again for the last two depths. Texts lie in chunks of some megabytes; the distinct
 pairs of context and byte of a chunk meet the model in a join and travel to the chunk's
 texts, so that a task holds at most the pairs of one chunk. A text is scored as its
 lower-cased bytes and one end byte, after six bytes of start.
@@ -47,6 +49,8 @@ CHUNK = 16 << 20  # bytes of text whose contexts a task holds at once, and at mo
 _FLUSH = 400_000
 _PIECE = 4 << 20
 BEFORE = 6  # with the byte itself 56 bits of a code
+CUT = 4  # contexts alike in so many nearest bytes are weighted within one task
+_AT_ONCE = 400_000  # codes
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -184,28 +188,100 @@ def log_kt(zeros: Column, ones: Column) -> Column:
     return log_gamma(zeros + half) + log_gamma(ones + half) - log_gamma(zeros + ones + F.lit(1.0)) - F.lit(math.log(math.pi))
 
 
-def decisions(codes: DataFrame, *keep: str) -> DataFrame:
-    """(key, bit, *keep): the eight decisions of each code; ``key`` is ``context << 8 | node``."""
-    way = codes.select("code", *keep, F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
-    return way.select(
-        F.expr("code - (code & 255) + (shiftleft(1, k) | cast(shiftright(code & 255, 8 - k) as int))").alias("key"),
-        F.expr("shiftright(code & 255, 7 - k) & 1").alias("bit"), *keep)
+_EXACT = 1 << 16
+
+
+def _small_log_gamma(start: float) -> np.ndarray:
+    return math.lgamma(start) + np.concatenate([[0.0], np.cumsum(np.log(np.arange(_EXACT - 1) + start))])
+
+
+def log_kt_array(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """``log_kt`` of whole counts as arrays."""
+    def gamma(count: np.ndarray, start: float) -> np.ndarray:
+        out = _small_log_gamma_of[start][np.minimum(count, _EXACT - 1)]
+        large = count >= _EXACT
+        y = count[large] + start
+        out[large] = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y)
+        return out
+
+    return gamma(zeros, 0.5) + gamma(ones, 0.5) - gamma(zeros + ones, 1.0) - math.log(math.pi)
+
+
+_small_log_gamma_of = {0.5: _small_log_gamma(0.5), 1.0: _small_log_gamma(1.0)}
+
+
+class Tree:
+    """The depths from BEFORE up to ``CUT`` of all groups of some distinct codes with their numbers.
+
+    Each of ``levels`` is (key, zeros, ones, weighted, share, up), deepest first; a key is ``context << 8 | node``,
+    ``up`` the place of its parent in the next level.
+    """
+
+    def __init__(self, code: np.ndarray, n: np.ndarray) -> None:
+        k, byte = np.arange(8)[:, None], code & 255
+        key, spot = np.unique((code - byte) | 1 << k | byte >> (8 - k), return_inverse=True)
+        self.spot, self.bit = spot.reshape(8, -1), byte >> (7 - k) & 1
+        ones = np.bincount(self.spot.ravel(), (self.bit * n).ravel(), len(key)).astype(np.int64)
+        zeros = np.bincount(self.spot.ravel(), np.tile(n, 8), len(key)).astype(np.int64) - ones
+        weighted, share = log_kt_array(zeros, ones), np.ones(len(key))
+        self.levels = []
+        for _ in range(BEFORE - CUT):
+            above, up = np.unique(key >> 16 << 8 | key & 255, return_inverse=True)
+            self.levels.append((key, zeros, ones, weighted, share, up))
+            below = np.bincount(up, weighted, len(above))
+            zeros, ones = (np.bincount(up, c, len(above)).astype(np.int64) for c in (zeros, ones))
+            own = log_kt_array(zeros, ones)
+            key, weighted = above, np.logaddexp(own, below) - math.log(2)
+            share = np.exp(own - math.log(2) - weighted)
+        self.levels.append((key, zeros, ones, weighted, share, None))
+
+    def bits(self, total: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """log2 probability of each code, from the mixtures at the last level and the weight they leave to deeper ones."""
+        for _, zeros, ones, _, share, up in self.levels[-2::-1]:
+            total = total[up] + left[up] * share * (ones + 0.5) / (zeros + ones + 1.0)
+            left = left[up] * (1 - share)
+        p = np.clip(total, 1e-12, 1 - 1e-12)[self.spot]
+        return np.log2(np.where(self.bit == 1, p, 1 - p)).sum(0)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """Rows in whole runs of equal first column, at least about ``least`` of them at a time."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size < least:
+            continue
+        rows = pa.Table.from_batches(held)
+        group = rows.column(0).to_numpy()
+        cut = int(np.searchsorted(group, group[-1]))  # ascending
+        if cut:
+            yield rows.slice(0, cut)
+        held, size = rows.slice(cut).combine_chunks().to_batches(), len(rows) - cut
+        least = max(least, 2 * size)
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 _ABOVE = "shiftleft(shiftright(key, 16), 8) | (key & 255)"  # the same node in the context one byte shorter
+_GROUP = f"shiftright(code, {8 * (BEFORE - CUT) + 8})"
 
 
-def levels(codes: DataFrame, depth: int = BEFORE) -> list[tuple[DataFrame, str]]:
-    """(key, zeros, ones, weighted, share) and its path for depth 0 to ``depth`` over codes(code, n).
+def levels(codes: DataFrame) -> list[tuple[DataFrame, str]]:
+    """(key, zeros, ones, weighted, share) and its path for depth 0 to ``CUT`` over distinct codes(code, n).
 
     ``weighted`` is the log of the weighted probability, ``share`` the part of it that is the node's own estimate.
     """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, _AT_ONCE):
+            if len(rows):
+                last = Tree(rows.column(1).to_numpy(), rows.column(2).to_numpy()).levels[-1]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in last[:5]], names=["key", "zeros", "ones", "weighted", "share"])
+
     half = F.lit(math.log(2))
-    top = decisions(codes, "n").groupBy("key").agg(
-        F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("zeros"),
-        F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("ones"))
-    out = [written(top.select("key", "zeros", "ones", log_kt(F.col("zeros"), F.col("ones")).alias("weighted"), F.lit(1.0).alias("share")))]
-    for _ in range(depth):
+    grouped = codes.select(F.expr(_GROUP).alias("grp"), "code", "n").repartition("grp").sortWithinPartitions("grp", "code")
+    out = [written(grouped.mapInArrow(tidy(run), "key bigint, zeros bigint, ones bigint, weighted double, share double"))]
+    for _ in range(CUT):
         summed = out[-1][0].groupBy(F.expr(_ABOVE).alias("key")).agg(
             F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below"))
         own = summed.withColumn("own", log_kt(F.col("zeros"), F.col("ones")))
@@ -215,10 +291,11 @@ def levels(codes: DataFrame, depth: int = BEFORE) -> list[tuple[DataFrame, str]]
     return out[::-1]
 
 
-def predictions(found: list[DataFrame]) -> DataFrame:
-    """(key, one): the probability of a one at every key of the deepest of the levels, mixed over all depths."""
+def mixtures(found: list[DataFrame]) -> DataFrame:
+    """(key, sum, left) at every key of the last of the levels: what the estimates down to it give to a one, and the
+    weight left for deeper ones."""
     one = (F.col("ones") + F.lit(0.5)) / (F.col("zeros") + F.col("ones") + F.lit(1.0))
-    path = None  # the sum of the estimates so far and the weight that is left for deeper ones
+    path = None
     for level in found:
         here = level.select("key", (F.col("share") * one).alias("own"), (F.lit(1.0) - F.col("share")).alias("rest"))
         if path is None:
@@ -227,16 +304,29 @@ def predictions(found: list[DataFrame]) -> DataFrame:
         above = path.select(F.col("key").alias("up"), "sum", "left")
         path = here.join(above, F.expr(_ABOVE) == F.col("up")).select(
             "key", (F.col("sum") + F.col("left") * F.col("own")).alias("sum"), (F.col("left") * F.col("rest")).alias("left"))
-    return path.select("key", F.col("sum").alias("one"))
+    return path
 
 
 def train(codes: DataFrame) -> DataFrame:
-    """(code, bits): log2 probability of each byte after its context, for all of codes(code, n)."""
+    """(code, bits): log2 probability of each byte after its context, for all of the distinct codes(code, n)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, _AT_ONCE):
+            is_code = pc.is_null(rows.column(3))
+            own, above = rows.filter(is_code), rows.filter(pc.invert(is_code))
+            if not len(own):
+                continue
+            # Groups ascend and keys within them, so the mixtures lie as the last level of the tree.
+            code = own.column(1).to_numpy()
+            bits = Tree(code, own.column(2).to_numpy()).bits(above.column(3).to_numpy(), above.column(4).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(bits.astype(np.float32))], names=["code", "bits"])
+
     found = levels(codes)
-    p = F.greatest(F.least("one", F.lit(1 - 1e-12)), F.lit(1e-12))
-    bit = F.when(F.col("bit") == 1, F.log2(p)).otherwise(F.log2(F.lit(1.0) - p))
-    out = settle(decisions(codes.select("code"), "code").join(predictions([f for f, _ in found]), "key")
-                 .groupBy("code").agg(F.sum(bit).cast("float").alias("bits")))
+    none = F.lit(None).cast("double")
+    own = codes.select(F.expr(_GROUP).alias("grp"), "code", "n", none.alias("sum"), none.alias("left"))
+    above = mixtures([f for f, _ in found]).select(
+        F.shiftright("key", 8).alias("grp"), F.col("key").alias("code"), F.lit(None).cast("bigint").alias("n"), "sum", "left")
+    together = own.unionByName(above).repartition("grp").sortWithinPartitions("grp", "code")
+    out = settle(together.mapInArrow(tidy(run), "code bigint, bits float"))
     for _, path in found:
         forget(codes.sparkSession, path)
     return out

@@ -218,6 +218,7 @@ def test_log_kt(spark):
     for r in spark.createDataFrame(cases, "a bigint, b bigint").select("a", "b", C.log_kt(F.col("a"), F.col("b")).alias("got")).collect():
         # Near 10^9 both sides are differences of numbers of 2 x 10^10.
         assert r.got == pytest.approx(Definition.kt(r.a, r.b), rel=1e-7 if r.a > 10 ** 6 else 1e-12, abs=1e-9)
+        assert C.log_kt_array(np.array([r.a]), np.array([r.b]))[0] == pytest.approx(r.got, rel=1e-7, abs=1e-9)
         if r.a + r.b < 100:
             assert r.got == pytest.approx(math.log(kt_sequence([0] * r.a + [1] * r.b)), abs=1e-9)
 
@@ -241,6 +242,7 @@ def test_scores_against_brute_force(spark, monkeypatch, frequent, chunk, piece):
     monkeypatch.setattr(C, "FREQUENT", frequent)
     monkeypatch.setattr(C, "CHUNK", chunk)
     monkeypatch.setattr(C, "_PIECE", piece)
+    monkeypatch.setattr(C, "_AT_ONCE", piece)
     texts = lm_case()
     out = by_id(C.score(clashing(documents(spark, texts))))
     low = [(t or "").encode().translate(C.LOWER_BYTES) for t in texts]
