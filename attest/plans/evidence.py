@@ -16,6 +16,8 @@ from attest.plans import roles
 from attest.plans.registry import query, r, table
 from attest.plans.roles import ROLES, role, with_roles
 from attest.schemas import as_findings
+from attest.session import scratch
+from attest.sources import sinks
 
 # SQL shared by several checks.
 SQL_BAND = "(CASE WHEN {c} >= 0.7 THEN 2 WHEN {c} >= 0.3 THEN 1 ELSE 0 END)"
@@ -596,10 +598,13 @@ def lineage_nodes(spark, folder):
     return nodes.select("id", "node_type", F.coalesce("hash", F.lit("")).alias("hash"), "orphan")
 
 
-@query("lineage_edges", with_roles("lineage_edges", "findings", "log", body="""
+_EDGES_SQL = with_roles("lineage_edges", "findings", "log", body="""
 SELECT DISTINCT parent, child, parent_type FROM lineage_edges
 UNION ALL SELECT DISTINCT asset_id, 'finding:' || sha256(concat_ws(chr(31), asset_id, finding_type, TEXT(severity), TEXT(confidence), modality, detector_id, evidence_text)), 'asset' FROM findings
-UNION ALL SELECT DISTINCT CASE WHEN model_digest = md5('user') THEN 'user-model' ELSE 'unknown-model:' || model_digest END, input_hash, 'model' FROM log"""))
+UNION ALL SELECT DISTINCT CASE WHEN model_digest = md5('user') THEN 'user-model' ELSE 'unknown-model:' || model_digest END, input_hash, 'model' FROM log""")
+
+
+@query("lineage_edges", _EDGES_SQL)
 def lineage_edges(spark, folder):
     """Declared edges, those to findings, and those from models to inference records by digest."""
     edges, _, _ = _graph(spark, folder)
@@ -609,6 +614,21 @@ def lineage_edges(spark, folder):
         L.inference_edges(records, models))
 
 
+@query("published_lineage", _EDGES_SQL)
+def published_lineage(spark, folder):
+    """Nodes and edges as one release, then a release whose second table fails: what is read is the first, whole."""
+    path = scratch(spark, "lineage")
+    edges = lineage_edges(spark, folder)
+    sinks.publish({"nodes": lineage_nodes(spark, folder), "edges": edges}, path)
+    failing = F.when(F.col("parent") == "user-model", F.raise_error(F.lit("lost on the way"))).otherwise(F.lit("late")).cast("string")
+    try:
+        sinks.publish({"nodes": edges.select("child"), "edges": edges.withColumn("parent_type", failing)}, path)
+    except Exception as error:
+        if "lost on the way" not in str(error):
+            raise
+    return sinks.published(spark, path)["edges"]
+
+
 @query("lineage_type_conflicts", with_roles("lineage_nodes", body="""
 + x AS (SELECT id, node_type FROM lineage_nodes UNION ALL SELECT 'order-' || TEXT(o_orderkey), 'dataset' FROM orders WHERE o_orderkey % 50 = 0)
 SELECT id, min(node_type) AS first_type, max(node_type) AS second_type FROM x WHERE node_type <> 'asset' GROUP BY id HAVING min(node_type) <> max(node_type)"""))

@@ -1,9 +1,21 @@
-"""Writers. Every write replaces exactly the assessment it belongs to, so a retry is safe."""
+"""Writers. Every write replaces exactly the assessment it belongs to, so a retry is safe.
+
+``publish`` writes several tables as one release: each goes to a folder of its own that no
+reader looks at, and a release is there once its manifest is, a small file created last
+under the next number. Readers follow the highest complete manifest. A failed write leaves
+no manifest, so the release before stays what is read, and its folder is removed. Of two
+writers with the same number one fails at creating the file.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def write_partitioned(df: DataFrame, path: str, key: str = "assessment_id", fmt: str = "parquet") -> None:
@@ -34,3 +46,87 @@ def write_passport_text(lines: DataFrame, path: str) -> None:
 def write_lineage(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     nodes.write.mode("overwrite").parquet(f"{path}/nodes")
     edges.write.mode("overwrite").parquet(f"{path}/edges")
+
+
+def _files(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the class of its paths."""
+    kind = spark._jvm.org.apache.hadoop.fs.Path
+    return kind(path).getFileSystem(spark._jsc.hadoopConfiguration()), kind
+
+
+def _manifests(spark: SparkSession, path: str) -> list[str]:
+    """Paths of manifests, the newest first; one for each release that is kept."""
+    files, kind = _files(spark, path)
+    folder = kind(f"{path}/_manifests")
+    if not files.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(folder)]
+    return [f"{path}/_manifests/{n}" for n in sorted(names, reverse=True) if n.endswith(".json") and not n.startswith((".", "_"))]
+
+
+def _load(spark: SparkSession, manifest: str) -> dict | None:
+    """A manifest's content; None for one whose writer stopped in the middle."""
+    files, kind = _files(spark, manifest)
+    stream = files.open(kind(manifest))
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    except ValueError:
+        return None
+    finally:
+        stream.close()
+
+
+def publish(tables: Mapping[str, DataFrame], path: str, formats: Mapping[str, str] | None = None) -> dict:
+    """Write all tables as the next release below ``path`` and return its manifest.
+
+    ``formats`` names another format than parquet for a table (``json``, or ``text`` for one string column).
+    Rows are counted while they are written and stand in the manifest.
+    """
+    if not tables:
+        raise ValueError("a release needs a table")
+    spark = next(iter(tables.values())).sparkSession
+    files, kind = _files(spark, path)
+    folder = f"{path}/release-{uuid.uuid4().hex}"
+    manifest: dict = {"folder": folder.rsplit("/", 1)[1], "tables": {}}
+    before = _manifests(spark, path)
+    number = int(before[0].rsplit("/", 1)[1].removesuffix(".json")) + 1 if before else 1
+    try:
+        for name, df in tables.items():
+            counted, how = Observation(), (formats or {}).get(name, "parquet")
+            df.observe(counted, F.count(F.lit(1)).alias("rows")).write.format(how).save(f"{folder}/{name}")
+            manifest["tables"][name] = {"format": how, "rows": counted.get["rows"], "schema": df.schema.jsonValue()}
+        stream = files.create(kind(f"{path}/_manifests/{number:012d}.json"), False)
+        try:
+            stream.write(bytearray(json.dumps(manifest).encode()))
+        finally:
+            stream.close()
+    except Exception:
+        files.delete(kind(folder), True)
+        raise
+    return manifest
+
+
+def published(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of the newest complete release; none without one."""
+    for place in _manifests(spark, path):
+        found = _load(spark, place)
+        if found is not None:
+            return {
+                name: spark.read.schema(StructType.fromJson(t["schema"])).format(t["format"]).load(f"{path}/{found['folder']}/{name}")
+                for name, t in found["tables"].items()
+            }
+    return {}
+
+
+def retire(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Remove all complete releases but the newest ``keep``, manifests first; returns their folders."""
+    if keep < 1:
+        raise ValueError("keep at least the newest release")
+    files, kind = _files(spark, path)
+    complete = [(m, found) for m in _manifests(spark, path) if (found := _load(spark, m)) is not None]
+    gone = []
+    for place, found in complete[keep:]:
+        files.delete(kind(place), False)
+        files.delete(kind(f"{path}/{found['folder']}"), True)
+        gone.append(found["folder"])
+    return gone

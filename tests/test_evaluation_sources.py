@@ -1,4 +1,5 @@
 import json
+import os
 
 import numpy as np
 import pytest
@@ -223,6 +224,34 @@ def test_sinks_replace_only_their_assessment(spark, tmp_path):
     assert rows_of(back, "assessment_id", "count") == [("r1", 3), ("r2", 2)]
 
 
+def test_a_release_is_read_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "out")
+    assert sinks.published(spark, path) == {}
+    nodes = spark.createDataFrame([("a", 1.5), ("b", None)], "id string, weight double")
+    lines = spark.createDataFrame([("# one",), ("",)], "line string")
+    got = sinks.publish({"nodes": nodes, "lines": lines, "none": nodes.where("false")}, path, {"lines": "text", "none": "json"})
+    assert {n: t["rows"] for n, t in got["tables"].items()} == {"nodes": 2, "lines": 2, "none": 0}
+
+    broken = nodes.select("id", F.when(F.col("id") == "b", F.raise_error(F.lit("lost"))).otherwise(F.lit(2.0)).cast("double").alias("weight"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.publish({"lines": lines, "nodes": broken}, path)
+    back = sinks.published(spark, path)
+    assert rows_of(back["nodes"].fillna(0), "id", "weight") == [("a", 1.5), ("b", 0.0)]
+    assert sorted(r.line for r in back["lines"].collect()) == ["", "# one"]
+    assert back["none"].schema == nodes.schema and back["none"].count() == 0
+    assert len([f for f in os.listdir(path) if f.startswith("release-")]) == 1  # the failed one is gone
+
+    sinks.publish({"nodes": nodes.where("id = 'a'")}, path)
+    assert set(sinks.published(spark, path)) == {"nodes"} and sinks.published(spark, path)["nodes"].count() == 1
+    with open(f"{path}/_manifests/000000000003.json", "w") as half:
+        half.write('{"folder": "rel')
+    assert sinks.published(spark, path)["nodes"].count() == 1  # an unfinished manifest is passed over
+    assert len(sinks.retire(spark, path, keep=1)) == 1
+    assert sinks.published(spark, path)["nodes"].count() == 1
+    with pytest.raises(ValueError):
+        sinks.retire(spark, path, keep=0)
+
+
 def test_stream_over_several_files_equals_the_batch_rule(spark, tmp_path):
     rng = np.random.default_rng(1)
     rows = [(f"l{i % 3}", i, int(i + rng.integers(0, 3)), f"n{i}") for i in range(90)]
