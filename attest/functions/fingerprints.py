@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,9 +58,14 @@ def text_fingerprints(rows: DataFrame, ident: str, text: str) -> DataFrame:
     return sums.select(ident, fp.alias("fp"))
 
 
-@F.pandas_udf(T.BinaryType())
-def _float_bytes(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: v.astype("<f8").tobytes(), na_action="ignore")
+@F.arrow_udf(T.BinaryType())
+def _float_bytes(vectors: pa.Array) -> pa.Array:
+    """The values buffer of a batch cut by its offsets; a null inside a vector is NaN, a null vector null."""
+    starts = vectors.offsets.to_numpy().astype(np.int64)
+    values = pc.fill_null(vectors.values[starts[0]:starts[-1]], float("nan")).to_numpy().astype("<f8", copy=False)
+    offsets = ((starts - starts[0]) * 8).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(vectors), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+    return pc.if_else(vectors.is_valid(), found, pa.scalar(None, pa.binary())) if vectors.null_count else found
 
 
 def vector_hash(vec: Column) -> Column:

@@ -1,7 +1,11 @@
+import hashlib
+import struct
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from attest.functions.fingerprints import vector_hash
 from attest.operators import duplicates as D
 from attest.operators import metric_join as M
 from attest.operators import neighbours as N
@@ -120,3 +124,15 @@ def test_planted_flip(spark):
     df = spark.createDataFrame(rows, "ord bigint, vec array<double>, label int")
     assert [r.ord for r in N.label_disagreement(N.knn(df, "ord", "vec", "label")).collect()] == [16]
     assert N.label_disagreement(N.knn(df.where("ord < 16"), "ord", "vec", "label")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_vector_hash_is_the_digest_of_the_bytes(spark, kind):
+    nan = float("nan")
+    vectors = [None, [], [1.5], [0.0], [-0.0], [nan, 2.0], [None, 2.0], [], None, [1.5], *[[float(i), i / 4] * (i % 5) for i in range(300)]]
+    rows = spark.createDataFrame(list(enumerate(vectors)), f"i int, vec array<{kind}>").repartition(3)
+    for r in rows.select("i", vector_hash(F.col("vec")).alias("h")).collect():
+        v = vectors[r.i]
+        want = None if v is None else hashlib.sha256(struct.pack(f"<{len(v)}d", *[nan if x is None else x for x in v])).hexdigest()
+        assert r.h == want, v
+    assert rows.where("false").select(vector_hash(F.col("vec"))).count() == 0
