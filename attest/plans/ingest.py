@@ -85,7 +85,7 @@ def read_coco(spark, folder):
     text = F.when(F.col("shard") % 7 == 5, F.substring(whole, F.lit(1), F.length(whole) - 20)).when(
         F.col("shard") % 7 == 6, F.lit('{"images": "none", "annotations": 3}')).otherwise(whole)
     path = scratch(spark, "coco")
-    docs.select("shard", text.alias("value")).write.partitionBy("shard").text(path)
+    docs.select("shard", text.alias("value")).write.options(**sinks.MANY_FILES).partitionBy("shard").text(path)
     parts = files.read_coco(spark, f"{path}/*/*.txt")
     # The folder names the document.
     named = {k: df.withColumn("shard", F.regexp_extract("document_id", "shard=([0-9]+)", 1)) for k, df in parts.items()}
@@ -190,7 +190,9 @@ def file_inventory(spark, folder):
     docs = table(spark, folder, "documents").where("text is not null")
     line = F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" "))
     path = scratch(spark, "tree")
-    docs.select((F.col("doc_id") % 4).alias("part"), F.col("doc_id").alias("doc"), line.alias("value")).write.partitionBy("part", "doc").text(path)
+    # Dealt by id: a file per document takes its time, so no task may hold many more of them than others.
+    dealt = docs.select((F.col("doc_id") % 4).alias("part"), F.col("doc_id").alias("doc"), line.alias("value")).repartition("doc")
+    dealt.write.options(**sinks.MANY_FILES).partitionBy("part", "doc").text(path)
     found = files.file_inventory(spark, path).where(F.col("path").endswith(".txt"))
     return found.withColumn("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
 

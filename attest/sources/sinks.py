@@ -17,6 +17,15 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+# Writer options for scratch trees of very many small files. Tasks move their own files in place of the driver moving
+# all of them one by one; on a local file system no checksum file is written beside each, whose modes are set by
+# three more processes a file.
+MANY_FILES = {
+    "mapreduce.fileoutputcommitter.algorithm.version": "2",
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+}
+
 
 def write_partitioned(df: DataFrame, path: str, key: str = "assessment_id", fmt: str = "parquet") -> None:
     """Overwrite only the partitions present in ``df``."""
