@@ -28,7 +28,7 @@ from attest.session import settle
 BLOCK_ROWS = 1024
 TOP = 256  # top pivots at most
 _SUB = 32  # a cell's number is its super-cell's, shifted by so many bits, and its own
-_ARROW_BYTES = 64 * 1024 * 1024
+_ARROW_BYTES = 16 * 1024 * 1024
 
 
 def bound_arrow_batches(spark: SparkSession) -> None:
@@ -152,6 +152,13 @@ def _open(far: np.ndarray, between: np.ndarray, rings: np.ndarray, reach: np.nda
     return (margin <= reach) & (far - reach <= rings[:, 1]) & (far + reach >= rings[:, 0])
 
 
+def copies(rows: pa.RecordBatch, who: np.ndarray, name: str, values: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows ``who`` beside ``values``, ``size`` at a time: where bounds prune little, a row is asked in every cell."""
+    for at in range(0, len(who), size):
+        yield pa.RecordBatch.from_arrays([*rows.take(pa.array(who[at:at + size])).columns, pa.array(values[at:at + size])],
+                                         names=[*rows.schema.names, name])
+
+
 def target_cells(points: DataFrame, tree: Tree, include_home: bool, only_lower: bool = False, size: int = BLOCK_ROWS) -> DataFrame:
     """One row ``(vid, vec, cell)`` per point and cell that may hold a partner within its reach.
 
@@ -174,7 +181,7 @@ def target_cells(points: DataFrame, tree: Tree, include_home: bool, only_lower:
             if only_lower:
                 able &= np.arange(len(top))[None, :] <= own[:, None]
             who, cell = np.nonzero(able)
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(who)).columns, pa.array(cell.astype(np.int32))], names=[*batch.schema.names, "super"])
+            yield from copies(batch, who, "super", cell.astype(np.int32), size)
 
     def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,8 +197,8 @@ def target_cells(points: DataFrame, tree: Tree, include_home: bool, only_lower:
                 if only_lower:
                     able &= cells[None, :] <= own[:, None]
                 who, cell = np.nonzero(able)
-                out = block.take(pa.array(who))
-                yield pa.RecordBatch.from_arrays([out.field("vid"), out.field("vec"), pa.array(cells[cell])], names=["vid", "vec", "cell"])
+                asked = pa.RecordBatch.from_arrays([block.field("vid"), block.field("vec")], names=["vid", "vec"])
+                yield from copies(asked, who, "cell", cells[cell], size)
 
     bound_arrow_batches(points.sparkSession)
     source = points.select("vid", "vec", "cell", F.col("reach").cast("double").alias("reach"))

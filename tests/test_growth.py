@@ -2,8 +2,11 @@
 
 import glob
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from attest.operators import metric_join as M
 from attest.sources import files, sinks
 
 
@@ -25,3 +28,12 @@ def test_annotation_files_are_parsed_once(spark, tmp_path):
     parts = files.read_coco(spark, str(tmp_path))
     assert [r["id"] for r in parts["images"].collect()] == ["1"]
     assert not any("from_json" in _plan(df) or "jsontostructs" in _plan(df) for df in parts.values())
+
+
+def test_copies_of_asked_rows_leave_in_slices():
+    rows = pa.RecordBatch.from_pydict({"vid": list(range(50))})
+    who, cell = np.nonzero(np.ones((50, 40), bool))
+    out = list(M.copies(rows, who, "cell", cell, 64))
+    assert max(b.num_rows for b in out) == 64
+    got = [(v, c) for b in out for v, c in zip(b.column("vid").to_pylist(), b.column("cell").to_pylist())]
+    assert got == [(v, c) for v in range(50) for c in range(40)]
