@@ -16,22 +16,32 @@ from attest.operators.metric_join import BLOCK_ROWS, bound_arrow_batches, matrix
 from attest.schemas import as_findings, config_hash
 
 BINS = 16
+# Blocks a side, so that a row is copied about twice as often at any size; and the rows of a block at most.
+SIDE_BLOCKS, MOST_ROWS = 16, 1 << 14
 
 
 # -- kernel two-sample statistic -------------------------------------------
 
-def kernel_sums(rows: DataFrame, side: str, vec: str, gamma: float, size: int = BLOCK_ROWS) -> DataFrame:
+def tile_rows(rows: int) -> int:
+    """Rows of a block for a side of so many: a row's copies do not grow with the rows until blocks reach MOST_ROWS."""
+    return min(MOST_ROWS, max(BLOCK_ROWS, -(-rows // SIDE_BLOCKS)))
+
+
+def kernel_sums(rows: DataFrame, side: str, vec: str, gamma: float, size: int | None = None) -> DataFrame:
     """Exact sums of exp(-gamma d^2) per pair of sides: ``(pair, total)``.
 
     Equal vectors are collapsed to one weighted row. Rows are packed into bounded
     blocks; a grid of keys (i, j) brings each pair of blocks together once, and only
-    one number per pair of blocks leaves the task. Work is quadratic in distinct
-    rows by definition; ``mmd_random_features`` is the linear, approximate form.
+    one number per pair of blocks leaves the task, which compares BLOCK_ROWS by
+    BLOCK_ROWS rows at a time. Blocks grow with the rows (``tile_rows``). Work is quadratic in
+    distinct rows by definition; ``mmd_random_features`` is the linear, approximate form.
     """
     bound_arrow_batches(rows.sparkSession)
     weighted = rows.select(F.col(side).cast("string").alias("side"), F.col(vec).cast("array<double>").alias("vec")) \
         .groupBy("side", "vec").agg(F.count(F.lit(1)).alias("weight"))
     keyed = weighted.withColumn("vid", F.xxhash64("vec"))
+    if size is None:
+        size = tile_rows(max((r["count"] for r in rows.groupBy(F.col(side)).count().collect()), default=0))  # two rows
     blocks = pack_blocks(keyed, ["side"], "vid", ["vec", "weight"], size)
     counts = blocks.groupBy("side").agg(F.max("n_blocks").alias("n"))  # two rows
     wide = counts.agg(
@@ -70,17 +80,20 @@ def kernel_sums(rows: DataFrame, side: str, vec: str, gamma: float, size: int =
                 x, y = matrix_of(a.field("vec")), matrix_of(b.field("vec"))
                 wa = a.field("weight").to_numpy(zero_copy_only=False).astype(np.float64)
                 wb = b.field("weight").to_numpy(zero_copy_only=False).astype(np.float64)
-                square = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0.0)
                 pair = batch.column("pair")[n].as_py()
-                value = np.exp(-gamma * square)
-                if pair != "rc" and batch.column("i")[n].as_py() == batch.column("j")[n].as_py():
-                    # Same block: a row against itself is not a pair; its copies are.
-                    ia = a.field("vid").to_numpy(zero_copy_only=False)
-                    ib = b.field("vid").to_numpy(zero_copy_only=False)
-                    value[(ia[:, None] == ib[None, :]) & (square < 1e-9)] = 0.0
-                    total = wa @ value @ wb + (wa * (wa - 1.0)).sum()
-                else:
-                    total = wa @ value @ wb * (1.0 if pair == "rc" else 2.0)
+                same_block = pair != "rc" and batch.column("i")[n].as_py() == batch.column("j")[n].as_py()
+                ia, ib = (s.field("vid").to_numpy(zero_copy_only=False) for s in (a, b))
+                total = 0.0
+                for p in range(0, len(x), BLOCK_ROWS):
+                    for q in range(0, len(y), BLOCK_ROWS):
+                        u, v = slice(p, p + BLOCK_ROWS), slice(q, q + BLOCK_ROWS)
+                        square = np.maximum((x[u] * x[u]).sum(1)[:, None] + (y[v] * y[v]).sum(1)[None, :] - 2 * x[u] @ y[v].T, 0.0)
+                        value = np.exp(-gamma * square)
+                        if same_block:
+                            # A row against itself is not a pair; its copies are.
+                            value[(ia[u][:, None] == ib[v][None, :]) & (square < 1e-9)] = 0.0
+                        total += wa[u] @ value @ wb[v]
+                total = total + (wa * (wa - 1.0)).sum() if same_block else total * (1.0 if pair == "rc" else 2.0)
                 pairs.append(pair)
                 totals.append(float(total))
             if pairs:
@@ -89,7 +102,7 @@ def kernel_sums(rows: DataFrame, side: str, vec: str, gamma: float, size: int =
     return tiles.mapInArrow(run, "pair string, total double").groupBy("pair").agg(F.sum("total").alias("total"))
 
 
-def mmd_rbf(rows: DataFrame, side: str, vec: str, gamma: float | None = None, size: int = BLOCK_ROWS) -> DataFrame:
+def mmd_rbf(rows: DataFrame, side: str, vec: str, gamma: float | None = None, size: int | None = None) -> DataFrame:
     """Unbiased squared MMD: one row ``(n, m, gamma, mmd)``; may be negative.
 
     ``side`` holds 'reference' or 'current'; gamma defaults to 1 / dimension.

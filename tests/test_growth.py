@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from attest.operators import drift as D
 from attest.operators import metric_join as M
 from attest.sources import files, sinks
 
@@ -37,3 +38,20 @@ def test_copies_of_asked_rows_leave_in_slices():
     assert max(b.num_rows for b in out) == 64
     got = [(v, c) for b in out for v, c in zip(b.column("vid").to_pylist(), b.column("cell").to_pylist())]
     assert got == [(v, c) for v in range(50) for c in range(40)]
+
+
+def test_kernel_blocks_grow_with_the_rows_and_are_bounded(spark):
+    copies = lambda n: 3 * -(-n // D.tile_rows(n))
+    assert copies(250_000) <= 3 * D.SIDE_BLOCKS and D.tile_rows(10**9) == D.MOST_ROWS
+    rng = np.random.default_rng(3)
+    data = [("reference" if i % 3 else "current", rng.normal(size=4).tolist()) for i in range(2600)]
+    data += data[:40]
+    x = np.array([v for _, v in data])
+    ref = np.array([s == "reference" for s, _ in data])
+    k = np.exp(-0.25 * ((x[:, None, :] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(k, 0.0)
+    want = {"rr": k[np.ix_(ref, ref)].sum(), "cc": k[np.ix_(~ref, ~ref)].sum(), "rc": k[np.ix_(ref, ~ref)].sum()}
+    rows = spark.createDataFrame(data, "side string, vec array<double>")
+    for size in (None, 1500):  # blocks beyond the rows compared at a time
+        got = {r["pair"]: r["total"] for r in D.kernel_sums(rows, "side", "vec", 0.25, size).collect()}
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-6 * want[p] for p in want)
