@@ -7,7 +7,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from attest.operators import drift as D
+from attest.operators import lineage as L
 from attest.operators import metric_join as M
+from attest.operators.condensed import condense
 from attest.sources import files, sinks
 
 
@@ -55,3 +57,13 @@ def test_kernel_blocks_grow_with_the_rows_and_are_bounded(spark):
     for size in (None, 1500):  # blocks beyond the rows compared at a time
         got = {r["pair"]: r["total"] for r in D.kernel_sums(rows, "side", "vec", 0.25, size).collect()}
         assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-6 * want[p] for p in want)
+
+
+def test_leaves_are_not_numbered(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "a"), ("c", "x"), ("a", "x"), ("c", "y"), ("c", "y"), ("q", None)], "parent string, child string")
+    graph = condense(edges)
+    assert {r["id"] for r in graph.members.collect()} == {"a", "b", "c"}
+    assert {r["id"] for r in graph.leaves.collect()} == {"x", "y"}
+    sources = spark.createDataFrame([("a",), ("c",), ("y",)], "id string")
+    got = sorted(tuple(r) for r in L.closure(edges, sources, graph).collect())
+    assert got == [("a", n) for n in "abcxy"] + [("c", "x"), ("c", "y")]
