@@ -38,6 +38,26 @@ def test_hamming_reports_later_rows(spark):
     assert out == [("copy", "first", 0, 2), ("copy", "near", 1, 1), ("near", "first", 1, 2)]
 
 
+@pytest.mark.parametrize("bands,hot,lot", [(7, 8192, 64), (8, 5, 3), (9, 2, 1)])
+def test_hamming_pairs_leave_tasks_once_and_verified(spark, monkeypatch, bands, hot, lot):
+    """Candidates and probes with flipped bits were rows of a shuffle: 696 for a fingerprint, and every pair was joined twice."""
+    monkeypatch.setattr(D, "HOT_BUCKET", hot)
+    monkeypatch.setattr(D, "LOT_ROWS", lot)
+    rng = np.random.default_rng(bands)
+    seeds = [0, 2**63 - 1, *(int(x) for x in rng.integers(0, 2**62, 12))]
+    fps = [s ^ sum(1 << int(b) for b in rng.choice(63, int(rng.integers(0, 7)), replace=False)) for s in seeds for _ in range(12)] + seeds * 4
+    fps = [fps[i] for i in rng.permutation(len(fps))]
+    df = spark.createDataFrame([(f"r{i}", i, f) for i, f in enumerate(fps)] + [("none", 5, None)], "id string, ord bigint, fp bigint").repartition(5)
+    got = rows_of(D.hamming_near_duplicates(df, "id", "ord", "fp", 6, bands), "asset_id", "match_id", "distance", "match_rows")
+    first = {f: fps.index(f) for f in set(fps)}
+    want = sorted((f"r{i}", f"r{at}", (f ^ g).bit_count(), fps.count(g)) for i, f in enumerate(fps) for g, at in first.items()
+                  if at < i and (f ^ g).bit_count() <= 6)
+    assert got == want
+    assert [D.choose_bands(n, 6) for n in (1000, 10**6, 10**7, 10**9)] == [7, 7, 8, 9]
+    plan = D.hamming_near_duplicates(df, "id", "ord", "fp", 6, bands)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "SortMergeJoin" not in plan.split("MapInArrow")[0]
+
+
 def test_one_fingerprint_for_a_third_of_all_rows(spark):
     df = spark.range(3000).select(F.col("id").cast("string").alias("id"), F.col("id").alias("ord"),
                                   F.when(F.col("id") % 3 == 0, 5).otherwise(F.xxhash64("id").bitwiseAND(F.lit(2**62 - 1))).alias("fp"))
