@@ -270,6 +270,64 @@ def test_stream_over_several_files_equals_the_batch_rule(spark, tmp_path):
     assert clean <= got
 
 
+class _State:
+    """Value and map state that count their calls."""
+
+    def __init__(self):
+        self.value, self.map, self.calls = None, {}, 0
+
+    def _call(self, out=None):
+        self.calls += 1
+        return out
+
+    def get(self):
+        return self._call(self.value)
+
+    def exists(self):
+        return self._call(self.value is not None)
+
+    def update(self, value):
+        self.value = self._call(value)
+
+    def getValue(self, key):
+        return self._call(self.map.get(key))
+
+    def containsKey(self, key):
+        return self._call(key in self.map)
+
+    def updateValue(self, key, value):
+        self.map[key] = self._call(value)
+
+    def iterator(self):
+        return self._call(iter(list(self.map.items())))
+
+
+@pytest.mark.parametrize("ttl", [None, 1000])
+def test_replay_state_takes_few_calls(ttl):
+    """Each nonce took two calls to the JVM."""
+    import pandas as pd
+
+    last, nonces, clock = _State(), _State(), [0]
+    processor = S._Replay(ttl)
+    processor.init(type("H", (), {"getValueState": lambda *a: last, "getMapState": lambda *a: nonces}))
+    times = type("T", (), {"getCurrentProcessingTimeInMs": lambda *a: clock[0]})()
+
+    def push(rows):
+        frames = [pd.DataFrame(rows[i::2], columns=["pos", "sequence_number", "nonce"]) for i in (0, 1) if rows[i::2]]
+        return [tuple(r) for f in processor.handleInputRows(("log",), iter(frames), times) for r in f[["pos", "reason"]].itertuples(index=False)]
+
+    assert push([(i, i, f"n{i}") for i in range(60)]) == []
+    assert last.calls + nonces.calls <= 4
+    assert push([(60, 60, "n60"), (61, 61, "n7"), (62, 60, "n62"), (63, 70, None), (64, 71, "n64"), (65, 72, "n64")]) == [
+        (61, "Nonce replay detected"), (62, "Sequence number regression or replay"), (63, "Missing nonce"), (65, "Nonce replay detected")]
+    for k in range(1, 60):
+        assert push([(i, i, f"n{i}") for i in range(60 * k, 60 * k + 60)]) == []
+    assert len(nonces.map) == 16 and max(len(v[0]) for v in nonces.map.values()) < 2 * S.BUCKET_NONCES
+    assert {r[0] for r in push([(9000 + i, 9000 + i, f"n{i}") for i in range(3600)])} == set(range(9000, 12600))
+    clock[0] = 5000
+    assert len(push([(9000, 9000, "n7")])) == (ttl is None)
+
+
 def test_late_rows_go_aside(spark, tmp_path):
     base = 1_700_000_000
     for offset in (0, 10_000, 5_000):
