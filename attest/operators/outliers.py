@@ -6,7 +6,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attest.functions import vectors as V
@@ -158,34 +158,16 @@ def two_means(rows: DataFrame, ord: str, label: str, vec: str, min_rows: int = 4
                             F.col("vec").alias("own"), F.col("vec").alias("other"))
         return empty
     width = dims[0]
+    small = data.select("label").distinct().count() * width * 4 * 8 <= MODEL_BYTES
 
     def square(a, b):
         return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
-    flat = data.select("label", F.posexplode("vec").alias("pos", "value"))
-    middle = order_statistics(flat, ["label", "pos"], "value", {"middle": 0.5}).groupBy("label").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "middle"))), lambda s: s["middle"]).alias("middle")
-    )
-
-    def farthest(source: DataFrame, anchor: str, name: str) -> DataFrame:
-        # Ties go to the earliest row, as an argmax over input order does.
-        ranked = F.struct(square(F.col("vec"), F.col(anchor)).alias("far"), (-F.col("ord")).alias("back"))
-        return source.groupBy("label").agg(F.max_by("vec", ranked).alias(name))
-
-    first = settle(farthest(data.join(middle, "label"), "middle", "c0"))
-    second = farthest(data.join(first, "label"), "c0", "c1")
-    # p0/p1: the centres behind the previous assignment (null before the first round).
-    none = F.lit(None).cast("array<double>")
-    centres = settle(first.join(second, "label").select(
-        "label", none.alias("p0"), none.alias("p1"), "c0", "c1", F.lit(False).alias("done"), F.lit(True).alias("valid")
-    ))
+    centres = _iterate_small(data, width, max_rounds) if small else _first_centres(data, square)
 
     def nearest(a: str, b: str):
         return F.when(square(F.col("vec"), F.col(b)) < square(F.col("vec"), F.col(a)), 1).otherwise(0)
 
-    small = centres.count() * width * 4 * 8 <= MODEL_BYTES
-    if small:
-        centres = _iterate_small(data, centres, width, max_rounds)
     for _ in range(0 if small else max_rounds):
         active = centres.where("valid and not done")
         assigned = data.join(active, "label").select(
@@ -216,41 +198,173 @@ def two_means(rows: DataFrame, ord: str, label: str, vec: str, min_rows: int = 4
     return settled.select("ord", "label", "vec", "cluster", pick("c0", "c1").alias("own"), pick("c1", "c0").alias("other"))
 
 
-def _iterate_small(data: DataFrame, centres: DataFrame, width: int, max_rounds: int) -> DataFrame:
-    """The rounds of ``two_means`` with the centres (a bounded table) sent along with the tasks.
+_CENTRES = "label string, p0 array<double>, p1 array<double>, c0 array<double>, c1 array<double>, done boolean, valid boolean"
+
+
+def _first_centres(data: DataFrame, square) -> DataFrame:
+    """The row farthest from the median of its class and the one farthest from that, as a table of any length."""
+    flat = data.select("label", F.posexplode("vec").alias("pos", "value"))
+    middle = order_statistics(flat, ["label", "pos"], "value", {"middle": 0.5}).groupBy("label").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "middle"))), lambda s: s["middle"]).alias("middle")
+    )
+
+    def farthest(source: DataFrame, anchor: str, name: str) -> DataFrame:
+        # Ties go to the earliest row, as an argmax over input order does.
+        ranked = F.struct(square(F.col("vec"), F.col(anchor)).alias("far"), (-F.col("ord")).alias("back"))
+        return source.groupBy("label").agg(F.max_by("vec", ranked).alias(name))
+
+    first = settle(farthest(data.join(middle, "label"), "middle", "c0"))
+    second = farthest(data.join(first, "label"), "c0", "c1")
+    # p0/p1: the centres behind the previous assignment (null before the first round).
+    none = F.lit(None).cast("array<double>")
+    return settle(first.join(second, "label").select(
+        "label", none.alias("p0"), none.alias("p1"), "c0", "c1", F.lit(False).alias("done"), F.lit(True).alias("valid")
+    ))
+
+
+def _blocks(data: DataFrame) -> DataFrame:
+    """(label, ord, vec): rows of one class as bytes, written once and read in every pass."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = matrix_of(batch.column("vec"))
+            ords = batch.column("ord").to_numpy(zero_copy_only=False).astype(np.int64)
+            labels = batch.column("label").to_numpy(zero_copy_only=False).astype(str)
+            for name in np.unique(labels):
+                own = labels == name
+                yield pa.RecordBatch.from_pydict({"label": [str(name)], "ord": [ords[own].tobytes()], "vec": [values[own].tobytes()]})
+
+    tasks = data.sparkSession.sparkContext.defaultParallelism
+    return settle(data.select("label", "ord", "vec").mapInArrow(pack, "label string, ord binary, vec binary").repartition(tasks))
+
+
+def _each_block(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for name, ord, vec in zip(*[batch.column(c) for c in ("label", "ord", "vec")], strict=True):
+            yield name.as_py(), np.frombuffer(ord.as_buffer(), np.int64), np.frombuffer(vec.as_buffer(), np.float64).reshape(-1, width)
+
+
+# Bits of a value that are settled in each pass of ``_medians``: sign and exponent, then the fraction.
+_DIGITS = (12, 13, 13, 13, 13)
+_TOP = np.uint64(1 << 63)
+
+
+def _ordered(values: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in the order of the values, NaN last."""
+    bits = np.where(np.isnan(values), np.nan, values + 0.0).view(np.uint64)
+    return np.where(bits & _TOP, ~bits, bits | _TOP)
+
+
+def _medians(blocks: DataFrame, sizes: dict[str, int], width: int) -> dict[str, np.ndarray]:
+    """Exact medians of every coordinate of each class, by digits from the top.
+
+    A pass counts the next digit of the values that share the digits found so far: no value
+    is a row, and what a task returns is a count of each digit it saw.
+    """
+    ranks = {k: np.array([[(n - 1) // 2] * width, [n // 2] * width], np.int64) for k, n in sizes.items()}
+    found = {k: np.zeros((2, width), np.uint64) for k in sizes}
+    spark, left = blocks.sparkSession, 64
+    for digits in _DIGITS:
+        before, left = left, left - digits
+
+        def scan(batches: Iterator[pa.RecordBatch], before=before, left=left, digits=digits, found=found) -> Iterator[pa.RecordBatch]:
+            held: dict[tuple[str, int], list] = {}
+            size = 0
+
+            def out() -> Iterator[pa.RecordBatch]:
+                for (name, side), parts in held.items():
+                    code, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                    n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(code)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * len(code), pa.string()), pa.array(np.full(len(code), side, np.int32)),
+                         pa.array((code >> digits).astype(np.int32)), pa.array((code & ((1 << digits) - 1)).astype(np.int32)), pa.array(n)],
+                        names=["label", "side", "pos", "digit", "n"])
+
+            for name, _, values in _each_block(batches, width):
+                keys = _ordered(values)
+                digit = ((keys >> np.uint64(left)) & np.uint64((1 << digits) - 1)).astype(np.int64)
+                code = np.arange(width) << digits | digit
+                for side in (0, 1):
+                    able = np.ones(keys.shape, bool) if before == 64 else keys >> np.uint64(before) == found[name][side]
+                    part = np.unique(code[able], return_counts=True)
+                    held.setdefault((name, side), []).append(part)
+                    size += len(part[0])
+                if size > 1 << 20:
+                    yield from out()
+                    held, size = {}, 0
+            yield from out()
+
+        keys = ["label", "side", "pos"]
+        counts = blocks.mapInArrow(scan, "label string, side int, pos int, digit int, n bigint").groupBy(*keys, "digit").agg(F.sum("n").alias("n"))
+        asked = spark.createDataFrame(
+            [(k, s, p, int(r[s, p])) for k, r in ranks.items() for s in (0, 1) for p in range(width)], "label string, side int, pos int, rank bigint")
+        # At most 2^13 digits of a coordinate.
+        running = Window.partitionBy(*keys).orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
+        placed = counts.withColumn("_hi", F.sum("n").over(running)).join(asked, keys)
+        for r in placed.where((F.col("rank") < F.col("_hi")) & (F.col("rank") >= F.col("_hi") - F.col("n"))).collect():  # two for each coordinate
+            found[r["label"]][r["side"], r["pos"]] = found[r["label"]][r["side"], r["pos"]] << np.uint64(digits) | np.uint64(r["digit"])
+            ranks[r["label"]][r["side"], r["pos"]] = r["rank"] - (r["_hi"] - r["n"])
+    out = {}
+    for k, key in found.items():
+        low, high = np.where(key & _TOP, key ^ _TOP, ~key).view(np.float64)
+        out[k] = low if sizes[k] % 2 else low + (high - low) * 0.5
+    return out
+
+
+def _farthest(blocks: DataFrame, anchors: dict[str, np.ndarray], width: int) -> dict[str, np.ndarray]:
+    """Of each class the row farthest from its anchor; ties go to the earliest row, as an argmax over input order does."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, tuple] = {}
+        for name, ord, values in _each_block(batches, width):
+            far = np.zeros(len(values))
+            for j in range(width):
+                far += (values[:, j] - anchors[name][j]) ** 2
+            far = np.where(np.isnan(far), np.inf, far)
+            at = np.flatnonzero(far == far.max())
+            at = at[ord[at].argmin()]
+            if name not in best or (far[at], -ord[at]) > best[name][:2]:
+                best[name] = (far[at], -ord[at], values[at])
+        if best:
+            yield pa.RecordBatch.from_pydict({
+                "label": list(best), "far": [float(v[0]) for v in best.values()], "back": [int(v[1]) for v in best.values()],
+                "vec": [v[2].tolist() for v in best.values()]})
+
+    tops = blocks.mapInArrow(scan, "label string, far double, back bigint, vec array<double>")
+    rows = tops.groupBy("label").agg(F.max_by("vec", F.struct("far", "back")).alias("vec")).collect()  # one for each class
+    return {r["label"]: np.array(r["vec"]) for r in rows}
+
+
+def _iterate_small(data: DataFrame, width: int, max_rounds: int) -> DataFrame:
+    """First centres and rounds of ``two_means`` with the centres (a bounded table) sent along with the tasks.
 
     One pass over the rows per round; each task returns two sums per class.
     """
-    state = {
-        r["label"]: {"before": None, "now": np.array([r["c0"], r["c1"]]), "done": False, "valid": True}
-        for r in centres.collect()
-    }
+    blocks = _blocks(data)
+    sizes = {r["label"]: r["count"] for r in data.groupBy("label").count().collect()}  # one for each class
+    first = _farthest(blocks, _medians(blocks, sizes, width), width)
+    second = _farthest(blocks, first, width)
+    state = {k: {"before": None, "now": np.array([first[k], second[k]]), "done": False, "valid": True} for k in first}
 
     def one_pass(active: dict) -> DataFrame:
         def nearest(rows, pair):
-            gap = ((rows[:, None, :] - pair[None]) ** 2).sum(2)
-            return gap.argmin(1)
+            gap = [((rows - centre) ** 2).sum(1) for centre in pair]
+            return (gap[1] < gap[0]).astype(int)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[tuple[str, int], list] = {}
-            for batch in batches:
-                if not batch.num_rows:
+            for name, _, rows in _each_block(batches, width):
+                if name not in active:
                     continue
-                values = matrix_of(batch.column("vec"))
-                labels = batch.column("label").to_numpy(zero_copy_only=False).astype(str)
-                for name in np.unique(labels):
-                    if name not in active:
-                        continue
-                    rows = values[labels == name]
-                    before, now = active[name]
-                    new = nearest(rows, now)
-                    old = np.zeros(len(rows), int) if before is None else nearest(rows, before)
-                    for side in (0, 1):
-                        part = new == side
-                        held = sums.setdefault((name, side), [0, 0, np.zeros(width)])
-                        held[0] += int(part.sum())
-                        held[1] += int((part & (old != side)).sum())
-                        held[2] += rows[part].sum(0)
+                before, now = active[name]
+                new = nearest(rows, now)
+                old = np.zeros(len(rows), int) if before is None else nearest(rows, before)
+                for side in (0, 1):
+                    part = new == side
+                    held = sums.setdefault((name, side), [0, 0, np.zeros(width)])
+                    held[0] += int(part.sum())
+                    held[1] += int((part & (old != side)).sum())
+                    held[2] += rows[part].sum(0)
             if sums:
                 yield pa.RecordBatch.from_pydict({
                     "label": [k[0] for k in sums], "side": pa.array([k[1] for k in sums], pa.int32()),
@@ -258,7 +372,7 @@ def _iterate_small(data: DataFrame, centres: DataFrame, width: int, max_rounds:
                     "total": [v[2].tolist() for v in sums.values()],
                 })
 
-        partial = data.select("label", "vec").mapInArrow(
+        partial = blocks.mapInArrow(
             scan, "label string, side int, n bigint, moved bigint, total array<double>")
         return partial.groupBy("label", "side").agg(
             F.sum("n").alias("n"), F.sum("moved").alias("moved"),
@@ -284,7 +398,7 @@ def _iterate_small(data: DataFrame, centres: DataFrame, width: int, max_rounds:
         (k, v["before"][0].tolist(), v["before"][1].tolist(), v["now"][0].tolist(), v["now"][1].tolist(), v["done"], v["valid"])
         for k, v in state.items() if v["before"] is not None
     ]
-    return data.sparkSession.createDataFrame(listed, centres.schema)
+    return data.sparkSession.createDataFrame(listed, _CENTRES)
 
 
 def minority_clusters(clusters: DataFrame, max_fraction: float = 0.25, separation: float = 0.7) -> DataFrame:
