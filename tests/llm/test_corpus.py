@@ -231,6 +231,26 @@ def test_contexts_grow_with_the_text(spark):
     assert size(texts) > 3.5 * size(texts[:10])
 
 
+def test_codes_and_words_travel_packed(spark, monkeypatch):
+    """There was a row for every code of a chunk, and one for every rare word of a document."""
+    monkeypatch.setattr(C, "CHUNK", 20_000)
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcdefgh é") for _ in range(300)) for _ in range(200)] + ["", None, " \t"]
+    base = documents(spark, texts).repartition(2).select(F.col("doc_id").alias("id"), "text")
+    rows = C.counted(base, C.LEAST_BITS).collect()
+    codes, words = ([r for r in rows if r[c] is not None] for c in ("codes", "words"))
+    every = Counter(c for t in texts for c in contexts_of((t or "").encode()))
+    found = {int(c) for r in codes for c in C.unpack_codes(r["codes"], r["size"])}
+    assert found == {int.from_bytes(ctx + bytes([b]), "big") for ctx, b in every} and len(rows) < len(found) / 10
+    assert all(len(set(C.bucket_of(C.unpack_codes(r["codes"], r["size"]) >> C._GROUP_SHIFT, C.LEAST_BITS)) - {r["bucket"]}) == 0 for r in codes)
+    learnt = Counter(w for i, t in enumerate(texts, 1) if zlib.crc32(str(i).encode()) % 10 for w in (t or "").encode().split())
+    told = Counter()
+    for r in words:
+        for w, n in zip(C.unpack_words(r["words"]), C.unpack(r["counts"], r["size"], np.int32).tolist()):
+            told[w] += n
+    assert +told == learnt and b"" not in told
+
+
 def lm_case():
     r = random.Random(8)
     words = [f"{a}{b}" for a in "kltr" for b in ("a", "é", "Io", "U")]
