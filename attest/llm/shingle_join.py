@@ -1,8 +1,12 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, as an exact prefix-filtered join.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash first, then an exact prefix-filtered join.
 
 A text is its set of five-word shingles (64-bit hashes; all words of a shorter text are one
-shingle). Two texts are linked when their sets have a similarity of ALIKE or more. Every pair
-that is alike is found: ordered by (number of texts, hash), two such sets share a shingle
+shingle). Two texts are linked when their sets have a similarity of ALIKE or more.
+
+Candidates come from SimHash first: fingerprints of the sets that differ in few bits, through the
+byte-position index and count filter of ``simhash``, verified on the whole sets. Fingerprints of
+texts at 0.8 differ in about ten bits, which such an index does not reach, so what it leaves
+apart is completed, and every pair that is alike is found, by prefixes: ordered by (number of texts, hash), two such sets share a shingle
 among their first n - ceil(ALIKE n) + 1, and one more is taken since shingles meet by
 the bits of their bucket and 32 more only. Shingles of one text, most of all, come first and link nothing.
 Pairs that meet are verified on their whole sets; nothing is sampled and no list is capped.
@@ -12,9 +16,9 @@ any common order is right, the rarest first is only the cheapest. They travel pa
 bytes each, by the first bits of their hashes: as many as give a bucket BUCKET_ENTRIES
 shingles on average, by the counted number of all shingles.
 
-Pairs of a posting are not made. Its rows meet a few pivots, those with the smallest share of
-shingles of their own, and what verifies is joined to components: most of a large group of
-near copies is linked then. Postings that still have rows of different components are settled
+Pairs of a posting are not made. Where SimHash has not linked all of its rows, they meet a few pivots,
+those with the smallest share of shingles of their own, and what verifies is joined to components: most
+of a large group of near copies is linked then. Postings that still have rows of different components are settled
 exactly: those of up to SMALL rows by their pairs, larger ones by blocks of rows. There, rows not
 linked to the posting's first pivot meet all rows that share this pivot, a block of sets with a
 block of sets, as one product of presence matrices; a task gives back a spanning forest of
@@ -38,7 +42,7 @@ from pyspark.sql import functions as F
 
 from attest.functions.scale import pack_blocks
 from attest.llm.common import small_batches, spare, tidy, tokens_of, utf8
-from attest.llm.simhash import unite
+from attest.llm.simhash import candidates, set_fingerprint, unite
 from attest.operators.components import connected_components
 from attest.session import settle
 
@@ -79,18 +83,19 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:
-    """(id, sign, node, n) of rows(id, sign, text); n is the size of the set."""
+    """(id, sign, node, n, fp) of rows(id, sign, text); n is the size of the set, fp its SimHash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, n = [], []
+            node, n, fp = [], [], []
             for t in utf8(batch.column("text")):
                 found = shingle_set(t)
                 node.append(node_of(found))
                 n.append(len(found))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("sign"), pa.array(node, pa.int64()), pa.array(n, pa.int64())],
-                                             names=["id", "sign", "node", "n"])
+                fp.append(set_fingerprint(found))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("sign"), *[pa.array(c, pa.int64()) for c in (node, n, fp)]],
+                                             names=["id", "sign", "node", "n", "fp"])
 
-    return rows.select("id", "sign", "text").mapInArrow(tidy(run), "id bigint, sign bigint, node bigint, n bigint")
+    return rows.select("id", "sign", "text").mapInArrow(tidy(run), "id bigint, sign bigint, node bigint, n bigint, fp bigint")
 
 
 def sets_of(rows: DataFrame) -> DataFrame:
@@ -309,19 +314,27 @@ def block_links(keyed: DataFrame, sets: DataFrame) -> DataFrame:
 
 def links(posted: DataFrame, rows: DataFrame, nodes: DataFrame, pivots: int = _PIVOTS) -> DataFrame | None:
     """(node, root) of the nodes that are linked, over posted(h, node, n, alone); None where none are."""
-    several = posted.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "c")
-    members = settle(posted.join(several, "h"))
+    close = settle(candidates(nodes.select(F.col("node").alias("id"), "fp").distinct()))
+    edges = settle(verified(close, rows, nodes))
+    none = edges.isEmpty()
+    roots = None if none else connected_components(edges)
+    label = F.col("node") if none else F.coalesce("root", "node")
+    linked = (posted if none else posted.join(roots, "node", "left")).select("h", "node", "n", "alone", label.alias("near"))
+    # Postings whose rows SimHash has all linked are done.
+    several = linked.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("near").alias("a"), F.max("near").alias("b")).where("a < b").select("h", "c")
+    members = settle(linked.join(several, "h"))
     if members.isEmpty():
-        return None
+        return roots
     # Of a group of near copies, rows next to what all have in common: to these the most are alike.
     slot = F.pmod(F.xxhash64("node"), F.lit(pivots))
-    leads = settle(members.groupBy("h", slot.alias("slot")).agg(F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), "node", "n")).alias("p"))
-                   .select("h", F.col("p.share").alias("share"), F.col("p.node").alias("lead"), F.col("p.n").alias("lead_n")))
+    leads = settle(members.groupBy("h", slot.alias("slot")).agg(F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), "node", "n", "near")).alias("p"))
+                   .select("h", F.col("p.share").alias("share"), F.col("p.node").alias("lead"), F.col("p.n").alias("lead_n"), F.col("p.near").alias("lead_near")))
     # Sets whose sizes differ too much are not alike whatever they share.
     able = lambda a, b: F.least(a, b) * ALIKE[1] >= F.greatest(a, b) * ALIKE[0]
     pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-    pairs = settle(members.join(leads, "h").where((F.col("node") != F.col("lead")) & able("n", "lead_n")).select(*pair("node", "lead")).distinct())
-    edges = settle(verified(pairs, rows, nodes))
+    pairs = settle(members.join(leads, "h").where((F.col("near") != F.col("lead_near")) & able("n", "lead_n")).select(*pair("node", "lead")).distinct()
+                   .join(close, ["u", "v"], "left_anti"))
+    edges = edges.union(settle(verified(pairs, rows, nodes)))
     none = edges.isEmpty()
     roots = None if none else connected_components(edges)
     label = F.col("node") if none else F.coalesce("root", "node")
@@ -333,7 +346,7 @@ def links(posted: DataFrame, rows: DataFrame, nodes: DataFrame, pivots: int = _P
     small = left.where(F.col("c") <= SMALL)
     other = small.select("h", F.col("node").alias("o"), F.col("n").alias("on"), F.col("label").alias("ol"))
     met = small.join(other, "h").where((F.col("node") < F.col("o")) & (F.col("label") != F.col("ol")) & able("n", "on"))
-    fresh = settle(met.select(*pair("node", "o")).distinct().join(pairs, ["u", "v"], "left_anti"))
+    fresh = settle(met.select(*pair("node", "o")).distinct().join(pairs.union(close), ["u", "v"], "left_anti"))
     more = [] if fresh.isEmpty() else [settle(verified(fresh, rows, nodes))]
     large = left.where(F.col("c") > SMALL)
     if not large.isEmpty():

@@ -37,6 +37,15 @@ POSTING_ROWS = 4096
 _CHUNK = 1 << 16
 
 
+def votes_of(digests: bytes) -> np.ndarray:
+    """How many of some big-endian 64-bit hashes have each bit."""
+    return np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+
+
+def majority(votes: np.ndarray, n: int) -> int:
+    return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
+
+
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     """64-bit SimHash of word shingles: a bit is set where over half of their hashes have it."""
     words = tokens_of(text)
@@ -50,9 +59,15 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     for at in range(0, n, _CHUNK):
         last = min(n, at + _CHUNK)
         ends = starts[at + width:last + width] if len(words) >= width else [len(flat) + 1]
-        hashes = b"".join([digest(flat[a:b - 1], SEED) for a, b in zip(starts[at:last], ends)])
-        votes += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
+        votes += votes_of(b"".join([digest(flat[a:b - 1], SEED) for a, b in zip(starts[at:last], ends)]))
+    return majority(votes, n)
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """Signed SimHash of a set of 64-bit hashes."""
+    votes = sum(votes_of(hashes[at:at + _CHUNK].astype(">u8").tobytes()) for at in range(0, len(hashes), _CHUNK))
+    found = majority(votes, len(hashes))
+    return found - (1 << 64) if found >> 63 else found
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "_fp") -> DataFrame:
@@ -128,15 +143,17 @@ def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = above
 
 
-def forest(group: np.ndarray, fp: np.ndarray, shared: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links inside each group; ``group`` holds equal values in runs."""
+def forest(group: np.ndarray, fp: np.ndarray, shared: int, bits: int, as_found: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the links inside each group; ``group`` holds equal values in runs.
+
+    With ``as_found`` the links that joined two trees, in place of each row and the root of its tree."""
     n = len(group)
     edge = np.append(True, group[1:] != group[:-1])
     sizes = np.diff(np.append(np.flatnonzero(edge), n))
     remaining = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)  # rows from here to the end of the group
     root = np.arange(n)
     at = np.flatnonzero(remaining > 1)
-    step = 1
+    step, found = 1, []
     while len(at):
         apart = at[root[at] != root[at + step]]
         differ = fp[apart] ^ fp[apart + step]
@@ -145,20 +162,23 @@ def forest(group: np.ndarray, fp: np.ndarray, shared: int, bits: int) -> tuple[n
         link = apart[able][np.bitwise_count(differ[able]) <= bits]
         if len(link):
             root = unite(root, link, link + step)
+            found.append((fp[link], fp[link + step]))
         step += 1
         at = at[remaining[at] > step]
+    if as_found:
+        return tuple(np.concatenate([fp[:0], *side]) for side in zip(*found)) if found else (fp[:0], fp[:0])
     child = np.flatnonzero(root != np.arange(n))
     return fp[child], fp[root[child]]
 
 
-def links(posted: DataFrame, shared: int, bits: int) -> DataFrame:
+def links(posted: DataFrame, shared: int, bits: int, as_found: bool = False) -> DataFrame:
     """(u, v) spanning links of all postings."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, 5), np.int64)
 
         def out(rows: np.ndarray) -> pa.RecordBatch:
             change = np.append(False, (rows[1:, :4] != rows[:-1, :4]).any(1))
-            a, b = forest(np.cumsum(change), np.ascontiguousarray(rows[:, 4]).view(np.uint64), shared, bits)
+            a, b = forest(np.cumsum(change), np.ascontiguousarray(rows[:, 4]).view(np.uint64), shared, bits, as_found)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["u", "v"])
 
         for batch in batches:
@@ -178,15 +198,30 @@ def links(posted: DataFrame, shared: int, bits: int) -> DataFrame:
     return dealt.mapInArrow(tidy(run), "u bigint, v bigint")
 
 
-def components(prints: DataFrame, bits: int = BITS, posting_rows: int = POSTING_ROWS) -> DataFrame:
-    """(fp, component_id) of prints(id, fp): the smallest id reachable over links."""
-    distinct = settle(prints.groupBy("fp").agg(F.min("id").alias("first")))
-    n = distinct.count()
+def all_links(distinct: DataFrame, bits: int = BITS, posting_rows: int = POSTING_ROWS, as_found: bool = False) -> DataFrame:
+    """(u, v) links that span the components of distinct(fp)."""
     shared = 8 - bits
     if shared < 2:
         raise ValueError("at most 6 differing bits: fewer than two bytes would have to agree")
-    posted = postings(distinct.select("fp"), shared, key_width(n, shared), posting_rows)
-    roots = connected_components(links(posted, shared, bits)).select(F.col("node").alias("fp"), "root")
+    posted = postings(distinct, shared, key_width(distinct.count(), shared), posting_rows)
+    return links(posted, shared, bits, as_found)
+
+
+def candidates(prints: DataFrame, bits: int = BITS, posting_rows: int = POSTING_ROWS) -> DataFrame:
+    """(u, v), u < v: pairs of the distinct prints(id, fp) that differ in at most ``bits`` bits, enough of them to span
+    each component; ids of one fingerprint are paired with the smallest."""
+    first = settle(prints.groupBy("fp").agg(F.min("id").alias("first")))
+    found = all_links(first.select("fp"), bits, posting_rows, as_found=True).distinct()
+    side = lambda name: first.select(F.col("fp").alias(name), F.col("first").alias(f"{name}_id"))
+    across = found.join(side("u"), "u").join(side("v"), "v").select("u_id", "v_id")
+    inside = prints.join(first, "fp").where(F.col("id") != F.col("first")).select(F.col("first").alias("u_id"), F.col("id").alias("v_id"))
+    return across.union(inside).select(F.least("u_id", "v_id").alias("u"), F.greatest("u_id", "v_id").alias("v")).distinct()
+
+
+def components(prints: DataFrame, bits: int = BITS, posting_rows: int = POSTING_ROWS) -> DataFrame:
+    """(fp, component_id) of prints(id, fp): the smallest id reachable over links."""
+    distinct = settle(prints.groupBy("fp").agg(F.min("id").alias("first")))
+    roots = connected_components(all_links(distinct.select("fp"), bits, posting_rows)).select(F.col("node").alias("fp"), "root")
     tied = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     return tied.join(tied.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
 

@@ -1,8 +1,8 @@
 """Corpus cleaning in stages: each reads what the stage before kept and writes Parquet.
 
 Stages: quality classifier (rejected documents go), exact deduplication (the largest
-doc_id of equal texts stays), near-duplicates (five-word shingles with a Jaccard similarity
-of 0.8 or more; the smallest doc_id of a component stays), benchmark decontamination
+doc_id of equal texts stays), near-duplicates (SimHash candidates, completed by shared
+shingles: sets of five-word shingles with a Jaccard similarity of 0.8 or more; the smallest doc_id of a component stays), benchmark decontamination
 (documents with a hit window go), SentencePiece encoding with the decoded text's digest as
 the result.
 

@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import pytest
+import xxhash
 
 import corpus_pipeline
 from attest.llm import shingle_join as J
@@ -61,6 +62,31 @@ def test_stage_against_brute_force_jaccard(spark, monkeypatch, common, compact,
     assert sorted(by_id(stage)) == sorted(set(want.values()))
 
 
+def set_print(text):
+    hashes = [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams(text)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_gives_the_first_candidates(spark, monkeypatch):
+    """The stage went by shared shingles alone."""
+    asked, met = [], []
+    real, check = J.candidates, J.verified
+    monkeypatch.setattr(J, "candidates", lambda prints: asked.append((prints, real(prints))) or asked[-1][1])
+    monkeypatch.setattr(J, "verified", lambda pairs, *a: met.append({(r.u, r.v) for r in pairs.collect()}) or check(pairs, *a))
+    texts = near_texts()
+    kept = corpus_pipeline.drop_near_copies(spark, documents(spark, texts), "").count()
+    prints = {r.id: r.fp & (1 << 64) - 1 for r in asked[0][0].collect()}
+    assert sorted(prints.values()) == sorted(set_print(t) for t in {frozenset(grams(t)): t for t in texts}.values())
+    pairs = {(r.u, r.v) for r in asked[0][1].collect()}
+    assert met[0] == pairs and len(pairs) > 10
+    assert all((prints[u] ^ prints[v]).bit_count() <= 4 and u < v for u, v in pairs)
+    near = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4
+    assert roots(list(prints), near) == roots(list(prints), lambda a, b: (a, b) in pairs)
+    assert not any(pairs & more for more in met[1:])  # prefixes only add to it
+    sets = {i: grams(t) for i, t in enumerate(texts, 1)}
+    assert kept == len(set(roots(list(sets), lambda a, b: alike(sets[a], sets[b])).values()))
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (None, "zz yy xx")],
                                "doc_id bigint, text string")
