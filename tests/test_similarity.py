@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from attest.functions.fingerprints import vector_hash
 from attest.operators import duplicates as D
 from attest.operators import metric_join as M
@@ -58,6 +59,29 @@ def test_hamming_pairs_leave_tasks_once_and_verified(spark, monkeypatch, bands,
     assert plan.count("MapInArrow") == 1 and "SortMergeJoin" not in plan.split("MapInArrow")[0]
 
 
+@pytest.mark.parametrize("hot,lot", [(8192, 64), (4, 2)])
+def test_hamming_links_different_contents_of_one_fingerprint(spark, monkeypatch, hot, lot):
+    """Rows of one fingerprint were copies, whatever they held: only the first of them was anyone's match."""
+    monkeypatch.setattr(D, "HOT_BUCKET", hot)
+    monkeypatch.setattr(D, "LOT_ROWS", lot)
+    rng = np.random.default_rng(5)
+    rows = [(f"r{i}", i, f, f"{f} {int(rng.integers(3))}") for i, f in enumerate(int(x) for x in rng.choice([0, 1, 3, 2**62, 2**63 - 1], 60))]
+    df = spark.createDataFrame(rows, "id string, ord bigint, fp bigint, text string").repartition(4)
+    got = rows_of(D.hamming_near_duplicates(df, "id", "ord", "fp", 6, content="text"), "asset_id", "match_id", "distance", "match_rows")
+    texts = [r[3] for r in rows]
+    first = {t: texts.index(t) for t in texts}
+    assert got == sorted((r[0], f"r{at}", (r[2] ^ rows[at][2]).bit_count(), texts.count(t))
+                         for r in rows for t, at in first.items() if at < r[1] and (r[2] ^ rows[at][2]).bit_count() <= 6)
+
+
+def test_hamming_query_has_documents_without_words(spark, tmp_path):
+    texts = ["a b", "b a", "b a", None, "", " \n", "one two three four five", "a b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.asset_id, r.match_id) for r in queries()["hamming_near_duplicates"](spark, str(tmp_path)).collect()}
+    # Equal bags of words have one fingerprint, texts without a word have zero.
+    assert {(1, 0), (2, 0), (2, 1), (7, 0), (7, 1), (4, 3), (5, 3)} <= got and (2, 2) not in got
+
+
 def test_one_fingerprint_for_a_third_of_all_rows(spark):
     df = spark.range(3000).select(F.col("id").cast("string").alias("id"), F.col("id").alias("ord"),
                                   F.when(F.col("id") % 3 == 0, 5).otherwise(F.xxhash64("id").bitwiseAND(F.lit(2**62 - 1))).alias("fp"))
