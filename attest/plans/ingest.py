@@ -190,11 +190,13 @@ def file_inventory(spark, folder):
     docs = table(spark, folder, "documents").where("text is not null")
     line = F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" "))
     path = scratch(spark, "tree")
-    # Dealt by id: a file per document takes its time, so no task may hold many more of them than others.
-    dealt = docs.select((F.col("doc_id") % 4).alias("part"), F.col("doc_id").alias("doc"), line.alias("value")).repartition("doc")
-    dealt.write.options(**sinks.MANY_FILES).partitionBy("part", "doc").text(path)
+    # Dealt by id: a file per document takes its time, so no task may hold many more of them than others. The
+    # lots on top are what the tree is listed by: a task each, in place of one for every document's folder.
+    lot = F.pmod(F.xxhash64("doc_id"), F.lit(1024)).alias("lot")
+    dealt = docs.select(lot, (F.col("doc_id") % 4).alias("part"), F.col("doc_id").alias("doc"), line.alias("value")).repartition("doc")
+    sinks.write_tree(dealt, path, ["lot", "part", "doc"], "value")
     found = files.file_inventory(spark, path).where(F.col("path").endswith(".txt"))
-    return found.withColumn("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    return found.withColumn("path", F.regexp_extract("path", "^lot=[^/]*/(.*)/[^/]*$", 1))
 
 
 @query("unsafe_paths", """

@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -27,6 +29,45 @@ MANY_FILES = {
 }
 
 
+def _arrow_files(root: str) -> tuple[pyarrow.fs.FileSystem, str] | None:
+    """Arrow's file system of a folder, and the folder's path in it; None where Arrow has none for the scheme."""
+    scheme, colon, rest = root.partition(":")
+    if not colon or "/" in scheme or scheme == "file":
+        path = rest if scheme == "file" and colon else root
+        return pyarrow.fs.LocalFileSystem(), "/" + path.lstrip("/") if path.startswith("/") else path
+    try:
+        return pyarrow.fs.FileSystem.from_uri(root)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return None
+
+
+def write_tree(df: DataFrame, root: str, folders: list[str], value: str) -> None:
+    """One text file for each row in a folder of its own, ``column=number/`` by ``folders``, as Spark's text writer makes them.
+
+    Tasks write through Arrow: Spark's writer opens, moves and sets the modes of each file on its own, on a local file
+    system with more processes than files. A file's name and content follow from its row, so a task that runs
+    again replaces what it left. Spark's writer does it where Arrow does not know the file system.
+    """
+    if _arrow_files(root) is None:
+        df.select(*folders, value).write.options(**MANY_FILES).partitionBy(*folders).text(root)
+        return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = _arrow_files(root)
+        for batch in batches:
+            for place, text in zip(batch.column("place").to_pylist(), batch.column("text")):
+                system.create_dir(f"{top}/{place}", recursive=True)
+                with system.open_output_stream(f"{top}/{place}/part-00000.txt") as out:
+                    if text.is_valid:
+                        out.write(text.as_buffer())
+                    out.write(b"\n")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["files"])
+
+    place = F.concat_ws("/", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in folders])
+    rows = df.select(place.alias("place"), F.col(value).alias("text"))
+    rows.mapInArrow(run, "files bigint").agg(F.sum("files")).collect()
+
+
 def write_partitioned(df: DataFrame, path: str, key: str = "assessment_id", fmt: str = "parquet") -> None:
     """Overwrite only the partitions present in ``df``."""
     (

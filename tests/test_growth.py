@@ -26,6 +26,21 @@ def test_tree_of_many_files_has_no_checksum_files(spark, tmp_path):
     assert {(r["path"].split("/")[0], r["bytes"]) for r in found.collect()} == want
 
 
+def test_tree_is_written_by_tasks_as_sparks_writer_does(spark, tmp_path, monkeypatch):
+    """A file of Spark's writer took several processes for its modes, 36 s for 10,000 documents."""
+    rows = spark.range(12).select((F.col("id") % 3).alias("lot"), F.col("id").alias("doc"), F.concat(F.lit("täxt\t"), "id").alias("value"))
+    sinks.write_tree(rows, f"file:{tmp_path}/t", ["lot", "doc"], "value")
+    sinks.write_tree(rows, f"file:{tmp_path}/t", ["lot", "doc"], "value")  # as a task that runs again
+    assert sorted(glob.glob(f"{tmp_path}/t/*/*/*")) == sorted(f"{tmp_path}/t/lot={i % 3}/doc={i}/part-00000.txt" for i in range(12))
+    monkeypatch.setattr(sinks, "_arrow_files", lambda root: None)
+    sinks.write_tree(rows, f"{tmp_path}/u", ["lot", "doc"], "value")
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    one, two = (sorted(files.file_inventory(spark, f"{tmp_path}/{t}").where("path like '%.txt'").withColumn("path", folder).collect()) for t in "tu")
+    assert one == two and len(one) == 12
+    monkeypatch.undo()
+    assert sinks._arrow_files("nowhere://host/x") is None and sinks._arrow_files("/a/b")[1] == sinks._arrow_files("file:///a/b")[1] == "/a/b"
+
+
 def test_annotation_files_are_parsed_once(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"batch_id": "b", "images": [{"id": "1", "file_name": "x.jpg"}], "annotations": [], "categories": []}')
     parts = files.read_coco(spark, str(tmp_path))
