@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from attest.session import shuffled_once
+
 # Writer options for scratch trees of very many small files. Tasks move their own files in place of the driver moving
 # all of them one by one; on a local file system no checksum file is written beside each, whose modes are set by
 # three more processes a file.
@@ -143,7 +145,8 @@ def publish(tables: Mapping[str, DataFrame], path: str, formats: Mapping[str, st
     try:
         for name, df in tables.items():
             counted, how = Observation(), (formats or {}).get(name, "parquet")
-            df.observe(counted, F.count(F.lit(1)).alias("rows")).write.format(how).save(f"{folder}/{name}")
+            with shuffled_once(spark):
+                df.observe(counted, F.count(F.lit(1)).alias("rows")).write.format(how).save(f"{folder}/{name}")
             manifest["tables"][name] = {"format": how, "rows": counted.get["rows"], "schema": df.schema.jsonValue()}
         stream = files.create(kind(f"{path}/_manifests/{number:012d}.json"), False)
         try:
