@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attest.functions.scale import pack_blocks
-from attest.session import settle
+from attest.session import discard, settle
 
 BLOCK_ROWS = 1024
 TOP = 256  # top pivots at most
+LANDMARKS = 16  # of them, those that bound the blocks of a product
+PARTS = 4  # of the base in a product: so many times a point's nearest leave a task
 _SUB = 32  # a cell's number is its super-cell's, shifted by so many bits, and its own
 _ARROW_BYTES = 16 * 1024 * 1024
 
@@ -137,7 +139,9 @@ def build_tree(points: DataFrame, ident: str, vec: str, keep: list[str], size: i
     entry = F.array_sort(F.collect_list(F.struct("sub", "pivot", "low", "high")))
     subs = listed.join(cells, "cell", "left").groupBy("super").agg(entry.alias("e")).select(
         "super", F.col("e.pivot").alias("pivots"), F.col("e.low").alias("low"), F.col("e.high").alias("high"))
-    return Tree(top, rings, settle(subs)), stored
+    tree = Tree(top, rings, settle(subs))
+    discard(placed)
+    return tree, stored
 
 
 def _open(far: np.ndarray, between: np.ndarray, rings: np.ndarray, reach: np.ndarray) -> np.ndarray:
@@ -247,3 +251,105 @@ def join_blocks(
                     yield out
 
     return paired.mapInArrow(run, schema)
+
+
+def packed(points: DataFrame, tree: Tree, keep: int) -> DataFrame:
+    """Blocks of points of one cell as plain bytes (settled), with their distances to the landmarks.
+
+    ``points(vid, vec, cell, asked)``; all can be found. The ``keep``-th nearest row of its own block bounds what an
+    asked point has to look for; where a block has fewer rows, nothing does.
+    """
+    marks = tree.top[np.unique(np.linspace(0, len(tree.top) - 1, LANDMARKS).astype(int))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows = block_of(batch.column("rows"), i)
+                vec, reach = matrix_of(rows.field("vec")), np.full(len(rows), np.inf)
+                if len(rows) >= keep:
+                    own = _distances(vec, vec)
+                    slack = 1e-9 * (1.0 + (vec * vec).sum(1).max())
+                    reach = np.sqrt(np.partition(own, keep - 1, axis=1)[:, keep - 1] ** 2 + slack)
+                reach[~rows.field("asked").to_numpy(zero_copy_only=False)] = np.nan
+                far, most = _distances(vec, marks), np.nanmax(reach, initial=-1.0)
+                vid = rows.field("vid").to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_pylist([{
+                    "vid": vid.tobytes(), "vec": vec.tobytes(), "reach": reach.tobytes(), "most": most,
+                    "low": far.min(0).tolist(), "high": far.max(0).tolist()}], pa.schema([
+                        ("vid", pa.binary()), ("vec", pa.binary()), ("reach", pa.binary()), ("most", pa.float64()),
+                        ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))]))
+
+    bound_arrow_batches(points.sparkSession)
+    blocks = pack_blocks(points, ["cell"], "vid", ["vec", "asked"], BLOCK_ROWS).select("rows")
+    return settle(blocks.mapInArrow(run, "vid binary, vec binary, reach binary, most double, low array<double>, high array<double>")
+                  .withColumn("block", F.monotonically_increasing_id()))
+
+
+def nearest(blocks: DataFrame, keep: int) -> DataFrame:
+    """``(vid, distance, n_ord)``: per asked point and part of the base its ``keep`` nearest points by (distance, vid), itself included.
+
+    ``blocks`` from ``packed``; a point's reach, a number or infinite, bounds what it looks for. Block meets block in a product
+    whose tasks read their sides from the settled files: no copies of points are shuffled, however many blocks
+    a point must look into, and blocks that a landmark keeps farther apart than the reach are not shipped.
+    A task keeps the nearest of its asked points, which leave it once.
+    """
+    marks = len(blocks.select("low").first()[0])
+    asked = blocks.where("most >= 0").select("block", "vid", "vec", "reach", "most", F.col("low").alias("p_low"), F.col("high").alias("p_high"))
+    base = blocks.select(F.col("vid").alias("b_vid"), F.col("vec").alias("b_vec"), "low", "high").coalesce(PARTS)
+    meets = F.lit(True)
+    for t in range(marks):
+        at = lambda c: F.get(c, F.lit(t))
+        # Rounding of distances that come from products of large numbers.
+        reach = F.col("most") + F.lit(1e-6) * (1 + at("high") + at("p_high"))
+        meets &= (at("p_low") - reach <= at("high")) & (at("low") - reach <= at("p_high"))
+    paired = base.hint("shuffle_replicate_nl").join(asked, meets).select("b_vid", "b_vec", "block", "vid", "vec", "reach")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.iinfo(np.int64).max
+        held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number = lambda c, kind: np.frombuffer(batch.column(c)[i].as_buffer(), kind)
+                vid, names = number("vid", np.int64), number("b_vid", np.int64)
+                left, right = number("vec", float).reshape(len(vid), -1), number("b_vec", float).reshape(len(names), -1)
+                reach = number("reach", float)
+                able = ~np.isnan(reach)
+                if not able.all():
+                    vid, left, reach = vid[able], left[able], reach[able]
+                found = held.setdefault(batch.column("block")[i].as_py(), (
+                    vid.copy(), np.full((len(vid), keep), np.inf), np.full((len(vid), keep), none)))
+                _merge_nearest(left, right, names, reach, found[1], found[2])
+        for vid, distance, near in held.values():
+            who, place = np.nonzero(near != none)
+            yield pa.RecordBatch.from_arrays([pa.array(vid[who]), pa.array(distance[who, place]), pa.array(near[who, place])],
+                                             names=["vid", "distance", "n_ord"])
+
+    bound_arrow_batches(blocks.sparkSession)
+    return paired.mapInArrow(run, "vid bigint, distance double, n_ord bigint")
+
+
+def _merge_nearest(left: np.ndarray, right: np.ndarray, names: np.ndarray, reach: np.ndarray,
+                   distance: np.ndarray, near: np.ndarray, size: int = 1 << 16) -> None:
+    """Put rows of ``right`` among the nearest of the rows of ``left``, in place: ``distance`` and ``near`` by (distance, name)."""
+    keep = distance.shape[1]
+    a, b = (left * left).sum(1), (right * right).sum(1)
+    square = a[:, None] + b[None, :] - 2.0 * left @ right.T
+    slack = 1e-9 * (1.0 + a.max() + b.max())
+    limit = np.minimum(reach, distance[:, -1])
+    hit = square <= (limit * limit * (1 + 1e-9))[:, None] + slack
+    many = np.flatnonzero(hit.sum(1) > keep)
+    if len(many):
+        some = square[many]
+        hit[many] &= some <= np.partition(some, keep - 1, axis=1)[:, keep - 1][:, None] + slack
+    who, at = np.nonzero(hit)
+    for start in range(0, len(who), size):
+        w, n = who[start:start + size], at[start:start + size]
+        gap = left[w] - right[n]
+        rows = np.unique(w)
+        row = np.concatenate([w, np.repeat(rows, keep)])
+        far = np.concatenate([np.sqrt((gap * gap).sum(1)), distance[rows].ravel()])
+        name = np.concatenate([names[n], near[rows].ravel()])
+        order = np.lexsort((name, far, row))
+        first = np.searchsorted(row[order], rows)
+        best = order[first[:, None] + np.arange(keep)]
+        distance[rows], near[rows] = far[best], name[best]
